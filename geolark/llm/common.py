@@ -50,21 +50,20 @@ def packed(df: DataFrame, **keys: Column) -> DataFrame:
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), *[v.alias(k) for k, v in keys.items()])
 
 
-def running_total(df: DataFrame, order: list[str], value: str, out: str, partitions: int | None = None) -> DataFrame:
-    """`df` with `out`: the inclusive running sum of `value` in the global order of `order`.
+def running_totals(df: DataFrame, order: list[str], totals: dict[str, str], partitions: int | None = None) -> DataFrame:
+    """`df` with a column for each {name: column} of `totals`: the inclusive running sum in the global order of `order`.
 
     The rows are range-partitioned, so no task gets more than its range; a single task sees one row
-    a partition only (the partitions' totals), never the data.
+    a partition only (the partitions' sums), never the data.
     """
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id())
     ranged = materialize(ranged, "ranged")  # both uses below must see the same ranges
-    totals = ranged.groupBy("_part").agg(F.sum(value).alias("_sum"))
-    before = totals.select("_part", (F.sum("_sum").over(Window.orderBy("_part")) - F.col("_sum")).alias("_before"))
-    within = F.sum(value).over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    sums = ranged.groupBy("_part").agg(*[F.sum(v).alias(f"_sum_{k}") for k, v in totals.items()])
+    ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select("_part", *[F.coalesce(F.sum(f"_sum_{k}").over(ahead), F.lit(0)).alias(f"_before_{k}") for k in totals])
+    within = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     # one row a partition: bounded by the partition count, not by the data
-    return ranged.join(F.broadcast(before), "_part").withColumn(out, within + F.col("_before")).drop("_part", "_before")
-
-
-SPAN = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("match", T.StringType())]))
+    joined = ranged.join(F.broadcast(before), "_part")
+    return joined.select(*df.columns, *[(F.sum(v).over(within) + F.col(f"_before_{k}")).alias(k) for k, v in totals.items()])

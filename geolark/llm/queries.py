@@ -6,13 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .htmltext import op10_html_text
 from .langid import op7_langid
+from .linededup import op2_line_dedup
+from .mixing import op8_mixing
+from .packing import op9_packing
+from .pii import op3_pii
+from .secretscan import op4_secrets
 from .simhash import op6_simhash
 from .vector_topk import OP1_SQL, op1_exact_topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_topk": op1_exact_topk,
+    "op2_line_dedup": op2_line_dedup,
+    "op3_pii": op3_pii,
+    "op4_secrets": op4_secrets,
     "op6_simhash": op6_simhash,
     "op7_langid": op7_langid,
+    "op8_mixing": op8_mixing,
+    "op9_packing": op9_packing,
+    "op10_html_text": op10_html_text,
 }
 ORACLE_SQL: dict[str, str] = {"op1_exact_topk": OP1_SQL}
