@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .htmltext import op10_html_text
+from .imagecopies import op5_image_copies
 from .langid import op7_langid
 from .linededup import op2_line_dedup
 from .mixing import op8_mixing
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_dedup": op2_line_dedup,
     "op3_pii": op3_pii,
     "op4_secrets": op4_secrets,
+    "op5_image_copies": op5_image_copies,
     "op6_simhash": op6_simhash,
     "op7_langid": op7_langid,
     "op8_mixing": op8_mixing,
