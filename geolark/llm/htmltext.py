@@ -24,6 +24,8 @@ WINDOW, SURGE = 3, 86
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title noscript template iframe xmp noembed noframes".split())
 LEFT_OUT = set("head nav footer aside form menu dialog select option button fieldset svg canvas object audio video map datalist".split())
+HOLDERS = set("article main section div td center".split())
+TEXT = set("p h1 h2 h3 h4 h5 h6 blockquote pre li dd figcaption".split())
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 OTHER_WORDS = set(
     "ad ads adv advert adverts advertisement advertisements advertising adsense adslot adunit sponsor sponsored sponsors promo promos promotion promoted "
@@ -58,12 +60,16 @@ def _is_other(tag: str, attrs: str, in_article: bool) -> bool:
     return False
 
 
-def lines_of(page: str) -> list[tuple[str, int]]:
-    """(text, article) of every line outside what is left out; article: the number of the article or main element around it, 0 for none."""
-    lines: list[tuple[str, int]] = []
-    stack: list[tuple[str, bool, int]] = []  # element, left out, article around it
+def lines_of(page: str) -> list[tuple[str, int, tuple[int, ...], bool]]:
+    """(text, article, holders, is_text) of every line outside what is left out.
+
+    article: the number of the article or main element around it, 0 for none; holders: the numbers of all section-like elements around it,
+    outermost first; is_text: whether it stands in a paragraph, heading or the like.
+    """
+    lines: list[tuple[str, int, tuple[int, ...], bool]] = []
+    stack: list[tuple[str, bool, int, int]] = []  # element, left out, article around it, number of a holder or 0
     parts: list[str] = []
-    at, articles = 0, 0
+    at, articles, opened = 0, 0, 0
     out, inside = False, 0
 
     def close_line() -> None:
@@ -71,7 +77,8 @@ def lines_of(page: str) -> list[tuple[str, int]]:
             text = " ".join(html.unescape("".join(parts)).split())
             parts.clear()
             if text:
-                lines.append((text, inside))
+                block = next((x[0] for x in reversed(stack) if x[0] not in INLINE), "")
+                lines.append((text, inside, tuple(x[3] for x in stack if x[3]), block in TEXT))
 
     n = len(page)
     while at < n:
@@ -112,44 +119,47 @@ def lines_of(page: str) -> list[tuple[str, int]]:
             if tag in ("article", "main") and not out and not (inside and tag == "article"):
                 articles += 1
                 inside = articles
-            stack.append((tag, out, inside))
+            opened += tag in HOLDERS
+            stack.append((tag, out, inside, opened if tag in HOLDERS else 0))
     close_line()
     return lines
 
 
-def article_range(lengths: list[int], articles: list[int]) -> tuple[int, int]:
-    """First and end line of the article: from the surge of the windowed sums to their last dive, moved out to the element's borders."""
-    n = len(lengths)
+def article_lines(lines: list[tuple[str, int, tuple[int, ...], bool]]) -> list[int]:
+    """Places of the article's lines: from the surge of the windowed sums of text lengths to their last dive, moved out to borders.
+
+    The borders are those of the article element with the densest window, or else of the innermost element that holds all dense
+    windows. Where that is the page itself, the range grows by the paragraphs and headings next to it.
+    """
+    n = len(lines)
     if not n:
-        return 0, 0
+        return []
+    lengths = [len(x[0]) for x in lines]
     padded = np.concatenate([[0], np.cumsum(lengths + [0] * (WINDOW - 1))])
     sums = padded[WINDOW:] - padded[:-WINDOW]
-    marked = np.asarray(articles) > 0
+    marked = np.array([x[1] > 0 for x in lines])
     if marked.any():
-        # the article element with the densest window; teasers in elements of their own are not part of it
-        best = articles[int(np.argmax(np.where(marked, sums, -1)))]
-        places = [i for i, a in enumerate(articles) if a == best]
-        return places[0], places[-1] + 1
-    least = min(SURGE, int(sums.max()))
-    dense = np.flatnonzero(sums >= least)
-    surge = int(dense[0])
-    while surge < n - 1 and sums[surge + 1] > sums[surge] and lengths[surge] * 4 < sums[surge] / WINDOW and lengths[surge] < 20:
-        surge += 1  # the window looks ahead: its first short lines are not yet text
-    dive = int(dense[-1])
-    end = min(n, dive + WINDOW)
-    while end > dive + 1 and lengths[end - 1] * 4 < sums[dive] / WINDOW and lengths[end - 1] < 20:
-        end -= 1
-    return surge, end
+        best = lines[int(np.argmax(np.where(marked, sums, -1)))][1]
+        return [i for i, x in enumerate(lines) if x[1] == best]
+    # a window counts for its longest line, so that a short one before the article is not taken for its start
+    dense = sorted({i + int(np.argmax(lengths[i : i + WINDOW])) for i in np.flatnonzero(sums >= min(SURGE, int(sums.max()))).tolist()})
+    surge, dive = dense[0], dense[-1] + 1
+    first, common = lines[surge][2], len(lines[surge][2])
+    for i in dense:
+        common = next((k for k, (a, b) in enumerate(zip(first[:common], lines[i][2], strict=False)) if a != b), min(common, len(lines[i][2])))
+    if common:
+        return [i for i, x in enumerate(lines) if x[2][:common] == first[:common]]
+    while surge and lines[surge - 1][3]:
+        surge -= 1
+    while dive < n and lines[dive][3]:
+        dive += 1
+    return list(range(surge, dive))
 
 
 def main_text(page: str | None) -> str:
     """The article of one page: blocks in page order joined by a space, character references decoded; empty if there is none."""
     lines = lines_of(page or "")
-    a, b = article_range([len(t) for t, _ in lines], [k for _, k in lines])
-    keep = lines[a:b]
-    if keep and keep[0][1]:
-        keep = [x for x in keep if x[1] == keep[0][1]]
-    return " ".join(t for t, _ in keep)
+    return " ".join(lines[i][0] for i in article_lines(lines))
 
 
 def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text") -> DataFrame:
