@@ -9,7 +9,9 @@ match is extended both ways while the lines agree, and runs that occurred earlie
 
 from __future__ import annotations
 
+import itertools
 import re
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,97 +25,116 @@ from .common import DOCUMENT_COLUMNS, materialize, packed
 
 #: Words of a gram, and of the runs whose repetition is guaranteed to be found.
 GRAM_WORDS, RUN_WORDS = 20, 40
-_CUT = re.compile(r"\n|(?<=[.!?])[ \t]+|[ \t]+(?=[^\W\d_a-zß-öø-ÿ]?[A-ZÀ-ÖØ-Þ])")
-_DETAIL = "key long, hashes array<long>, words array<int>, grams array<struct<h:long,p:int>>"
+#: One white-space character that is a newline, follows a sentence end or precedes a capital letter.
+_CUT = re.compile(r"[ \t\n](?:(?<=\n)|(?<=[.!?].)|(?=[A-ZÀ-ÖØ-Þ]))")
+_DETAIL = "key long, hashes array<long>, grams array<struct<h:long,p:int>>"
 
 
 def line_spans(text: str) -> list[tuple[int, int]]:
-    """Start and end of every line; what lies between two of them is the separator."""
+    """Start and end of every line; one separator character lies between two of them."""
     at, out = 0, []
-    for m in _CUT.finditer(text):
-        if m.end() > m.start() or m.start() > at:
-            out.append((at, m.start()))
-            at = m.end()
-    out.append((at, len(text)))
+    for line in _CUT.split(text):
+        out.append((at, at + len(line)))
+        at += len(line) + 1
     return out
 
 
 def line_hashes(text: str) -> tuple[list[int], list[int]]:
-    """Hash (signed, of the words lower-cased and single-spaced) and word count of every line; blank lines count no words."""
-    hashes, words = [], []
-    for a, b in line_spans(text):
-        w = text[a:b].lower().split()
-        hashes.append(xxhash.xxh64_intdigest(" ".join(w).encode("utf-8", "surrogatepass")) - (1 << 63))
-        words.append(len(w))
-    return hashes, words
+    """Hash (signed) and word count of every line; blank lines count no words."""
+    digest = xxhash.xxh64_intdigest
+    lines = _CUT.split(text)
+    try:
+        return [digest(x) - (1 << 63) for x in lines], [x.count(" ") + 1 if x else 0 for x in lines]
+    except UnicodeEncodeError:  # lone surrogates
+        return [digest(x.encode("utf-8", "surrogatepass")) - (1 << 63) for x in lines], [x.count(" ") + 1 if x else 0 for x in lines]
 
 
 def selected_grams(hashes: list[int], words: list[int], gram_words: int = GRAM_WORDS, run_words: int = RUN_WORDS) -> list[tuple[int, int]]:
     """(hash, place) of the grams that are the smallest in some run of `run_words` words, rightmost of equals."""
     n = len(hashes)
-    if n == 0:
+    total = [0, *itertools.accumulate(words)]
+    if total[n] < run_words:
         return []
-    total = np.concatenate([[0], np.cumsum(words)])
-    gram_end = np.searchsorted(total, total[:-1] + gram_words, "left")
-    run_end = np.searchsorted(total, total[:-1] + run_words, "left")
     raw = np.asarray(hashes, np.int64).tobytes()
-    starts = np.flatnonzero((gram_end <= n) & (np.asarray(words) > 0))
-    gram = {int(i): xxhash.xxh64_intdigest(raw[8 * i : 8 * gram_end[i]]) for i in starts}
+    digest = xxhash.xxh64_intdigest
+    gram: list[int] = []  # hash of the gram that starts at each line, as far as they have been needed
     picked: dict[int, int] = {}
-    order = [int(i) for i in starts]
-    window: list[int] = []  # places of increasing hash, as a monotone queue
-    head = nxt = 0
-    for i in order:
-        if run_end[i] > n:
+    queue: deque[int] = deque()  # places of increasing hash
+    end_run = nxt = end_gram = 0
+    for i in range(n):
+        least = total[i] + run_words
+        while end_run < n and total[end_run] < least:
+            end_run += 1
+        if total[end_run] < least:
             break
-        while nxt < len(order) and gram_end[order[nxt]] <= run_end[i]:
-            h = gram[order[nxt]]
-            while len(window) > head and gram[window[-1]] >= h:
-                window.pop()
-            window.append(order[nxt])
+        while nxt < end_run:  # grams that end within the run from line i
+            want = total[nxt] + gram_words
+            while end_gram < end_run and total[end_gram] < want:
+                end_gram += 1
+            if total[end_gram] < want:
+                break
+            h = digest(raw[8 * nxt : 8 * end_gram])
+            gram.append(h)
+            while queue and gram[queue[-1]] >= h:
+                queue.pop()
+            queue.append(nxt)
             nxt += 1
-        while window[head] < i:
-            head += 1
-        picked[window[head]] = gram[window[head]]
+        while queue[0] < i:
+            queue.popleft()
+        if words[i]:
+            picked[queue[0]] = gram[queue[0]]
     return [(h - (1 << 63), p) for p, h in picked.items()]
 
 
+def _lists(offsets: list[int], values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(offsets)]), pa.int32()), values)
+
+
 def _details(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for at in range(0, len(whole), 500):
             b = whole.slice(at, 500)
-            rows = []
-            for key, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            hashes, words, grams, places, n_lines, n_grams = [], [], [], [], [], []
+            for text in b.column(1):
                 h, w = line_hashes(text.as_py() or "")
-                rows.append({"key": key, "hashes": h, "words": w, "grams": [{"h": x, "p": p} for x, p in selected_grams(h, w)]})
-            yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
-
-
-_ARROW = pa.schema([("key", pa.int64()), ("hashes", pa.list_(pa.int64())), ("words", pa.list_(pa.int32())), ("grams", pa.list_(pa.struct([("h", pa.int64()), ("p", pa.int32())])))])
+                picked = selected_grams(h, w)
+                hashes += h
+                words += w
+                grams += [x for x, _ in picked]
+                places += [p for _, p in picked]
+                n_lines.append(len(h))
+                n_grams.append(len(picked))
+            gram = pa.StructArray.from_arrays([pa.array(grams, pa.int64()), pa.array(places, pa.int32())], ["h", "p"])
+            yield pa.RecordBatch.from_arrays([b.column(0), _lists(n_lines, pa.array(hashes, pa.int64())), _lists(n_grams, gram)], names=["key", "hashes", "grams"])
 
 
 def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Matched runs of one later text and one earlier one: grow each anchor while hashes agree."""
     for b in batches:
+        key, first = b.column(0).to_pylist(), b.column(1).to_pylist()
+        (mine, m_at), (theirs, t_at), (pairs, p_at) = ((b.column(i).values, b.column(i).offsets.to_pylist()) for i in (2, 3, 4))
+        mine, theirs = mine.to_numpy(zero_copy_only=False), theirs.to_numpy(zero_copy_only=False)
+        here_all, there_all = (pairs.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
         keys, begins, ends = [], [], []
-        for key, first, mine, theirs, pairs in zip(*(b.column(i) for i in range(5)), strict=True):
-            key, same = key.as_py(), key.as_py() == first.as_py()
-            x, y = mine.values.to_numpy(zero_copy_only=False), theirs.values.to_numpy(zero_copy_only=False)
+        for i, k in enumerate(key):
+            same = k == first[i]
+            x, y = mine[m_at[i] : m_at[i + 1]].tolist(), theirs[t_at[i] : t_at[i + 1]].tolist()
+            here, there = here_all[p_at[i] : p_at[i + 1]], there_all[p_at[i] : p_at[i + 1]]
+            order = np.argsort(here, kind="stable")
             done: dict[int, int] = {}
-            for p in sorted(((q["p"], q["p1"]) for q in pairs.as_py())):
-                here, there = p
-                if done.get(here - there, -1) > here:
+            for p, q in zip(here[order].tolist(), there[order].tolist(), strict=True):
+                if done.get(p - q, -1) > p:
                     continue  # inside the run that an earlier anchor of this diagonal grew to
-                a = c = 0
-                while here - a > 0 and there - a > 0 and x[here - a - 1] == y[there - a - 1]:
+                a, c, back, on = 0, 0, min(p, q), min(len(x) - p, len(y) - q)
+                while a < back and x[p - a - 1] == y[q - a - 1]:
                     a += 1
-                while here + c < len(x) and there + c < len(y) and x[here + c] == y[there + c]:
+                while c < on and x[p + c] == y[q + c]:
                     c += 1
-                done[here - there] = here + c
-                if not (same and here <= there):
-                    keys.append(key)
-                    begins.append(here - a)
-                    ends.append(here + c)
+                done[p - q] = p + c
+                if not (same and p <= q):
+                    keys.append(k)
+                    begins.append(p - a)
+                    ends.append(p + c)
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(begins, pa.int32()), pa.array(ends, pa.int32())], names=["key", "begin", "end"])
 
 
