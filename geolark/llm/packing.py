@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import math
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -11,6 +13,7 @@ import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,40 +29,80 @@ END_ID = 0
 _known: dict[str, dict] = {}
 
 
+#: What needs the vocabulary's own tokenizer: characters whose lower case or composition may depend on others, special tokens.
+#: Then the splitter's units in lower-cased plain words.
+_OTHER = re.compile(r"[^\n\x21-\x7eÀ-ÖØ-öø-ÿ]|<\|")
+_UNITS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-z0-9ß-öø-ÿ]+")
+
+
+def _byte_symbols() -> dict[str, int]:
+    """The printable stand-ins of byte-level vocabularies: bytes that print stand for themselves, the rest for 256, 257, ..."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {chr(b): b for b in own} | {chr(256 + n): b for n, b in enumerate(rest)}
+
+
 class WordEncoder:
     """Token ids of texts, each distinct word of a batch encoded once.
 
-    The vocabulary's splitter never joins characters across white space, so the ids of a text are those of its
-    words one after another.
+    The vocabulary's splitter never joins characters across white space, so the ids of a text are those of its words one after
+    another. Words of plain characters go through a ranked encoder of the same vocabulary: NUL, which marks the end of a unit, is joined to the
+    last byte first, then pairs in the order of the vocabulary's merges. Every token is what its own bytes merge
+    into, so both give the same ids. Other words go through the vocabulary's tokenizer.
     """
 
-    def __init__(self, path: str, keep: int = 200_000):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.keep = Tokenizer.from_file(path), keep
-        self.ids: dict[str, np.ndarray] = {}
-
-    def _words(self, words: list[str]) -> list[np.ndarray]:
-        new = [w for w in words if w not in self.ids]
-        if len(self.ids) + len(new) > self.keep:
-            self.ids.clear()
-            new = words
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.ids[w] = np.asarray(e.ids, np.uint32)
-        return [self.ids[w] for w in words]
+        self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        symbols, vocab, end = _byte_symbols(), model["vocab"], model["end_of_word_suffix"]
+        raw = lambda t: bytes(symbols[c] for c in (t.removesuffix(end))) + (b"\0" if t.endswith(end) else b"")
+        ranks = {bytes([b]): b for b in range(256)} | {bytes([b, 0]): 256 + b for b in range(256)}
+        self.id_of = np.zeros(512 + len(model["merges"]), np.uint32)
+        for symbol, b in symbols.items():
+            self.id_of[b], self.id_of[256 + b] = vocab.get(symbol, 0), vocab.get(symbol + end, 0)
+        for n, pair in enumerate(model["merges"]):
+            token = "".join(pair.split(" ") if isinstance(pair, str) else pair)
+            self.id_of[ranks.setdefault(raw(token), 512 + n)] = vocab[token]
+        self.ranked = tiktoken.Encoding("words", pat_str=r"[^\x00\n]*\x00|\n", mergeable_ranks=ranks, special_tokens={})
+        self.newline = ranks[b"\n"]
+
+    def _plain(self, joined: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and their number for each line of `joined`."""
+        marked = _UNITS.sub("\\g<0>\0", joined.lower()) + "\n"
+        found = np.asarray(self.ranked.encode_ordinary(marked), np.int64)
+        ends = np.flatnonzero(found == self.newline)
+        return self.id_of[found[found != self.newline]], np.diff(ends - np.arange(len(ends)), prepend=0)
+
+    def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the words one after another, and how many each has."""
+        if not len(words):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        whole = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)
+        joined = pc.binary_join(whole, "\n")[0].as_py()
+        if not _OTHER.search(joined):
+            return self._plain(joined)
+        each = words.to_pylist()
+        odd = [i for i, w in enumerate(each) if _OTHER.search(w)]
+        spare = set(odd)
+        flat, size = self._plain("\n".join("" if i in spare else w for i, w in enumerate(each)))
+        ids = [np.asarray(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast([each[i] for i in odd], add_special_tokens=False)]
+        at = np.cumsum(size)[odd]
+        flat = np.insert(flat, np.repeat(at, [len(x) for x in ids]), np.concatenate(ids))
+        size[odd] = [len(x) for x in ids]
+        return flat, size
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's followed by END_ID, and where each text's begin (one more entry for the end)."""
         lists = pc.ascii_split_whitespace(texts)
         coded = lists.flatten().dictionary_encode()
-        words = self._words(coded.dictionary.to_pylist()) + [np.array([END_ID], np.uint32)]
-        size = np.fromiter(map(len, words), np.int64, len(words))
-        flat = np.concatenate(words)
+        flat, size = self.words(coded.dictionary)
+        flat, size = np.append(flat, np.uint32(END_ID)), np.append(size, 1)
         begin = np.cumsum(size) - size
         offsets = lists.offsets.to_numpy()
-        index = np.insert(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), offsets[1:] - offsets[0], len(words) - 1)
+        index = np.insert(coded.indices.to_numpy(zero_copy_only=False), offsets[1:] - offsets[0], len(size) - 1)
         lens = size[index]
         ends = np.cumsum(lens)
         ids = flat[np.arange(int(lens.sum())) + np.repeat(begin[index] - (ends - lens), lens)]
@@ -77,7 +120,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
             sizes = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(whole.column(1)), 0).to_numpy(zero_copy_only=False))])
             at = 0
             while at < len(whole):
-                to = max(at + 1, int(np.searchsorted(sizes, sizes[at] + 8_000_000, "right")) - 1)
+                to = max(at + 1, int(np.searchsorted(sizes, sizes[at] + 6_000_000, "right")) - 1)
                 b = whole.slice(at, to - at)
                 at = to
                 texts = pc.fill_null(b.column(1), "")
