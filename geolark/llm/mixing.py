@@ -17,6 +17,12 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def shuffled(doc_id: Column, seed: int) -> Column:
+    """A place in an order that looks random and that every run repeats: 60 bits of a hash of the id."""
+    text = F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
+
+
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
     """(source, source_size, before, target) from (source, size): the total shared by weight, none above max_repeats times its size.
 
@@ -37,7 +43,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_rep
             break
         level = raised
         capped = F.col("cap") <= F.col("w") * F.lit(level)
-    return ranked.select("source", "source_size", "before", F.when(capped, F.col("cap")).otherwise(F.col("w") * F.lit(level)).alias("target"))
+    target = F.when(capped, F.col("cap")).otherwise(F.col("w") * F.lit(level))
+    return ranked.select("source", "source_size", "before", F.round(target, 6).alias("target"))
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS, seed: int = 8) -> DataFrame:
@@ -49,7 +56,7 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int
     error. Null texts and texts without words have size 0 and are taken 0 words; a null source is a source; repeated rows
     count as often as they stand; an empty table gives an empty result. Reruns agree, up to the order of equal rows.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", words(F.col("text")).alias("size"), F.xxhash64(F.col("doc_id").cast("long"), F.lit(seed)).alias("_h"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", words(F.col("text")).alias("size"), shuffled(F.col("doc_id"), seed).alias("_h"))
     rows = materialize(rows, "sizes")
     targets = materialize(source_targets(rows, weights, max_repeats), "targets")
     order = ["_null", "source", "_h", "doc_id", "size", "_row"]
@@ -78,3 +85,30 @@ def mix_documents(docs: DataFrame) -> DataFrame:
 def op8_mixing(spark, sf_dir: str) -> DataFrame:
     """How many words of every document the mix takes."""
     return mixed(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+OP8_SQL = """
+WITH s AS (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size, CAST('0x' || substr(md5(doc_id || ':8'), 1, 15) AS BIGINT) AS h FROM documents
+), src AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS nth FROM s GROUP BY source
+), w AS (
+  SELECT *, CAST((nth - 1) % 3 + 1 AS DOUBLE) AS w, CAST(3 * source_size AS DOUBLE) AS cap FROM src
+), o AS (
+  SELECT *, row_number() OVER (ORDER BY cap / w, nth) AS k, sum(cap) OVER (ORDER BY cap / w, nth) - cap AS spent, sum(w) OVER () - (sum(w) OVER (ORDER BY cap / w, nth) - w) AS free,
+    CAST(sum(source_size) OVER () AS DOUBLE) AS total FROM w
+), l AS (
+  SELECT arg_min((total - spent) / free, k) AS level FROM o WHERE cap / w > (total - spent) / free
+), t AS (
+  SELECT source, source_size, round(least(cap, w * coalesce(level, 1e300)), 6) AS target FROM w, l
+), p AS (
+  SELECT s.*, t.source_size, t.target, sum(size) OVER (PARTITION BY s.source ORDER BY h, doc_id ROWS UNBOUNDED PRECEDING) AS own FROM s JOIN t ON t.source IS NOT DISTINCT FROM s.source
+), c AS (
+  SELECT doc_id, size, h, n, CAST(n * source_size + own AS DOUBLE) / target AS f FROM p, range(0, 3) r(n) WHERE size > 0 AND target > 0
+), q AS (
+  SELECT *, sum(size) OVER (ORDER BY f, h, doc_id, n ROWS UNBOUNDED PRECEDING) AS so_far FROM c
+), k AS (
+  SELECT doc_id, count(*) AS copies FROM q WHERE so_far <= (SELECT sum(size) FROM s) GROUP BY doc_id
+)
+SELECT p.doc_id, size, source_size, target, coalesce(copies, 0) * size AS taken, coalesce(copies, 0) AS copies FROM p LEFT JOIN k USING (doc_id)
+"""

@@ -10,10 +10,10 @@ from .htmltext import op10_html_text
 from .imagecopies import op5_image_copies
 from .langid import op7_langid
 from .linededup import op2_line_dedup
-from .mixing import op8_mixing
+from .mixing import OP8_SQL, op8_mixing
 from .packing import op9_packing
 from .pii import op3_pii
-from .secretscan import op4_secrets
+from .secretscan import OP4_SQL, op4_secrets
 from .simhash import op6_simhash
 from .vector_topk import OP1_SQL, op1_exact_topk
 
@@ -29,4 +29,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packing": op9_packing,
     "op10_html_text": op10_html_text,
 }
-ORACLE_SQL: dict[str, str] = {"op1_exact_topk": OP1_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_exact_topk": OP1_SQL, "op4_secrets": OP4_SQL, "op8_mixing": OP8_SQL}

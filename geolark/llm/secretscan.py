@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_folder
+from .common import materialize, new_folder
 from .spans import find_all, joined, number_of
 
 
@@ -96,7 +96,8 @@ def scan(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] = R
     found = scan_unseen(docs, ledger or new_folder(docs.sparkSession, "ledger"), rules)
     paths = docs.select(F.col("doc_id").cast("long").alias("doc_id"), blob_id(F.col("text")).alias("blob"))
     current = F.filter("spans", lambda s: F.array_contains(F.array(*[F.lit(r.kind) for r in rules]), s["kind"]))
-    rows = paths.join(found.select("blob", current.alias("all")), "blob")
+    # written, so that the join has plain shuffles on both sides and the paths of a popular blob can be split
+    rows = paths.join(materialize(found.select("blob", current.alias("all")), "findings"), "blob")
     base = F.filter("all", lambda s: s["ord"] < len(BASE_RULES))
     counts = [number_of("all", r.kind) for r in BASE_RULES]
     return rows.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("all")).alias("spans"))
@@ -105,3 +106,23 @@ def scan(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] = R
 def op4_secrets(spark, sf_dir: str) -> DataFrame:
     """Secrets in every document, over a ledger that starts empty."""
     return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def _sql() -> str:
+    """The same spans in DuckDB: lengths of the pieces between matches and of the matches before one add up to its start."""
+    plain = {"assign": r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""}
+    parts = ["d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)"]
+    for n, r in enumerate(RULES):
+        regex = plain.get(r.kind, r.regex.replace("}+", "}")).replace("'", "''")
+        group = 2 if r.kind == "assign" else r.group
+        parts.append(f"r{n} AS (SELECT doc_id, unnest(range(1, len(h) + 1)) AS i, h, v, p FROM (SELECT doc_id, regexp_extract_all(t, '{regex}') AS h, regexp_extract_all(t, '{regex}', {group}) AS v, string_split_regex(t, '{regex}') AS p FROM d WHERE regexp_matches(t, '{regex}')))")
+        parts.append(f"x{n} AS (SELECT doc_id, {n} AS ord, '{r.kind}' AS kind, CAST(list_sum(list_transform(p[1:i], lambda z: length(z))) + coalesce(list_sum(list_transform(h[1:i - 1], lambda z: length(z))), 0) AS BIGINT) AS start, length(h[i]) AS n FROM r{n} WHERE length(v[i]) >= {r.least})")
+    parts.append("x AS (" + " UNION ALL ".join(f"SELECT * FROM x{n}" for n in range(len(RULES))) + ")")
+    parts.append("y AS (SELECT *, kind || ':' || start || ':' || (start + n) AS span FROM x)")
+    counts = ", ".join(f"count(*) FILTER (WHERE kind = '{r.kind}') AS n_{r.kind}" for r in BASE_RULES)
+    every = "coalesce(string_agg(span, ',' ORDER BY start, ord){}, '')"
+    base = every.format(f" FILTER (WHERE ord < {len(BASE_RULES)})")
+    return f"WITH {', '.join(parts)} SELECT d.doc_id, {counts}, sha256({base}) AS base_sha256, {every.format('')} AS spans FROM d LEFT JOIN y ON y.doc_id = d.doc_id GROUP BY d.doc_id"
+
+
+OP4_SQL = _sql()

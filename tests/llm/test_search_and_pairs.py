@@ -10,14 +10,19 @@ import xxhash
 from geolark.llm.components import connected_components
 from geolark.llm.imagecopies import image_classes
 from geolark.llm.simhash import byte_triples, fingerprint, keep_one_of_each, linked, simhash_groups
-from geolark.llm.vector_topk import OP1_SQL, exact_top_k, op1_exact_topk, quantized
-
-
-def test_top_k_equals_sql(spark):
-    duckdb.sql("CREATE OR REPLACE VIEW embeddings AS SELECT * FROM '/root/testdata/sf0.001/embeddings.parquet'")
-    want = sorted(duckdb.sql(OP1_SQL).fetchall())
-    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in op1_exact_topk(spark, "/root/testdata/sf0.001").collect())
-    assert got == want
+from geolark.llm.queries import ORACLE_SQL, QUERIES
+from geolark.llm.vector_topk import exact_top_k, quantized
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_equals_sql(spark, name):
+    c = duckdb.connect()
+    for t in ("embeddings", "documents"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.001/{t}.parquet'")
+    found = QUERIES[name](spark, "/root/testdata/sf0.001")
+    result = c.execute(ORACLE_SQL[name])
+    order = [[d[0] for d in result.description].index(x) for x in found.columns]
+    assert sorted(map(tuple, found.collect())) == sorted(tuple(r[i] for i in order) for r in result.fetchall())
 
 
 def test_top_k_ties_nulls_repeats_and_lengths(spark):
