@@ -47,3 +47,29 @@ def map_text(title: Column, description: Column, author: Column) -> Column:
 
 def is_slug(text: Column, longest: int = 100) -> Column:
     return F.coalesce(F.regexp_like(text, F.lit(SLUG)) & (F.length(text) <= longest), F.lit(False))
+
+
+def stable_uuid(name: Column, namespace: str = "6ba7b8109dad11d180b400c04fd430c8") -> Column:
+    """Version 5 UUID of a name; the default namespace is that of domain names."""
+    h = F.sha1(F.concat(F.unhex(F.lit(namespace)), name.cast("binary")))
+    # one name for the hash, so that it is computed once
+    whole = F.transform(F.array(h), lambda x: F.concat(F.substring(x, 1, 8), F.lit("-"), F.substring(x, 9, 4), F.lit("-5"), F.substring(x, 14, 3), F.lit("-"), _variant(x), F.substring(x, 18, 3), F.lit("-"), F.substring(x, 21, 12)))
+    return F.element_at(whole, 1)
+
+
+def _variant(x: Column) -> Column:
+    return F.element_at(F.split(F.lit("8 9 a b"), " "), F.conv(F.substring(x, 17, 1), 16, 10).cast("int") % 4 + 1)
+
+
+def distinct_pins(pins: list[tuple[float, float]], near: float = 0.01, most: int = MAX_PINS) -> list[tuple[float, float]]:
+    """A request's pins in order, without those within `near` degrees in both directions of an accepted one; `most` at most."""
+    kept: list[tuple[float, float]] = []
+    for lat, lng in pins:
+        if len(kept) < most and not any(abs(a - lat) < near and abs(b - lng) < near for a, b in kept):
+            kept.append((lat, lng))
+    return kept
+
+
+def score_band(score: Column) -> Column:
+    """strong above 0.8, good above 0.65, else fair: the colour classes of a list of matches."""
+    return F.when(score > 0.8, "strong").when(score > 0.65, "good").otherwise("fair")

@@ -37,6 +37,18 @@ def gallery_groups(maps: DataFrame, order: list[str]) -> DataFrame:
     return maps.groupBy(known.alias("category")).agg(F.count("*").alias("n")).withColumn("position", F.array_position(names, F.col("category")).cast("int"))
 
 
+def gallery(maps: DataFrame, order: list[str], sort: str = "stars") -> DataFrame:
+    """Featured maps with their category's position, each category's maps by stars and views, views and stars, or newest first."""
+    from pyspark.sql import Window
+
+    names = F.array(*[F.lit(c) for c in order])
+    category = F.when(F.array_contains(names, F.col("category")), F.col("category")).otherwise("Other")
+    keys = {"stars": ["stars", "views"], "views": ["views", "stars"]}.get(sort, ["created_at"])
+    w = Window.partitionBy("category").orderBy(*[F.desc(k) for k in keys], "id")
+    shown = maps.where("is_featured").withColumn("category", category).withColumn("rank", F.row_number().over(w))
+    return shown.withColumn("position", F.array_position(names, F.col("category")).cast("int"))
+
+
 def upsert(current: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """`current` with the rows of `new` in place of those with the same key; the featured flag of an existing row stays."""
     kept = current.join(new.select(key), key, "left_anti")

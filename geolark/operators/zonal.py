@@ -90,3 +90,17 @@ def over_limit(events: DataFrame, ts: str, who: str, limit: int, every: str = "1
     """(window start, who, n) of the clock-aligned windows in which someone exceeds a limit."""
     n = events.groupBy(F.window(ts, every).alias("w"), who).agg(F.count("*").alias("n"))
     return n.where(F.col("n") > limit).select(F.col("w.start").alias("window_start"), who, "n")
+
+
+def scenes(images: DataFrame, cloud: str = "cloud", craft: str = "craft", ts: str = "ts", most: float = 70.0, only: str | None = None) -> DataFrame:
+    """Images below a cloud share, of one spacecraft if given, in time order."""
+    rows = images.where(F.col(cloud) < most)
+    return (rows if only is None else rows.where(F.col(craft) == only)).orderBy(ts)
+
+
+def radar_scenes(images: DataFrame, mode: str = "IW", bands: tuple[str, ...] = ("VV", "VH")) -> DataFrame:
+    """Radar images of a mode that have all of the given polarisations."""
+    rows = images.where(F.col("mode") == mode)
+    for b in bands:
+        rows = rows.where(F.array_contains("pol", b))
+    return rows

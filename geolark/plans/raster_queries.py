@@ -306,3 +306,37 @@ def loo_summary(spark, d):
 @query()
 def random_sample(spark, d):
     return V.sample(fx.cells(spark, d).where("is_land"), 100).select("pixel", "label")
+
+
+@query(sql(cte.SCORES, "SELECT pixel, CASE WHEN score > 0.8 THEN 'strong' WHEN score > 0.65 THEN 'good' ELSE 'fair' END AS band FROM scores"))
+def score_bands(spark, d):
+    from ..functions.text import score_band
+
+    return sim_scan(spark, d).select("pixel", score_band(F.col("score")).alias("band"))
+
+
+@query(sql(cte.PINS + ", pv AS (SELECT p.pin_idx, list(q.q * q.scale + q.off ORDER BY q.band) AS v FROM landpins p JOIN qflat q USING (pixel) GROUP BY p.pin_idx)", "SELECT pixel, round(greatest(0.0, least(1.0, max(list_dot_product(e, v)) / 50)), 8) AS score FROM cells, pv GROUP BY pixel"))
+def sim_scan_coarse(spark, d):
+    from ..schema import COARSE_DIVISOR
+
+    c, p = _float_rows(spark, d)
+    return S.scan_float(c, p, divisor=COARSE_DIVISOR).select("pixel", F.round("score", 8).alias("score"))
+
+
+@query(sql(cte.CELLS + cte.PINS_ONLY, "SELECT DISTINCT c.pixel FROM cells c JOIN placed p ON abs(c.row - p.row) <= 1 AND abs(c.col - p.col) <= 1"))
+def excluded_pixels(spark, d):
+    """The union of the pins' boxes: every box cell is made from its pin, then looked up by its number."""
+    m = fx.meta(spark, d)
+    k = max(1, m.cells_of_km(100))
+    near = F.explode(F.sequence(F.lit(-k), F.lit(k)))
+    c = fx.pins(spark, d).select(row_col(F.col("lat"), F.col("lng"), m).alias("c")).where("c is not null").withColumn("dr", near).withColumn("dc", near)
+    boxes = c.select((F.col("c.row") + F.col("dr")).alias("row"), (F.col("c.col") + F.col("dc")).alias("col")).distinct()
+    return fx.cells(spark, d).join(boxes, ["row", "col"]).select("pixel")
+
+
+@query(sql(cte.CELLS, "SELECT pixel FROM cells, grid WHERE 2 * 6371.0088 * asin(sqrt(pow(sin(radians(70.0 - (row + 0.5) * ch - 10.0) / 2), 2) + cos(radians(70.0 - (row + 0.5) * ch)) * cos(radians(10.0)) * pow(sin(radians(-180.0 + (col + 0.5) * cw - 20.0) / 2), 2))) <= 2500"))
+def buffer_cells(spark, d):
+    from ..operators.zonal import in_buffer
+
+    m = fx.meta(spark, d)
+    return fx.cells(spark, d).where(in_buffer(centre_lat(F.col("row"), m), centre_lng(F.col("col"), m), 10.0, 20.0, 2500.0)).select("pixel")

@@ -162,7 +162,7 @@ def least_cloudy_per_window(spark, d):
 @query("SELECT event_id, event_id % 20 + 0 AS vv, event_id % 5 = 0 AS iw FROM events WHERE event_type = 'click' AND event_id % 5 = 0 AND list_contains(['VV', CASE WHEN event_id % 2 = 0 THEN 'VH' ELSE 'HH' END], 'VH')")
 def radar_scenes(spark, d):
     e = fx.table(spark, d, "events").withColumn("mode", F.when(F.col("event_id") % 5 == 0, "IW").otherwise("EW")).withColumn("pol", F.array(F.lit("VV"), F.when(F.col("event_id") % 2 == 0, "VH").otherwise("HH")))
-    keep = e.where((F.col("event_type") == "click") & (F.col("mode") == "IW") & F.array_contains("pol", "VV") & F.array_contains("pol", "VH"))
+    keep = Z.radar_scenes(e.where(F.col("event_type") == "click"))
     return keep.select("event_id", (F.col("event_id") % 20).alias("vv"), (F.col("mode") == "IW").alias("iw"))
 
 
@@ -382,3 +382,29 @@ def map_counters(spark, d):
 def query_status(spark, d):
     log = fx.table(spark, d, "events").select(F.col("user_id").alias("id"), F.struct("ts", "event_id").alias("ts"), F.col("event_type").alias("status"))
     return C.latest_status(log).select("id", "status", F.col("ts.ts").alias("ts"))
+
+
+@query(sql(cte.MAPS, "SELECT id, category, CAST(row_number() OVER (PARTITION BY category ORDER BY stars DESC, views DESC, id) AS INTEGER) AS rank, CAST(coalesce(list_position(['Crops', 'Climate', 'Land', 'Other'], category), 0) AS INTEGER) AS position FROM (SELECT * REPLACE (CASE WHEN category IN ('Crops', 'Climate', 'Land') THEN category ELSE 'Other' END AS category) FROM maps WHERE is_featured)"))
+def gallery_order(spark, d):
+    return C.gallery(fx.maps(spark, d), ["Crops", "Climate", "Land", "Other"]).select("id", "category", "rank", "position")
+
+
+@query("SELECT event_id, ts FROM events WHERE event_id * 7 % 101 < 70 AND event_type = 'view'")
+def optical_scenes(spark, d):
+    e = fx.table(spark, d, "events").withColumn("cloud", F.col("event_id") * 7 % 101)
+    return Z.scenes(e, "cloud", "event_type", "ts", 70, "view").select("event_id", "ts")
+
+
+@query()
+def layer_uuids(spark, d):
+    layers = fx.table(spark, d, "embeddings").select(F.concat(F.lit("layer"), F.col("label").cast("string")).alias("id")).distinct()
+    return layers.select("id", X.stable_uuid(F.col("id")).alias("uuid"))
+
+
+@query("SELECT c_custkey AS id, c_name AS name, n_name AS place FROM customer JOIN nation ON n_nationkey = c_custkey % 40 UNION ALL SELECT c_custkey, c_name, NULL FROM customer WHERE c_custkey % 40 >= 25")
+def geocode_lookup(spark, d):
+    from ..sources.tables import geocoded
+
+    places = fx.table(spark, d, "nation").select(F.format_string("%.4f,%.4f", F.col("n_nationkey") * 0.5, F.lit(1.0)).alias("key"), F.col("n_name").alias("place"))
+    points = fx.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), (F.col("c_custkey") % 40 * 0.5).alias("lat"), F.lit(1.0).alias("lng"))
+    return geocoded(points, places).select("id", "name", "place")

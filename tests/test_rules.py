@@ -179,3 +179,19 @@ def test_clearest_image_per_interval(spark):
 def test_buffer(spark):
     near = zonal.in_buffer(F.col("a"), F.col("b"), 10.0, 20.0, 50.0)
     assert values(spark, near, [(10.0, 20.0), (10.4, 20.0), (10.5, 20.0), (10.0, 20.45), (10.0, 20.5)], "a double, b double") == [True, True, False, True, False]
+
+
+def test_stable_uuid(spark):
+    import uuid
+
+    names = ["layer1", "", "é", *(f"x{i}" for i in range(40))]
+    assert values(spark, X.stable_uuid(F.col("a")), names, "a string") == [str(uuid.uuid5(uuid.NAMESPACE_DNS, n)) for n in names]
+
+
+def test_distinct_pins():
+    assert X.distinct_pins([(0.0, 0.0), (0.009, 0.009), (0.011, 0.0), (0.005, 0.02)]) == [(0.0, 0.0), (0.011, 0.0), (0.005, 0.02)]
+    assert len(X.distinct_pins([(float(i), 0.0) for i in range(60)])) == 50
+
+
+def test_score_bands(spark):
+    assert values(spark, X.score_band(F.col("x")), [0.81, 0.8, 0.66, 0.65], "x double") == ["strong", "good", "good", "fair"]
