@@ -74,7 +74,7 @@ def lines_of(page: str) -> list[tuple[str, int, tuple[int, ...], bool]]:
 
     def close_line() -> None:
         if parts:
-            text = " ".join(html.unescape("".join(parts)).split())
+            text = " ".join("".join(map(html.unescape, parts)).split())  # a reference never spans a tag
             parts.clear()
             if text:
                 block = next((x[0] for x in reversed(stack) if x[0] not in INLINE), "")
