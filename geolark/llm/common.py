@@ -24,6 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def _delete(spark: SparkSession, path: str) -> None:
+    if not path:
+        return
     try:
         target = spark._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
@@ -38,11 +40,19 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` to the shared folder and read it again: later passes restart from the files when an executor is lost."""
-    path = new_folder(df.sparkSession, name)
+def materialize(df: DataFrame, name: str, replaces: DataFrame | None = None) -> DataFrame:
+    """Write `df` to the shared folder and read it again: later passes restart from the files when an executor is lost.
+
+    The files of `replaces`, an earlier result of this function that nothing else reads any more, are deleted.
+    """
+    spark = df.sparkSession
+    path = new_folder(spark, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if replaces is not None:
+        _delete(spark, getattr(replaces, "_written_to", ""))
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
 
 
 def packed(df: DataFrame, **keys: Column) -> DataFrame:

@@ -25,7 +25,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         # small star: u and its smaller neighbours move to the smallest of them
         least = large.groupBy("src").agg(F.min("dst").alias("low"))
         small = large.join(least, "src").where("dst <> low").select(F.col("dst").alias("src"), F.col("low").alias("dst"))
-        now = materialize(small.union(least).where("src <> dst").distinct(), "edges")
+        now = materialize(small.union(least).where("src <> dst").distinct(), "edges", replaces=now)
         mark = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)")).alias("h")).first()
         if mark == seen:
             break

@@ -150,7 +150,9 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     order = docs.select(key.alias("key"), F.col(f"`{id_col}`").cast("long").alias("id")).distinct()
     ids = materialize(order, "ids")
     place = detail.select("key", F.explode("grams").alias("g")).select("key", F.col("g.h").alias("h"), F.col("g.p").alias("p")).distinct().join(ids, "key")
-    first = place.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("id", "key", "p")).alias("first")).where("n > 1")
+    first = place.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("id", "key", "p")).alias("first")).where("n > 1").drop("n")
+    # written, so that the join below has plain shuffles on both sides and the rows of a popular gram can be split
+    first = materialize(first, "first")
     found = place.join(first, "h").where((F.col("key") != F.col("first.key")) | (F.col("p") != F.col("first.p")))
     pairs = found.groupBy("key", F.col("first.key").alias("first")).agg(F.collect_set(F.struct("p", F.col("first.p").alias("p1"))).alias("pairs"))
     # An early text with a popular passage meets very many later ones; its lines are dealt over `SPREAD` copies.
