@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import packed
+
 SEGMENT = 256
 #: Bounds of the training sample: documents a language, characters of each, characters a language.
 SAMPLE_DOCS, SAMPLE_DOC_CHARS, SAMPLE_CHARS = 48, 4000, 40_000
@@ -178,9 +180,9 @@ def identify_documents(docs: DataFrame) -> DataFrame:
 
 def drop_unidentified(docs: DataFrame) -> DataFrame:
     """The documents in which a language is found; columns as given. Texts that are null or have no letter go."""
-    found = identify_documents(docs).where("lang_pred <> 'und'").select(F.col("doc_id").alias("_id")).distinct()
-    rows = docs.where(F.regexp_like(F.coalesce("text", F.lit("")), F.lit(r"\p{L}")))
-    return rows.join(found, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    found = identify_documents(docs).where("lang_pred <> 'und'").select(F.col("doc_id").alias("_found")).distinct()
+    rows = packed(docs.where(F.regexp_like(F.coalesce("text", F.lit("")), F.lit(r"\p{L}"))), _id=F.col("doc_id"))
+    return rows.join(found, F.col("_id").eqNullSafe(F.col("_found")), "left_semi").select("_row.*")
 
 
 def op7_langid(spark, sf_dir: str) -> DataFrame:

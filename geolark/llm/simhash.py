@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, packed
 from .components import connected_components
 
 MAX_BITS = 4
@@ -195,9 +195,10 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     id are dropped if anything else is in their group, else one of them stays.
     """
     groups = simhash_groups(docs).select(F.col("component_id").alias("_keep")).distinct()
-    rows = docs.join(groups, docs["doc_id"].eqNullSafe(F.col("_keep")), "left_semi")
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns))
-    return rows.withColumn("_nth", F.row_number().over(first)).where("_nth = 1").drop("_nth")
+    rows = packed(docs, _id=F.col("doc_id"), _hash=F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+    kept = rows.join(groups, F.col("_id").eqNullSafe(F.col("_keep")), "left_semi")
+    first = Window.partitionBy("_id").orderBy("_hash")
+    return kept.withColumn("_nth", F.row_number().over(first)).where("_nth = 1").select("_row.*")
 
 
 def op6_simhash(spark, sf_dir: str) -> DataFrame:

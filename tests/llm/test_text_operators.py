@@ -316,3 +316,30 @@ def test_broken_pages(spark):
     got = {r.id: r.text for r in extract(spark.createDataFrame(rows, "id long, html string")).collect()}
     assert got[1] == got[2] == "" and got[5] == "plain" and got[6] == "deep"
     assert extract(spark.createDataFrame([], "id long, html string")).count() == 0
+
+
+def clashing(spark, n=12):
+    """Documents with columns named like the operators' own, and nulls in all columns."""
+    rows = [(i, f"alpha beta gamma delta {i} epsilon zeta, mail a{i}@b.org token=abcdefghijklm{i}", "en", "s", 9) for i in range(n)]
+    d = spark.createDataFrame([*rows, (None, None, None, None, None), *rows[:2]], DOCS)
+    from pyspark.sql import functions as F
+
+    for c in ("key", "_row", "_key", "_id", "_nth", "_keep", "_hash", "_found", "fp", "h", "p", "runs", "size", "taken", "target", "component_id", "spans", "found", "base", "blob", "rules", "piece", "length", "_copies", "held_out", "lang_pred", "_cut", "_new"):
+        d = d.withColumn(c, F.lit("clash"))
+    return d
+
+
+@pytest.mark.parametrize("name", ["pii", "secrets", "langid", "lines", "groups", "mixed", "packed", "drop_lang", "keep", "cut", "mix"])
+def test_clashing_columns_nulls_and_repeated_rows(spark, name):
+    from geolark.llm import simhash
+
+    calls = {
+        "pii": pii.find_personal_data, "secrets": secretscan.scan, "langid": langid.identify_documents, "lines": linededup.deduplicated, "groups": simhash.simhash_groups, "mixed": mixing.mixed,
+        "packed": packing.packed_sequences, "drop_lang": langid.drop_unidentified, "keep": simhash.keep_one_of_each, "cut": linededup.drop_repeated_lines, "mix": mixing.mix_documents,
+    }
+    d = clashing(spark)
+    got = calls[name](d)
+    n = got.count()
+    assert n == {"drop_lang": 14, "keep": 13, "mix": n}.get(name, 15)
+    if name in ("drop_lang", "keep"):
+        assert got.columns == d.columns
