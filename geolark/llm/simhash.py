@@ -119,8 +119,8 @@ def linked(fps: DataFrame, max_bits: int = MAX_BITS, list_block: int = LIST_BLOC
     posted = fps.select("fp", F.explode(F.array(*keys)).alias("key"))
     long_lists = posted.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > list_block).select("key", F.ceil(F.col("n") / list_block).cast("int").alias("blocks"))
     blocks = F.coalesce("blocks", F.lit(1))
-    own = F.pmod(F.xxhash64("fp"), blocks).cast("int")
-    cells = F.transform(F.sequence(F.lit(0), blocks - 1), lambda y: F.least(own, y) * 65536 + F.greatest(own, y))
+    own = F.pmod(F.xxhash64("fp"), blocks).cast("long")
+    cells = F.transform(F.sequence(F.lit(0).cast("long"), (blocks - 1).cast("long")), lambda y: F.least(own, y) * 65536 + F.greatest(own, y))
     dealt = posted.join(long_lists, "key", "left").select("fp", "key", F.explode(cells).alias("cell"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
