@@ -23,6 +23,8 @@ SEGMENT = 256
 SAMPLE_DOCS, SAMPLE_DOC_CHARS, SAMPLE_CHARS = 48, 4000, 40_000
 #: Codes of symbols; alphabets beyond it share codes.
 MAX_CODES = 254
+#: Bytes of all automata of a task; with many languages or symbols each takes less of its sample.
+TABLE_BYTES = 1 << 28
 _NOT_LETTER = re.compile(r"[\W\d_]+")
 _cache: dict = {}
 
@@ -77,7 +79,8 @@ class CrossParser:
         self.codes = np.ones(0x110000, np.int16)
         self.codes[points] = 2 + np.arange(len(points)) % MAX_CODES
         width = 2 + min(len(points), MAX_CODES)
-        self.tables = [suffix_automaton(self.codes[self._points(sample[x])].tolist(), width) for x in self.langs]
+        room = TABLE_BYTES // (8 * width * max(1, len(self.langs)))  # an automaton has at most two states a character, of 4 bytes a code
+        self.tables = [suffix_automaton(self.codes[self._points(sample[x][:room])].tolist(), width) for x in self.langs]
 
     @staticmethod
     def _points(text: str) -> np.ndarray:
