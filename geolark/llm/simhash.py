@@ -54,16 +54,18 @@ def fingerprint(text: str | None, shingle: int = 4, block: int = 1 << 16) -> int
     return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
-    """(doc_id, fp): one row a document; fp holds the 64 bits as a long. Null text counts as empty."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, **keys: F.Column) -> DataFrame:
+    """(doc_id, fp) and the given `keys` (longs): one row a document; fp holds the 64 bits as a long. Null text counts as empty."""
+    names = ["doc_id", *keys, "fp"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(1)
+            texts = b.column("text")
             fp = np.fromiter((fingerprint(texts[i].as_py(), shingle) for i in range(len(texts))), np.uint64, len(texts))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(n) for n in names[:-1]] + [pa.array(fp.view(np.int64))], names=names)
 
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), *[v.alias(k) for k, v in keys.items()], F.col(f"`{text_col}`").alias("text"))
+    return rows.mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 def _forest(a: np.ndarray, b: np.ndarray, parent: dict[int, int]) -> list[tuple[int, int]]:
@@ -169,6 +171,13 @@ def linked(fps: DataFrame, max_bits: int = MAX_BITS, list_block: int = LIST_BLOC
     return dealt.select("key", "cell", "fp").repartition("key", "cell").sortWithinPartitions("key", "cell").mapInArrow(compare, "src long, dst long")
 
 
+def _members(fp: DataFrame, low: F.Column, max_bits: int = MAX_BITS) -> DataFrame:
+    """(fp, low, component): each distinct fingerprint with the aggregate `low` of its rows; component is the smallest fingerprint it reaches."""
+    distinct = materialize(fp.groupBy("fp").agg(low.alias("low")), "fp")
+    nodes = connected_components(linked(distinct.select("fp"), max_bits)).select(F.col("node").alias("fp"), "component")
+    return distinct.join(nodes, "fp", "left").select("fp", "low", F.coalesce("component", "fp").alias("component"))
+
+
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_bits: int = MAX_BITS) -> DataFrame:
     """(doc_id, fingerprint, component_id): one row a document.
 
@@ -180,25 +189,27 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if not 0 <= max_bits <= MAX_BITS:
         raise ValueError("the index guarantees at most 4 differing bits")
     fp = materialize(fingerprints(docs, id_col, text_col, shingle), "fp")
-    distinct = materialize(fp.groupBy("fp").agg(F.min("doc_id").alias("low")), "fp")
-    nodes = connected_components(linked(distinct.select("fp"), max_bits)).select(F.col("node").alias("fp"), "component")
-    named = distinct.join(nodes, "fp", "left").select("fp", "low", F.coalesce("component", "fp").alias("component"))
+    named = _members(fp, F.min("doc_id"), max_bits)
     lows = named.groupBy("component").agg(F.min("low").alias("component_id"))
     named = named.join(lows, "component").select("fp", "component_id")
     return fp.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """Of each near-duplicate group of documents the one with the smallest id; columns as given.
+    """Of each near-duplicate group of rows the one with the smallest id; columns as given.
 
-    Rows that share an id are one document, of which the text with the smallest hash stays; rows without an
-    id are dropped if anything else is in their group, else one of them stays.
+    Rows without an id come after all others, and of rows that share an id the one with the smallest hash comes first, so every group
+    keeps one row. Rows that share an id but are in different groups are different documents. Rows are known by their
+    id, a hash of the text and one of all columns; of equal rows one stays.
     """
-    groups = simhash_groups(docs).select(F.col("component_id").alias("_keep")).distinct()
-    rows = packed(docs, _id=F.col("doc_id"), _hash=F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
-    kept = rows.join(groups, F.col("_id").eqNullSafe(F.col("_keep")), "left_semi")
-    first = Window.partitionBy("_id").orderBy("_hash")
-    return kept.withColumn("_nth", F.row_number().over(first)).where("_nth = 1").select("_row.*")
+    keys = {"_text": F.xxhash64("text"), "_hash": F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])}
+    fp = materialize(fingerprints(docs, **keys), "fp")
+    lowest = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_hash", "_text"))
+    keep = _members(fp, lowest).groupBy("component").agg(F.min("low").alias("_keep")).select("_keep")
+    rows = packed(docs, _id=F.col("doc_id").cast("long"), **keys)
+    same = F.col("_id").eqNullSafe(F.col("_keep.doc_id")) & (F.col("_text") == F.col("_keep._text")) & (F.col("_hash") == F.col("_keep._hash"))
+    first = Window.partitionBy("_id", "_text", "_hash").orderBy("_hash")
+    return rows.join(keep, same, "left_semi").withColumn("_nth", F.row_number().over(first)).where("_nth = 1").select("_row.*")
 
 
 def op6_simhash(spark, sf_dir: str) -> DataFrame:

@@ -134,6 +134,14 @@ def test_keep_one_of_each(spark):
     assert keep_one_of_each(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
 
 
+def test_every_group_keeps_a_row(spark):
+    # unrelated documents without an id, and an id that stands in several groups
+    texts = [" ".join(f"w{i}x{k}" for k in range(30)) for i in range(6)]
+    rows = [(None, texts[0], "s"), (None, texts[1], "s"), (None, texts[1], "t"), (8, texts[2], "s"), (None, texts[2], "s"), (3, texts[3], "s"), (3, texts[4], "s"), (4, texts[4], "s"), (None, texts[5], None), (None, texts[5], None)]
+    got = keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert sorted(((r.text, r.doc_id) for r in got), key=str) == [(texts[0], None), (texts[1], None), (texts[2], 8), (texts[3], 3), (texts[4], 3), (texts[5], None)]
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(250)] + [(1000, i) for i in range(1001, 1300)] + [(5, 5)]
