@@ -10,15 +10,18 @@ from ..schema import MATCH_THRESHOLD, GridMeta
 
 
 def sample_step(meta: GridMeta) -> int:
-    """Every how many cells a raster is looked at: about a million cells at most."""
+    """Every how many cells a sample of about a million cells has one."""
     return max(1, meta.width * meta.height // 1_000_000)
 
 
-def candidates(scores: DataFrame, pins: DataFrame, meta: GridMeta, threshold: float = MATCH_THRESHOLD, exclude_km: float = 100.0, step: int | None = None) -> DataFrame:
-    """Scores from the threshold on, outside the square boxes around all pins that lie in the raster (water or not), with row and col."""
+def candidates(scores: DataFrame, pins: DataFrame, meta: GridMeta, threshold: float = MATCH_THRESHOLD, exclude_km: float = 100.0, step: int = 1) -> DataFrame:
+    """Scores from the threshold on, outside the square boxes around all pins that lie in the raster (water or not), with row and col.
+
+    All cells are looked at; a caller that wants a sample passes every how many (`sample_step`).
+    """
     k = max(1, meta.cells_of_km(exclude_km))
     boxed = pins.select(row_col(F.col("lat"), F.col("lng"), meta).alias("c")).where("c is not null").select(F.col("c.row").alias("prow"), F.col("c.col").alias("pcol"))
-    rows = scores.where((F.col("score") >= threshold) & (F.col("pixel") % F.lit(step or sample_step(meta)) == 0))
+    rows = scores.where((F.col("score") >= threshold) & (F.col("pixel") % F.lit(step) == 0))
     rows = rows.withColumn("row", F.expr(f"cast(pixel div {meta.width} as int)")).withColumn("col", (F.col("pixel") % meta.width).cast("int"))
     # at most MAX_PINS boxes
     near = (F.abs(F.col("row") - F.col("prow")) <= k) & (F.abs(F.col("col") - F.col("pcol")) <= k)

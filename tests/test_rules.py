@@ -107,6 +107,14 @@ def test_too_many_pins_are_refused(spark):
         similarity.scan(cells, pins).collect()
 
 
+def test_candidates_of_a_large_raster_are_whole(spark):
+    big = GridMeta(4000, 1500)  # six million cells
+    pins = spark.createDataFrame([(0, 85.0, 0.0)], "pin_idx int, lat double, lng double")
+    scores = spark.createDataFrame([(i, 0.99, 0) for i in range(1, 14)], "pixel long, score double, best_pin int")
+    assert matches.candidates(scores, pins, big).count() == 13
+    assert matches.candidates(scores, pins, big, step=matches.sample_step(big)).count() == 2
+
+
 def test_greedy_matches_keep_their_rules(spark):
     import random
 
