@@ -370,7 +370,7 @@ def event_counts_stream(spark, d):
 @query("SELECT date_trunc('day', ts) AS window_start, user_id, count(*) AS n FROM events GROUP BY 1, 2")
 def rate_windows_stream(spark, d):
     # a last, empty batch cannot close the newest windows, so they are read in update mode
-    return E.run_once(E.windowed_counts(E.stream(spark, f"{d}/events.parquet", EVENT), "1 day", "400 days"), "update")
+    return E.run_once(E.windowed_counts(E.stream(spark, f"{d}/events.parquet", EVENT), "1 day", "400 days"), "update", ["window_start", "user_id"])
 
 
 @query("SELECT user_id, count(*) FILTER (WHERE event_type = 'view') AS views, CAST(0 AS BIGINT) AS stars FROM events GROUP BY user_id")

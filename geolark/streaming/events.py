@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,9 +12,13 @@ from pyspark.sql import types as T
 
 
 def stream(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """A Parquet file or folder as a stream of its files."""
-    folder, _, name = path.rstrip("/").rpartition("/")
-    return spark.readStream.schema(schema).option("pathGlobFilter", name if name.endswith(".parquet") else "*.parquet").option("recursiveFileLookup", "true").parquet(folder)
+    """A Parquet file, or the files of a folder, as a stream."""
+    reader = spark.readStream.schema(schema)
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if target.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(target).isDirectory():
+        return reader.parquet(path)
+    folder, _, name = path.rpartition("/")
+    return reader.option("pathGlobFilter", name).option("recursiveFileLookup", "true").parquet(folder)
 
 
 def counts(events: DataFrame) -> DataFrame:
@@ -32,16 +37,31 @@ def over_limit(events: DataFrame, limit: int, every: str = "1 minute", late: str
     return windowed_counts(events, every, late).where(F.col("n") > limit)
 
 
-def run_once(result: DataFrame, mode: str = "append") -> DataFrame:
-    """Process what there is and return it as a table in memory: for tests and small results."""
-    name = f"s{uuid.uuid4().hex}"
-    spark = result.sparkSession
+def run_once(result: DataFrame, mode: str = "append", keys: Sequence[str] = ()) -> DataFrame:
+    """Process what there is and return it as a table: each batch is written by its tasks to the shared folder, which is read back.
+
+    In complete mode the last batch is the result. In update mode a row with the same `keys` as one of an earlier batch replaces it.
+    """
+    spark, schema = result.sparkSession, result.schema
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp()
-    q = result.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{shared}/{name}").trigger(availableNow=True).start()
+    name = f"{shared}/s{uuid.uuid4().hex}"
+    batches: set[int] = set()
+
+    def write(batch: DataFrame, n: int) -> None:
+        batch.withColumn("_batch", F.lit(n).cast("long")).write.mode("overwrite").parquet(f"{name}/rows-{n}")
+        batches.add(n)
+
+    q = result.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{name}/state").trigger(availableNow=True).start()
     q.awaitTermination()
     if error := q.exception():
         raise error
-    return spark.table(name)
+    if not batches:
+        return spark.createDataFrame([], schema)
+    read = [max(batches)] if mode == "complete" else sorted(batches)
+    rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("_batch", T.LongType())])).parquet(*(f"{name}/rows-{n}" for n in read))
+    if keys and len(read) > 1:
+        rows = rows.groupBy(*keys).agg(F.max_by(F.struct("*"), "_batch").alias("_last")).select("_last.*")
+    return rows.select(*schema.names)
 
 
 def to_files(result: DataFrame, path: str, checkpoint: str):

@@ -91,6 +91,18 @@ def test_stream_equals_batch(spark):
     assert sorted(map(tuple, E.run_once(E.counts(E.stream(spark, path, EVENT)), "complete").collect())) == batch
 
 
+def test_stream_of_a_folder_in_several_batches(spark, tmp_path):
+    rows = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    folder = str(tmp_path / "events.parquet")
+    rows.repartition(3).write.parquet(folder)
+    batch = sorted(map(tuple, E.counts(rows).collect()))
+    assert batch and sorted(map(tuple, E.run_once(E.counts(E.stream(spark, folder, EVENT)), "complete").collect())) == batch
+    slow = spark.readStream.schema(EVENT).option("maxFilesPerTrigger", 1).parquet(folder)
+    got = E.run_once(E.counts(slow), "update", ["user_id", "event_type"])
+    assert sorted(map(tuple, got.collect())) == batch
+    assert "LocalTableScan" not in got._jdf.queryExecution().executedPlan().toString()  # read from files, not kept by the driver
+
+
 def test_stream_append_needs_the_watermark(spark, tmp_path):
     path = "/root/testdata/sf0.001/events.parquet"
     got = E.run_once(E.over_limit(E.stream(spark, path, EVENT), 0, "1 day", "1 day"), "append")
