@@ -5,6 +5,9 @@ before capital letters. A gram is the shortest run of lines from a given line on
 shortest run with RUN_WORDS words the gram with the smallest hash is selected, so any run of RUN_WORDS words that two
 texts share (on line borders) has a selected gram in common. Occurrences of a selected gram join the earliest one, each
 match is extended both ways while the lines agree, and runs that occurred earlier are deleted.
+
+What stands between two newlines is a window of its own: a whole line of LINE_CHARS characters, and a whole text shorter than
+RUN_WORDS words, is selected as it is and deleted wherever it occurred earlier.
 """
 
 from __future__ import annotations
@@ -25,9 +28,12 @@ from .common import DOCUMENT_COLUMNS, materialize, packed
 
 #: Words of a gram, and of the runs whose repetition is guaranteed to be found.
 GRAM_WORDS, RUN_WORDS = 20, 40
+#: Characters from which a line between two newlines is deleted on its own; those of scripts without spaces count as three.
+LINE_CHARS = 24
 #: One white-space character that is a newline, follows a sentence end or precedes a capital letter.
 _CUT = re.compile(r"[ \t\n](?:(?<=\n)|(?<=[.!?].)|(?=[A-ZÀ-ÖØ-Þ]))")
-_DETAIL = "key long, hashes array<long>, grams array<struct<h:long,p:int>>"
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\U00020000-\U0003ffff]")
+_DETAIL = "key long, hashes array<long>, words array<int>, grams array<struct<h:long,p:int,e:int>>"
 
 
 def line_spans(text: str) -> list[tuple[int, int]]:
@@ -40,25 +46,47 @@ def line_spans(text: str) -> list[tuple[int, int]]:
 
 
 def line_hashes(text: str) -> tuple[list[int], list[int]]:
-    """Hash (signed) and word count of every line; blank lines count no words."""
+    """Hash (signed) and word count of every line; blank lines count no words, two characters of a script without spaces count as one."""
     digest = xxhash.xxh64_intdigest
     lines = _CUT.split(text)
+    words = [x.count(" ") + 1 if x else 0 for x in lines]
+    if not text.isascii() and _UNSPACED.search(text):
+        words = [w + len(_UNSPACED.findall(x)) // 2 for w, x in zip(words, lines, strict=True)]
     try:
-        return [digest(x) - (1 << 63) for x in lines], [x.count(" ") + 1 if x else 0 for x in lines]
+        return [digest(x) - (1 << 63) for x in lines], words
     except UnicodeEncodeError:  # lone surrogates
-        return [digest(x.encode("utf-8", "surrogatepass")) - (1 << 63) for x in lines], [x.count(" ") + 1 if x else 0 for x in lines]
+        return [digest(x.encode("utf-8", "surrogatepass")) - (1 << 63) for x in lines], words
 
 
-def selected_grams(hashes: list[int], words: list[int], gram_words: int = GRAM_WORDS, run_words: int = RUN_WORDS) -> list[tuple[int, int]]:
-    """(hash, place) of the grams that are the smallest in some run of `run_words` words, rightmost of equals."""
+def whole_lines(text: str, hashes: list[int], words: list[int], run_words: int = RUN_WORDS) -> list[tuple[int, int, int]]:
+    """(hash, first, end) of what stands between two newlines, in the lines of `hashes`, and of a text of less than `run_words` words."""
+
+    def counts(part: str) -> bool:
+        n = len(part)
+        return n >= LINE_CHARS or 3 * n >= LINE_CHARS and not part.isascii() and n + 2 * len(_UNSPACED.findall(part)) >= LINE_CHARS
+
+    raw = np.asarray(hashes, np.int64).tobytes()
+    at, found = 0, []
+    for part in text.split("\n"):
+        end = at + len(_CUT.split(part))
+        if counts(part.strip()):
+            found.append((at, end))
+        at = end
+    if 0 < sum(words) < run_words and (0, at) not in found and counts(text.strip()):
+        found.append((0, at))
+    return [(xxhash.xxh64_intdigest(raw[8 * a : 8 * b]) - (1 << 63), a, b) for a, b in found]
+
+
+def winnowed(hashes: list[int], words: list[int], gram_words: int = GRAM_WORDS, run_words: int = RUN_WORDS) -> tuple[list[int], list[tuple[int, int, int]]]:
+    """Hashes of the grams by their place, and (begin, end, place of the gram selected) of every shortest run of `run_words` words."""
     n = len(hashes)
     total = [0, *itertools.accumulate(words)]
     if total[n] < run_words:
-        return []
+        return [], []
     raw = np.asarray(hashes, np.int64).tobytes()
     digest = xxhash.xxh64_intdigest
     gram: list[int] = []  # hash of the gram that starts at each line, as far as they have been needed
-    picked: dict[int, int] = {}
+    runs: list[tuple[int, int, int]] = []
     queue: deque[int] = deque()  # places of increasing hash
     end_run = nxt = end_gram = 0
     for i in range(n):
@@ -82,8 +110,14 @@ def selected_grams(hashes: list[int], words: list[int], gram_words: int = GRAM_W
         while queue[0] < i:
             queue.popleft()
         if words[i]:
-            picked[queue[0]] = gram[queue[0]]
-    return [(h - (1 << 63), p) for p, h in picked.items()]
+            runs.append((i, end_run, queue[0]))
+    return gram, runs
+
+
+def selected_grams(hashes: list[int], words: list[int], gram_words: int = GRAM_WORDS, run_words: int = RUN_WORDS) -> list[tuple[int, int]]:
+    """(hash, place) of the grams that are the smallest in some run of `run_words` words, rightmost of equals."""
+    gram, runs = winnowed(hashes, words, gram_words, run_words)
+    return [(gram[p] - (1 << 63), p) for p in dict.fromkeys(p for _, _, p in runs)]
 
 
 def _lists(offsets: list[int], values: pa.Array) -> pa.ListArray:
@@ -94,18 +128,30 @@ def _details(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for at in range(0, len(whole), 500):
             b = whole.slice(at, 500)
-            hashes, words, grams, places, n_lines, n_grams = [], [], [], [], [], []
-            for text in b.column(1):
-                h, w = line_hashes(text.as_py() or "")
-                picked = selected_grams(h, w)
+            hashes, words, grams, places, ends, n_lines, n_grams = [], [], [], [], [], [], []
+            for value in b.column(1):
+                text = value.as_py() or ""
+                h, w = line_hashes(text)
+                picked = [(x, p, 0) for x, p in selected_grams(h, w)] + whole_lines(text, h, w)
                 hashes += h
                 words += w
-                grams += [x for x, _ in picked]
-                places += [p for _, p in picked]
+                grams += [x for x, _, _ in picked]
+                places += [p for _, p, _ in picked]
+                ends += [e for _, _, e in picked]
                 n_lines.append(len(h))
                 n_grams.append(len(picked))
-            gram = pa.StructArray.from_arrays([pa.array(grams, pa.int64()), pa.array(places, pa.int32())], ["h", "p"])
-            yield pa.RecordBatch.from_arrays([b.column(0), _lists(n_lines, pa.array(hashes, pa.int64())), _lists(n_grams, gram)], names=["key", "hashes", "grams"])
+            gram = pa.StructArray.from_arrays([pa.array(grams, pa.int64()), pa.array(places, pa.int32()), pa.array(ends, pa.int32())], ["h", "p", "e"])
+            lines = [_lists(n_lines, pa.array(hashes, pa.int64())), _lists(n_lines, pa.array(words, pa.int32()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), *lines, _lists(n_grams, gram)], names=["key", "hashes", "words", "grams"])
+
+
+def _earliest(place: DataFrame, name: str) -> DataFrame:
+    """(h, n, first): of every hash with several places their number and the earliest (id, key, p).
+
+    Written, so that a join with it has plain shuffles on both sides and the rows of a popular hash can be split.
+    """
+    found = place.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("id", "key", "p")).alias("first"))
+    return materialize(found.where("n > 1"), name)
 
 
 def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,23 +195,23 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     detail = materialize(rows.where(F.length("text") > 0).mapInArrow(_details, _DETAIL), "lines")
     order = docs.select(key.alias("key"), F.col(f"`{id_col}`").cast("long").alias("id")).distinct()
     ids = materialize(order, "ids")
-    place = detail.select("key", F.explode("grams").alias("g")).select("key", F.col("g.h").alias("h"), F.col("g.p").alias("p")).distinct().join(ids, "key")
-    first = place.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("id", "key", "p")).alias("first")).where("n > 1").drop("n")
-    # written, so that the join below has plain shuffles on both sides and the rows of a popular gram can be split
-    first = materialize(first, "first")
-    found = place.join(first, "h").where((F.col("key") != F.col("first.key")) | (F.col("p") != F.col("first.p")))
-    pairs = found.groupBy("key", F.col("first.key").alias("first")).agg(F.collect_set(F.struct("p", F.col("first.p").alias("p1"))).alias("pairs"))
+    place = detail.select("key", F.explode("grams").alias("g")).select("key", "g.*").distinct().join(ids, "key")
+    found = materialize(place.join(_earliest(place, "first"), "h").select("key", "p", "e", "n", "first"), "found")
+    later = (F.col("key") != F.col("first.key")) | (F.col("p") != F.col("first.p"))
+    lines = detail.select("key", "hashes", "words").dropDuplicates(["key"])
+    anchors = found.where("e = 0").where(later).select("key", "p", "first")
+    pairs = anchors.groupBy("key", F.col("first.key").alias("first")).agg(F.collect_set(F.struct("p", F.col("first.p").alias("p1"))).alias("pairs"))
     # An early text with a popular passage meets very many later ones; its lines are dealt over `SPREAD` copies.
     pairs = materialize(pairs, "pairs")
     busy = pairs.groupBy("first").agg(F.least(F.ceil(F.count("*") / 2000), F.lit(256)).cast("int").alias("spread"))
-    lines = detail.select(F.col("key"), "hashes").dropDuplicates(["key"])
     theirs = lines.select(F.col("key").alias("first"), F.col("hashes").alias("theirs")).join(busy, "first").select("first", "theirs", F.explode(F.sequence(F.lit(0), F.col("spread") - 1)).alias("salt"), "spread")
     salted = pairs.join(busy, "first").select("key", "first", "pairs", F.pmod(F.xxhash64("key"), F.col("spread")).cast("int").alias("salt"))
     near = salted.join(theirs.drop("spread"), ["first", "salt"])
     # only the part of the earlier text that can lie beside the later one travels on
     reach = near.select("key", "first", "pairs", "theirs").join(lines.select("key", F.col("hashes").alias("mine")), "key")
     runs = reach.select("key", "first", "mine", "theirs", "pairs").mapInArrow(_extend, "key long, begin int, end int")
-    return runs.distinct().groupBy("key").agg(F.array_sort(F.collect_set(F.struct("begin", "end"))).alias("runs"))
+    whole = found.where("e > 0").where(later).select("key", F.col("p").alias("begin"), F.col("e").alias("end"))
+    return runs.union(whole).distinct().groupBy("key").agg(F.array_sort(F.collect_set(F.struct("begin", "end"))).alias("runs"))
 
 
 def row_key(id_col: str, text_col: str) -> F.Column:
@@ -190,8 +236,8 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """The rows of `docs` with `text_col` cut, and `_deleted`: the number of lines deleted from it.
 
     Null texts stay null, texts without repeated runs stay as they are, a text whose every line occurred earlier becomes empty; no
-    row is dropped. Rows with equal id and text are one document and get the same text. Short common lines stay, since a
-    run counts from GRAM_WORDS words on.
+    row is dropped. Rows with equal id and text are one document and get the same text. Common lines shorter than LINE_CHARS
+    characters stay, unless they are part of a repeated run.
     """
     schema = docs.schema
     names = docs.columns

@@ -129,6 +129,22 @@ def test_line_dedup(spark):
     assert linededup.drop_repeated_lines(d.limit(0)).count() == 0
 
 
+def deduplicated(spark, texts):
+    d = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], DOCS)
+    return [r.text for r in linededup.drop_repeated_lines(d).orderBy("doc_id").collect()]
+
+
+def test_repeated_short_lines_and_texts(spark):
+    rng = np.random.default_rng(2)
+    own = [" ".join(sentences(rng, 6)) for _ in range(4)]
+    line = "A common line. Of only nine words in all."
+    page = "\n".join("漢字仮名交文章" + chr(0x4E00 + i) * 3 for i in range(5))
+    short = " ".join(sentences(rng, 3))
+    other = "Three\nshort lines\nthat are one text"
+    texts = [f"{own[0]}\n{line}", f"{line}\n{own[1]}", f"{own[2]}\n{line}\n{own[3]}\n{line}", page, page, short, short, other, other]
+    assert [t.strip() for t in deduplicated(spark, texts)] == [texts[0], own[1], f"{own[2]}\n{own[3]}", page, "", short, "", other, ""]
+
+
 def test_selected_grams_are_shared_by_any_long_shared_run():
     rng = np.random.default_rng(7)
     for _ in range(50):
