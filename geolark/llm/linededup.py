@@ -4,7 +4,8 @@ A text is cut into lines: at newlines and, as long lines hold many sentences, al
 before capital letters. A gram is the shortest run of lines from a given line on with GRAM_WORDS words; in every
 shortest run with RUN_WORDS words the gram with the smallest hash is selected, so any run of RUN_WORDS words that two
 texts share (on line borders) has a selected gram in common. Occurrences of a selected gram join the earliest one, each
-match is extended both ways while the lines agree, and runs that occurred earlier are deleted.
+match is extended both ways while the lines agree, and runs that occurred earlier are deleted. As the earliest text
+with a popular gram may share no more than the gram, its occurrences also join the earliest one of each whole run that selected it.
 
 What stands between two newlines is a window of its own: a whole line of LINE_CHARS characters, and a whole text shorter than
 RUN_WORDS words, is selected as it is and deleted wherever it occurred earlier.
@@ -120,6 +121,25 @@ def selected_grams(hashes: list[int], words: list[int], gram_words: int = GRAM_W
     return [(gram[p] - (1 << 63), p) for p in dict.fromkeys(p for _, _, p in runs)]
 
 
+def run_hashes(hashes: list[int], words: list[int], places: set[int]) -> list[tuple[int, int]]:
+    """(hash, place of the gram) of every run that selected one of the grams at `places`: the shortest from each line on, and up to each line.
+
+    Of any run of RUN_WORDS words, these cover every line.
+    """
+    _, runs = winnowed(hashes, words)
+    raw = np.asarray(hashes, np.int64).tobytes()
+    total = [0, *itertools.accumulate(words)]
+    found = {(a, b): p for a, b, p in runs if p in places}
+    at = {a: p for a, _, p in runs}
+    begin = 0
+    for end in range(1, len(hashes) + 1):
+        while total[end] - total[begin + 1] >= RUN_WORDS:
+            begin += 1
+        if words[end - 1] and total[end] - total[begin] >= RUN_WORDS and at[begin] in places:
+            found[begin, end] = at[begin]
+    return [(xxhash.xxh64_intdigest(raw[8 * a : 8 * b]) - (1 << 63), p) for (a, b), p in found.items()]
+
+
 def _lists(offsets: list[int], values: pa.Array) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(offsets)]), pa.int32()), values)
 
@@ -145,6 +165,18 @@ def _details(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([b.column(0), *lines, _lists(n_grams, gram)], names=["key", "hashes", "words", "grams"])
 
 
+def _run_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts with popular grams at some places: the runs that selected these."""
+    for b in batches:
+        keys, hashes, places = [], [], []
+        for key, h, w, at in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+            found = run_hashes(h, w, set(at))
+            keys += [key] * len(found)
+            hashes += [x for x, _ in found]
+            places += [p for _, p in found]
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(hashes, pa.int64()), pa.array(places, pa.int32())], names=["key", "h", "p"])
+
+
 def _earliest(place: DataFrame, name: str) -> DataFrame:
     """(h, n, first): of every hash with several places their number and the earliest (id, key, p).
 
@@ -199,7 +231,12 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     found = materialize(place.join(_earliest(place, "first"), "h").select("key", "p", "e", "n", "first"), "found")
     later = (F.col("key") != F.col("first.key")) | (F.col("p") != F.col("first.p"))
     lines = detail.select("key", "hashes", "words").dropDuplicates(["key"])
-    anchors = found.where("e = 0").where(later).select("key", "p", "first")
+    # of two places of a gram the earlier one is the partner of any run around it; of more, it may be another one for each run
+    popular = found.where("e = 0 and n > 2").groupBy("key").agg(F.collect_set("p").alias("places"))
+    wide = popular.join(lines, "key").select("key", "hashes", "words", "places").mapInArrow(_run_hashes, "key long, h long, p int")
+    wide = materialize(wide, "wide").join(ids, "key")
+    wider = wide.join(_earliest(wide, "first_wide"), "h").where(later).select("key", "p", "first")
+    anchors = found.where("e = 0").where(later).select("key", "p", "first").union(wider)
     pairs = anchors.groupBy("key", F.col("first.key").alias("first")).agg(F.collect_set(F.struct("p", F.col("first.p").alias("p1"))).alias("pairs"))
     # An early text with a popular passage meets very many later ones; its lines are dealt over `SPREAD` copies.
     pairs = materialize(pairs, "pairs")

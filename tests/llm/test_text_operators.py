@@ -145,6 +145,38 @@ def test_repeated_short_lines_and_texts(spark):
     assert [t.strip() for t in deduplicated(spark, texts)] == [texts[0], own[1], f"{own[2]}\n{own[3]}", page, "", short, "", other, ""]
 
 
+def test_a_run_meets_a_text_that_shares_all_of_it(spark):
+    # inside long lines, so that no newline helps: earlier texts have only parts of the passage that later ones share
+    rng = np.random.default_rng(3)
+    texts, last = [], {}
+    for _ in range(4):
+        passage = [f"W{rng.integers(10**9)} " + " ".join(f"w{rng.integers(10**9)}" for _ in range(n - 2)) + " end." for n in (12, 25, 15, 12, 22, 14)]
+        for part in [passage[k : k + 1] for k in range(6)] * 2 + [passage, passage]:
+            texts.append(" ".join(sentences(rng, 2) + part + sentences(rng, 2)))
+        last[len(texts) - 1] = passage
+    got = deduplicated(spark, texts)
+    for i, passage in last.items():
+        assert not any(x in got[i] for x in passage)
+
+
+def test_runs_of_a_popular_gram_cover_every_shared_run():
+    rng = np.random.default_rng(8)
+    for _ in range(50):
+        words = [int(x) for x in rng.integers(0, 16, 25)]
+        hashes = [int(x) for x in rng.integers(2**60, size=25)]
+        a, b = sorted(int(x) for x in rng.integers(0, 26, 2))
+        if sum(words[a:b]) < linededup.RUN_WORDS:
+            continue
+        inside = {h for h, _ in linededup.run_hashes(hashes[a:b], words[a:b], set(range(25)))}
+        gone = set()
+        for i in range(a, b):
+            for j in range(i + 1, b + 1):
+                if linededup.xxhash.xxh64_intdigest(np.asarray(hashes[i:j], np.int64).tobytes()) - (1 << 63) in inside:
+                    gone |= set(range(i, j))
+        assert gone >= {i for i in range(a, b) if words[i]}
+        assert inside <= {h for h, _ in linededup.run_hashes(hashes, words, set(range(25)))}
+
+
 def test_selected_grams_are_shared_by_any_long_shared_run():
     rng = np.random.default_rng(7)
     for _ in range(50):
