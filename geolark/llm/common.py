@@ -55,6 +55,20 @@ def materialize(df: DataFrame, name: str, replaces: DataFrame | None = None) ->
     return out
 
 
+def dealt_join(rows: DataFrame, single: DataFrame, key: str, salt: list[str], per_copy: int = 2000) -> DataFrame:
+    """`rows` joined with `single` (one row a `key`), a popular key dealt by the hash of `salt` over copies of its row, one for each `per_copy` rows.
+
+    No task gets all rows of a key, however many there are, and the copies grow with the rows they serve.
+    """
+    copies = rows.groupBy(key).agg(F.ceil(F.count("*") / per_copy).cast("int").alias("_copies")).where("_copies > 1")
+    copies = materialize(copies, "copies")  # only popular keys: a short table
+    spread = F.coalesce("_copies", F.lit(1))
+    nth = F.pmod(F.xxhash64(*salt), spread).cast("int")
+    left = rows.join(copies, key, "left").withColumn("_nth", nth).drop("_copies")
+    right = single.join(copies, key, "left").withColumn("_nth", F.explode(F.sequence(F.lit(0), spread - 1))).drop("_copies")
+    return left.join(right, [key, "_nth"]).drop("_nth")
+
+
 def packed(df: DataFrame, **keys: Column) -> DataFrame:
     """`df` as one struct column `_row` plus the given keys, so that no column of the caller clashes with ours."""
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), *[v.alias(k) for k, v in keys.items()])

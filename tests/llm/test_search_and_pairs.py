@@ -8,7 +8,6 @@ import pytest
 import xxhash
 
 from geolark.llm.components import connected_components
-from geolark.llm.imagecopies import image_classes
 from geolark.llm.simhash import byte_triples, fingerprint, keep_one_of_each, linked, simhash_groups
 from geolark.llm.queries import ORACLE_SQL, QUERIES
 from geolark.llm.vector_topk import exact_top_k, quantized
@@ -166,37 +165,3 @@ def test_components(spark):
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
     assert got == {k: v for k, v in want.items() if k in got} and set(want) - set(got) <= {n for n in near if near[n] <= {n}}
     assert connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
-
-
-def pgm(a):
-    a = np.clip(np.rint(a), 0, 255).astype(np.uint8)
-    return b"P5 %d %d 255\n" % (a.shape[1], a.shape[0]) + a.tobytes()
-
-
-def test_image_copies(spark):
-    from geolark.llm.imagecopies import _box
-
-    rng = np.random.default_rng(3)
-
-    def picture():
-        g = _box(_box(np.kron(rng.normal(0, 1, (12, 12)), np.ones((9, 9)))[None], 3), 3)[0]
-        return 128 + 60 * g / np.abs(g).max()
-
-    base = [picture() for _ in range(8)]
-    rows = [(k, pgm(g)) for k, g in enumerate(base)]
-    rows += [(10, pgm(base[0][12:90, 14:])), (11, pgm(base[1] * 0.8 + 20)), (12, pgm(base[2] + rng.normal(0, 1.5, base[2].shape))), (13, pgm(np.rot90(base[3]))), (14, pgm(base[4])), (14, pgm(base[4])), (15, None), (16, b"junk"), (17, pgm(np.zeros((40, 40))))]
-    frame = spark.createDataFrame(rows, "id long, image binary")
-    got = sorted(image_classes(frame).collect(), key=lambda r: r.id)
-    classes = {r.id: r.class_id for r in got}
-    assert len(got) == len(rows)
-    assert classes == {**{k: k for k in range(8)}, 10: 0, 11: 1, 12: 2, 13: 3, 14: 4, 15: None, 16: 16, 17: 17}
-    assert {r.id: r.n_links for r in got}[10] == 1 and {r.id: r.n_links for r in got}[14] == 0
-    assert image_classes(frame.limit(0)).count() == 0
-
-
-def test_png_decoding():
-    from geolark.llm.imagecopies import decode
-    from geolark.operators.tiles import png
-
-    image = decode(png(bytes(range(64)) * 4, 8, 8))
-    assert image.shape == (8, 8) and abs(image[0, 1] - (4 * 0.299 + 5 * 0.587 + 6 * 0.114)) < 1e-9
