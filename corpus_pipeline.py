@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from geolark.llm.common import DOCUMENT_COLUMNS, materialize
+from geolark.llm.common import DOCUMENT_COLUMNS, folders_made, materialize, release
 from geolark.llm.langid import drop_unidentified
 from geolark.llm.linededup import drop_repeated_lines
 from geolark.llm.mixing import mix_documents
@@ -48,8 +48,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`."""
+    """All stages over `documents`. What a stage wrote for itself is deleted once its result stands."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
+        before = folders_made()
         docs = materialize(stage(spark, docs, sf_dir), name)
+        release(spark, before, keep=docs)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -10,14 +10,18 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Folders of this driver's intermediates.
+_folders: list[str] = []
 #: Rows of documents, and the columns a pipeline stage hands on.
 DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: spark.checkpoint.dir, or one of our own where the session has none (tests)."""
+    """The folder every executor sees: spark.checkpoint.dir, or one of our own where a local session has none (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="geolark-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -36,10 +40,26 @@ def _delete(spark: SparkSession, path: str) -> None:
 def new_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder in the shared one, deleted when the driver ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    atexit.register(_delete, spark, path)
+    _folders.append(path)
+    if len(_folders) == 1:
+        atexit.register(release, spark)
     return path
 
 
+def folders_made() -> int:
+    """How many folders there are by now; what release() takes to free only later ones."""
+    return len(_folders)
+
+
+def release(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -> None:
+    """Delete the folders made after the first `since`, but for that of `keep`. What was read from them can't be computed any more."""
+    own = getattr(keep, "_written_to", "")
+    for path in _folders[since:]:
+        if path != own:
+            _delete(spark, path)
+    _folders[since:] = [own] if own in _folders[since:] else []
+
+
 def materialize(df: DataFrame, name: str, replaces: DataFrame | None = None) -> DataFrame:
     """Write `df` to the shared folder and read it again: later passes restart from the files when an executor is lost.
 

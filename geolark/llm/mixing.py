@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import DOCUMENT_COLUMNS, materialize, packed, running_totals
@@ -47,8 +47,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_rep
     return ranked.select("source", "source_size", "before", F.round(target, 6).alias("target"))
 
 
-def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS, seed: int = 8) -> DataFrame:
-    """(doc_id, size, source_size, target, taken, copies): one row a row of (doc_id, text, source).
+def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS, seed: int = 8, **keys: Column) -> DataFrame:
+    """(doc_id, size, source_size, target, taken, copies) and the given `keys`: one row a row of (doc_id, text, source).
 
     Within its source every document gets a place in a shuffled order (a hash of its id). Its n-th copy finishes at
     (n * source size + words of the source up to it) / target of the source; all copies in the order of their finish
@@ -56,7 +56,7 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int
     error. Null texts and texts without words have size 0 and are taken 0 words; a null source is a source; repeated rows
     count as often as they stand; an empty table gives an empty result. Reruns agree, up to the order of equal rows.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", words(F.col("text")).alias("size"), shuffled(F.col("doc_id"), seed).alias("_h"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", words(F.col("text")).alias("size"), shuffled(F.col("doc_id"), seed).alias("_h"), *[v.alias(k) for k, v in keys.items()])
     rows = materialize(rows, "sizes")
     targets = materialize(source_targets(rows, weights, max_repeats), "targets")
     order = ["_null", "source", "_h", "doc_id", "size", "_row"]
@@ -69,16 +69,23 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int
     total = rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     queue = running_totals(copies, ["_finish", "_h", "doc_id", "_nth", "_row"], {"_total": "size"}).where(F.col("_total") <= F.lit(total))
     taken = queue.groupBy("_row").agg(F.count("*").alias("copies"))
-    back = placed.select("doc_id", "_row", "size", "source_size", "target").join(taken, "_row", "left")
+    back = placed.select("doc_id", "_row", "size", "source_size", "target", *keys).join(taken, "_row", "left")
     n = F.coalesce("copies", F.lit(0)).cast("long")
-    return back.select("doc_id", "size", "source_size", "target", (n * F.col("size")).alias("taken"), n.alias("copies"))
+    return back.select("doc_id", "size", "source_size", "target", (n * F.col("size")).alias("taken"), n.alias("copies"), *keys)
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:
-    """The mix itself: each document as often as it is taken; columns of documents."""
-    taken = mixed(docs).groupBy("doc_id").agg(F.max("copies").alias("_copies")).where("_copies > 0")
-    rows = packed(docs, _key=F.col("doc_id")).join(taken, F.col("_key").eqNullSafe(F.col("doc_id")))
-    again = rows.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_nth"))
+    """The mix itself: each row as often as mixed() takes it, so the words written are the words taken; columns of documents.
+
+    Rows are known by their id and two hashes of all columns. Rows that share an id but not their columns are taken as often as
+    each of them says; equal rows as often as all of them say. Null ids are ids of their own rows only.
+    """
+    columns = [F.col(f"`{c}`") for c in DOCUMENT_COLUMNS]
+    keys = {"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")), "_h1": F.xxhash64(*columns), "_h2": F.hash(*columns)}
+    taken = mixed(docs, **keys).groupBy(*keys).agg(F.sum("copies").cast("int").alias("_copies")).where("_copies > 0")
+    rows = packed(docs.select(*columns), **keys).join(taken, [*keys])
+    first = F.row_number().over(Window.partitionBy(*keys).orderBy("_copies"))  # of equal rows one stands for all
+    again = rows.withColumn("_first", first).where("_first = 1").select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_nth"))
     return again.select(*[F.col("_row").getField(c).alias(c) for c in DOCUMENT_COLUMNS])
 
 
