@@ -22,10 +22,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import DOCUMENT_COLUMNS, materialize, packed
+from .common import DOCUMENT_COLUMNS, dealt_join, materialize, packed, running_totals
 
 #: Words of a gram, and of the runs whose repetition is guaranteed to be found.
 GRAM_WORDS, RUN_WORDS = 20, 40
@@ -34,6 +34,8 @@ LINE_CHARS = 24
 #: One white-space character that is a newline, follows a sentence end or precedes a capital letter.
 _CUT = re.compile(r"[ \t\n](?:(?<=\n)|(?<=[.!?].)|(?=[A-ZÀ-ÖØ-Þ]))")
 _UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\U00020000-\U0003ffff]")
+#: Bits of a line's number in a place; texts with more lines raise an error.
+PLACE_BITS = 25
 _DETAIL = "key long, hashes array<long>, words array<int>, grams array<struct<h:long,p:int,e:int>>"
 
 
@@ -152,6 +154,8 @@ def _details(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for value in b.column(1):
                 text = value.as_py() or ""
                 h, w = line_hashes(text)
+                if len(h) >> PLACE_BITS:
+                    raise ValueError(f"a text of more than {1 << PLACE_BITS} lines")
                 picked = [(x, p, 0) for x, p in selected_grams(h, w)] + whole_lines(text, h, w)
                 hashes += h
                 words += w
@@ -174,16 +178,28 @@ def _run_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys += [key] * len(found)
             hashes += [x for x, _ in found]
             places += [p for _, p in found]
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(hashes, pa.int64()), pa.array(places, pa.int32())], names=["key", "h", "p"])
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(hashes, pa.int64()), pa.array(places, pa.int32())], names=["no", "h", "p"])
 
 
-def _earliest(place: DataFrame, name: str) -> DataFrame:
-    """(h, n, first): of every hash with several places their number and the earliest (id, key, p).
+def _later(places: DataFrame, name: str) -> DataFrame:
+    """(`places` and n, first): what stands at several places, without the earliest one; n places in all, the earliest is `first`.
 
-    Written, so that a join with it has plain shuffles on both sides and the rows of a popular hash can be split.
+    The table of earliest places is written, so that the join has plain shuffles on both sides and the rows of a popular hash can be split.
     """
-    found = place.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("id", "key", "p")).alias("first"))
-    return materialize(found.where("n > 1"), name)
+    found = places.groupBy("h").agg(F.count("*").alias("n"), F.min("place").alias("first")).where("n > 1")
+    return places.join(materialize(found, name), "h").drop("h")
+
+
+def _text(place: str) -> F.Column:
+    return F.shiftright(place, PLACE_BITS)
+
+
+def _line(place: str) -> F.Column:
+    return F.col(place).bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int")
+
+
+def _place(text: str, line: str) -> F.Column:
+    return F.shiftleft(F.col(text), PLACE_BITS).bitwiseOR(F.col(line).cast("long"))
 
 
 def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,7 +229,7 @@ def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     keys.append(k)
                     begins.append(p - a)
                     ends.append(p + c)
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(begins, pa.int32()), pa.array(ends, pa.int32())], names=["key", "begin", "end"])
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(begins, pa.int32()), pa.array(ends, pa.int32())], names=["no", "begin", "end"])
 
 
 def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -222,33 +238,36 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     The earlier occurrence is that of the smaller id (null first), within a text the earlier line. A line that is deleted
     stays at its earliest occurrence, as every match points to an earlier place.
     """
-    key = row_key(id_col, text_col)
-    rows = docs.select(key.alias("key"), F.col(f"`{text_col}`").alias("text"))
-    detail = materialize(rows.where(F.length("text") > 0).mapInArrow(_details, _DETAIL), "lines")
-    order = docs.select(key.alias("key"), F.col(f"`{id_col}`").cast("long").alias("id")).distinct()
-    ids = materialize(order, "ids")
-    place = detail.select("key", F.explode("grams").alias("g")).select("key", "g.*").distinct().join(ids, "key")
-    found = materialize(place.join(_earliest(place, "first"), "h").select("key", "p", "e", "n", "first"), "found")
-    later = (F.col("key") != F.col("first.key")) | (F.col("p") != F.col("first.p"))
-    lines = detail.select("key", "hashes", "words").dropDuplicates(["key"])
+    rows = docs.select(row_key(id_col, text_col).alias("key"), F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).where(F.length("text") > 0)
+    detail = materialize(rows.select("key", "text").mapInArrow(_details, _DETAIL), "lines")
+    same = ["t1", "t2", "size"]  # what equal texts have in common
+    texts = rows.select("key", "id", F.xxhash64("text").alias("t1"), F.hash("text").alias("t2"), F.length(F.trim("text")).alias("size")).distinct().withColumn("one", F.lit(1))
+    order = materialize(running_totals(texts, ["id", "key"], {"no": "one"}).select("key", "no", *same), "order")
+    first = order.groupBy(*same).agg(F.min("no").alias("first"), F.count("*").alias("n")).where((F.col("n") > 1) & (F.col("size") >= LINE_CHARS))
+    copies = materialize(order.join(materialize(first, "texts"), same).where("no > first").select("key"), "copies")
+    # of repeated rows one is looked at; the join has put them side by side
+    nth = F.row_number().over(Window.partitionBy("key").orderBy("key"))
+    known = detail.join(order.select("key", "no").join(copies, "key", "left_anti"), "key").withColumn("nth", nth).where("nth = 1")
+    known = materialize(known.select("no", "hashes", "words", "grams"), "known")
+    place = known.select("no", F.explode("grams").alias("g")).select("g.h", _place("no", "g.p").alias("place"), "g.e")
+    found = materialize(_later(place, "first"), "found")
+    grams = found.where("e = 0")
     # of two places of a gram the earlier one is the partner of any run around it; of more, it may be another one for each run
-    popular = found.where("e = 0 and n > 2").groupBy("key").agg(F.collect_set("p").alias("places"))
-    wide = popular.join(lines, "key").select("key", "hashes", "words", "places").mapInArrow(_run_hashes, "key long, h long, p int")
-    wide = materialize(wide, "wide").join(ids, "key")
-    wider = wide.join(_earliest(wide, "first_wide"), "h").where(later).select("key", "p", "first")
-    anchors = found.where("e = 0").where(later).select("key", "p", "first").union(wider)
-    pairs = anchors.groupBy("key", F.col("first.key").alias("first")).agg(F.collect_set(F.struct("p", F.col("first.p").alias("p1"))).alias("pairs"))
-    # An early text with a popular passage meets very many later ones; its lines are dealt over `SPREAD` copies.
-    pairs = materialize(pairs, "pairs")
-    busy = pairs.groupBy("first").agg(F.least(F.ceil(F.count("*") / 2000), F.lit(256)).cast("int").alias("spread"))
-    theirs = lines.select(F.col("key").alias("first"), F.col("hashes").alias("theirs")).join(busy, "first").select("first", "theirs", F.explode(F.sequence(F.lit(0), F.col("spread") - 1)).alias("salt"), "spread")
-    salted = pairs.join(busy, "first").select("key", "first", "pairs", F.pmod(F.xxhash64("key"), F.col("spread")).cast("int").alias("salt"))
-    near = salted.join(theirs.drop("spread"), ["first", "salt"])
-    # only the part of the earlier text that can lie beside the later one travels on
-    reach = near.select("key", "first", "pairs", "theirs").join(lines.select("key", F.col("hashes").alias("mine")), "key")
-    runs = reach.select("key", "first", "mine", "theirs", "pairs").mapInArrow(_extend, "key long, begin int, end int")
-    whole = found.where("e > 0").where(later).select("key", F.col("p").alias("begin"), F.col("e").alias("end"))
-    return runs.union(whole).distinct().groupBy("key").agg(F.array_sort(F.collect_set(F.struct("begin", "end"))).alias("runs"))
+    popular = grams.where("n > 2").groupBy(_text("place").alias("no")).agg(F.collect_set(_line("place")).alias("lines"))
+    lines = known.select("no", "hashes", "words")
+    wide = popular.join(lines, "no").select("no", "hashes", "words", "lines").mapInArrow(_run_hashes, "no long, h long, p int")
+    wide = materialize(wide.select("h", _place("no", "p").alias("place")), "wide")
+    anchors = grams.select("place", "first").union(_later(wide, "first_wide").select("place", "first")).where("place <> first")
+    at = F.collect_set(F.struct(_line("place").alias("p"), _line("first").alias("p1"))).alias("pairs")
+    pairs = materialize(anchors.groupBy(_text("place").alias("no"), _text("first").alias("earlier")).agg(at), "pairs")
+    # an early text with a popular passage meets very many later ones: its lines are dealt over copies
+    near = dealt_join(pairs, lines.select(F.col("no").alias("earlier"), F.col("hashes").alias("theirs")), "earlier", ["no"])
+    reach = near.join(lines.select("no", F.col("hashes").alias("mine")), "no")
+    runs = reach.select("no", "earlier", "mine", "theirs", "pairs").mapInArrow(_extend, "no long, begin int, end int")
+    whole = found.where("e > 0 and place <> first").select(_text("place").alias("no"), _line("place").alias("begin"), F.col("e").alias("end"))
+    cut = runs.union(whole).distinct().groupBy("no").agg(F.array_sort(F.collect_set(F.struct("begin", "end"))).alias("runs"))
+    all_of_it = F.array(F.struct(F.lit(0).alias("begin"), F.lit((1 << 31) - 1).alias("end")))
+    return cut.join(order.select("key", "no"), "no").select("key", "runs").union(copies.select("key", all_of_it.alias("runs")))
 
 
 def row_key(id_col: str, text_col: str) -> F.Column:
@@ -274,7 +293,9 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Null texts stay null, texts without repeated runs stay as they are, a text whose every line occurred earlier becomes empty; no
     row is dropped. Rows with equal id and text are one document and get the same text. Common lines shorter than LINE_CHARS
-    characters stay, unless they are part of a repeated run.
+    characters stay, unless they are part of a repeated run. Of equal texts that of the smallest id stays, null before all; ties of rows with one
+    id go by a hash of the text. Texts are cut whole, up to 2^PLACE_BITS lines; more raise an error. Other columns stay as they are,
+    an empty table gives an empty result.
     """
     schema = docs.schema
     names = docs.columns
