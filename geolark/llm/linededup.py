@@ -13,9 +13,7 @@ RUN_WORDS words, is selected as it is and deleted wherever it occurred earlier.
 
 from __future__ import annotations
 
-import itertools
 import re
-from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +31,10 @@ GRAM_WORDS, RUN_WORDS = 20, 40
 LINE_CHARS = 24
 #: One white-space character that is a newline, follows a sentence end or precedes a capital letter.
 _CUT = re.compile(r"[ \t\n](?:(?<=\n)|(?<=[.!?].)|(?=[A-ZÀ-ÖØ-Þ]))")
-_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\U00020000-\U0003ffff]")
+_UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x9FFF), (0x20000, 0x2FFFF))
+_SPACE = np.zeros(0x110000, bool)
+_SPACE[[c for c in range(0x3100) if chr(c).isspace()]] = True
+_BASE = 0x9E3779B97F4A7C15
 #: Bits of a line's number in a place; texts with more lines raise an error.
 PLACE_BITS = 25
 _DETAIL = "key long, hashes array<long>, words array<int>, grams array<struct<h:long,p:int,e:int>>"
@@ -41,144 +42,169 @@ _DETAIL = "key long, hashes array<long>, words array<int>, grams array<struct<h:
 
 def line_spans(text: str) -> list[tuple[int, int]]:
     """Start and end of every line; one separator character lies between two of them."""
-    at, out = 0, []
-    for line in _CUT.split(text):
-        out.append((at, at + len(line)))
-        at += len(line) + 1
-    return out
+    starts, lens = _starts(text)
+    return list(zip(starts[:-1].tolist(), (starts[:-1] + lens).tolist(), strict=True))
 
 
-def line_hashes(text: str) -> tuple[list[int], list[int]]:
-    """Hash (signed) and word count of every line; blank lines count no words, two characters of a script without spaces count as one."""
-    digest = xxhash.xxh64_intdigest
+def _starts(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Where every line starts (and one entry for the end of the text and a separator), and the lines' lengths."""
     lines = _CUT.split(text)
-    words = [x.count(" ") + 1 if x else 0 for x in lines]
-    if not text.isascii() and _UNSPACED.search(text):
-        words = [w + len(_UNSPACED.findall(x)) // 2 for w, x in zip(words, lines, strict=True)]
-    try:
-        return [digest(x) - (1 << 63) for x in lines], words
-    except UnicodeEncodeError:  # lone surrogates
-        return [digest(x.encode("utf-8", "surrogatepass")) - (1 << 63) for x in lines], words
-
-
-def whole_lines(text: str, hashes: list[int], words: list[int], run_words: int = RUN_WORDS) -> list[tuple[int, int, int]]:
-    """(hash, first, end) of what stands between two newlines, in the lines of `hashes`, and of a text of less than `run_words` words."""
-
-    def counts(part: str) -> bool:
-        n = len(part)
-        return n >= LINE_CHARS or 3 * n >= LINE_CHARS and not part.isascii() and n + 2 * len(_UNSPACED.findall(part)) >= LINE_CHARS
-
-    raw = np.asarray(hashes, np.int64).tobytes()
-    at, found = 0, []
-    for part in text.split("\n"):
-        end = at + len(_CUT.split(part))
-        if counts(part.strip()):
-            found.append((at, end))
-        at = end
-    if 0 < sum(words) < run_words and (0, at) not in found and counts(text.strip()):
-        found.append((0, at))
-    return [(xxhash.xxh64_intdigest(raw[8 * a : 8 * b]) - (1 << 63), a, b) for a, b in found]
-
-
-def winnowed(hashes: list[int], words: list[int], gram_words: int = GRAM_WORDS, run_words: int = RUN_WORDS) -> tuple[list[int], list[tuple[int, int, int]]]:
-    """Hashes of the grams by their place, and (begin, end, place of the gram selected) of every shortest run of `run_words` words."""
-    n = len(hashes)
-    total = [0, *itertools.accumulate(words)]
-    if total[n] < run_words:
-        return [], []
-    raw = np.asarray(hashes, np.int64).tobytes()
-    digest = xxhash.xxh64_intdigest
-    gram: list[int] = []  # hash of the gram that starts at each line, as far as they have been needed
-    runs: list[tuple[int, int, int]] = []
-    queue: deque[int] = deque()  # places of increasing hash
-    end_run = nxt = end_gram = 0
-    for i in range(n):
-        least = total[i] + run_words
-        while end_run < n and total[end_run] < least:
-            end_run += 1
-        if total[end_run] < least:
-            break
-        while nxt < end_run:  # grams that end within the run from line i
-            want = total[nxt] + gram_words
-            while end_gram < end_run and total[end_gram] < want:
-                end_gram += 1
-            if total[end_gram] < want:
-                break
-            h = digest(raw[8 * nxt : 8 * end_gram])
-            gram.append(h)
-            while queue and gram[queue[-1]] >= h:
-                queue.pop()
-            queue.append(nxt)
-            nxt += 1
-        while queue[0] < i:
-            queue.popleft()
-        if words[i]:
-            runs.append((i, end_run, queue[0]))
-    return gram, runs
-
-
-def selected_grams(hashes: list[int], words: list[int], gram_words: int = GRAM_WORDS, run_words: int = RUN_WORDS) -> list[tuple[int, int]]:
-    """(hash, place) of the grams that are the smallest in some run of `run_words` words, rightmost of equals."""
-    gram, runs = winnowed(hashes, words, gram_words, run_words)
-    return [(gram[p] - (1 << 63), p) for p in dict.fromkeys(p for _, _, p in runs)]
-
-
-def run_hashes(hashes: list[int], words: list[int], places: set[int]) -> list[tuple[int, int]]:
-    """(hash, place of the gram) of every run that selected one of the grams at `places`: the shortest from each line on, and up to each line.
-
-    Of any run of RUN_WORDS words, these cover every line.
-    """
-    _, runs = winnowed(hashes, words)
-    raw = np.asarray(hashes, np.int64).tobytes()
-    total = [0, *itertools.accumulate(words)]
-    found = {(a, b): p for a, b, p in runs if p in places}
-    at = {a: p for a, _, p in runs}
-    begin = 0
-    for end in range(1, len(hashes) + 1):
-        while total[end] - total[begin + 1] >= RUN_WORDS:
-            begin += 1
-        if words[end - 1] and total[end] - total[begin] >= RUN_WORDS and at[begin] in places:
-            found[begin, end] = at[begin]
-    return [(xxhash.xxh64_intdigest(raw[8 * a : 8 * b]) - (1 << 63), p) for (a, b), p in found.items()]
+    lens = np.fromiter(map(len, lines), np.int64, len(lines))
+    return np.concatenate([[0], np.cumsum(lens + 1)]), lens
 
 
-def _lists(offsets: list[int], values: pa.Array) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(offsets)]), pa.int32()), values)
+def _wide(points: np.ndarray) -> np.ndarray:
+    """Which code points are of scripts without spaces."""
+    out = np.zeros(len(points), bool)
+    if points.max(initial=0) >= _UNSPACED[0][0]:
+        for a, b in _UNSPACED:
+            out |= (points >= a) & (points <= b)
+    return out
+
+
+class Lines:
+    """The lines of several texts one after another: hashes, word counts, and where each text's lines begin.
+
+    A hash of a stretch of lines is a polynomial of theirs modulo 2^64, mixed with its length; prefix sums give that of any stretch.
+    """
+
+    def __init__(self, hashes: np.ndarray, words: np.ndarray, begin: np.ndarray):
+        self.hashes, self.words, self.begin = hashes.view(np.uint64), words.astype(np.int64), begin
+        n = len(hashes)
+        self.text_end = np.repeat(begin[1:], np.diff(begin))
+        self.total = np.concatenate([[0], np.cumsum(self.words)])
+        step = lambda base: np.multiply.accumulate(np.append(np.uint64(1), np.full(n, base, np.uint64)))
+        power, self.back = step(_BASE), step(pow(_BASE, -1, 1 << 64))
+        self.prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.hashes * power[:n], dtype=np.uint64)])
+
+    @classmethod
+    def of_texts(cls, texts: list[str]) -> tuple[Lines, np.ndarray, np.ndarray]:
+        """The lines, and from and to which line each stretch goes that counts on its own: a long enough line between newlines, or a short text."""
+        joined = "\n".join(texts)
+        points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        lines = _CUT.split(joined)
+        digest = xxhash.xxh64_intdigest
+        try:
+            hashes = np.fromiter(map(digest, lines), np.uint64, len(lines))
+        except UnicodeEncodeError:  # lone surrogates
+            hashes = np.fromiter((digest(x.encode("utf-8", "surrogatepass")) for x in lines), np.uint64, len(lines))
+        lens = np.fromiter(map(len, lines), np.int64, len(lines))
+        ends = np.cumsum(lens + 1) - 1  # where the separator after each line stands
+        held = lambda mask: np.concatenate([[0], np.cumsum(mask)])
+        spaces, unspaced = held(points == 32), held(_wide(points))
+        inside = lambda total, a, b: total[b] - total[a]
+        words = np.where(lens > 0, inside(spaces, ends - lens, ends) + 1 + inside(unspaced, ends - lens, ends) // 2, 0)
+        text_ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1) - 1
+        begin = np.concatenate([[0], np.searchsorted(ends, text_ends) + 1])
+        solid = np.flatnonzero(~_SPACE[points])
+
+        def long_enough(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            low, high = np.searchsorted(solid, a), np.searchsorted(solid, b) - 1
+            size = np.where(high >= low, solid[np.maximum(high, 0)] - solid[np.minimum(low, len(solid) - 1)] + 1, 0) if len(solid) else np.zeros(len(a), np.int64)
+            return size + 2 * inside(unspaced, a, b) >= LINE_CHARS
+
+        out = cls(hashes, words, begin)
+        newline = np.append(np.flatnonzero(points == 10), len(points))
+        a, b = np.concatenate([[0], newline[:-1] + 1]), newline
+        whole = long_enough(a, b)
+        first, last = np.searchsorted(ends, a - 1) + (a > 0), np.searchsorted(ends, b) + 1
+        amount = out.total[begin[1:]] - out.total[begin[:-1]]
+        short = (amount > 0) & (amount < RUN_WORDS) & long_enough(text_ends - np.diff(text_ends, prepend=-1) + 1, text_ends)
+        stretch = np.unique(np.stack([np.append(first[whole], begin[:-1][short]), np.append(last[whole], begin[1:][short])], 1), axis=0)
+        return out, stretch[:, 0], stretch[:, 1]
+
+    def hash_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Hash (signed) of the lines from each a up to each b."""
+        x = (self.prefix[b] - self.prefix[a]) * self.back[a] + (b - a).astype(np.uint64) * np.uint64(_BASE)
+        for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(by)
+        return (x ^ (x >> np.uint64(31))).view(np.int64)
+
+    def winnow(self, gram_words: int = GRAM_WORDS, run_words: int = RUN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(begin, end, place, hash) of every shortest run of `run_words` words and of the gram selected in it: the smallest, rightmost of equals."""
+        n = len(self.hashes)
+        ahead = lambda least: np.searchsorted(self.total, self.total[:n] + least)
+        run, gram = ahead(run_words), ahead(gram_words)
+        at = np.flatnonzero((run <= self.text_end) & (self.words > 0))
+        if not len(at):
+            return at, at, at, at
+        last = np.searchsorted(gram, run[at], "right") - 1  # the last gram that ends within the run
+        value = self.hash_of(np.arange(n), np.minimum(gram, n))
+        better = lambda i, j: np.where(value[j] <= value[i], j, i)  # noqa: E731, the right one of equals
+        level = np.log2(last - at + 1).astype(np.int64)
+        best = np.zeros(len(at), np.int64)
+        table = np.arange(n)
+        for k in range(int(level.max()) + 1):
+            mine = np.flatnonzero(level == k)
+            best[mine] = better(table[at[mine]], table[last[mine] - (1 << k) + 1])
+            table = better(table[: max(0, len(table) - (1 << k))], table[1 << k :])
+        return at, run[at], best, value[best]
+
+    def runs_around(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(hash, place of the gram) of every run that selected a gram where `chosen` is true: the shortest from each line on, and up to each line.
+
+        Of any run of RUN_WORDS words, these cover every line.
+        """
+        begin, end, place, _ = self.winnow()
+        if not len(begin):
+            return begin, begin
+        of = np.full(len(self.hashes) + 1, -1)
+        of[begin] = place
+        till = np.flatnonzero(self.words) + 1
+        start = np.searchsorted(self.total, self.total[till] - RUN_WORDS, "right") - 1
+        text_begin = np.repeat(self.begin[:-1], np.diff(self.begin))
+        ok = (start >= text_begin[till - 1]) & (self.total[till] >= RUN_WORDS)
+        till, start = till[ok], start[ok]
+        a, b = np.append(begin, start), np.append(end, till)
+        keep = (of[a] >= 0) & chosen[of[a]]
+        both = np.unique(np.stack([a[keep], b[keep]], 1), axis=0)
+        return self.hash_of(both[:, 0], both[:, 1]), of[both[:, 0]]
+
+
+def _lists(counts: np.ndarray, values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), values)
 
 
 def _details(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for at in range(0, len(whole), 500):
             b = whole.slice(at, 500)
-            hashes, words, grams, places, ends, n_lines, n_grams = [], [], [], [], [], [], []
-            for value in b.column(1):
-                text = value.as_py() or ""
-                h, w = line_hashes(text)
-                if len(h) >> PLACE_BITS:
-                    raise ValueError(f"a text of more than {1 << PLACE_BITS} lines")
-                picked = [(x, p, 0) for x, p in selected_grams(h, w)] + whole_lines(text, h, w)
-                hashes += h
-                words += w
-                grams += [x for x, _, _ in picked]
-                places += [p for _, p, _ in picked]
-                ends += [e for _, _, e in picked]
-                n_lines.append(len(h))
-                n_grams.append(len(picked))
-            gram = pa.StructArray.from_arrays([pa.array(grams, pa.int64()), pa.array(places, pa.int32()), pa.array(ends, pa.int32())], ["h", "p", "e"])
-            lines = [_lists(n_lines, pa.array(hashes, pa.int64())), _lists(n_lines, pa.array(words, pa.int32()))]
-            yield pa.RecordBatch.from_arrays([b.column(0), *lines, _lists(n_grams, gram)], names=["key", "hashes", "words", "grams"])
+            lines, first, end = Lines.of_texts([x or "" for x in b.column(1).to_pylist()])
+            size = np.diff(lines.begin)
+            if size.max(initial=0) >> PLACE_BITS:
+                raise ValueError(f"a text of more than {1 << PLACE_BITS} lines")
+            place = np.unique(lines.winnow()[2])
+            at_gram = lines.hash_of(place, np.searchsorted(lines.total, lines.total[place] + GRAM_WORDS))
+            h, p, e = np.append(at_gram, lines.hash_of(first, end)), np.append(place, first), np.append(np.zeros(len(place), np.int64), end)
+            owner = np.searchsorted(lines.begin, p, "right") - 1
+            order = np.argsort(owner, kind="stable")
+            h, p, e, owner = h[order], p[order], e[order], owner[order]
+            p, e = p - lines.begin[owner], np.where(e > 0, e - lines.begin[owner], 0)
+            gram = pa.StructArray.from_arrays([pa.array(h, pa.int64()), pa.array(p.astype(np.int32)), pa.array(e.astype(np.int32))], ["h", "p", "e"])
+            columns = [_lists(size, pa.array(lines.hashes.view(np.int64))), _lists(size, pa.array(lines.words.astype(np.int32))), _lists(np.bincount(owner, minlength=len(b)), gram)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=["key", "hashes", "words", "grams"])
+
+
+def _flat(column: pa.ListArray) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False)
+
+
+def _offsets(column: pa.ListArray) -> np.ndarray:
+    at = column.offsets.to_numpy().astype(np.int64)
+    return at - at[0]
 
 
 def _run_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts with popular grams at some places: the runs that selected these."""
-    for b in batches:
-        keys, hashes, places = [], [], []
-        for key, h, w, at in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-            found = run_hashes(h, w, set(at))
-            keys += [key] * len(found)
-            hashes += [x for x, _ in found]
-            places += [p for _, p in found]
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(hashes, pa.int64()), pa.array(places, pa.int32())], names=["no", "h", "p"])
+    for whole in batches:
+        for at in range(0, len(whole), 500):
+            b = whole.slice(at, 500)
+            lines = Lines(_flat(b.column(1)).astype(np.int64), _flat(b.column(2)), _offsets(b.column(1)))
+            chosen = np.zeros(len(lines.hashes), bool)
+            chosen[_flat(b.column(3)) + np.repeat(lines.begin[:-1], np.diff(_offsets(b.column(3))))] = True
+            h, p = lines.runs_around(chosen)
+            owner = np.searchsorted(lines.begin, p, "right") - 1
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(owner)), pa.array(h, pa.int64()), pa.array((p - lines.begin[owner]).astype(np.int32))], names=["no", "h", "p"])
 
 
 def _later(places: DataFrame, name: str) -> DataFrame:
@@ -202,33 +228,36 @@ def _place(text: str, line: str) -> F.Column:
     return F.shiftleft(F.col(text), PLACE_BITS).bitwiseOR(F.col(line).cast("long"))
 
 
+def extended(x: np.ndarray, y: np.ndarray, here: np.ndarray, there: np.ndarray) -> list[tuple[int, int]]:
+    """The runs of x that anchors (a line of x beside one of y) grow to while the lines agree."""
+    out: set[tuple[int, int]] = set()
+    shift = here - there
+    for d in np.unique(shift).tolist():
+        low, high = max(0, d), min(len(x), len(y) + d)
+        differ = np.concatenate([[low - 1], np.flatnonzero(x[low:high] != y[low - d : high - d]) + low, [high]])
+        p = here[shift == d]
+        k = np.searchsorted(differ, p)
+        agree = differ[k] != p
+        out.update(zip((differ[k[agree] - 1] + 1).tolist(), differ[k[agree]].tolist(), strict=True))
+    return sorted(out)
+
+
 def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Matched runs of one later text and one earlier one: grow each anchor while hashes agree."""
+    """Matched runs of one later text and one earlier one; inside one text only what lies further back counts as earlier."""
     for b in batches:
-        key, first = b.column(0).to_pylist(), b.column(1).to_pylist()
-        (mine, m_at), (theirs, t_at), (pairs, p_at) = ((b.column(i).values, b.column(i).offsets.to_pylist()) for i in (2, 3, 4))
-        mine, theirs = mine.to_numpy(zero_copy_only=False), theirs.to_numpy(zero_copy_only=False)
-        here_all, there_all = (pairs.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        no, earlier = b.column(0).to_pylist(), b.column(1).to_pylist()
+        (mine, m_at), (theirs, t_at) = ((_flat(b.column(i)), _offsets(b.column(i)).tolist()) for i in (2, 3))
+        pairs, p_at = b.column(4).flatten(), _offsets(b.column(4)).tolist()
+        here_all, there_all = (pairs.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
         keys, begins, ends = [], [], []
-        for i, k in enumerate(key):
-            same = k == first[i]
-            x, y = mine[m_at[i] : m_at[i + 1]].tolist(), theirs[t_at[i] : t_at[i + 1]].tolist()
+        for i, k in enumerate(no):
             here, there = here_all[p_at[i] : p_at[i + 1]], there_all[p_at[i] : p_at[i + 1]]
-            order = np.argsort(here, kind="stable")
-            done: dict[int, int] = {}
-            for p, q in zip(here[order].tolist(), there[order].tolist(), strict=True):
-                if done.get(p - q, -1) > p:
-                    continue  # inside the run that an earlier anchor of this diagonal grew to
-                a, c, back, on = 0, 0, min(p, q), min(len(x) - p, len(y) - q)
-                while a < back and x[p - a - 1] == y[q - a - 1]:
-                    a += 1
-                while c < on and x[p + c] == y[q + c]:
-                    c += 1
-                done[p - q] = p + c
-                if not (same and p <= q):
-                    keys.append(k)
-                    begins.append(p - a)
-                    ends.append(p + c)
+            if k == earlier[i]:
+                here, there = here[here > there], there[here > there]
+            found = extended(mine[m_at[i] : m_at[i + 1]], theirs[t_at[i] : t_at[i + 1]], here, there)
+            keys += [k] * len(found)
+            begins += [x for x, _ in found]
+            ends += [x for _, x in found]
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(begins, pa.int32()), pa.array(ends, pa.int32())], names=["no", "begin", "end"])
 
 
@@ -275,17 +304,18 @@ def row_key(id_col: str, text_col: str) -> F.Column:
 
 
 def cut_runs(text: str, runs: list[tuple[int, int]]) -> tuple[str, int]:
-    """`text` without the lines of `runs` (and the separators after them), and the number of lines deleted."""
-    spans = line_spans(text)
-    gone = np.zeros(len(spans), bool)
+    """`text` without the lines of `runs` (sorted) and the separators after them, and the number of lines deleted."""
+    starts, _ = _starts(text)
+    n = len(starts) - 1
+    out, at, gone, last = [], 0, 0, False
     for a, b in runs:
-        gone[a:b] = True
-    out, n = [], len(spans)
-    for i, (a, b) in enumerate(spans):
-        if not gone[i]:
-            out.append(text[a : spans[i + 1][0] if i + 1 < n else b])
+        a, b = max(a, at), min(b, n)
+        if a < b:
+            out.append(text[starts[at] : starts[a]])
+            at, gone, last = b, gone + b - a, b == n
+    out.append(text[starts[at] :])
     kept = "".join(out)
-    return (kept.rstrip(" \t\n") if gone[-1] else kept), int(gone.sum())
+    return (kept.rstrip(" \t\n") if last else kept), gone
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -300,12 +330,12 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     schema = docs.schema
     names = docs.columns
     at = names.index(text_col)
-    runs = repeated_runs(docs, id_col, text_col)
+    runs = repeated_runs(docs, id_col, text_col).select("key", F.flatten(F.transform("runs", lambda r: F.array(r["begin"], r["end"]))).alias("runs"))
     joined = packed(docs, _key=row_key(id_col, text_col)).join(runs.withColumnRenamed("key", "_key"), "_key", "left")
 
     @F.pandas_udf("text string, n int")
     def cut(text: pd.Series, runs: pd.Series) -> pd.DataFrame:
-        out = [(None, 0) if r is None or t is None else cut_runs(t, [(x["begin"], x["end"]) for x in r]) for t, r in zip(text, runs, strict=True)]
+        out = [(None, 0) if r is None or t is None else cut_runs(t, r.reshape(-1, 2).tolist()) for t, r in zip(text, runs, strict=True)]
         return pd.DataFrame(out, columns=["text", "n"])
 
     text = F.col("_row").getField(text_col)

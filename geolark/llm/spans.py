@@ -2,9 +2,40 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+_HITS = "array<struct<start:bigint,end:bigint,match:string,value:string,before:string,after:string>>"
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is computed once, whatever number of times it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
+def running_sums(numbers: Column) -> Column:
+    """Inclusive prefix sums of an array of longs.
+
+    A fold that appends copies its result at every step, so the array is folded in blocks of the root of its length and the blocks'
+    own sums in one more fold: n numbers cost n * sqrt(n) copied longs.
+    """
+    last = lambda a: F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0).cast("long"))
+    none = F.array().cast("array<bigint>")
+    append = lambda acc, x: F.concat(acc, F.array(last(acc) + x))
+
+    def blocks(all_: Column) -> Column:
+        size = F.greatest(F.lit(16), F.ceil(F.sqrt(F.size(all_)))).cast("int")
+        starts = F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / size).cast("int"))
+        return F.transform(starts, lambda b: F.aggregate(F.slice(all_, b * size + 1, size), none, append))
+
+    def whole(parts: Column) -> Column:
+        heads = F.aggregate(parts, F.array(F.lit(0).cast("long")), lambda acc, b: append(acc, last(b)))
+        return bound(heads, lambda h: F.flatten(F.transform(parts, lambda b, i: F.transform(b, lambda x: x + F.get(h, i)))))
+
+    return bound(numbers, lambda n: F.when(F.size(n) > 0, bound(blocks(n), whole)).otherwise(none))
+
 
 def find_all(text: Column, regex: str, group: int = 0, context: int = 0) -> Column:
     """Array of (start, end, match, value, before, after) of all leftmost non-overlapping matches of a Java regex.
@@ -12,23 +43,27 @@ def find_all(text: Column, regex: str, group: int = 0, context: int = 0) -> Colu
     value is the given group; before and after are up to `context` characters on each side, within the stretch that no match of the
     same regex covers. Positions add up the lengths of the pieces between matches, so `regex` must not match the empty string.
     """
-    pieces = F.split(text, regex, -1)
-    hits = F.regexp_extract_all(text, F.lit(regex), F.lit(0))
-    values = hits if group == 0 else F.regexp_extract_all(text, F.lit(regex), F.lit(group))
-    first = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(_HITS).alias("out"))
-    nth = F.arrays_zip(F.transform(hits, lambda _, i: i).alias("i"), hits.alias("hit"), values.alias("value"), F.slice(pieces, 1, F.size(hits)).alias("piece"), F.slice(pieces, 2, F.size(hits)).alias("next"))
 
-    def step(state: Column, x: Column) -> Column:
-        start = state["at"] + F.length(x["piece"])
-        end = start + F.length(x["hit"])
-        side = (F.substring(x["piece"], -context, context), F.substring(x["next"], 1, context)) if context else (F.lit(""), F.lit(""))
-        one = F.struct(start.cast("long").alias("start"), end.cast("long").alias("end"), x["hit"].alias("match"), x["value"].alias("value"), side[0].alias("before"), side[1].alias("after"))
-        return F.struct(end.cast("long").alias("at"), F.concat(state["out"], F.array(one)).alias("out"))
+    def located(hits: Column, values: Column | None, pieces: Column) -> Column:
+        steps = F.transform(hits, lambda _, i: (F.length(F.get(pieces, i)) + F.coalesce(F.length(F.get(hits, i - 1)), F.lit(0))).cast("long"))
 
-    return F.when(F.size(hits) > 0, F.aggregate(nth, first, step)["out"]).otherwise(F.array().cast(_HITS))
+        def one(starts: Column) -> Column:
+            def row(x: Column, i: Column) -> Column:
+                start = F.get(starts, i)
+                side = (F.substring(F.get(pieces, i), -context, context), F.substring(F.get(pieces, i + 1), 1, context)) if context else (F.lit(""), F.lit(""))
+                value = x if values is None else F.get(values, i)
+                return F.struct(start.alias("start"), (start + F.length(x)).alias("end"), x.alias("match"), value.alias("value"), side[0].alias("before"), side[1].alias("after"))
 
+            return F.transform(hits, row)
 
-_HITS = "array<struct<start:bigint,end:bigint,match:string,value:string,before:string,after:string>>"
+        return bound(running_sums(steps), one)
+
+    def found(hits: Column) -> Column:
+        pieces = lambda values: bound(F.split(text, regex, -1), lambda p: located(hits, values, p))
+        every = pieces(None) if group == 0 else bound(F.regexp_extract_all(text, F.lit(regex), F.lit(group)), pieces)
+        return F.when(F.size(hits) > 0, every).otherwise(F.array().cast(_HITS))
+
+    return bound(F.regexp_extract_all(text, F.lit(regex), F.lit(0)), found)
 
 
 def joined(spans: Column) -> Column:

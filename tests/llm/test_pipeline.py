@@ -23,7 +23,7 @@ def test_stages(spark, tmp_path):
             assert {r.doc_id for r in docs.collect()} == {r.doc_id for r in before.collect()}
             grams: dict = {}
             for r in docs.collect():
-                for h, _ in linededup.selected_grams(*linededup.line_hashes(r.text)):
+                for h in linededup.Lines.of_texts([r.text])[0].winnow()[3].tolist():
                     assert grams.setdefault(h, r.doc_id) == r.doc_id
         if name == "near_dedup":
             assert len({r.doc_id for r in docs.collect()}) == kept[-1] < kept[-2]

@@ -97,6 +97,33 @@ def test_ledger_scans_only_unseen(spark, tmp_path):
     assert got[1].spans == got[2].spans and got[1].n_access == 2
 
 
+def test_ledger_keeps_rule_versions_apart(spark, tmp_path):
+    ledger = str(tmp_path / "ledger")
+    docs = spark.createDataFrame([(1, "key 01234567890123456789"), (2, None)], "doc_id long, text string")
+    rule = lambda least, version: secretscan.Rule("hex", r"[0-9a-f]{16,}+", least, version=version)
+    seen = [{r.doc_id: (r.n_hex, r.spans) for r in secretscan.scan(docs, ledger, (rule(n, v),)).collect()} for n, v in ((16, 1), (40, 2), (16, 3), (16, 1))]
+    assert [x[1] for x in seen] == [(1, "hex:4:24"), (0, ""), (1, "hex:4:24"), (1, "hex:4:24")] and all(x[2] == (0, "") for x in seen)
+    turned = {r.doc_id: r for r in secretscan.scan(docs, ledger, tuple(reversed(secretscan.RULES))).collect()}
+    plain = {r.doc_id: r for r in secretscan.scan(docs).collect()}
+    assert turned == plain  # another order of the rules changes nothing
+    # the same scan recorded twice, as by two runs at once
+    spark.read.schema(secretscan._LEDGER).parquet(ledger).write.parquet(f"{ledger}/batch=again")
+    assert {r.doc_id: r for r in secretscan.scan(docs, ledger).collect()} == plain
+
+
+def test_many_matches_in_one_text(spark):
+    from pyspark.sql import functions as F
+
+    from geolark.llm import spans
+
+    n = 100_000
+    d = spark.createDataFrame([(1, "ab1" * n)], "doc_id long, text string")
+    got = d.select(spans.find_all(F.col("text"), "[0-9]").alias("h")).select(F.size("h").alias("n"), F.element_at("h", -1).alias("last"), F.element_at("h", 777).alias("some")).first()
+    assert (got["n"], got["last"]["start"], got["last"]["end"], got["some"]["start"]) == (n, 3 * n - 1, 3 * n, 776 * 3 + 2)
+    many = spark.createDataFrame([(1, "x@y.zz " * 20_000 + "0123456789abcdef " * 20_000)], "doc_id long, text string")
+    assert pii.find_personal_data(many).first().n_email == 20_000 and secretscan.scan(many).first().n_hex == 20_000
+
+
 def sentences(rng, n):
     return [" ".join([f"W{rng.integers(10**6)}", *(f"w{rng.integers(10**6)}" for _ in range(9))]) + "." for _ in range(n)]
 
@@ -159,6 +186,38 @@ def test_a_run_meets_a_text_that_shares_all_of_it(spark):
         assert not any(x in got[i] for x in passage)
 
 
+def lines_of(hashes, words):
+    return linededup.Lines(np.asarray(hashes, np.int64), np.asarray(words), np.array([0, len(hashes)]))
+
+
+def selected(hashes, words):
+    return set(lines_of(hashes, words).winnow()[3].tolist())
+
+
+def test_selected_grams_against_a_plain_version():
+    rng = np.random.default_rng(9)
+    for _ in range(40):
+        n = int(rng.integers(1, 40))
+        words = [int(x) for x in rng.integers(0, 16, n)]
+        hashes = [int(x) for x in rng.integers(0, 4, n)]  # few values: many ties
+        many = linededup.Lines(np.asarray(hashes * 2, np.int64), np.asarray(words * 2), np.array([0, n, 2 * n]))
+        one = lines_of(hashes, words)
+        total = np.concatenate([[0], np.cumsum(words)])
+        shortest = lambda i, least: next((j for j in range(i, n + 1) if total[j] - total[i] >= least), None)  # noqa: E731, B023
+        want = []
+        for i in range(n):
+            end = shortest(i, linededup.RUN_WORDS)
+            if end is None or not words[i]:
+                continue
+            grams = [(k, shortest(k, linededup.GRAM_WORDS)) for k in range(i, end)]
+            value = {k: int(one.hash_of(np.array([k]), np.array([e]))[0]) for k, e in grams if e is not None and e <= end}
+            want.append((i, end, max(k for k in value if value[k] == min(value.values()))))
+        begin, end, place, _ = one.winnow()
+        assert list(zip(begin.tolist(), end.tolist(), place.tolist(), strict=True)) == want
+        twice = many.winnow()
+        assert twice[0].tolist() == begin.tolist() + (begin + n).tolist() and twice[2].tolist() == place.tolist() + (place + n).tolist()
+
+
 def test_runs_of_a_popular_gram_cover_every_shared_run():
     rng = np.random.default_rng(8)
     for _ in range(50):
@@ -167,14 +226,15 @@ def test_runs_of_a_popular_gram_cover_every_shared_run():
         a, b = sorted(int(x) for x in rng.integers(0, 26, 2))
         if sum(words[a:b]) < linededup.RUN_WORDS:
             continue
-        inside = {h for h, _ in linededup.run_hashes(hashes[a:b], words[a:b], set(range(25)))}
+        around = lambda h, w: set(lines_of(h, w).runs_around(np.ones(len(h), bool))[0].tolist())
+        inside = around(hashes[a:b], words[a:b])
         gone = set()
         for i in range(a, b):
             for j in range(i + 1, b + 1):
-                if linededup.xxhash.xxh64_intdigest(np.asarray(hashes[i:j], np.int64).tobytes()) - (1 << 63) in inside:
+                if lines_of(hashes, words).hash_of(np.array([i]), np.array([j]))[0] in inside:
                     gone |= set(range(i, j))
         assert gone >= {i for i in range(a, b) if words[i]}
-        assert inside <= {h for h, _ in linededup.run_hashes(hashes, words, set(range(25)))}
+        assert inside <= around(hashes, words)
 
 
 def test_selected_grams_are_shared_by_any_long_shared_run():
@@ -182,10 +242,23 @@ def test_selected_grams_are_shared_by_any_long_shared_run():
     for _ in range(50):
         run = [(int(rng.integers(2**60)), int(rng.integers(1, 15))) for _ in range(20)]
         texts = [[(int(rng.integers(2**60)), int(rng.integers(1, 15))) for _ in range(rng.integers(0, 9))] + run + [(int(rng.integers(2**60)), 5)] * int(rng.integers(0, 5)) for _ in range(2)]
-        a, b = ({h for h, _ in linededup.selected_grams(*map(list, zip(*t, strict=True)))} for t in texts)
+        a, b = (selected(*map(list, zip(*t, strict=True))) for t in texts)
         assert sum(w for _, w in run) < linededup.RUN_WORDS or a & b
 
 
+def test_lines_of_texts():
+    texts = ["", "One two. Three four\nfive  six \n\nA line of more than twenty-four characters\tEnd", "漢字仮名交文章文 漢字", "\n", "short"]
+    lines, first, end = linededup.Lines.of_texts(texts)
+    per = [[t[a:b] for a, b in linededup.line_spans(t)] for t in texts]
+    assert np.diff(lines.begin).tolist() == [len(x) for x in per]
+    flat = [x for p in per for x in p]
+    assert [linededup.xxhash.xxh64_intdigest(x) for x in flat] == lines.hashes.tolist()
+    assert lines.words.tolist() == [(x.count(" ") + 1 + sum(0x3400 <= ord(c) <= 0x9FFF for c in x) // 2) if x else 0 for x in flat]
+    assert {tuple(flat[a:b]) for a, b in zip(first, end, strict=True)} == {tuple(per[1]), ("A line of more than twenty-four characters", "End"), tuple(per[2])}
+    one, a, b = linededup.Lines.of_texts([texts[2]])
+    assert (a.tolist(), b.tolist()) == ([0], [1])
+
+
 def test_language_parser_counts_longest_matches():
     sample = {"a": "the cat sat on the mat", "b": "le chat est sur le tapis"}
     parser = langid.CrossParser(sample)
@@ -260,6 +333,9 @@ def test_mixing(spark):
     for s in names:
         assert abs(sum(r.taken for r in got if source[r.doc_id] == s) - want[s]) <= 80
     assert sum(r.taken for r in got) <= sum(sizes)
+    same_id = spark.createDataFrame([(7, "a b c", "en", "a", 1), (7, "a b c d e f", "en", "b", 2), (None, "x y", "en", "b", 3), (None, "z", "en", "b", 3), (7, "a b c", "en", "a", 1)] * 3 + [(k, "u " * 9, "en", "c", 0) for k in range(20)], DOCS)
+    words = lambda t: len((t or "").split())
+    assert sum(words(r.text) for r in mixing.mix_documents(same_id).collect()) == sum(r.taken for r in mixing.mixed(same_id).collect()) > 0
     mix = mixing.mix_documents(d).collect()
     assert sum(size[r.doc_id] for r in mix) == sum(r.taken for r in got)
     assert mixing.mixed(d.limit(0)).count() == 0 and mixing.mix_documents(d.limit(0)).count() == 0
