@@ -2,16 +2,16 @@
 
 Candidates are the matches of strict and of loose patterns. Labelers - format, gazetteer, context and shape - vote on each or
 abstain. Expectation-maximisation estimates how reliable each labeler is for each kind from the table of vote patterns, which has
-at most 3^4 rows a kind whatever the corpus. The posteriors train a logistic span classifier over the votes, and loose
-candidates that it accepts join the strict ones.
+at most 3^4 rows a kind whatever the corpus. With its posteriors as soft labels a span classifier is trained on all candidates: naive Bayes over
+what a span and its surroundings look like (neighbouring words and characters, length, digits, outline, gazetteer key), not over the votes.
+Loose candidates that it accepts, and that no strict span overlaps, join the strict ones.
 """
 
 from __future__ import annotations
 
 import math
-from itertools import product
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -21,6 +21,10 @@ KINDS = ("email", "ip", "card", "phone")
 #: Probability from which a loose candidate is taken.
 ACCEPT = 0.9
 CONTEXT = 32
+#: What is believed of the labelers - format, gazetteer, context, shape - before any count: yes to right candidates, yes to wrong ones.
+BELIEFS = ((0.95, 0.1), (0.9, 0.5), (0.9, 0.1), (0.9, 0.5))
+#: Buckets of a kind's features, what a feature is smoothed with, and how much features count that are not independent.
+BUCKETS, SMOOTH, TEMPER = 4096, 2.0, 0.6
 
 # The strict formats (possessive, so that long runs cost linear time), loose ones, and the word lists.
 _LOCAL = "A-Za-z0-9._%+-"
@@ -33,22 +37,41 @@ STRICT = {
 LOOSE = {
     "email": rf"(?<![{_LOCAL}])[{_LOCAL}]++\x20?(?:\(at\)|\[at\]|\(AT\)|\[AT\])\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|\(dot\)|\[dot\]|\(DOT\)|\[DOT\])\x20?[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
+    "card": r"(?<![0-9A-Za-z])[0-9]{4}([._/]|\x20-\x20|\x20{2})[0-9]{4}\1[0-9]{4}\1[0-9]{3,4}(?![0-9A-Za-z])",
     "phone": r"(?<![0-9A-Za-z+(./-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9A-Za-z-])",
 }
 NEEDS = {("email", True): "@", ("phone", True): "+", ("email", False): "at", ("ip", False): ":"}
 CUES = {
-    "email": r"(?i)\b(?:e-?mail|mail|contact|write|courriel|correo|kontakt)\b",
+    "email": r"(?i)\b(?:e-?mail|mail|contact|write|reach|courriel|correo|kontakt)\b",
     "ip": r"(?i)\b(?:ip|ipv[46]|address|server|host|client)\b",
     "card": r"(?i)\b(?:card|credit|visa|mastercard|amex|payment|carte|tarjeta|karte)\b",
     "phone": r"(?i)\b(?:tel|telephone|phone|call|mobile|cell|fax|telefon|t.l.phone|tel.fono)\b",
 }
-GAZETTEER = {
-    "email": r"(?i)(?:\.|dot[\])]\x20?)(?:com|org|net|edu|gov|info|io|de|fr|es|uk|eu)$",
-    "ip": r"^(?:[1-9]|1[0-9]|[2-9][0-9]|1[013-9][0-9]|12[0-689]|2[01][0-9]|22[0-3])\.|:",
-    "card": r"^(?:4|5[1-5]|2[2-7]|3[47]|6)",
-    "phone": r"^(?:\+(?:1|33|34|44|49|39|31|41|43|61|81|86|91)\b|\(?[2-9][0-9]{2})",
-}
-_CANDIDATES = "array<struct<start:bigint,ord:int,kind:string,end:bigint,base:boolean,votes:array<int>>>"
+AGAINST = r"(?i)\b(?:order|invoice|version|release|id|ref|reference|isbn|issn|part|sku|serial|model|case|ticket|section|chapter|page|tracking)\b"
+TOP_DOMAINS = "com org net edu gov mil int info biz io dev app co ai me tv eu de fr es it nl be ch at pt pl se no fi dk ie uk us ca mx br ar au nz jp cn kr in za ru".split()
+CALLING_CODE = r"^\+[\x20(]*(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[2-9][0-9]{2})"
+CARD_PREFIXES = [*range(22, 28), 34, 37, *range(40, 50), *range(51, 56), *range(60, 66)]
+_CANDIDATES = "array<struct<start:bigint,ord:int,kind:string,end:bigint,strict:boolean,base:boolean,match:string,before:string,after:string>>"
+
+
+def gazetteer(spark) -> DataFrame:
+    """(kind, key): known top-level domains, public first parts of addresses, card prefixes, and calling codes or area digits; under 400 rows."""
+    keys = [("email", x) for x in TOP_DOMAINS] + [("ip", str(x)) for x in range(1, 224) if x not in (10, 127)] + [("ip", ":")]
+    keys += [("card", str(x)) for x in CARD_PREFIXES] + [("phone", f"+{x}") for x in (1, 7, 20, 27, 30, 31, 32, 33, 34, 36, 39, *range(40, 50), *range(51, 59), 60, 61, 62, 63, 64, 65, 66, 81, 82, 84, 86, 90, 91, 92, 94, 351, 352, 353, 358, 420, 421)]
+    keys += [("phone", str(x)) for x in range(2, 10)]
+    return spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in keys) + " AS t(kind, key)")
+
+
+def gazetteer_key(kind: Column, match: Column) -> Column:
+    """What a candidate is looked up by."""
+    digits = F.regexp_replace(match, "[^0-9]", "")
+    code = F.regexp_extract(match, CALLING_CODE, 1)
+    return (
+        F.when(kind == "email", F.lower(F.regexp_extract(match, r"([A-Za-z]+)$", 1)))
+        .when(kind == "ip", F.when(F.contains(match, F.lit(":")), ":").otherwise(F.regexp_replace(F.regexp_extract(match, r"^([0-9]+)", 1), "^0+", "")))
+        .when(kind == "card", F.substring(digits, 1, 2))
+        .otherwise(F.when(F.startswith(match, F.lit("+")), F.concat(F.lit("+"), code)).otherwise(F.substring(digits, 1, 1)))
+    )
 
 
 def _valid(kind: str, match: Column) -> Column:
@@ -64,102 +87,137 @@ def _valid(kind: str, match: Column) -> Column:
 
 
 def _candidates(text: Column, kind: str, strict: bool) -> Column:
-    """All matches of one pattern with their votes: 1 for, 0 against, -1 abstains."""
-    digits = lambda m: F.regexp_replace(m, "[^0-9]", "")
-    order = KINDS.index(kind)
+    """All matches of one pattern."""
 
     def one(h: Column) -> Column:
         valid = _valid(kind, h["match"]) if strict else F.lit(False)
-        form = F.when(valid, 1).otherwise(0 if strict else -1)
-        known = F.when(F.regexp_like(h["match"], F.lit(GAZETTEER[kind])), 1).otherwise(0)
-        cue = F.when(F.regexp_like(h["before"], F.lit(CUES[kind])), 1).otherwise(-1)
-        glued = F.regexp_like(F.substring(h["before"], -1, 1), F.lit(r"[\p{L}\p{N}]")) | F.regexp_like(F.substring(h["after"], 1, 1), F.lit(r"[\p{L}\p{N}]"))
-        usual = {"card": F.length(digits(h["match"])).isin(13, 15, 16), "phone": F.length(digits(h["match"])).between(10, 13)}.get(kind, F.lit(True))
-        shape = F.when(~glued & usual, 1).otherwise(0)
-        votes = F.array(*[v.cast("int") for v in (form, known, cue, shape)])
-        return F.struct(h["start"].alias("start"), F.lit(order).alias("ord"), F.lit(kind).alias("kind"), h["end"].alias("end"), valid.alias("base"), votes.alias("votes"))
+        place = [h["start"].alias("start"), F.lit(KINDS.index(kind)).alias("ord"), F.lit(kind).alias("kind"), h["end"].alias("end")]
+        return F.struct(*place, F.lit(strict).alias("strict"), valid.alias("base"), h["match"].alias("match"), h["before"].alias("before"), h["after"].alias("after"))
 
     found = F.transform(find_all(text, (STRICT if strict else LOOSE)[kind], 0, CONTEXT), one)
+    if kind == "card" and not strict:
+        found = F.filter(found, lambda h: _valid(kind, h["match"]))
     need = NEEDS.get((kind, strict))
     return F.when(F.contains(text, F.lit(need)), found).otherwise(F.array().cast(_CANDIDATES)) if need else found
 
 
-def reliabilities(patterns: dict[tuple[int, ...], int], rounds: int = 50) -> dict[tuple[int, ...], float]:
-    """Posterior of each vote pattern of one kind by expectation-maximisation; abstentions say nothing. Starts from the majority vote."""
+def votes(rows: DataFrame) -> DataFrame:
+    """Candidates (a row each) with `key` and `votes`, one letter a labeler - format, gazetteer, context, shape: y for, n against, - abstains."""
+    digits = F.length(F.regexp_replace("match", "[^0-9]", ""))
+    known = gazetteer(rows.sparkSession).withColumn("known", F.lit("y"))
+    keyed = rows.withColumn("key", gazetteer_key(F.col("kind"), F.col("match"))).join(F.broadcast(known), ["kind", "key"], "left")  # a table of fixed size
+    form = F.when(~F.col("strict"), "-").when(F.col("base"), "y").otherwise("n")
+    cue = F.lit("-")
+    for kind, regex in CUES.items():
+        cue = F.when((F.col("kind") == kind) & F.regexp_like("before", F.lit(regex)), "y").otherwise(cue)
+    cue = F.when((cue == "-") & F.regexp_like("before", F.lit(AGAINST)), "n").otherwise(cue)
+    glued = F.regexp_like(F.substring("before", -1, 1), F.lit(r"[\p{L}\p{N}]")) | F.regexp_like(F.substring("after", 1, 1), F.lit(r"[\p{L}\p{N}]"))
+    usual = F.when(F.col("kind") == "card", digits.isin(13, 15, 16)).when(F.col("kind") == "phone", digits.between(10, 13)).otherwise(True)
+    shape = F.when(~glued & usual, "y").otherwise("n")
+    return keyed.withColumn("votes", F.concat(form, F.coalesce("known", F.lit("n")), cue, shape)).drop("known")
+
+
+def reliabilities(patterns: dict[tuple[int, ...], int], beliefs: tuple[tuple[float, float], ...] | None = None, rounds: int = 50) -> dict[tuple[int, ...], float]:
+    """Posterior of each vote pattern of one kind by expectation-maximisation; abstentions say nothing.
+
+    beliefs: for every labeler how often it says yes to what is personal data and to what is not. They start the estimate and hold it with twice the
+    weight of the data, as labelers that agree by habit would outvote the others otherwise. Without beliefs all are alike and weigh three votes.
+    """
     n = len(next(iter(patterns), ()))
-    share = lambda v: (sum(x == 1 for x in v) + 1) / (sum(x >= 0 for x in v) + 2)
-    post = {v: share(v) for v in patterns}
+    total = sum(patterns.values())
+    held = max(3.0, 2.0 * total) if beliefs else 3.0
+    start = beliefs or ((2 / 3, 1 / 3),) * n
+    hit, false, prior = [h for h, _ in start], [f for _, f in start], 0.5
+    post: dict[tuple[int, ...], float] = {}
     for _ in range(rounds):
-        right = sum(c * post[v] for v, c in patterns.items())
-        all_ = sum(patterns.values())
-        prior = (right + 1) / (all_ + 2)
-        hit, false = [], []
-        for j in range(n):
-            seen = {v: c for v, c in patterns.items() if v[j] >= 0}
-            hit.append((sum(c * post[v] for v, c in seen.items() if v[j]) + 2) / (sum(c * post[v] for v, c in seen.items()) + 3))
-            false.append((sum(c * (1 - post[v]) for v, c in seen.items() if v[j]) + 1) / (sum(c * (1 - post[v]) for v, c in seen.items()) + 3))
         for v in patterns:
             odds = math.log(prior / (1 - prior))
             for j, x in enumerate(v):
                 if x >= 0:
                     odds += math.log(hit[j] / false[j]) if x else math.log((1 - hit[j]) / (1 - false[j]))
             post[v] = 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))
+        prior = (sum(c * post[v] for v, c in patterns.items()) + held / 2) / (total + held)
+        for j, (h, f) in enumerate(start):
+            seen = {v: c for v, c in patterns.items() if v[j] >= 0}
+            hit[j] = (sum(c * post[v] for v, c in seen.items() if v[j]) + held * h) / (sum(c * post[v] for v, c in seen.items()) + held)
+            false[j] = (sum(c * (1 - post[v]) for v, c in seen.items() if v[j]) + held * f) / (sum(c * (1 - post[v]) for v, c in seen.items()) + held)
     return post
 
 
-def span_classifier(patterns: dict[tuple[int, ...], int], post: dict[tuple[int, ...], float], rounds: int = 300, rate: float = 0.5, ridge: float = 1e-3) -> list[float]:
-    """Weights (bias first) of a logistic model of the posteriors: for every labeler one weight for its yes and one for its no."""
-    n = len(next(iter(patterns), ()))
-    w = [0.0] * (1 + 2 * n)
-    total = sum(patterns.values()) or 1
-    for _ in range(rounds):
-        slope = [ridge * x for x in w]
-        for v, c in patterns.items():
-            f = features(v)
-            p = 1 / (1 + math.exp(-sum(a * b for a, b in zip(w, f, strict=True))))
-            for k, x in enumerate(f):
-                slope[k] += c / total * (p - post[v]) * x
-        w = [a - rate * b for a, b in zip(w, slope, strict=True)]
-    return w
+def features() -> Column:
+    """Buckets of what a candidate and its surroundings look like: an array of ints below BUCKETS."""
+    word = lambda side, n: F.lower(F.regexp_extract(side, r"(\p{L}+)\P{L}*$" if n == 1 else r"(\p{L}+)\P{L}+\p{L}+\P{L}*$", 1))
+    outline = F.regexp_replace(F.regexp_replace("match", "[A-Za-z]+", "a"), "[0-9]+", "0")
+    kind_of = lambda c: F.regexp_replace(F.regexp_replace(c, r"[\p{L}]", "a"), r"\p{N}", "0")
+    seen = {
+        "w1": word("before", 1), "w2": word("before", 2), "n1": F.lower(F.regexp_extract("after", r"^\P{L}*(\p{L}+)", 1)),
+        "c0": kind_of(F.substring("before", -1, 1)), "c1": kind_of(F.substring("after", 1, 1)),
+        "len": F.least(F.length("match"), F.lit(64)).cast("string"), "dig": F.length(F.regexp_replace("match", "[^0-9]", "")).cast("string"),
+        "out": F.substring(outline, 1, 24), "key": F.col("key"),
+    }
+    return F.array(*[F.pmod(F.xxhash64("kind", F.lit(n), v), F.lit(BUCKETS)).cast("int") for n, v in seen.items()])
+
+
+def posteriors(cands: DataFrame) -> DataFrame:
+    """(kind, votes, post): how probable each vote pattern makes personal data; at most 81 rows a kind, so the estimate is made in the driver."""
+    counts = cands.groupBy("kind", "votes").agg(F.count("*").alias("n")).collect()
+    rows = []
+    for kind in KINDS:
+        patterns = {tuple(-1 if x == "-" else int(x == "y") for x in r["votes"]): (r["n"], r["votes"]) for r in counts if r["kind"] == kind}
+        post = reliabilities({v: n for v, (n, _) in patterns.items()}, BELIEFS)
+        rows += [f"('{kind}', '{patterns[v][1]}', {p!r}D)" for v, p in post.items()]
+    return cands.sparkSession.sql("SELECT * FROM VALUES " + ", ".join(rows or ["('', '', 0D)"]) + " AS t(kind, votes, post)")
+
 
+def span_classifier(labelled: DataFrame) -> DataFrame:
+    """(kind, bucket, weight, prior) of a naive Bayes model of `labelled` (kind, features, post): log odds of each bucket and of the kind.
 
-def features(votes: tuple[int, ...]) -> list[float]:
-    return [1.0, *(float(v == 1) for v in votes), *(float(v == 0) for v in votes)]
+    Every candidate is learned from, with its posterior as a soft label; one aggregation, at most BUCKETS rows a kind.
+    """
+    each = labelled.select("kind", F.explode("features").alias("bucket"), "post")
+    seen = each.groupBy("kind", "bucket").agg(F.sum("post").alias("yes"), F.sum(1 - F.col("post")).alias("no"))
+    whole = labelled.groupBy("kind").agg((F.sum("post") + 0.5).alias("all_yes"), (F.sum(1 - F.col("post")) + 0.5).alias("all_no"))
+    share = F.col("all_yes") / (F.col("all_yes") + F.col("all_no"))
+    weight = F.log((F.col("yes") + SMOOTH * share) / F.col("all_yes")) - F.log((F.col("no") + SMOOTH * (1 - share)) / F.col("all_no"))
+    return seen.join(whole, "kind").select("kind", "bucket", (weight * TEMPER).alias("weight"), F.log(F.col("all_yes") / F.col("all_no")).alias("prior"))
 
 
-def accepted_patterns(counts: list) -> list[str]:
-    """kind:votes of the patterns whose probability under the trained classifier reaches ACCEPT. `counts`: rows (kind, votes, n)."""
-    out = []
-    for kind in KINDS:
-        patterns = {tuple(r["votes"]): r["n"] for r in counts if r["kind"] == kind}
-        if not patterns:
-            continue
-        w = span_classifier(patterns, reliabilities(patterns))
-        for v in product((-1, 0, 1), repeat=len(next(iter(patterns)))):
-            if 1 / (1 + math.exp(-sum(a * b for a, b in zip(w, features(v), strict=True)))) >= ACCEPT:
-                out.append(f"{kind}:{','.join(map(str, v))}")
-    return out
+def probabilities(cands: DataFrame, weights: DataFrame, *ids: str) -> DataFrame:
+    """(ids, p) of candidates (ids, kind, features) under the classifier."""
+    each = cands.select(*ids, "kind", F.explode("features").alias("bucket"))
+    score = each.join(F.broadcast(weights), ["kind", "bucket"]).groupBy(*ids).agg((F.sum("weight") + F.first("prior")).alias("s"))  # at most BUCKETS rows a kind
+    return score.select(*ids, (1 / (1 + F.exp(-F.col("s")))).alias("p"))
 
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans): one row a row of documents.
 
     Counts and hash are of the strict spans; spans also has the loose ones that the classifier takes and that no strict span overlaps.
-    Null and empty texts have none; texts are scanned whole; repeated rows stay; an empty table gives an empty
-    result. A document with m candidates costs m^2 copies of small structs.
+    Null and empty texts have none; texts are scanned whole, in time near-linear in their length and matches; of spans with one start the kind
+    listed first comes first; repeated rows stay; an empty table gives an empty result.
     """
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     every = [_candidates(F.col("text"), k, True) for k in KINDS] + [_candidates(F.col("text"), k, False) for k in LOOSE]
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text")).select("doc_id", F.concat(*every).cast(_CANDIDATES).alias("found"))
-    rows = materialize(rows, "candidates")
-    counts = rows.select(F.explode("found").alias("c")).groupBy("c.kind", "c.votes").agg(F.count("*").alias("n")).collect()  # 3^4 rows a kind at most
-    taken = F.array(*[F.lit(x) for x in accepted_patterns(counts)]).cast("array<string>")
-    base = F.filter("found", lambda c: c["base"])
-    clear = lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-    more = F.filter("found", lambda c: ~c["base"] & F.array_contains(taken, F.concat_ws(":", c["kind"], F.array_join(F.transform(c["votes"], lambda v: v.cast("string")), ","))) & clear(c))
-    rows = rows.withColumn("base", base).withColumn("more", more)
+    rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "candidates")
+    cands = votes(rows.select("row", F.inline("found"))).withColumn("features", features()).select("row", "start", "ord", "kind", "end", "strict", "base", "votes", "features")
+    cands = materialize(cands, "votes")
+    labelled = cands.join(F.broadcast(posteriors(cands)), ["kind", "votes"])  # 81 rows a kind at most
+    weights = materialize(span_classifier(labelled), "weights")
+    loose = cands.where("not strict")
+    ids = ["row", "start", "ord", "kind", "end"]
+    taken = materialize(probabilities(loose, weights, *ids).where(F.col("p") >= ACCEPT).select(*ids, F.lit(False).alias("base")), "taken")
+    beside = cands.where("base").join(taken.select("row").distinct(), "row", "left_semi").select(*ids, "base").union(taken)
+    order = Window.partitionBy("row").orderBy("start", F.col("base").desc())
+    ends = F.max(F.when(F.col("base"), F.col("end"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    starts = F.min(F.when(F.col("base"), F.col("start"))).over(order.rowsBetween(1, Window.unboundedFollowing))
+    clear = beside.withColumn("ends", ends).withColumn("starts", starts).where(~F.col("base") & (F.coalesce("ends", F.lit(0)) <= F.col("start")) & F.coalesce(F.col("starts") >= F.col("end"), F.lit(True)))
+    more = clear.groupBy("row").agg(F.collect_set(F.struct("start", "ord", "kind", "end")).alias("more"))
+    base = F.transform(F.filter("found", lambda c: c["base"]), lambda c: F.struct(c["start"].alias("start"), c["ord"].alias("ord"), c["kind"].alias("kind"), c["end"].alias("end")))
+    rows = rows.select("row", "doc_id", base.alias("base")).join(more, "row", "left")
     n = [number_of("base", k) for k in KINDS]
-    return rows.select("doc_id", *n, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.concat("base", "more")).alias("spans"))
+    every = F.when(F.col("more").isNull(), F.col("base")).otherwise(F.concat("base", "more"))
+    return rows.select("doc_id", *n, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(every).alias("spans"))
 
 
 def op3_pii(spark, sf_dir: str) -> DataFrame:

@@ -78,9 +78,58 @@ def test_expectation_maximisation_finds_the_bad_labeler():
     patterns = {(1, 1, 0): 50, (1, 1, 1): 50, (0, 0, 0): 100, (0, 0, 1): 100, (1, 0, 1): 5, (0, 1, 0): 5}
     post = pii.reliabilities(patterns)
     assert post[(1, 1, 0)] > 0.95 and post[(0, 0, 1)] < 0.05
-    w = pii.span_classifier(patterns, post)
-    p = lambda v: 1 / (1 + np.exp(-np.dot(w, pii.features(v))))
-    assert p((1, 1, -1)) > 0.8 > 0.2 > p((0, 0, -1))
+
+
+def test_span_classifier_against_a_plain_one(spark):
+    rng = np.random.default_rng(4)
+    rows = [("ip", [int(x) for x in rng.integers(0, 6, 3)], float(rng.random())) for _ in range(60)] + [("card", [1, 2, 3], 1.0)]
+    got = {(r.kind, r.bucket): r.weight for r in pii.span_classifier(spark.createDataFrame(rows, "kind string, features array<int>, post double")).collect()}
+    for kind, bucket in got:
+        own = [(f, p) for k, f, p in rows if k == kind]
+        yes, no = (sum(w * f.count(bucket) for f, w in ((f, p if right else 1 - p) for f, p in own)) for right in (True, False))
+        all_yes, all_no = sum(p for _, p in own) + 0.5, sum(1 - p for _, p in own) + 0.5
+        share = all_yes / (all_yes + all_no)
+        want = np.log((yes + pii.SMOOTH * share) / all_yes) - np.log((no + pii.SMOOTH * (1 - share)) / all_no)
+        assert abs(got[kind, bucket] - pii.TEMPER * want) < 1e-9
+
+
+def test_planted_loose_spans(spark):
+    """Precision and recall of added spans: written-out addresses and plain numbers in their usual contexts, and lookalikes in others."""
+    rng = np.random.default_rng(6)
+    number = lambda: f"{rng.integers(200, 999)}-{rng.integers(200, 999)}-{rng.integers(1000, 9999)}"
+    name = lambda: "".join(rng.choice(list("abcdefghij"), 7))
+    docs, want = [], set()
+    for i in range(600):
+        pick = i % 6
+        lead, span, tail, true = [
+            (f"Please call {name()} by phone ", f"{number()}", f" or later {name()}.", True),
+            (f"You may write an email to {name()} at mail ", f"{name()} (at) {name()} (dot) com", " today.", True),
+            (f"Your order {name()} has the part ", number(), " on its box.", False),
+            (f"See invoice ", number(), f" of the ticket {name()}.", False),
+            (f"Call my mobile phone +1 {rng.integers(200, 999)} ", "", "555 0199 or email a.b@ex.org soon.", False),
+            (f"In version {name()} the release ", f"{name()} (at) {name()} (dot) zzq", " changed.", False),
+        ][pick]
+        docs.append((i, lead + span + tail))
+        if true:
+            want.add(f"{i}:{'phone' if pick == 0 else 'email'}:{len(lead)}:{len(lead) + len(span)}")
+    rows = pii.find_personal_data(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    added = set()
+    for r in rows:
+        base = {f"{k}:{m.start()}:{m.end()}" for k, rx, ok in PII for m in re.finditer(rx, docs[r.doc_id][1]) if ok(m)}
+        added |= {f"{r.doc_id}:{s}" for s in r.spans.split(",") if s and s not in base}
+    right = len(added & want)
+    print(f"added spans: precision {right / max(1, len(added)):.3f}, recall {right / len(want):.3f}")
+    assert right / len(added) >= 0.95 and right / len(want) >= 0.9
+
+
+def test_added_spans_stay_clear_of_strict_ones(spark):
+    text = "call phone 415-555-2671 and 4111 1111 1111 1111. tel 415-555-2671@x.com phone (415) 555-2671 "
+    rows = [(i, text) for i in range(30)]
+    got = pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    for r in got:
+        spans = sorted((int(a), int(b)) for _, a, b in (x.split(":") for x in r.spans.split(",")))
+        strict = [(m.start(), m.end()) for k, rx, ok in PII for m in re.finditer(rx, text) if ok(m)]
+        assert all(not (a < d and c < b) or (a, b) in strict for a, b in spans for c, d in strict)
 
 
 def test_ledger_scans_only_unseen(spark, tmp_path):
