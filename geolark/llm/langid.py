@@ -1,9 +1,12 @@
 """Language identification by cross-parsing entropy.
 
 For each language a suffix automaton of a bounded sample of labelled text answers "how far does the longest match go?"
-in one step a character. A text is parsed greedily into the longest phrases that occur in the sample; the language
-that needs the fewest phrases a character wins. Texts are parsed in segments of SEGMENT characters, all of them, so
-that many segments advance together; a phrase ends with its segment.
+in one step a character. A text is parsed greedily into the longest phrases that occur in the sample (a symbol that the sample lacks is a phrase of
+its own); the language that needs the fewest phrases a character wins.
+
+Whole texts are parsed, in segments of SEGMENT characters that advance together. Each segment is parsed on its own first; then the
+phrase that its predecessor left open runs on into it until it ends where one of the segment's own phrases begins, from where both parses are the same. So the
+counts are those of a parse from the first character to the last.
 """
 
 from __future__ import annotations
@@ -21,21 +24,20 @@ from .common import packed
 SEGMENT = 256
 #: Bounds of the training sample: documents a language, characters of each, characters a language.
 SAMPLE_DOCS, SAMPLE_DOC_CHARS, SAMPLE_CHARS = 48, 4000, 40_000
-#: Codes of symbols; alphabets beyond it share codes.
-MAX_CODES = 254
-#: Bytes of all automata of a task; with many languages or symbols each takes less of its sample.
+#: Bytes up to which a task keeps the automata as tables of all symbols; beyond that transitions are looked up in sorted lists.
 TABLE_BYTES = 1 << 28
-_NOT_LETTER = re.compile(r"[\W\d_]+")
-_cache: dict = {}
+#: What counts as alphanumeric but is neither a letter nor a plain digit: letter-like and other numbers.
+_NUMBERS = "".join(map(chr, (c for c in range(128, 0x110000) if chr(c).isalnum() and not chr(c).isalpha())))
+_NOT_LETTER = re.compile(rf"[\W\d_{_NUMBERS}]+")
 
 
 def normalise(text: str) -> str:
-    """Lower-cased letters, anything else one space."""
+    """Lower-cased letters, anything else one space; empty for a text without letters."""
     return _NOT_LETTER.sub(" ", text.lower()).strip()
 
 
-def suffix_automaton(codes: list[int], n_codes: int) -> np.ndarray:
-    """Transitions [state, code] of the automaton of all substrings: 0 none, 1 the root; code 0 (padding) stays, 1 is any unseen symbol."""
+def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
+    """Transitions of each state of the automaton of all substrings; state 1 is the root, 0 stands for none."""
     nxt: list[dict[int, int]] = [{}, {}]
     link, length = [0, 0], [0, 0]
     last = 1
@@ -62,31 +64,49 @@ def suffix_automaton(codes: list[int], n_codes: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = twin
         last = cur
-    table = np.zeros((len(nxt), n_codes), np.int32)
-    for s, row in enumerate(nxt):
-        for c, to in row.items():
-            table[s, c] = to
-    table[:, 0] = np.arange(len(nxt))
-    return table
+    return nxt
+
+
+class Automaton:
+    """Steps of one language: a table of (state, symbol) if it fits, else sorted keys. Symbol 0 is any that the sample lacks."""
+
+    def __init__(self, points: np.ndarray, room: int):
+        self.symbols = np.unique(points)
+        rows = suffix_automaton((np.searchsorted(self.symbols, points) + 1).tolist())
+        self.width, self.states, self.room = len(self.symbols) + 1, len(rows), room
+        edges = [(s * self.width + c, to) for s, row in enumerate(rows) for c, to in sorted(row.items())]
+        self.keys, self.to = np.array([k for k, _ in edges], np.int64), np.array([t for _, t in edges], np.int32)
+        self.table: np.ndarray | None = None
+        self.root = np.zeros(self.width, np.int32)  # the state after a phrase's first symbol
+        self.root[list(rows[1])] = list(rows[1].values())
+
+    def codes(self, points: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.symbols, points), max(0, len(self.symbols) - 1))
+        return np.where(self.symbols[at] == points, at + 1, 0).astype(np.int32) if len(self.symbols) else np.zeros(len(points), np.int32)
+
+    def step(self, state: np.ndarray, code: np.ndarray) -> np.ndarray:
+        if self.table is None and self.states * self.width * 4 <= self.room:
+            self.table = np.zeros(self.states * self.width, np.int32)
+            self.table[self.keys] = self.to
+        at = state.astype(np.int64) * self.width + code
+        if self.table is not None:
+            return self.table[at]
+        found = np.minimum(np.searchsorted(self.keys, at), max(0, len(self.keys) - 1))
+        return np.where(self.keys[found] == at, self.to[found], 0) if len(self.keys) else np.zeros(len(at), np.int32)
 
 
 class CrossParser:
-    """Automata of all languages of a sample {language: text}, over one alphabet."""
+    """Automata of all languages of a sample {language: text}."""
 
-    def __init__(self, sample: dict[str, str]):
+    def __init__(self, sample: dict[str, str], table_bytes: int = TABLE_BYTES):
         self.langs = sorted(sample)
-        points = np.unique(np.concatenate([np.zeros(0, np.uint32), *(self._points(t) for t in sample.values())]))
-        self.codes = np.ones(0x110000, np.int16)
-        self.codes[points] = 2 + np.arange(len(points)) % MAX_CODES
-        width = 2 + min(len(points), MAX_CODES)
-        room = TABLE_BYTES // (8 * width * max(1, len(self.langs)))  # an automaton has at most two states a character, of 4 bytes a code
-        self.tables = [suffix_automaton(self.codes[self._points(sample[x][:room])].tolist(), width) for x in self.langs]
+        self.automata = [Automaton(self._points(sample[x]), table_bytes // max(1, len(sample))) for x in self.langs]
 
     @staticmethod
     def _points(text: str) -> np.ndarray:
         return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
-    def phrases(self, texts: list[str]) -> np.ndarray:
+    def phrases(self, texts: list[str], segment: int = SEGMENT) -> np.ndarray:
         """[text, language]: phrases that each text is parsed into."""
         counts = np.zeros((len(texts), len(self.langs)), np.int64)
         at, limit = 0, 4_000_000
@@ -95,33 +115,67 @@ class CrossParser:
             while to < len(texts) and (to == at or chars + len(texts[to]) <= limit):
                 chars += len(texts[to])
                 to += 1
-            self._parse(texts[at:to], counts[at:to])
+            self._parse(texts[at:to], counts[at:to], segment)
             at = to
         return counts
 
-    def _parse(self, texts: list[str], counts: np.ndarray) -> None:
+    def _parse(self, texts: list[str], counts: np.ndarray, segment: int) -> None:
         lens = np.fromiter(map(len, texts), np.int64, len(texts))
-        pieces = -(-lens // SEGMENT)
-        if not pieces.sum():
+        pieces = -(-lens // segment)
+        n = int(pieces.sum())
+        if not n:
             return
         owner = np.repeat(np.arange(len(texts)), pieces)
-        nth = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        flat = np.zeros(int(lens.sum()) + SEGMENT, np.int16)
-        flat[: int(lens.sum())] = self.codes[self._points("".join(texts))]
-        begin = np.repeat(np.cumsum(lens) - lens, pieces) + nth * SEGMENT
-        size = np.minimum(SEGMENT, np.repeat(lens, pieces) - nth * SEGMENT)
-        grid = flat[begin[:, None] + np.arange(SEGMENT)].T.copy()
-        grid[np.arange(SEGMENT)[:, None] >= size[None, :]] = 0
-        for k, table in enumerate(self.tables):
-            width = table.shape[1]
-            steps, restart = table.ravel(), np.where(table[1] == 0, 1, table[1]).astype(np.int32)
-            state, ended = np.ones(len(owner), np.int32), np.zeros(len(owner), np.int32)
-            for code in grid:
-                to = steps[state * width + code]
-                dead = to == 0
-                ended += dead
-                state = np.where(dead, restart[code], to)
-            counts[:, k] += np.bincount(owner, ended + 1, len(texts)).astype(np.int64)
+        nth = np.arange(n) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        begin = np.repeat(np.cumsum(lens) - lens, pieces) + nth * segment
+        size = np.minimum(segment, np.repeat(lens, pieces) - nth * segment)
+        points, where = np.unique(self._points("".join(texts)), return_inverse=True)
+        for k, automaton in enumerate(self.automata):
+            flat = np.append(automaton.codes(points)[where], np.zeros(segment, np.int32))
+            own, state, begins = self._alone(automaton, flat, begin, size)
+            total, end = own.copy(), state.copy()
+            todo, bad = np.flatnonzero(nth > 0), np.zeros(n + 1, bool)
+            while len(todo):
+                # from the state in which the text's parse leaves the segment before
+                total[todo], end[todo], met = self._continued(automaton, flat, begin[todo], size[todo], end[todo - 1], own[todo], state[todo], begins[:, todo])
+                bad[todo] = False
+                bad[todo + 1] = ~met
+                bad[np.append(nth == 0, True)] = False
+                wrong = np.flatnonzero(bad)  # entered from the segment's own parse, but a phrase was still open
+                todo = wrong[np.diff(owner[wrong], prepend=-1) > 0]  # the first of each text
+            counts[:, k] += np.bincount(owner, total, len(texts)).astype(np.int64)
+
+    @staticmethod
+    def _alone(automaton: Automaton, flat: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Phrases of each segment parsed on its own, the state at its end, and [character, segment]: where phrases begin."""
+        state, begins = np.zeros(len(begin), np.int32), np.zeros((int(size.max()), len(begin)), bool)
+        for i in range(len(begins)):
+            code, inside = flat[begin + i], size > i
+            to = automaton.step(state, code)
+            begins[i] = (to == 0) & inside
+            state = np.where(inside, np.where(to == 0, automaton.root[code], to), state)
+        return begins.sum(0, dtype=np.int64), state, begins
+
+    @staticmethod
+    def _continued(automaton: Automaton, flat: np.ndarray, begin: np.ndarray, size: np.ndarray, entry: np.ndarray, own: np.ndarray, own_end: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Phrases that begin in each segment if it is entered in state `entry`, the state at its end, and whether the parse met the segment's own."""
+        total, end, met = np.zeros(len(begin), np.int64), entry.copy(), np.zeros(len(begin), bool)
+        lane, left = np.arange(len(begin)), own.copy()
+        for i in range(len(begins)):
+            lane = lane[(size[lane] > i) & ~met[lane]]
+            if not len(lane):
+                break
+            code = flat[begin[lane] + i]
+            to = automaton.step(end[lane], code)
+            new, here = to == 0, begins[i, lane]
+            end[lane] = np.where(new, automaton.root[code], to)
+            same = lane[new & here]
+            met[same] = True
+            total[same] += left[same]
+            end[same] = own_end[same]
+            total[lane[new & ~here]] += 1
+            left[lane[here]] -= 1
+        return total, end, met
 
 
 def training_sample(docs: DataFrame, lang_col: str = "lang") -> dict[str, str]:
@@ -144,15 +198,13 @@ def identify(docs: DataFrame, sample: dict[str, str], id_col: str = "doc_id", te
 
     score: 1 - phrases / phrases of the next language, between 0 and 1. `und` with score 0 if the text is null or has no letter,
     or nothing was learned. Ties go to the smaller name. held_out: crc32 of the id as text leaves 2 modulo 4 (false for a
-    null id). Very long texts are parsed whole, repeated rows give repeated rows.
+    null id). Very long texts are parsed whole, repeated rows give repeated rows, an empty table gives an empty result. The automata are made once
+    in the driver and broadcast: at most three edges a character of the sample, SAMPLE_CHARS a language.
     """
+    shared = docs.sparkSession.sparkContext.broadcast(CrossParser(sample))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = hash(tuple(sorted(sample.items())))
-        if key not in _cache:
-            _cache.clear()
-            _cache[key] = CrossParser(sample)
-        parser: CrossParser = _cache[key]
+        parser = shared.value
         for whole in batches:
             for at in range(0, len(whole), 1000):
                 b = whole.slice(at, 1000)

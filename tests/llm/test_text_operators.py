@@ -308,24 +308,34 @@ def test_lines_of_texts():
     assert (a.tolist(), b.tolist()) == ([0], [1])
 
 
-def test_language_parser_counts_longest_matches():
-    sample = {"a": "the cat sat on the mat", "b": "le chat est sur le tapis"}
-    parser = langid.CrossParser(sample)
-
-    def slow(text, known):
-        n = at = 0
-        while at < len(text):
-            size = 0
-            while at + size < len(text) and text[at : at + size + 1] in known:
-                size += 1
-            n, at = n + 1, at + max(size, 1)
-        return n
-
-    texts = ["the cat", "le chat sur le mat", "xyz", "the mat sat on le tapis"]
-    got = parser.phrases(texts)
-    for t, row in zip(texts, got, strict=True):
-        for k, lang in enumerate(parser.langs):
-            assert abs(int(row[k]) - slow(t, sample[lang])) <= 2
+def longest_match_phrases(text, known):
+    n = at = 0
+    while at < len(text):
+        size = 0
+        while at + size < len(text) and text[at : at + size + 1] in known:
+            size += 1
+        n, at = n + 1, at + max(size, 1)
+    return n
+
+
+@pytest.mark.parametrize("room", [1 << 28, 0])  # tables, and sorted lists
+def test_language_parser_counts_longest_matches(room):
+    rng = np.random.default_rng(3)
+    cjk = "".join(chr(0x4E00 + int(x)) for x in rng.integers(0, 1500, 2500))  # more symbols than a byte holds
+    sample = {"a": "the cat sat on the mat and ate a hat", "b": "le chat est sur le tapis", "c": cjk, "d": "abababababababac" * 5}
+    parser = langid.CrossParser(sample, room)
+    texts = ["the cat", "le chat sur le mat", "xyz", "the mat sat on le tapis", "", cjk[100:1900], cjk[::-1][:300], "ab" * 200 + "ac" * 99, "a" * 500, "the cat sat on the mat and ate a hat" * 3]
+    texts += ["".join(rng.choice(list("thecatsonm lé"), int(rng.integers(1, 400)))) for _ in range(20)]
+    for segment in (7, 16, langid.SEGMENT):
+        got = parser.phrases(texts, segment)
+        assert got.tolist() == [[longest_match_phrases(t, sample[x]) for x in parser.langs] for t in texts]
+
+
+def test_texts_without_letters_have_no_language(spark):
+    rows = [(i, t, "en", None, 0) for i, t in enumerate(["½ ²", "Ⅷ", "①②", "٣", "...", "_", "the"])]
+    got = {r.doc_id: r.lang_pred for r in langid.identify_documents(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == {**dict.fromkeys(range(6), "und"), 6: got[6]}
+    assert langid.normalise("Ⅷ abc½def") == "abc def"
 
 
 def test_language_held_out_accuracy(spark):
