@@ -1,24 +1,30 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped into lines, one a block element. What stands in menus, headers, footers, sidebars, notices, adverts,
-forms, scripts, styles and reader comments counts as empty. Text lengths are summed over sliding windows of lines; the article lies between
-the point where the sums surge and the one where they dive for good. Both points move out to the borders of the article
-element they fall in, so that short headings and closing lines stay.
+forms, scripts, styles and reader comments counts as empty. Text lengths are summed over sliding windows of lines, on every page: the dense windows
+give the points where the sums surge and dive, and the article lies between them. Elements then only extend that range to a border:
+to that of the article or main element that holds most of the dense text (and of sibling articles that hold dense text too), or else of the deepest element
+that holds most of it, so that short headings and closing lines stay and dense text elsewhere goes.
+
+Names of elements are taken at their word; words of class and id names are hints that the distribution overrules: if nothing dense is left
+outside the elements they mark, the marked element with the most text counts as the page.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Lines of a window, and the characters in it from which it belongs to the article.
 WINDOW, SURGE = 3, 86
+#: Share of the dense text in an element that counts as the article's; how many hints around an article are overruled one inside another.
+MOST, HINTS = 0.7, 8
 
 # Element names and the words of class, id and role names that mark what is not the article.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -35,6 +41,7 @@ OTHER_WORDS = set(
     "share sharing sharebar social related recommended recommendations subscribe subscription newsletter signup signin login search form hidden complementary contentinfo "
     "alertdialog".split()
 )
+WITHOUT = set("no not without has have with".split())
 ARTICLE_WORDS = set("article post entry story content main page blog".split())
 
 _TAG = re.compile(r"<(?:!--|(/?)([a-zA-Z][^\s/>]*)((?:[^'\">]++|\"[^\"]*\"|'[^']*')*+)>|[!?][^>]*>?)")
@@ -42,47 +49,68 @@ _ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
-def _is_other(tag: str, attrs: str, in_article: bool) -> bool:
-    """Whether an element is no part of the article, by its name, class, id or role."""
+def _mark(tag: str, attrs: str, in_article: bool) -> int:
+    """Whether an element is no part of the article: 2 by its name or because it is hidden, 1 by a word of class, id or role, 0 if it may be."""
     if tag in LEFT_OUT or tag == "header" and not in_article:
-        return True
+        return 2
     if tag in ("html", "body", "main") or not attrs or attrs == "/":
-        return False
+        return 0
+    found = 0
     for m in _ATTR.finditer(attrs):
         name, value = (m[1] or "").lower(), m[2] or m[3] or m[4] or ""
         if m[5] or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
+            return 2
         if name in ("class", "id", "role"):
             for one in value.split():
                 words = [w.lower() for w in _WORD.findall(one)]
-                if any(w in OTHER_WORDS for w in words) and not (words[-1] in ("header", "search") and any(w in ARTICLE_WORDS for w in words)):
-                    return True
-    return False
-
-
-def lines_of(page: str) -> list[tuple[str, int, tuple[int, ...], bool]]:
-    """(text, article, holders, is_text) of every line outside what is left out.
-
-    article: the number of the article or main element around it, 0 for none; holders: the numbers of all section-like elements around it,
-    outermost first; is_text: whether it stands in a paragraph, heading or the like.
-    """
-    lines: list[tuple[str, int, tuple[int, ...], bool]] = []
-    stack: list[tuple[str, bool, int, int]] = []  # element, left out, article around it, number of a holder or 0
+                if any(w in OTHER_WORDS for w in words) and not WITHOUT & set(words) and not (words[-1] in ("header", "search") and any(w in ARTICLE_WORDS for w in words)):
+                    found = 1
+    return found
+
+
+@dataclass
+class Element:
+    """An element that holds blocks, or is marked by a hint: its name, the element around it (-1: none), how deep it is, and its lines."""
+
+    name: str
+    parent: int
+    depth: int
+    hint: bool
+    first: int
+    last: int = -1
+
+
+def lines_of(page: str) -> tuple[list[str], list[bool], list[Element]]:
+    """The lines outside what is left out for sure, whether each is a paragraph, heading or the like, and the elements in page order."""
+    lines: list[str] = []
+    is_text: list[bool] = []
+    elements: list[Element] = []
+    # name, left out, the element it is or is in, whether in an article, the innermost name that is not inline
+    stack: list[tuple[str, bool, int, bool, str]] = [("", False, -1, False, "")]
     parts: list[str] = []
-    at, articles, opened = 0, 0, 0
-    out, inside = False, 0
+    at = 0
 
     def close_line() -> None:
         if parts:
             text = " ".join("".join(map(html.unescape, parts)).split())  # a reference never spans a tag
             parts.clear()
             if text:
-                block = next((x[0] for x in reversed(stack) if x[0] not in INLINE), "")
-                lines.append((text, inside, tuple(x[3] for x in stack if x[3]), block in TEXT))
+                lines.append(text)
+                is_text.append(stack[-1][4] in TEXT)
+
+    def leave(k: int) -> None:
+        """Close everything from place k of the stack on."""
+        for name, _, own, *_ in reversed(stack[k:]):
+            if own >= 0 and elements[own].last < 0 and own != stack[k - 1][2]:
+                if elements[own].hint or name not in INLINE:
+                    close_line()
+                elements[own].last = len(lines)
+        del stack[k:]
 
     n = len(page)
     while at < n:
         m = _TAG.search(page, at)
+        out = stack[-1][1]
         if not m:
             if not out:
                 parts.append(page[at:])
@@ -100,70 +128,118 @@ def lines_of(page: str) -> list[tuple[str, int, tuple[int, ...], bool]]:
         if tag not in INLINE:
             close_line()
         if m[1]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    out, inside = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
-                    break
+            k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag), 0)
+            if k:
+                leave(k)
         elif tag in RAW:
             if not m[3].endswith("/"):
                 end = re.compile(f"</{re.escape(tag)}[^>]*>", re.I).search(page, at)
                 at = end.end() if end else n
         elif tag not in VOID and not (m[3].endswith("/") and tag in ("svg", "path")):
-            if tag in ("article", "main", "body") and stack and out:
+            if tag in ("article", "main", "body") and out:
                 # an article never stands in a menu: whatever was left open ends here
-                while stack and stack[-1][1]:
-                    stack.pop()
-                out, inside = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
-            out = out or _is_other(tag, m[3], inside > 0)
-            if tag in ("article", "main") and not out and not (inside and tag == "article"):
-                articles += 1
-                inside = articles
-            opened += tag in HOLDERS
-            stack.append((tag, out, inside, opened if tag in HOLDERS else 0))
+                k = len(stack)
+                while stack[k - 1][1]:
+                    k -= 1
+                leave(k)
+            _, out, around, inside, block = stack[-1]
+            mark = _mark(tag, m[3], inside)
+            own = around
+            if not out and mark < 2 and (tag in HOLDERS or mark):
+                close_line()
+                own = len(elements)
+                elements.append(Element(tag, around, elements[around].depth + 1 if around >= 0 else 0, mark == 1, len(lines)))
+            stack.append((tag, out or mark == 2, own, inside or tag in ("article", "main"), block if tag in INLINE else tag))
     close_line()
-    return lines
+    leave(1)
+    return lines, is_text, elements
 
 
-def article_lines(lines: list[tuple[str, int, tuple[int, ...], bool]]) -> list[int]:
-    """Places of the article's lines: from the surge of the windowed sums of text lengths to their last dive, moved out to borders.
+def dense_lines(lengths: list[int]) -> list[int]:
+    """Places of the dense lines: the longest line of each window whose sum reaches SURGE, or the largest sum if none does.
 
-    The borders are those of the article element with the densest window, or else of the innermost element that holds all dense
-    windows. Where that is the page itself, the range grows by the paragraphs and headings next to it.
+    The first is where the sums surge, the last where they dive for good. A window counts for its longest line, so that a short one before the
+    article is not taken for its start.
     """
-    n = len(lines)
-    if not n:
+    if not any(lengths):
         return []
-    lengths = [len(x[0]) for x in lines]
     padded = np.concatenate([[0], np.cumsum(lengths + [0] * (WINDOW - 1))])
     sums = padded[WINDOW:] - padded[:-WINDOW]
-    marked = np.array([x[1] > 0 for x in lines])
-    if marked.any():
-        best = lines[int(np.argmax(np.where(marked, sums, -1)))][1]
-        return [i for i, x in enumerate(lines) if x[1] == best]
-    # a window counts for its longest line, so that a short one before the article is not taken for its start
-    dense = sorted({i + int(np.argmax(lengths[i : i + WINDOW])) for i in np.flatnonzero(sums >= min(SURGE, int(sums.max()))).tolist()})
-    surge, dive = dense[0], dense[-1] + 1
-    first, common = lines[surge][2], len(lines[surge][2])
-    for i in dense:
-        common = next((k for k, (a, b) in enumerate(zip(first[:common], lines[i][2], strict=False)) if a != b), min(common, len(lines[i][2])))
-    if common:
-        return [i for i, x in enumerate(lines) if x[2][:common] == first[:common]]
-    while surge and lines[surge - 1][3]:
+    return sorted({i + int(np.argmax(lengths[i : i + WINDOW])) for i in np.flatnonzero(sums >= min(SURGE, int(sums.max()))).tolist()})
+
+
+def _outermost(elements: list[Element], which: Callable[[Element], bool]) -> list[Element]:
+    """The elements of a kind that are in no other of it, in page order."""
+    found: list[Element] = []
+    for x in elements:
+        if which(x) and x.last > x.first and (not found or x.first >= found[-1].last):
+            found.append(x)
+    return found
+
+
+def article_lines(lines: list[str], is_text: list[bool], elements: list[Element]) -> list[int]:
+    """Places of the article's lines: from the surge of the windowed sums to their dive, moved out to borders of elements."""
+    if not lines:
+        return []
+    size = np.fromiter(map(len, lines), np.int64, len(lines))
+    low, high = 0, len(lines)
+    for depth in range(HINTS + 1):
+        inside = [x for x in elements if low <= x.first and x.last <= high]
+        hints = _outermost(inside, lambda x: x.hint) if depth < HINTS else []
+        open_ = np.zeros(len(lines), bool)
+        open_[low:high] = True
+        for x in hints:
+            open_[x.first : x.last] = False
+        # lines under a hint are empty, as long as something dense or an article is left
+        lengths = np.where(open_, size, 0)
+        articles = any(x.name in ("article", "main") and open_[x.first : x.last].any() for x in _outermost(inside, lambda x: x.name in ("article", "main")))
+        most = max(hints, key=lambda x: int(size[x.first : x.last].sum()), default=None)
+        windows = np.convolve(lengths, np.ones(WINDOW, np.int64))
+        if most is None or articles or windows.max(initial=0) >= SURGE or size[most.first : most.last].sum() <= lengths.sum():
+            break
+        low, high = most.first, most.last
+        elements = [x for x in inside if x.depth > most.depth]
+    dense = dense_lines(lengths.tolist())
+    if not dense:
+        return []
+    weight = np.zeros(len(lines) + 1, np.int64)
+    weight[np.array(dense) + 1] = size[dense]
+    upto = np.cumsum(weight)
+    total = int(upto[-1])
+    held = lambda x: int(upto[x.last] - upto[x.first])
+    within = lambda chosen: [i for x in chosen for i in range(x.first, x.last) if open_[i]]
+    for kind in ("article", "main"):
+        found = [x for x in _outermost(inside, lambda x: x.name == kind) if held(x)]  # noqa: B023
+        if found and 2 * sum(map(held, found)) >= total:
+            best = max(found, key=held)
+            return within([x for x in found if x.parent == best.parent])
+    most = [x for x in inside if held(x) >= MOST * total]
+    if most:
+        return within([max(most, key=lambda x: x.depth)])
+    mine = np.flatnonzero(open_).tolist()
+    surge, dive = mine.index(dense[0]), mine.index(dense[-1]) + 1
+    while surge and is_text[mine[surge - 1]]:
         surge -= 1
-    while dive < n and lines[dive][3]:
+    while dive < len(mine) and is_text[mine[dive]]:
         dive += 1
-    return list(range(surge, dive))
+    return mine[surge:dive]
 
 
 def main_text(page: str | None) -> str:
     """The article of one page: blocks in page order joined by a space, character references decoded; empty if there is none."""
-    lines = lines_of(page or "")
-    return " ".join(lines[i][0] for i in article_lines(lines))
+    lines, is_text, elements = lines_of(page or "")
+    return " ".join(lines[i] for i in article_lines(lines, is_text, elements))
 
 
 def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text") -> DataFrame:
-    """`pages` with `text_col`: the main text of the whole of `html_col`; null html counts as empty, other columns stay as they are."""
+    """`pages` with `text_col`: the main text of the whole of `html_col`.
+
+    Null html counts as empty, and a page without text gives an empty one. Pages are read whole, however long; repeated rows stay; other columns stay as
+    they are, but a column that is already named `text_col` raises an error; an empty table gives an empty result. Of articles with equal dense text
+    the first one counts.
+    """
+    if text_col in pages.columns:
+        raise ValueError(f"the pages have a column {text_col} already: name another with text_col")
 
     @F.pandas_udf("string")
     def of(column):

@@ -479,6 +479,12 @@ PAGE = "<!DOCTYPE html><html><head><title>No</title><style>p{}</style><script>va
         ("<article>Hi<section class='comments'>no</section> there<aside>side</aside><div class='cookie-notice'>ok?</div></article>", "Hi there"),
         ("<nav>left open<p>b<main><p>Text&nbsp;&eacute; \n\t x</p></main>", "Text é x"),
         ("<!-- <article>no</article> --><article>yes <span hidden>no</span></article>", "yes"),
+        ("<main><article><h2>A</h2><p>" + "first one " * 12 + "</p></article><article><h2>B</h2><p>" + "second one " * 12 + "</p></article></main>", "A " + ("first one " * 12).strip() + " B " + ("second one " * 12).strip()),
+        ("<div><article>Teaser one</article><article>Teaser two</article></div><div id=story><p>" + "body text " * 30 + "</p><p>Short end.</p></div>", ("body text " * 30).strip() + " Short end."),
+        ("<article><p>" + "long text " * 20 + "</p></article><div><p>" + "promoted stuff " * 8 + "</p></div>", ("long text " * 20).strip()),
+        ("<div class='x'><div><p>" + "one text " * 20 + "</p></div><div><p>" + "two text " * 20 + "</p></div></div><div class=sidebar>" + "s " * 60 + "</div>", ("one text " * 20).strip() + " " + ("two text " * 20).strip()),
+        ("<h1>Head</h1><p>" + "plain page " * 20 + "</p><p>End.</p><ul class=menu><li>x</ul>", "Head " + ("plain page " * 20).strip() + " End."),
+        *[(f"<nav>menu</nav><div class='{c}'><article><h1>T</h1><p>" + "long text " * 20 + "</p><div class='comments'><p>" + "c " * 30 + "</p></div></article></div>", "T " + ("long text " * 20).strip()) for c in ("content no-sidebar", "page-with-sidebar", "post has-comments", "main-content related", "legal-news-article", "entry form-guide", "cookie-recipes")],
         ("", ""),
     ],
 )
@@ -494,10 +500,45 @@ def test_pages_of_the_table(spark):
         assert r.text == " ".join(plain.split())
 
 
+def test_dense_lines_against_plain_windows():
+    from geolark.llm import htmltext
+
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        lengths = [int(x) for x in rng.choice([0, 0, 3, 10, 30, 80, 200], int(rng.integers(0, 14)))]
+        sums = [sum(lengths[i : i + htmltext.WINDOW]) for i in range(len(lengths))]
+        want = set()
+        for i, x in enumerate(sums):
+            if max(sums) and x >= min(htmltext.SURGE, max(sums)):
+                window = lengths[i : i + htmltext.WINDOW]
+                want.add(i + window.index(max(window)))
+        assert htmltext.dense_lines(lengths) == sorted(want)
+
+
+def test_pages_without_their_article_element(spark):
+    """The given pages with plain divs in place of their article element: the distribution alone finds nearly all of the same text."""
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()]
+    same = near = 0
+    for page in pages:
+        want, got = main_text(page), main_text(re.sub(r"(</?)article>", r"\1div>", page))
+        a, b = set(want.split()), set(got.split())
+        same += want == got
+        near += len(a & b) >= 0.9 * len(a | b)
+    print(f"without article elements: {same / len(pages):.2f} equal, {near / len(pages):.2f} nearly")
+    assert near >= 0.9 * len(pages)
+
+
+def test_clashing_text_column(spark):
+    pages = spark.createDataFrame([(1, "<p>x", "own", None)], "page_id long, html string, text string, url string")
+    assert extract(pages, text_col="main").first().asDict() == {"page_id": 1, "html": "<p>x", "text": "own", "url": None, "main": "x"}
+    with pytest.raises(ValueError, match="text"):
+        extract(pages)
+
+
 def test_broken_pages(spark):
-    rows = [(1, None), (2, ""), (3, "<"), (4, '<a "' * 2000), (5, "plain"), (6, "<p>" * 20_000 + "deep")]
+    rows = [(1, None), (2, ""), (3, "<"), (4, '<a "' * 2000), (5, "plain"), (6, "<p>" * 20_000 + "deep"), (7, "<div class=ad>" * 20_000 + "deep " * 30), (8, "".join(f"<div>{i} " for i in range(20_000)))]
     got = {r.id: r.text for r in extract(spark.createDataFrame(rows, "id long, html string")).collect()}
-    assert got[1] == got[2] == "" and got[5] == "plain" and got[6] == "deep"
+    assert got[1] == got[2] == "" and got[5] == "plain" and got[6] == "deep" and got[7] == ("deep " * 30).strip() and got[8].endswith("19998 19999")
     assert extract(spark.createDataFrame([], "id long, html string")).count() == 0
 
 
