@@ -13,7 +13,6 @@ RUN_WORDS words, is selected as it is and deleted wherever it occurred earlier.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,11 +28,7 @@ from .common import DOCUMENT_COLUMNS, dealt_join, materialize, packed, running_t
 GRAM_WORDS, RUN_WORDS = 20, 40
 #: Characters from which a line between two newlines is deleted on its own; those of scripts without spaces count as three.
 LINE_CHARS = 24
-#: One white-space character that is a newline, follows a sentence end or precedes a capital letter.
-_CUT = re.compile(r"[ \t\n](?:(?<=\n)|(?<=[.!?].)|(?=[A-ZÀ-ÖØ-Þ]))")
 _UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x9FFF), (0x20000, 0x2FFFF))
-_SPACE = np.zeros(0x110000, bool)
-_SPACE[[c for c in range(0x3100) if chr(c).isspace()]] = True
 _BASE = 0x9E3779B97F4A7C15
 #: Bits of a line's number in a place; texts with more lines raise an error.
 PLACE_BITS = 25
@@ -46,11 +41,26 @@ def line_spans(text: str) -> list[tuple[int, int]]:
     return list(zip(starts[:-1].tolist(), (starts[:-1] + lens).tolist(), strict=True))
 
 
+def _points(text: str) -> np.ndarray:
+    if text.isascii():
+        return np.frombuffer(text.encode("ascii"), np.uint8)
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _cuts(points: np.ndarray) -> np.ndarray:
+    """Where lines end: at white-space characters that are newlines, follow a sentence end or precede a capital letter."""
+    space = np.flatnonzero((points == 32) | (points == 9) | (points == 10))
+    before, after = points[np.maximum(space - 1, 0)], points[np.minimum(space + 1, len(points) - 1)]
+    stop = (space > 0) & ((before == ord(".")) | (before == ord("!")) | (before == ord("?")))
+    capital = (after >= ord("A")) & (after <= ord("Z")) | (after >= 0xC0) & (after <= 0xDE) & (after != 0xD7)
+    return space[stop | capital & (space + 1 < len(points)) | (points[space] == 10)]
+
+
 def _starts(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Where every line starts (and one entry for the end of the text and a separator), and the lines' lengths."""
-    lines = _CUT.split(text)
-    lens = np.fromiter(map(len, lines), np.int64, len(lines))
-    return np.concatenate([[0], np.cumsum(lens + 1)]), lens
+    ends = np.append(_cuts(_points(text)), len(text))
+    starts = np.concatenate([[0], ends + 1])
+    return starts, ends - starts[:-1]
 
 
 def _wide(points: np.ndarray) -> np.ndarray:
@@ -62,6 +72,13 @@ def _wide(points: np.ndarray) -> np.ndarray:
     return out
 
 
+def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different pairs of a and b, sorted."""
+    top = int(b.max(initial=0)) + 1
+    both = np.unique(a * top + b)
+    return both // top, both % top
+
+
 class Lines:
     """The lines of several texts one after another: hashes, word counts, and where each text's lines begin.
 
@@ -81,37 +98,36 @@ class Lines:
     def of_texts(cls, texts: list[str]) -> tuple[Lines, np.ndarray, np.ndarray]:
         """The lines, and from and to which line each stretch goes that counts on its own: a long enough line between newlines, or a short text."""
         joined = "\n".join(texts)
-        points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-        lines = _CUT.split(joined)
+        points = _points(joined)
+        ends = np.append(_cuts(points), len(points))  # where the separator after each line stands
+        starts = np.concatenate([[0], ends[:-1] + 1])
         digest = xxhash.xxh64_intdigest
+        lines = [joined[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
         try:
             hashes = np.fromiter(map(digest, lines), np.uint64, len(lines))
         except UnicodeEncodeError:  # lone surrogates
             hashes = np.fromiter((digest(x.encode("utf-8", "surrogatepass")) for x in lines), np.uint64, len(lines))
-        lens = np.fromiter(map(len, lines), np.int64, len(lines))
-        ends = np.cumsum(lens + 1) - 1  # where the separator after each line stands
-        held = lambda mask: np.concatenate([[0], np.cumsum(mask)])
-        spaces, unspaced = held(points == 32), held(_wide(points))
-        inside = lambda total, a, b: total[b] - total[a]
-        words = np.where(lens > 0, inside(spaces, ends - lens, ends) + 1 + inside(unspaced, ends - lens, ends) // 2, 0)
+        spaces, unspaced = np.flatnonzero(points == 32), np.flatnonzero(_wide(points))
+        inside = lambda places, a, b: np.searchsorted(places, b) - np.searchsorted(places, a)
+        words = np.where(ends > starts, inside(spaces, starts, ends) + 1 + inside(unspaced, starts, ends) // 2, 0)
         text_ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1) - 1
         begin = np.concatenate([[0], np.searchsorted(ends, text_ends) + 1])
-        solid = np.flatnonzero(~_SPACE[points])
 
         def long_enough(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-            low, high = np.searchsorted(solid, a), np.searchsorted(solid, b) - 1
-            size = np.where(high >= low, solid[np.maximum(high, 0)] - solid[np.minimum(low, len(solid) - 1)] + 1, 0) if len(solid) else np.zeros(len(a), np.int64)
-            return size + 2 * inside(unspaced, a, b) >= LINE_CHARS
+            extra = 2 * inside(unspaced, a, b)
+            ok = b - a + extra >= LINE_CHARS
+            for i in np.flatnonzero(ok).tolist():
+                ok[i] = len(joined[a[i] : b[i]].strip()) + extra[i] >= LINE_CHARS
+            return ok
 
         out = cls(hashes, words, begin)
-        newline = np.append(np.flatnonzero(points == 10), len(points))
-        a, b = np.concatenate([[0], newline[:-1] + 1]), newline
+        b = np.append(np.flatnonzero(points == 10), len(points))
+        a = np.concatenate([[0], b[:-1] + 1])
         whole = long_enough(a, b)
         first, last = np.searchsorted(ends, a - 1) + (a > 0), np.searchsorted(ends, b) + 1
         amount = out.total[begin[1:]] - out.total[begin[:-1]]
         short = (amount > 0) & (amount < RUN_WORDS) & long_enough(text_ends - np.diff(text_ends, prepend=-1) + 1, text_ends)
-        stretch = np.unique(np.stack([np.append(first[whole], begin[:-1][short]), np.append(last[whole], begin[1:][short])], 1), axis=0)
-        return out, stretch[:, 0], stretch[:, 1]
+        return out, *_distinct(np.append(first[whole], begin[:-1][short]), np.append(last[whole], begin[1:][short]))
 
     def hash_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Hash (signed) of the lines from each a up to each b."""
@@ -157,8 +173,8 @@ class Lines:
         till, start = till[ok], start[ok]
         a, b = np.append(begin, start), np.append(end, till)
         keep = (of[a] >= 0) & chosen[of[a]]
-        both = np.unique(np.stack([a[keep], b[keep]], 1), axis=0)
-        return self.hash_of(both[:, 0], both[:, 1]), of[both[:, 0]]
+        a, b = _distinct(a[keep], b[keep])
+        return self.hash_of(a, b), of[a]
 
 
 def _lists(counts: np.ndarray, values: pa.Array) -> pa.ListArray:
