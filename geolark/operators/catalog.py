@@ -49,8 +49,17 @@ def gallery(maps: DataFrame, order: list[str], sort: str = "stars") -> DataFrame
     return shown.withColumn("position", F.array_position(names, F.col("category")).cast("int"))
 
 
+def _one_a_key(rows: DataFrame, keys: list[str]) -> DataFrame:
+    known = rows.dropna(subset=keys)
+    return known.groupBy(*[F.col(k).alias(f"_key_{k}") for k in keys]).agg(F.max(F.struct(*rows.columns)).alias("_whole")).select("_whole.*")
+
+
 def upsert(current: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """`current` with the rows of `new` in place of those with the same key; the featured flag of an existing row stays."""
+    """`current` with the rows of `new` in place of those with the same key; the featured flag of an existing row stays.
+
+    Rows of `new` without a key are left out; of several with one key one is taken, the largest in the order of their columns.
+    """
+    new = _one_a_key(new, [key])
     kept = current.join(new.select(key), key, "left_anti")
     old = current.select(key, F.col("is_featured").alias("_old"))
     fresh = new.join(old, key, "left").withColumn("is_featured", F.coalesce("_old", "is_featured")).select(*current.columns)
@@ -58,15 +67,14 @@ def upsert(current: DataFrame, new: DataFrame, key: str) -> DataFrame:
 
 
 def insert_missing(current: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """`current` and the rows of `new` whose keys it lacks."""
+    """`current` and the rows of `new` whose keys it lacks, one a key; rows of `new` with a null in their keys are left out."""
+    new = _one_a_key(new, keys)
     return current.unionByName(new.join(current, keys, "left_anti").select(*current.columns))
 
 
 def merge_keyed(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """Union of two keyed tables; the right one wins, column by column where it has a value."""
-    cols = [c for c in left.columns if c != key]
-    r = right.select(key, *[F.col(c).alias(f"_r_{c}") for c in cols])
-    return left.join(r, key, "full_outer").select(key, *[F.coalesce(f"_r_{c}", c).alias(c) for c in cols])
+    """Union of two keyed tables of the same columns: a record of the right one stands in place of the whole left one, its nulls too. Null keys match nothing."""
+    return left.join(right.select(key), key, "left_anti").unionByName(right)
 
 
 def counters(events: DataFrame, key: str) -> DataFrame:

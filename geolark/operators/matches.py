@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections import Counter
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import centre_lat, centre_lng, region_bucket, row_col
-from ..schema import MATCH_THRESHOLD, GridMeta
+from ..schema import MATCH_THRESHOLD, MAX_PINS, GridMeta
 
 
 def sample_step(meta: GridMeta) -> int:
@@ -23,43 +25,53 @@ def candidates(scores: DataFrame, pins: DataFrame, meta: GridMeta, threshold: fl
     boxed = pins.select(row_col(F.col("lat"), F.col("lng"), meta).alias("c")).where("c is not null").select(F.col("c.row").alias("prow"), F.col("c.col").alias("pcol"))
     rows = scores.where((F.col("score") >= threshold) & (F.col("pixel") % F.lit(step) == 0))
     rows = rows.withColumn("row", F.expr(f"cast(pixel div {meta.width} as int)")).withColumn("col", (F.col("pixel") % meta.width).cast("int"))
-    # at most MAX_PINS boxes
+    boxed = boxed.limit(MAX_PINS + 1).groupBy().agg(F.collect_list(F.struct("prow", "pcol")).alias("b"))
+    boxed = boxed.select(F.when(F.size("b") <= MAX_PINS, F.col("b")).otherwise(F.raise_error(F.lit("too many pins"))).alias("b")).select(F.inline("b"))
     near = (F.abs(F.col("row") - F.col("prow")) <= k) & (F.abs(F.col("col") - F.col("pcol")) <= k)
     return rows.join(F.broadcast(boxed), near, "left_anti")
 
 
-def top_matches(found: DataFrame, meta: GridMeta, count: int = 20, spacing_km: float = 50.0, per_pin: int = 2, per_region: int = 3) -> DataFrame:
+def top_matches(found: DataFrame, meta: GridMeta, count: int = 20, spacing_km: float = 50.0, per_pin: int = 2, per_region: int = 3, head: int = 64) -> DataFrame:
     """(rank, pixel, lat, lng, score, best_pin): the greedy choice by (score descending, pixel) under spacing and diversity caps.
 
-    A candidate is refused for good once it is near an accepted one or its pin or region is full, so each of the `count` rounds filters by what
-    has been accepted and takes the best row left. Only accepted rows reach the driver.
+    One pass takes the `head` best rows of every pin and region, a few thousand groups at most, and the greedy rule runs on these. That is the
+    choice among all rows unless it gets past the last row taken of a group that could still give one; then, which takes many
+    rows close together, the pass is repeated with longer heads.
     """
     spark = found.sparkSession
     gap = max(2, meta.cells_of_km(spacing_km))
     lat, lng = centre_lat(F.col("row"), meta), centre_lng(F.col("col"), meta)
-    pool = found.withColumn("lat", lat).withColumn("lng", lng).withColumn("region", region_bucket(lat, lng)).persist()
-    taken: list = []
-    try:
-        while len(taken) < count:
-            rows = pool
-            for t in taken:
-                rows = rows.where(F.abs(F.col("row") - t.row) + F.abs(F.col("col") - t.col) >= gap)
-            for name, cap in (("best_pin", per_pin), ("region", per_region)):
-                seen = [t[name] for t in taken]
-                full = [v for v in set(seen) if seen.count(v) >= cap]
-                if full:
-                    rows = rows.where(~F.col(name).isin(full))
-            best = rows.orderBy(F.desc("score"), "pixel").limit(1).collect()
-            if not best:
-                break
-            taken += best
-    finally:
-        pool.unpersist()
+    order = Window.partitionBy("best_pin", "region").orderBy(F.desc("score"), "pixel")
+    ranked = found.withColumn("lat", lat).withColumn("lng", lng).withColumn("region", region_bucket(lat, lng)).withColumn("nth", F.row_number().over(order))
+    while True:
+        rows = ranked.where(F.col("nth") <= head).collect()
+        taken, dry = _greedy(sorted(rows, key=lambda r: (-r.score, r.pixel)), gap, count, per_pin, per_region, head)
+        if not dry:
+            break
+        head *= 8
     schema = "rank int, pixel long, lat double, lng double, score double, best_pin int"
     chosen = spark.createDataFrame([(n + 1, t.pixel, t.lat, t.lng, t.score, t.best_pin) for n, t in enumerate(taken)], schema)
     return chosen.select("rank", "pixel", *[F.round(c, 4).alias(c) for c in ("lat", "lng", "score")], "best_pin")
 
 
+def _greedy(rows: list, gap: int, count: int, per_pin: int, per_region: int, head: int) -> tuple[list, bool]:
+    """The rows accepted in order, and whether a group ended that may have had more to give."""
+    taken: list = []
+    pins: Counter = Counter()
+    regions: Counter = Counter()
+    for r in rows:
+        if len(taken) == count:
+            break
+        if pins[r.best_pin] < per_pin and regions[r.region] < per_region:
+            if all(abs(r.row - t.row) + abs(r.col - t.col) >= gap for t in taken):
+                taken.append(r)
+                pins[r.best_pin] += 1
+                regions[r.region] += 1
+            if r.nth == head and len(taken) < count and pins[r.best_pin] < per_pin and regions[r.region] < per_region:
+                return taken, True
+    return taken, False
+
+
 def matches_per_pin(matches: DataFrame) -> DataFrame:
     return matches.groupBy("best_pin").agg(F.count("*").alias("n"))
 

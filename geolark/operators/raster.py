@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import row_col
-from ..schema import Q_MAX, Q_MIN, Q_STEPS, GridMeta
+from ..schema import DIMS, Q_MAX, Q_MIN, Q_STEPS, GridMeta
 
 
 def any_band(vector: Column) -> Column:
@@ -19,15 +19,21 @@ def mask_water(vector: Column, landcover: Column, occurrence: Column) -> Column:
     return F.when((landcover == 17) | (occurrence > 50), F.transform(vector, lambda x: x * 0)).otherwise(vector)
 
 
-def band_ranges(cells: DataFrame, vector: str = "e") -> DataFrame:
-    """(band, lo, hi, scale, offset) over the land cells. Partial minima are taken before the shuffle of 64 rows a task."""
-    flat = cells.where("is_land").select(F.posexplode(vector).alias("band", "v"))
-    r = flat.groupBy("band").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+def band_ranges(cells: DataFrame, vector: str = "e", dims: int = DIMS) -> DataFrame:
+    """(band, lo, hi, scale, offset) over the land cells: one row of minima and maxima a task, no cell is taken apart into rows."""
+    ends = [F.struct(F.lit(b).alias("band"), F.min(F.get(vector, F.lit(b))).alias("lo"), F.max(F.get(vector, F.lit(b))).alias("hi")) for b in range(dims)]
+    r = cells.where("is_land").agg(F.array(*ends).alias("b")).select(F.inline("b")).where("lo is not null")
     scale = F.when(F.col("hi") == F.col("lo"), F.lit(1.0)).otherwise((F.col("hi") - F.col("lo")) / Q_STEPS)
     r = r.withColumn("scale", scale)
     return r.withColumn("offset", F.when(F.col("hi") == F.col("lo"), F.col("lo")).otherwise(F.col("lo") + 127.0 * F.col("scale")))
 
 
+def kept_ranges(ranges: DataFrame) -> DataFrame:
+    """The same few rows as constants of the plan: computed once, so that scans that quantise on the fly don't read the raster again."""
+    rows = [f"({r.band}, {r.lo!r}D, {r.hi!r}D, {r.scale!r}D, {r.offset!r}D)" for r in ranges.select("band", "lo", "hi", "scale", "offset").collect()]  # one row a band
+    return ranges.sparkSession.sql("SELECT * FROM VALUES " + ", ".join(rows) + " AS t(band, lo, hi, scale, offset)") if rows else ranges
+
+
 def band_arrays(ranges: DataFrame) -> DataFrame:
     """One row with the bands' scales, offsets and whether a band is constant, in band order."""
     one = ranges.agg(F.array_sort(F.collect_list(F.struct("band", "scale", "offset", (F.col("hi") == F.col("lo")).alias("constant")))).alias("b"))
@@ -52,12 +58,12 @@ def dequantize(cells: DataFrame, ranges: DataFrame, out: str = "restored") -> Da
     return wide.withColumn(out, F.transform("q", lambda v, i: v * F.get(F.col("scales"), i) + F.get(F.col("offsets"), i))).drop("scales", "offsets", "constants")
 
 
-def roundtrip_error(cells: DataFrame, ranges: DataFrame, vector: str = "e", sample: int = 1000) -> DataFrame:
-    """(mse, max_error) of quantised against original values over the first `sample` land cells."""
-    first = cells.where("is_land").orderBy("pixel").limit(sample)
-    back = dequantize(quantize(first, ranges, vector), ranges)
-    gap = back.select(F.explode(F.zip_with("restored", vector, lambda a, b: a - b)).alias("d"))
-    return gap.agg(F.round(F.avg(F.col("d") * F.col("d")), 9).alias("mse"), F.round(F.max(F.abs("d")), 9).alias("max_error"))
+def roundtrip_error(cells: DataFrame, ranges: DataFrame, vector: str = "e") -> DataFrame:
+    """(mse, max_error) of quantised against original values over all land cells."""
+    back = dequantize(quantize(cells, ranges, vector), ranges)
+    gap = back.select(F.zip_with("restored", vector, lambda a, b: a - b).alias("d"))
+    sums = gap.select(F.aggregate("d", F.lit(0.0), lambda s, x: s + x * x).alias("s"), F.array_max(F.transform("d", F.abs)).alias("m"), F.size("d").alias("n"))
+    return sums.agg(F.round(F.sum("s") / F.sum("n"), 9).alias("mse"), F.round(F.max("m"), 9).alias("max_error"))
 
 
 def land_stats(cells: DataFrame) -> DataFrame:

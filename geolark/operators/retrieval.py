@@ -59,7 +59,7 @@ def class_shares(rows: DataFrame, code: str, digits: int = 2) -> DataFrame:
 
 
 def named_classes(shares: DataFrame, names: DataFrame, default: str = "Unknown") -> DataFrame:
-    return shares.join(F.broadcast(names), "code", "left").withColumn("name", F.coalesce("name", F.lit(default)))
+    return shares.join(names, "code", "left").withColumn("name", F.coalesce("name", F.lit(default)))
 
 
 def zone_labels(shares: DataFrame, labels: list[str]) -> DataFrame:

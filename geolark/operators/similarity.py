@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..schema import FLOAT_DIVISOR, MAX_PINS, SCORE_DIVISOR
+from ..schema import FLOAT_DIVISOR, MAX_LAYER_PINS, MAX_PINS, SCORE_DIVISOR
 
 
 def dot(a: Column, b: Column, zero: Column | None = None) -> Column:
@@ -51,13 +52,15 @@ def scan_float(cells: DataFrame, pins: DataFrame, vector: str = "v", divisor: fl
 def scan_arrow(cells: DataFrame, pins: DataFrame) -> DataFrame:
     """scan() as a matrix product a batch: the fast form for large rasters. The pins, MAX_PINS at most, go to the tasks with the function."""
     rows = sorted(pins.select("pin_idx", "q").limit(MAX_PINS + 1).collect())
-    if not 0 < len(rows) <= MAX_PINS:
-        raise ValueError(f"between 1 and {MAX_PINS} pins on land are needed")
+    if len(rows) > MAX_PINS:
+        raise ValueError("too many pins")
     refs = np.array([r.q for r in rows], np.float32)
     ordinal = np.array([r.pin_idx for r in rows], np.int32)
 
     def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            if not len(b) or not len(refs):
+                continue  # without pins no cell has a score
             q = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(len(b), -1)
             dots = q @ refs.T  # exact: products stay below 2**24
             best = dots.argmax(1)
@@ -67,15 +70,31 @@ def scan_arrow(cells: DataFrame, pins: DataFrame) -> DataFrame:
 
 
 def scan_layers(cells: DataFrame, layer_pins: DataFrame) -> DataFrame:
-    """(layer_id, pixel, dot, best_pin, score) of every layer; each layer has its pins as one row, which meets every cell."""
-    per = layer_pins.groupBy("layer_id").agg(F.array_sort(F.collect_list(F.struct("pin_idx", F.col("q").alias("v")))).alias("pins"))
-    best = F.array_max(F.transform("pins", lambda p: F.struct(dot(F.col("q"), p["v"]).alias("dot"), (-p["pin_idx"]).alias("at"))))
-    # a few dozen layers of a few pins
-    found = cells.where("is_land").crossJoin(F.broadcast(per)).select("layer_id", "pixel", best.alias("best"))
-    return found.select("layer_id", "pixel", F.col("best.dot").alias("dot"), (-F.col("best.at")).cast("int").alias("best_pin")).withColumn("score", score_of(F.col("dot")))
+    """(layer_id, pixel, dot, best_pin, score) of every layer in one pass over the cells, a matrix product a batch.
+
+    The pins of all layers, MAX_LAYER_PINS at most, go to the tasks with the function.
+    """
+    rows = sorted(layer_pins.select("layer_id", "pin_idx", "q").limit(MAX_LAYER_PINS + 1).collect())
+    if len(rows) > MAX_LAYER_PINS:
+        raise ValueError("too many pins of layers")
+    layers = [(name, list(group)) for name, group in itertools.groupby(rows, key=lambda r: r.layer_id)]
+    refs = [(name, np.array([r.q for r in group], np.float32), np.array([r.pin_idx for r in group], np.int32)) for name, group in layers]
+
+    def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not len(b):
+                continue
+            q = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(len(b), -1)
+            for name, pins, ordinal in refs:
+                dots = q @ pins.T
+                best = dots.argmax(1)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(b), pa.string()), b.column(0), pa.array(dots[np.arange(len(b)), best].astype(np.int32)), pa.array(ordinal[best])], names=["layer_id", "pixel", "dot", "best_pin"])
+
+    found = cells.where("is_land").select("pixel", "q").mapInArrow(product, "layer_id string, pixel long, dot int, best_pin int")
+    return found.withColumn("score", score_of(F.col("dot")))
 
 
 def score_stats(scores: DataFrame) -> DataFrame:
     """(n, p50, p90, p99, top) of the positive products; exact percentiles, rounded to 4."""
-    p = lambda x: F.round(F.percentile("dot", F.lit(x)), 4)
-    return scores.where("dot > 0").agg(F.count("*").alias("n"), p(0.5).alias("p50"), p(0.9).alias("p90"), p(0.99).alias("p99"), F.max("dot").alias("top"))
+    found = scores.where("dot > 0").agg(F.count("*").alias("n"), F.percentile("dot", F.array(F.lit(0.5), F.lit(0.9), F.lit(0.99))).alias("p"), F.max("dot").alias("top"))
+    return found.select("n", *[F.round(F.get("p", F.lit(i)), 4).alias(name) for i, name in enumerate(("p50", "p90", "p99"))], "top")

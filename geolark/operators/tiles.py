@@ -4,14 +4,20 @@ from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.geo import palette_colour, ramp_colour, ramp_index, row_col, tile_bounds
 from ..schema import VISIBLE_THRESHOLD, GridMeta
 
 TILE = 256
+#: Neighbouring cells of a raster row that travel together.
+CHUNK = 32
 
 
 def tile_list(spark: SparkSession, zooms: range | list[int], meta: GridMeta) -> DataFrame:
@@ -26,20 +32,51 @@ def tile_list(spark: SparkSession, zooms: range | list[int], meta: GridMeta) ->
     return out.where(hit)
 
 
-def tile_pixels(tiles: DataFrame, meta: GridMeta, size: int = TILE) -> DataFrame:
-    """(z, x, y, py, px, pixel): every pixel centre of the tiles and the raster cell it falls in, null outside."""
-    step = F.sequence(F.lit(0), F.lit(size - 1))
-    p = tiles.withColumn("b", tile_bounds(F.col("z"), F.col("x"), F.col("y"))).withColumn("py", F.explode(step)).withColumn("px", F.explode(step))
-    lat = F.col("b.north") - (F.col("py") + 0.5) * ((F.col("b.north") - F.col("b.south")) / float(size))
-    lng = F.col("b.west") + (F.col("px") + 0.5) * ((F.col("b.east") - F.col("b.west")) / float(size))
-    c = row_col(lat, lng, meta)
-    return p.select("z", "x", "y", "py", "px", (c["row"] * meta.width + c["col"]).cast("long").alias("pixel"))
+def _axes(meta: GridMeta, size: int) -> tuple[Column, Column]:
+    """For a tile's z, x, y: the raster row of each pixel row and the raster column of each pixel column, null outside."""
+    b = tile_bounds(F.col("z"), F.col("x"), F.col("y"))
+    steps = F.sequence(F.lit(0), F.lit(size - 1))
+    inner_lat, inner_lng = F.lit((meta.north + meta.south) / 2), F.lit((meta.west + meta.east) / 2)
+    whole = F.transform(F.array(b), lambda t: F.struct(
+        F.transform(steps, lambda p: row_col(t["north"] - (p + 0.5) * ((t["north"] - t["south"]) / float(size)), inner_lng, meta)["row"]).alias("rows"),
+        F.transform(steps, lambda p: row_col(inner_lat, t["west"] + (p + 0.5) * ((t["east"] - t["west"]) / float(size)), meta)["col"]).alias("cols"),
+    ))[0]
+    return whole["rows"], whole["cols"]
+
+
+def score_chunks(scores: DataFrame, meta: GridMeta) -> DataFrame:
+    """(row, block, v): the scores of CHUNK neighbouring cells of a raster row as one array, null on water."""
+    at = (F.col("pixel") % meta.width % CHUNK).cast("int")
+    keyed = scores.select(F.expr(f"cast(pixel div {meta.width} as int)").alias("row"), F.expr(f"cast(pixel % {meta.width} div {CHUNK} as int)").alias("block"), at.alias("at"), "score")
+    return keyed.groupBy("row", "block").agg(F.array(*[F.max(F.when(F.col("at") == k, F.col("score"))) for k in range(CHUNK)]).alias("v"))
+
+
+def tile_strips(tiles: DataFrame, scores: DataFrame, meta: GridMeta, size: int = TILE) -> DataFrame:
+    """(z, x, y, row, block, v): for every tile the raster chunks that it shows. What is shuffled is a tile's chunks, not its pixels."""
+    rows, cols = _axes(meta, size)
+    some = lambda a: F.array_distinct(F.filter(a, lambda v: v.isNotNull()))
+    placed = tiles.select("z", "x", "y", F.explode(some(rows)).alias("row"), cols.alias("cols"))
+    placed = placed.select("z", "x", "y", "row", F.explode(some(F.transform("cols", lambda c: F.floor(c / CHUNK).cast("int")))).alias("block"))
+    return placed.join(score_chunks(scores, meta), ["row", "block"], "left")
+
+
+def _shown(cols: Column, at: Column) -> Column:
+    """Score of a pixel column in a strip."""
+    return F.coalesce(F.get("v", F.get(cols, at) - F.col("block") * CHUNK), F.lit(0.0))
 
 
 def tile_scores(tiles: DataFrame, scores: DataFrame, meta: GridMeta, size: int = TILE) -> DataFrame:
-    """Tile pixels with the score of their cell: null outside the raster, 0 on water."""
-    joined = tile_pixels(tiles, meta, size).join(scores.select("pixel", "score"), "pixel", "left")
-    return joined.select("z", "x", "y", "py", "px", F.when(F.col("pixel").isNotNull(), F.coalesce("score", F.lit(0.0))).alias("score"))
+    """(z, x, y, py, px, score): tile pixels with the score of the cell their centre falls in: null outside the raster, 0 on water."""
+    rows, cols = _axes(meta, size)
+    steps = F.sequence(F.lit(0), F.lit(size - 1))
+    strips = tile_strips(tiles, scores, meta, size).withColumn("rows", rows).withColumn("cols", cols)
+    pys = F.filter(steps, lambda p: F.get("rows", p) == F.col("row"))
+    pxs = F.filter(steps, lambda p: F.floor(F.get("cols", p) / CHUNK) == F.col("block"))
+    line = F.transform(pxs, lambda p: F.struct(p.alias("px"), _shown(F.col("cols"), p).alias("score")))
+    inside = strips.select("z", "x", "y", pys.alias("pys"), line.alias("line")).select("z", "x", "y", F.explode("pys").alias("py"), "line").select("z", "x", "y", "py", F.inline("line"))
+    axes = tiles.withColumn("rows", rows).withColumn("cols", cols).where(F.exists("rows", lambda v: v.isNull()) | F.exists("cols", lambda v: v.isNull()))
+    blank = axes.select("z", "x", "y", F.posexplode("rows").alias("py", "r"), "cols").select("z", "x", "y", "py", "r", F.posexplode("cols").alias("px", "c")).where("r is null or c is null")
+    return inside.unionByName(blank.select("z", "x", "y", "py", "px", F.lit(None).cast("double").alias("score")))
 
 
 def tile_rgba(pixels: DataFrame, palette: bool = False) -> DataFrame:
@@ -49,16 +86,25 @@ def tile_rgba(pixels: DataFrame, palette: bool = False) -> DataFrame:
     return pixels.withColumn("ci", index).withColumn("c", palette_colour(score) if palette else ramp_colour(index)).select("z", "x", "y", "py", "px", "ci", "c.r", "c.g", "c.b", "c.a")
 
 
-def visible_tiles(pixels: DataFrame, threshold: float = VISIBLE_THRESHOLD) -> DataFrame:
-    """(z, x, y, top) of the tiles with some pixel that shows."""
-    return pixels.groupBy("z", "x", "y").agg(F.max("score").alias("top")).where(F.col("top") >= threshold)
+def tile_tops(tiles: DataFrame, scores: DataFrame, meta: GridMeta, size: int = TILE) -> DataFrame:
+    """(z, x, y, top) of all tiles: the highest score of a pixel, null outside the raster; no pixel becomes a row."""
+    rows, cols = _axes(meta, size)
+    steps = F.sequence(F.lit(0), F.lit(size - 1))
+    strips = tile_strips(tiles, scores, meta, size).withColumn("cols", cols)
+    pxs = F.filter(steps, lambda p: F.floor(F.get("cols", p) / CHUNK) == F.col("block"))
+    top = strips.select("z", "x", "y", F.array_max(F.transform(pxs, lambda p: _shown(F.col("cols"), p))).alias("top"))
+    return tiles.join(top.groupBy("z", "x", "y").agg(F.max("top").alias("top")), ["z", "x", "y"], "left")
+
+
+def visible_tiles(tops: DataFrame, threshold: float = VISIBLE_THRESHOLD) -> DataFrame:
+    """The rows of tile_tops() with some pixel that shows."""
+    return tops.where(F.col("top") >= threshold)
 
 
-def tile_counts(pixels: DataFrame, threshold: float = VISIBLE_THRESHOLD) -> DataFrame:
-    """(z, tiles, rendered, skipped) for each zoom and, with z null, for all."""
-    per = pixels.groupBy("z", "x", "y").agg(F.max("score").alias("top"))
+def tile_counts(tops: DataFrame, threshold: float = VISIBLE_THRESHOLD) -> DataFrame:
+    """(z, tiles, rendered, skipped) for each zoom and, with z null, for all, from tile_tops()."""
     shown = F.count_if(F.coalesce(F.col("top") >= threshold, F.lit(False)))
-    return per.rollup("z").agg(F.count("*").alias("tiles"), shown.alias("rendered"), (F.count("*") - shown).alias("skipped"))
+    return tops.rollup("z").agg(F.count("*").alias("tiles"), shown.alias("rendered"), (F.count("*") - shown).alias("skipped"))
 
 
 def png(rgba: bytes, width: int, height: int) -> bytes:
@@ -76,14 +122,44 @@ TRANSPARENT = png(b"\0\0\0\0", 1, 1)
 
 
 def tile_png(coloured: DataFrame, size: int = TILE) -> DataFrame:
-    """(z, x, y, png): one image a tile; a tile has size * size pixels, so its group is bounded."""
+    """(z, x, y, png): one image a tile; a tile has size * size pixels, so its group is bounded. A pixel travels as one long: place and colour."""
 
     @F.pandas_udf("binary")
-    def encode(column):
-        return column.map(lambda p: png(b"".join(bytes((x["r"], x["g"], x["b"], x["a"])) for x in p), size, size))
+    def encode(column: pd.Series) -> pd.Series:
+        def one(pixels: np.ndarray) -> bytes:
+            out = np.zeros(size * size, ">u4")
+            out[pixels >> 32] = pixels & 0xFFFFFFFF
+            return png(out.tobytes(), size, size)
+
+        return column.map(one)
+
+    colour = sum((F.shiftleft(F.col(c).cast("long"), 24 - 8 * i) for i, c in enumerate("rgba")), F.shiftleft((F.col("py") * size + F.col("px")).cast("long"), 32))
+    return coloured.groupBy("z", "x", "y").agg(F.collect_list(colour).alias("p")).select("z", "x", "y", encode("p").alias("png"))
+
+
+def write_tile_tree(tiles: DataFrame, path: str, layer: str) -> DataFrame:
+    """Write (z, x, y, png) as {path}/{layer}/{z}/{x}/{y}.png from the tasks; returns (z, x, y, bytes) of the files written."""
+    root = f"{path.rstrip('/')}/{layer}"
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        system, inner = fs.FileSystem.from_uri(root) if ":" in root else (fs.LocalFileSystem(), root)
+        for b in batches:
+            for z, x, y, image in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                system.create_dir(f"{inner}/{z}/{x}", recursive=True)
+                with system.open_output_stream(f"{inner}/{z}/{x}/{y}.png") as f:
+                    f.write(image)
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(3)), pa.array([len(v) for v in b.column(3).to_pylist()], pa.int64())], names=["z", "x", "y", "bytes"])
+
+    return tiles.select("z", "x", "y", "png").mapInArrow(write, "z int, x int, y int, bytes long")
+
 
-    pixels = F.array_sort(F.collect_list(F.struct("py", "px", "r", "g", "b", "a")))
-    return coloured.groupBy("z", "x", "y").agg(pixels.alias("p")).select("z", "x", "y", encode("p").alias("png"))
+def read_tile_tree(spark: SparkSession, path: str) -> DataFrame:
+    """(layer, z, x, y, png) of a tree of tiles."""
+    at = lambda i: F.regexp_extract("path", r"([^/]+)/([0-9]+)/([0-9]+)/([0-9]+)\.png$", i)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.png").load(path)
+    return files.select(at(1).alias("layer"), *[at(i + 2).cast("int").alias(n) for i, n in enumerate("zxy")], F.col("content").alias("png"))
 
 
 def served(wanted: DataFrame, tiles: DataFrame) -> DataFrame:

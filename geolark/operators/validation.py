@@ -11,7 +11,7 @@ from .similarity import dot
 
 def sample(rows: DataFrame, n: int, seed: int = 42, key: str = "pixel") -> DataFrame:
     """The n rows with the smallest hash of key and seed (all, if fewer): a sample that every run repeats."""
-    return rows.orderBy(F.crc32(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))).cast("binary")), key).limit(n)
+    return rows.orderBy(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))).cast("binary")), key).limit(n)
 
 
 def pair_similarities(farms: DataFrame) -> DataFrame:

@@ -77,8 +77,8 @@ TILE_PIXELS = (
     SCORES
     + TILES
     + """,
-tp AS (SELECT z, x, y, CAST(py AS INTEGER) AS py, CAST(px AS INTEGER) AS px, north - (py + 0.5) * ((north - south) / 32.0) AS lat, west + (px + 0.5) * ((east - west) / 32.0) AS lng
-  FROM tb, range(0, 32) a(py), range(0, 32) b(px) WHERE west < 180 AND east > -180 AND south < 70 AND north > -60),
+tp AS (SELECT z, x, y, CAST(py AS INTEGER) AS py, CAST(px AS INTEGER) AS px, north - (py + 0.5) * ((north - south) / 256.0) AS lat, west + (px + 0.5) * ((east - west) / 256.0) AS lng
+  FROM tb, range(0, 256) a(py), range(0, 256) b(px) WHERE west < 180 AND east > -180 AND south < 70 AND north > -60),
 tc AS (SELECT z, x, y, py, px, CASE WHEN lat BETWEEN -60 AND 70 AND lng BETWEEN -180 AND 180 THEN
   CAST(greatest(0, least(trunc((70.0 - lat) / ch), h - 1)) * w + greatest(0, least(trunc((lng + 180.0) / cw), w - 1)) AS BIGINT) END AS pixel FROM tp, grid),
 ts AS (SELECT z, x, y, py, px, CASE WHEN tc.pixel IS NOT NULL THEN coalesce(s.score, 0.0) END AS score FROM tc LEFT JOIN scores s ON s.pixel = tc.pixel)"""

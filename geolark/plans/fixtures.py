@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.geo import centre_lat, centre_lng
-from ..operators.raster import band_ranges, lookup_pins, quantize
+from ..operators.raster import band_ranges, kept_ranges, lookup_pins, quantize
 from ..schema import GridMeta
 
 WIDTH = 50
@@ -32,7 +32,13 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quantized(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = cells(spark, sf_dir)
-    return quantize(c, band_ranges(c))
+    return quantize(c, kept_ranges(band_ranges(c)))
+
+
+def scan_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The quantised cells and the pins on land, with the bands' ranges computed once for both."""
+    q = quantized(spark, sf_dir)
+    return q, lookup_pins(pins(spark, sf_dir), q, meta(spark, sf_dir))
 
 
 def pins(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,9 @@ from . import fixtures as fx
 from .cte import query as sql
 from .registry import query
 
-SIZE = 32  # pixels of a tile's side in these queries
+SIZE = T.TILE
+#: Random land cells that the validation queries compare with.
+BASELINE = 5000
 
 
 @query(sql(cte.CELLS, "SELECT pixel, row, col, is_land, len(list_filter(e, lambda x: x <> 0)) > 0 AS has_data FROM cells"))
@@ -86,7 +88,7 @@ def dequantize(spark, d):
     return R.dequantize(fx.quantized(spark, d), R.band_ranges(c)).select("pixel", F.posexplode(F.transform("restored", lambda x: F.round(x, 9))).alias("band", "v"))
 
 
-@query(sql(cte.QUANT + ", f AS (SELECT pixel FROM cells WHERE is_land ORDER BY pixel LIMIT 1000)", "SELECT round(avg((q * scale + off - v) * (q * scale + off - v)), 9) AS mse, round(max(abs(q * scale + off - v)), 9) AS max_error FROM qflat JOIN f USING (pixel)"))
+@query(sql(cte.QUANT, "SELECT round(avg((q * scale + off - v) * (q * scale + off - v)), 9) AS mse, round(max(abs(q * scale + off - v)), 9) AS max_error FROM qflat"))
 def quant_roundtrip_error(spark, d):
     c = fx.cells(spark, d)
     return R.roundtrip_error(c, R.band_ranges(c))
@@ -111,17 +113,23 @@ _SCAN = sql(cte.SCORES, "SELECT pixel, dot, best_pin, score FROM scores")
 
 @query(_SCAN)
 def sim_scan(spark, d):
-    return S.scan(fx.quantized(spark, d), fx.land_pins(spark, d))
+    return S.scan_arrow(*fx.scan_inputs(spark, d))
+
+
+@query(_SCAN)
+def sim_scan_expressions(spark, d):
+    """The same scan as column expressions, without Python in the tasks."""
+    return S.scan(*fx.scan_inputs(spark, d))
 
 
 @query(sql(cte.SCORES, "SELECT pixel, greatest(dot, 0) AS dot, CASE WHEN dot > 0 THEN best_pin ELSE 0 END AS best_pin, score FROM scores"))
 def sim_scan_online(spark, d):
-    return S.scan(fx.quantized(spark, d), fx.land_pins(spark, d), online=True)
+    return S.scan(*fx.scan_inputs(spark, d), online=True)
 
 
 @query(_SCAN)
 def sim_scan_arrow(spark, d):
-    return S.scan_arrow(fx.quantized(spark, d), fx.land_pins(spark, d))
+    return S.scan_arrow(*fx.scan_inputs(spark, d))
 
 
 @query(
@@ -245,9 +253,14 @@ def palette(spark, d):
     return sim_scan(spark, d).select("pixel", palette_colour(F.col("score") / 20).alias("c")).select("pixel", "c.r", "c.g", "c.b", "c.a")
 
 
+def _tile_tops(spark, d):
+    m = fx.meta(spark, d)
+    return T.tile_tops(T.tile_list(spark, range(3), m), sim_scan(spark, d), m, SIZE)
+
+
 @query(sql(cte.TILE_PIXELS, "SELECT z, count(*) AS tiles, count(*) FILTER (WHERE top >= 0.55) AS rendered, count(*) - count(*) FILTER (WHERE top >= 0.55) AS skipped FROM (SELECT z, x, y, max(score) AS top FROM ts GROUP BY z, x, y) GROUP BY ROLLUP (z)"))
 def tile_counts(spark, d):
-    return T.tile_counts(_tile_scores(spark, d))
+    return T.tile_counts(_tile_tops(spark, d))
 
 
 @query()
@@ -255,7 +268,7 @@ def tile_png(spark, d):
     return T.tile_png(tile_rgba(spark, d), SIZE)
 
 
-_SAMPLE = """, others AS (SELECT c.pixel AS id, k.q FROM cells c JOIN quant k USING (pixel) WHERE c.label > 2 ORDER BY c.pixel LIMIT 200),
+_SAMPLE = """, others AS (SELECT c.pixel AS id, k.q FROM cells c JOIN quant k USING (pixel) WHERE c.label > 2 ORDER BY md5(c.pixel || ':42'), c.pixel LIMIT 5000),
 farms AS (SELECT c.pixel AS id, k.q FROM cells c JOIN quant k USING (pixel) WHERE c.label = 1),
 pairs AS (SELECT a.id AS a, b.id AS b, CAST(list_dot_product(CAST(a.q AS DOUBLE[]), CAST(b.q AS DOUBLE[])) AS INTEGER) AS sim FROM farms a JOIN farms b ON a.id < b.id),
 base AS (SELECT a.id AS a, b.id AS b, CAST(list_dot_product(CAST(a.q AS DOUBLE[]), CAST(b.q AS DOUBLE[])) AS INTEGER) AS sim FROM farms a, others b)"""
@@ -264,7 +277,7 @@ _SUMMARY = "SELECT count(*) AS n, round(avg(sim), 4) AS mean, round(stddev_pop(s
 
 def _class_rows(spark, d):
     q = fx.quantized(spark, d).select(F.col("pixel").alias("id"), "label", "q")
-    return q.where("label = 1").drop("label"), q.where("label > 2").orderBy("id").limit(200).drop("label")
+    return q.where("label = 1").drop("label"), V.sample(q.where("label > 2").drop("label"), BASELINE, key="id")
 
 
 @query(sql(cte.QUANT + _SAMPLE, _SUMMARY + "pairs"))
@@ -303,7 +316,7 @@ def loo_summary(spark, d):
     return V.leave_one_out_summary(loo_rank(spark, d))
 
 
-@query()
+@query(sql(cte.CELLS, "SELECT pixel, label FROM cells WHERE is_land ORDER BY md5(pixel || ':42'), pixel LIMIT 100"))
 def random_sample(spark, d):
     return V.sample(fx.cells(spark, d).where("is_land"), 100).select("pixel", "label")
 

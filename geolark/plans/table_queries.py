@@ -290,11 +290,15 @@ def map_upsert(spark, d):
     return C.upsert(now, new, "id")
 
 
-@query("SELECT coalesce(a.k, b.k) AS k, coalesce(b.v, a.v) AS v FROM (SELECT n_nationkey AS k, n_name AS v FROM nation) a FULL JOIN (SELECT n_nationkey + 20 AS k, 'r' || n_nationkey AS v FROM nation) b ON a.k = b.k")
+_REFS = "b AS (SELECT n_nationkey + 20 AS k, 'r' || n_nationkey AS v, CASE WHEN n_nationkey % 3 > 0 THEN n_regionkey END AS w FROM nation)"
+
+
+@query(f"WITH {_REFS} SELECT k, v, w FROM b UNION ALL SELECT n_nationkey, n_name, n_regionkey FROM nation WHERE n_nationkey NOT IN (SELECT k FROM b)")
 def merge_layer_refs(spark, d):
     n = fx.table(spark, d, "nation")
-    left = n.select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("v"))
-    return C.merge_keyed(left, n.select((F.col("n_nationkey") + 20).alias("k"), F.concat(F.lit("r"), F.col("n_nationkey").cast("string")).alias("v")), "k")
+    left = n.select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("v"), F.col("n_regionkey").alias("w"))
+    right = n.select((F.col("n_nationkey") + 20).alias("k"), F.concat(F.lit("r"), F.col("n_nationkey").cast("string")).alias("v"), F.when(F.col("n_nationkey") % 3 > 0, F.col("n_regionkey")).alias("w"))
+    return C.merge_keyed(left, right, "k")
 
 
 @query("SELECT label AS crop, vec_id // 50 AS row, min(vec_id) AS id FROM embeddings GROUP BY 1, 2 HAVING min(vec_id) % 2 = 0 UNION ALL SELECT label + 100, vec_id // 50, min(vec_id) FROM embeddings GROUP BY 1, 2")
@@ -395,7 +399,10 @@ def optical_scenes(spark, d):
     return Z.scenes(e, "cloud", "event_type", "ts", 70, "view").select("event_id", "ts")
 
 
-@query()
+@query(
+    "WITH h AS (SELECT id, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode(id)) AS x FROM (SELECT DISTINCT 'layer' || label AS id FROM embeddings))"
+    " SELECT id, substr(x, 1, 8) || '-' || substr(x, 9, 4) || '-5' || substr(x, 14, 3) || '-' || ['8', '9', 'a', 'b'][(strpos('0123456789abcdef', substr(x, 17, 1)) - 1) % 4 + 1] || substr(x, 18, 3) || '-' || substr(x, 21, 12) AS uuid FROM h"
+)
 def layer_uuids(spark, d):
     layers = fx.table(spark, d, "embeddings").select(F.concat(F.lit("layer"), F.col("label").cast("string")).alias("id")).distinct()
     return layers.select("id", X.stable_uuid(F.col("id")).alias("uuid"))

@@ -12,6 +12,8 @@ SCORE_DIVISOR, FLOAT_DIVISOR, COARSE_DIVISOR = 105000.0, 0.9, 50.0
 MATCH_THRESHOLD, VISIBLE_THRESHOLD = 0.5, 0.55
 KM_PER_DEGREE = 111.0
 MAX_PINS = 50
+#: Pins of all layers of one scan: a hundred layers with all the pins they may have.
+MAX_LAYER_PINS = 5000
 Q_MIN, Q_MAX, Q_STEPS = -127, 127, 254.0
 
 CELL = T.StructType(

@@ -31,7 +31,7 @@ def test_projections_do_not_shuffle(spark, name):
 
 
 def test_no_python_outside_the_arrow_queries(spark):
-    for name in ("sim_scan", "tile_rgba", "knn_farms", "suitability", "stability"):
+    for name in ("sim_scan_expressions", "sim_scan_float", "knn_farms", "suitability", "stability"):
         assert not re.search("Python|Pandas|MapInArrow", plan(spark, name)), name
 
 

@@ -11,6 +11,7 @@ import pytest
 from geolark.plans.catalogue import ORACLE_SQL, QUERIES
 
 DIR = "/root/testdata/sf0.001"
+PIXELS = {"tile_scores", "tile_rgba"}
 
 
 @pytest.fixture(scope="module")
@@ -32,9 +33,15 @@ def plain(v):
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
-def test_equals_sql(spark, duck, name):
+def test_equals_sql(spark, duck, name, tmp_path):
     rows = QUERIES[name](spark, DIR)
     columns = sorted(rows.columns)
+    if name in PIXELS:  # too many rows for Python
+        rows.write.parquet(str(tmp_path / name))
+        names, both = ", ".join(columns), (f"SELECT {', '.join(columns)} FROM '{tmp_path / name}/*.parquet'", f"SELECT {', '.join(columns)} FROM ({ORACLE_SQL[name]})")
+        assert duck.execute(f"SELECT count(*) FROM ({both[0]})").fetchone() == duck.execute(f"SELECT count(*) FROM ({both[1]})").fetchone()
+        assert duck.execute(f"SELECT count(*) FROM (({both[0]}) EXCEPT ALL ({both[1]}))").fetchone() == (0,), names
+        return
     got = sorted((tuple(plain(r[c]) for c in columns) for r in rows.collect()), key=repr)
     result = duck.execute(ORACLE_SQL[name])
     names = [d[0] for d in result.description]
@@ -49,7 +56,7 @@ def test_runs(spark, name):
 
 
 def test_arrow_scan_equals_expressions(spark):
-    a, b = (sorted(map(tuple, QUERIES[n](spark, DIR).collect())) for n in ("sim_scan", "sim_scan_arrow"))
+    a, b = (sorted(map(tuple, QUERIES[n](spark, DIR).collect())) for n in ("sim_scan_expressions", "sim_scan_arrow"))
     assert a == b
 
 

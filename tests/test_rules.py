@@ -96,8 +96,7 @@ def test_scan_ties_and_modes(spark):
     assert sorted(map(tuple, similarity.scan(cells, pins, online=True).drop("score").collect())) == [(0, 1, 1), (1, 0, 0)]
     assert sorted(map(tuple, similarity.scan_arrow(cells, pins).drop("score").collect())) == [(0, 1, 1), (1, -1, 1)]
     assert similarity.scan(cells, pins.limit(0)).count() == 0
-    with pytest.raises(ValueError):
-        similarity.scan_arrow(cells, pins.limit(0))
+    assert similarity.scan_arrow(cells, pins.limit(0)).count() == 0
 
 
 def test_too_many_pins_are_refused(spark):
@@ -132,6 +131,44 @@ def test_greedy_matches_keep_their_rules(spark):
         pins[b], regions[region] = pins.get(b, 0) + 1, regions.get(region, 0) + 1
     assert [r.pixel for r in got] == [y * 50 + x for y, x in want] and len(got) == 8
     assert matches.top_matches(pool.limit(0), M, 5).count() == 0
+    assert matches.top_matches(pool, M, 12, head=1).collect() == got  # heads too short at first
+
+
+def test_merges_take_whole_records(spark):
+    from geolark.operators import catalog
+
+    left = spark.createDataFrame([(1, "a", "x"), (2, "b", "y"), (None, "n", "z")], "k int, v string, w string")
+    right = spark.createDataFrame([(2, "c", None), (3, None, "t")], "k int, v string, w string")
+    assert sorted(map(tuple, catalog.merge_keyed(left, right, "k").collect()), key=str) == sorted([(1, "a", "x"), (2, "c", None), (3, None, "t"), (None, "n", "z")], key=str)
+    now = spark.createDataFrame([(1, True)], "k int, is_featured boolean")
+    new = spark.createDataFrame([(1, False), (1, False), (2, False), (2, True), (None, True)], "k int, is_featured boolean")
+    assert sorted(map(tuple, catalog.upsert(now, new, "k").collect())) == [(1, True), (2, True)]
+    assert sorted(map(tuple, catalog.insert_missing(now, new, ["k"]).collect())) == [(1, True), (2, True)]
+
+
+def test_tile_tree(spark, tmp_path):
+    """Tiles written as files, read again, decoded, against the coloured pixels."""
+    import zlib
+
+    scores = spark.createDataFrame([(p, (p % 97) / 97) for p in range(500) if p % 5], "pixel long, score double")
+    wanted = tiles.tile_list(spark, [0, 1], M)
+    coloured = tiles.tile_rgba(tiles.tile_scores(wanted, scores, M, 16))
+    images = tiles.tile_png(coloured, 16)
+    done = tiles.write_tile_tree(images, str(tmp_path / "tree"), "coffee").collect()
+    assert (tmp_path / "tree/coffee/1/1/0.png").is_file() and len(done) == wanted.count() == 5
+    want: dict = {}
+    for r in coloured.collect():
+        want.setdefault((r.z, r.x, r.y), {})[r.py, r.px] = (r.r, r.g, r.b, r.a)
+    for r in tiles.read_tile_tree(spark, str(tmp_path / "tree")).collect():
+        assert r.layer == "coffee"
+        image = bytes(r.png)
+        at = image.index(b"IDAT")
+        raw = zlib.decompress(image[at + 4 : at + 4 + int.from_bytes(image[at - 4 : at], "big")])
+        for (py, px), colour in want[r.z, r.x, r.y].items():
+            assert tuple(raw[py * 65 + 1 + 4 * px : py * 65 + 5 + 4 * px]) == colour
+    tops = {(r.z, r.x, r.y): r.top for r in tiles.tile_tops(wanted, scores, M, 16).collect()}
+    flat = {(r.z, r.x, r.y): r.top for r in tiles.tile_scores(wanted, scores, M, 16).groupBy("z", "x", "y").agg({"score": "max"}).withColumnRenamed("max(score)", "top").collect()}
+    assert tops == flat
 
 
 def test_png_is_readable():
