@@ -22,18 +22,23 @@ from pyspark.sql import functions as F
 from .common import packed
 
 SEGMENT = 256
+#: Up to how many segments are followed one by one: array steps cost more for them.
+FEW = 24
 #: Bounds of the training sample: documents a language, characters of each, characters a language.
 SAMPLE_DOCS, SAMPLE_DOC_CHARS, SAMPLE_CHARS = 48, 4000, 40_000
 #: Bytes up to which a task keeps the automata as tables of all symbols; beyond that transitions are looked up in sorted lists.
 TABLE_BYTES = 1 << 28
 #: What counts as alphanumeric but is neither a letter nor a plain digit: letter-like and other numbers.
-_NUMBERS = "".join(map(chr, (c for c in range(128, 0x110000) if chr(c).isalnum() and not chr(c).isalpha())))
-_NOT_LETTER = re.compile(rf"[\W\d_{_NUMBERS}]+")
+_NUMBERS = {chr(c) for c in range(128, 0x110000) if chr(c).isalnum() and not chr(c).isalpha()}
+_NOT_LETTER = re.compile(r"[\W\d_]+")
 
 
 def normalise(text: str) -> str:
     """Lower-cased letters, anything else one space; empty for a text without letters."""
-    return _NOT_LETTER.sub(" ", text.lower()).strip()
+    out = _NOT_LETTER.sub(" ", text.lower())
+    if not out.isascii() and not _NUMBERS.isdisjoint(out):
+        out = " ".join("".join(" " if c in _NUMBERS else c for c in out).split())
+    return out.strip()
 
 
 def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
@@ -68,31 +73,45 @@ def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
 
 
 class Automaton:
-    """Steps of one language: a table of (state, symbol) if it fits, else sorted keys. Symbol 0 is any that the sample lacks."""
+    """Steps of one language: a table of (state, symbol) if it fits, else sorted keys. A state is given as the place of its first transition.
+
+    Symbol 0 is any that the sample lacks, the last one is padding, which changes no state.
+    """
 
     def __init__(self, points: np.ndarray, room: int):
         self.symbols = np.unique(points)
         rows = suffix_automaton((np.searchsorted(self.symbols, points) + 1).tolist())
-        self.width, self.states, self.room = len(self.symbols) + 1, len(rows), room
-        edges = [(s * self.width + c, to) for s, row in enumerate(rows) for c, to in sorted(row.items())]
+        self.width = len(self.symbols) + 2
+        self.states = len(rows)
+        self.in_table = self.states * self.width * 4 <= room
+        edges = [(s * self.width + c, to * self.width) for s, row in enumerate(rows) for c, to in sorted(row.items())]
         self.keys, self.to = np.array([k for k, _ in edges], np.int64), np.array([t for _, t in edges], np.int32)
         self.table: np.ndarray | None = None
         self.root = np.zeros(self.width, np.int32)  # the state after a phrase's first symbol
-        self.root[list(rows[1])] = list(rows[1].values())
+        for c, to in rows[1].items():
+            self.root[c] = to * self.width
+
+    @property
+    def padding(self) -> int:
+        return self.width - 1
 
     def codes(self, points: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.symbols, points), max(0, len(self.symbols) - 1))
         return np.where(self.symbols[at] == points, at + 1, 0).astype(np.int32) if len(self.symbols) else np.zeros(len(points), np.int32)
 
     def step(self, state: np.ndarray, code: np.ndarray) -> np.ndarray:
-        if self.table is None and self.states * self.width * 4 <= self.room:
-            self.table = np.zeros(self.states * self.width, np.int32)
-            self.table[self.keys] = self.to
-        at = state.astype(np.int64) * self.width + code
-        if self.table is not None:
-            return self.table[at]
+        """The states after one more symbol, 0 where no match goes on."""
+        at = np.add(state, code, dtype=np.int64)
+        if self.in_table:
+            if self.table is None:  # made by each task from what was sent
+                self.table = np.zeros((self.states, self.width), np.int32)
+                self.table.ravel()[self.keys] = self.to
+                self.table[:, -1] = np.arange(self.states) * self.width
+                self.table = self.table.ravel()
+            return self.table.take(at)
         found = np.minimum(np.searchsorted(self.keys, at), max(0, len(self.keys) - 1))
-        return np.where(self.keys[found] == at, self.to[found], 0) if len(self.keys) else np.zeros(len(at), np.int32)
+        to = np.where(self.keys[found] == at, self.to[found], 0) if len(self.keys) else np.zeros(len(at), np.int32)
+        return np.where(code == self.padding, state, to).astype(np.int32)
 
 
 class CrossParser:
@@ -101,6 +120,9 @@ class CrossParser:
     def __init__(self, sample: dict[str, str], table_bytes: int = TABLE_BYTES):
         self.langs = sorted(sample)
         self.automata = [Automaton(self._points(sample[x]), table_bytes // max(1, len(sample))) for x in self.langs]
+        self.symbols = np.unique(np.concatenate([np.zeros(0, np.uint32), *(a.symbols for a in self.automata)]))
+        self.local = [np.concatenate([[0], a.codes(self.symbols), [a.padding]]).astype(np.int32) for a in self.automata]
+        self.known: np.ndarray | None = None
 
     @staticmethod
     def _points(text: str) -> np.ndarray:
@@ -108,6 +130,9 @@ class CrossParser:
 
     def phrases(self, texts: list[str], segment: int = SEGMENT) -> np.ndarray:
         """[text, language]: phrases that each text is parsed into."""
+        if self.known is None:  # number of every code point among all samples' symbols, 0 for others
+            self.known = np.zeros(0x110000, np.int32)
+            self.known[self.symbols] = np.arange(1, len(self.symbols) + 1)
         counts = np.zeros((len(texts), len(self.langs)), np.int64)
         at, limit = 0, 4_000_000
         while at < len(texts):
@@ -129,15 +154,19 @@ class CrossParser:
         nth = np.arange(n) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         begin = np.repeat(np.cumsum(lens) - lens, pieces) + nth * segment
         size = np.minimum(segment, np.repeat(lens, pieces) - nth * segment)
-        points, where = np.unique(self._points("".join(texts)), return_inverse=True)
+        flat = np.concatenate([self.known[self._points("".join(texts))], np.zeros(segment, np.int32)])
+        padded = np.arange(int(size.max()))[:, None] >= size
+        grid = flat[begin[:, None] + np.arange(len(padded))].T.copy()
+        grid[padded] = len(self.symbols) + 1
         for k, automaton in enumerate(self.automata):
-            flat = np.append(automaton.codes(points)[where], np.zeros(segment, np.int32))
-            own, state, begins = self._alone(automaton, flat, begin, size)
+            codes = self.local[k][grid]
+            own, state, begins = self._alone(automaton, codes, padded)
             total, end = own.copy(), state.copy()
             todo, bad = np.flatnonzero(nth > 0), np.zeros(n + 1, bool)
             while len(todo):
                 # from the state in which the text's parse leaves the segment before
-                total[todo], end[todo], met = self._continued(automaton, flat, begin[todo], size[todo], end[todo - 1], own[todo], state[todo], begins[:, todo])
+                follow = self._continued if len(todo) > FEW else self._one_by_one
+                total[todo], end[todo], met = follow(automaton, codes, todo, end[todo - 1], own[todo], state[todo], begins)
                 bad[todo] = False
                 bad[todo + 1] = ~met
                 bad[np.append(nth == 0, True)] = False
@@ -146,35 +175,68 @@ class CrossParser:
             counts[:, k] += np.bincount(owner, total, len(texts)).astype(np.int64)
 
     @staticmethod
-    def _alone(automaton: Automaton, flat: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _alone(automaton: Automaton, codes: np.ndarray, padded: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Phrases of each segment parsed on its own, the state at its end, and [character, segment]: where phrases begin."""
-        state, begins = np.zeros(len(begin), np.int32), np.zeros((int(size.max()), len(begin)), bool)
-        for i in range(len(begins)):
-            code, inside = flat[begin + i], size > i
+        state, begins = np.zeros(codes.shape[1], np.int32), np.zeros(codes.shape, bool)
+        for i, code in enumerate(codes):
             to = automaton.step(state, code)
-            begins[i] = (to == 0) & inside
-            state = np.where(inside, np.where(to == 0, automaton.root[code], to), state)
+            np.equal(to, 0, out=begins[i])
+            np.copyto(to, automaton.root.take(code), where=begins[i])
+            state = to
+        begins &= ~padded
         return begins.sum(0, dtype=np.int64), state, begins
 
     @staticmethod
-    def _continued(automaton: Automaton, flat: np.ndarray, begin: np.ndarray, size: np.ndarray, entry: np.ndarray, own: np.ndarray, own_end: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Phrases that begin in each segment if it is entered in state `entry`, the state at its end, and whether the parse met the segment's own."""
-        total, end, met = np.zeros(len(begin), np.int64), entry.copy(), np.zeros(len(begin), bool)
-        lane, left = np.arange(len(begin)), own.copy()
-        for i in range(len(begins)):
-            lane = lane[(size[lane] > i) & ~met[lane]]
+    def _continued(automaton: Automaton, codes: np.ndarray, todo: np.ndarray, entry: np.ndarray, own: np.ndarray, own_end: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Phrases that begin in each segment of `todo` entered in state `entry`, the state at its end, and whether the parse met the segment's own."""
+        total, end, met = np.zeros(len(todo), np.int64), own_end.copy(), np.zeros(len(todo), bool)
+        lane, column, state, more, left = np.arange(len(todo)), todo, entry, total.copy(), own.copy()
+        for code, own_begins in zip(codes, begins, strict=True):
             if not len(lane):
                 break
-            code = flat[begin[lane] + i]
-            to = automaton.step(end[lane], code)
-            new, here = to == 0, begins[i, lane]
-            end[lane] = np.where(new, automaton.root[code], to)
-            same = lane[new & here]
-            met[same] = True
-            total[same] += left[same]
-            end[same] = own_end[same]
-            total[lane[new & ~here]] += 1
-            left[lane[here]] -= 1
+            code, here = code[column], own_begins[column]
+            to = automaton.step(state, code)
+            new = (to == 0) & (code != automaton.padding)
+            state = np.where(new, automaton.root.take(code), to)
+            same = new & here
+            if same.any():
+                done = lane[same]
+                met[done] = True
+                total[done] = more[same] + left[same]
+                keep = ~same
+                lane, column, state, more, left, new, here = (x[keep] for x in (lane, column, state, more, left, new, here))
+            more += new
+            left -= here
+        total[lane], end[lane] = more, state
+        return total, end, met
+
+    @staticmethod
+    def _one_by_one(automaton: Automaton, codes: np.ndarray, todo: np.ndarray, entry: np.ndarray, own: np.ndarray, own_end: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """_continued() for a few segments, in plain steps."""
+        total, end, met = np.zeros(len(todo), np.int64), own_end.copy(), np.zeros(len(todo), bool)
+        one, padding, root = np.zeros(1, np.int32), automaton.padding, automaton.root
+        table = automaton.table
+        for k, column in enumerate(todo.tolist()):
+            state, more, left = int(entry[k]), 0, int(own[k])
+            for code, here in zip(codes[:, column].tolist(), begins[:, column].tolist(), strict=True):
+                if code == padding:
+                    break
+                if table is not None:
+                    to = table.item(state + code)
+                else:
+                    one[0] = code
+                    to = int(automaton.step(np.array([state], np.int32), one)[0])
+                if not to:
+                    if here:
+                        met[k] = True
+                        break
+                    more += 1
+                    to = int(root[code])
+                state = to
+                left -= here
+            total[k] = more + left if met[k] else more
+            if not met[k]:
+                end[k] = state
         return total, end, met
 
 
