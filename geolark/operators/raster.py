@@ -66,6 +66,21 @@ def roundtrip_error(cells: DataFrame, ranges: DataFrame, vector: str = "e") -> D
     return sums.agg(F.round(F.sum("s") / F.sum("n"), 9).alias("mse"), F.round(F.max("m"), 9).alias("max_error"))
 
 
+def box_cells(boxes: DataFrame, meta: GridMeta) -> DataFrame:
+    """`boxes` (west, south, east, north) with the pixels of the cells whose centres lie inside; each box makes its own cells, no cell is compared with all boxes."""
+    row = lambda lat: (F.lit(meta.north) - lat) / meta.cell_h - 0.5
+    col = lambda lng: (lng - F.lit(meta.west)) / meta.cell_w - 0.5
+    span = lambda low, high, n: F.when(F.greatest(F.ceil(low), F.lit(0)) <= F.least(F.floor(high), F.lit(n - 1)), F.sequence(F.greatest(F.ceil(low), F.lit(0)), F.least(F.floor(high), F.lit(n - 1))))
+    rows = boxes.withColumn("_row", F.explode(span(row(F.col("north")), row(F.col("south")), meta.height)))
+    return rows.withColumn("_col", F.explode(span(col(F.col("west")), col(F.col("east")), meta.width))).withColumn("pixel", (F.col("_row") * meta.width + F.col("_col")).cast("long")).drop("_row", "_col")
+
+
+def sampled_at(points: DataFrame, cells: DataFrame, meta: GridMeta, columns: list[str]) -> DataFrame:
+    """Points with the given columns of the cell they fall in (elevation, slope, aspect and the like), null outside the raster."""
+    c = row_col(F.col("lat"), F.col("lng"), meta)
+    return points.withColumn("pixel", (c["row"] * meta.width + c["col"]).cast("long")).join(cells.select("pixel", *columns), "pixel", "left").drop("pixel")
+
+
 def land_stats(cells: DataFrame) -> DataFrame:
     """(total, land, water, land_pct) of a raster."""
     n, land = F.count("*"), F.count_if("is_land")

@@ -144,7 +144,7 @@ def write_tile_tree(tiles: DataFrame, path: str, layer: str) -> DataFrame:
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
-        system, inner = fs.FileSystem.from_uri(root) if ":" in root else (fs.LocalFileSystem(), root)
+        system, inner = fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root.removeprefix("file:"))
         for b in batches:
             for z, x, y, image in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                 system.create_dir(f"{inner}/{z}/{x}", recursive=True)

@@ -11,8 +11,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..schema import CELL, DIMS, GridMeta
@@ -21,11 +23,16 @@ MAGIC, VERSION = b"TRGRID01", 1
 HEADER = struct.Struct("<8s4I4d")
 
 
-def _open(path: str):
-    """A seekable file from any file system Arrow knows; plain paths are local."""
+def _system(path: str):
+    """The file system of a path, as Arrow knows it, and the path in it; plain paths are local."""
     from pyarrow import fs
 
-    system, inner = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
+
+
+def _open(path: str):
+    """A seekable file."""
+    system, inner = _system(path)
     return system.open_input_file(inner)
 
 
@@ -102,18 +109,46 @@ def read_grid(spark: SparkSession, path: str, rows_per_task: int = 64) -> DataFr
     return spark.read.format("vector_grid").option("path", path).option("rowsPerTask", str(rows_per_task)).load()
 
 
-def write_grid_file(cells: DataFrame, path: str, header: Header) -> None:
-    """The binary file, for exchange with other tools: cells stream through the driver row by row in pixel order, never as a whole."""
+def write_grid_file(cells: DataFrame, path: str, header: Header, rows_per_part: int = 64) -> None:
+    """The binary file, for exchange with other tools.
+
+    Tasks write parts of `rows_per_part` (a multiple of 8) raster rows beside the file; their bytes are then joined by copying, no row passes the driver.
+    Cells that are missing are water.
+    """
+    if rows_per_part % 8:
+        raise ValueError("rows_per_part must be a multiple of 8, so that land bits of parts begin on a byte")
     m = header.meta
-    land = np.zeros(m.width * m.height, bool)
-    with open(path, "wb") as f:
-        f.write(HEADER.pack(MAGIC, VERSION, DIMS, m.width, m.height, m.west, m.south, m.east, m.north))
-        f.write(np.asarray(header.scale + header.offset, "<f4").tobytes())
-        at = 0
-        for r in cells.select("pixel", "is_land", "q").orderBy("pixel").toLocalIterator(prefetchPartitions=True):
-            f.write(bytes(DIMS * (r.pixel - at)))
-            f.write(np.asarray(r.q, np.int8).tobytes() if r.is_land else bytes(DIMS))
-            land[r.pixel] = r.is_land
-            at = r.pixel + 1
-        f.write(bytes(DIMS * (m.width * m.height - at)))
-        f.write(np.packbits(land).tobytes())
+    parts = f"{path}.parts"
+
+    def write(t: pd.DataFrame) -> pd.DataFrame:
+        first = int(t["part"].iloc[0]) * rows_per_part
+        n = (min(m.height, first + rows_per_part) - first) * m.width
+        data, land = np.zeros((n, DIMS), np.int8), np.zeros(n, bool)
+        at = t["pixel"].to_numpy() - first * m.width
+        land[at] = t["is_land"].to_numpy(bool)
+        for i, q in zip(at[land[at]].tolist(), t["q"][land[at]], strict=True):
+            data[i] = q
+        system, inner = _system(parts)
+        system.create_dir(inner, recursive=True)
+        for name, raw in (("data", data.tobytes()), ("land", np.packbits(land).tobytes())):
+            with system.open_output_stream(f"{inner}/{name}-{first // rows_per_part}") as f:
+                f.write(raw)
+        return pd.DataFrame({"part": [first // rows_per_part]})
+
+    keyed = cells.select(F.floor(F.col("pixel") / (m.width * rows_per_part)).cast("int").alias("part"), "pixel", "is_land", "q")
+    done = {r.part for r in keyed.groupBy("part").applyInPandas(write, "part int").collect()}
+    system, inner = _system(path)
+    with system.open_output_stream(inner) as out:
+        out.write(HEADER.pack(MAGIC, VERSION, DIMS, m.width, m.height, m.west, m.south, m.east, m.north))
+        out.write(np.asarray(header.scale + header.offset, "<f4").tobytes())
+        for name, per_cell in (("data", 8 * DIMS), ("land", 1)):
+            for part in range(-(-m.height // rows_per_part)):
+                rows = min(m.height, (part + 1) * rows_per_part) - part * rows_per_part
+                if part not in done:
+                    out.write(bytes(-(-rows * m.width * per_cell // 8)))
+                    continue
+                with system.open_input_stream(f"{inner}.parts/{name}-{part}") as f:
+                    while raw := f.read(1 << 20):
+                        out.write(raw)
+    if done:
+        system.delete_dir(f"{inner}.parts")

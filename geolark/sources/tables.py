@@ -22,7 +22,7 @@ def synthetic_cells(spark: SparkSession, meta: GridMeta, land: float = 0.7, seed
 
 def read_layers(spark: SparkSession, path: str) -> DataFrame:
     """(id, name, description, category, featured, pins, top_matches) of a JSON map keyed by layer."""
-    text = spark.read.text(path, wholetext=True)
+    text = spark.read.text(path, wholetext=True).select(F.explode(F.split("value", "\n(?=\\{)")).alias("value"))
     return text.select(F.explode(F.from_json("value", LAYERS_JSON)).alias("id", "layer")).select("id", "layer.*")
 
 
@@ -31,8 +31,18 @@ def layer_pins(layers: DataFrame) -> DataFrame:
 
 
 def write_layers(layers: DataFrame, path: str) -> None:
-    """One JSON object a layer."""
-    layers.write.json(path)
+    """The JSON map that read_layers() takes, keyed by layer; one map a file, so that no task gets all layers."""
+    body = F.struct(*[c for c in layers.columns if c != "id"])
+    layers.select(F.to_json(F.create_map("id", body)).alias("value")).write.text(path)
+
+
+def read_regions(spark: SparkSession, path: str) -> DataFrame:
+    """(layer_id, name, category, region, west, south, east, north): the boxes of a JSON map of layers with named regions."""
+    text = spark.read.text(path, wholetext=True)
+    schema = "map<string, struct<name: string, category: string, regions: map<string, array<double>>>>"
+    layers = text.select(F.explode(F.from_json("value", schema)).alias("layer_id", "l"))
+    boxes = layers.select("layer_id", "l.name", "l.category", F.explode("l.regions").alias("region", "b"))
+    return boxes.select("layer_id", "name", "category", "region", *[F.get("b", F.lit(i)).alias(n) for i, n in enumerate(("west", "south", "east", "north"))])
 
 
 def read_farms(spark: SparkSession, path: str, crop: str | None = None) -> DataFrame:
@@ -45,12 +55,23 @@ def write_scores(scores: DataFrame, path: str) -> None:
     scores.repartitionByRange("layer_id", "pixel").sortWithinPartitions("layer_id", "pixel").write.partitionBy("layer_id").mode("overwrite").parquet(path)
 
 
-def read_scores(spark: SparkSession, path: str, layer: str | None = None) -> DataFrame:
-    """All layers, or one by partition pruning; nothing is read before it is used."""
-    rows = spark.read.option("ignoreCorruptFiles", "true").parquet(path)
+def read_scores(spark: SparkSession, path: str, layer: str | None = None, schema: str | None = None) -> DataFrame:
+    """All layers, or one by partition pruning; nothing is read before it is used. Corrupt files are left out; unreadable_files() names them.
+
+    Without a schema the footers of all files are read, as any single one may be corrupt.
+    """
+    reader = spark.read.option("ignoreCorruptFiles", "true")
+    rows = (reader.schema(schema) if schema else reader.option("mergeSchema", "true")).parquet(path)
     return rows if layer is None else rows.where(F.col("layer_id") == layer)
 
 
+def unreadable_files(spark: SparkSession, path: str) -> DataFrame:
+    """(file) of the Parquet files under a path that lack the format's mark at either end."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path)
+    mark = F.lit(b"PAR1")
+    return files.where((F.substring("content", 1, 4) != mark) | (F.substring("content", -4, 4) != mark)).select(F.col("path").alias("file"))
+
+
 def weather_days(replies: DataFrame, place: str = "place", body: str = "body") -> DataFrame:
     """Daily rows out of JSON replies: (place, temp_mean, temp_min, temp_max, rain, humidity, sunshine, cloud)."""
     r = replies.select(place, F.from_json(body, WEATHER).alias("r"))
@@ -69,6 +90,13 @@ def soil_values(replies: DataFrame, place: str = "place", body: str = "body") ->
     return values.groupBy(place).pivot("name", ["phh2o", "soc", "nitrogen", "sand", "clay", "silt"]).agg(F.first("v"))
 
 
+def search_places(places: DataFrame, text: str, most: int = 5) -> DataFrame:
+    """Forward search: the places whose name holds the text, whatever the case; names that begin with it first, then shorter ones, then by name."""
+    name, q = F.lower("name"), F.lit(text.strip().lower())
+    found = places.where(F.contains(name, q)).withColumn("_late", ~F.startswith(name, q))
+    return found.orderBy("_late", F.length("name"), "name").limit(most).drop("_late")
+
+
 def geocoded(points: DataFrame, places: DataFrame) -> DataFrame:
     """Points joined to known places by their coordinates at four decimals."""
     key = F.format_string("%.4f,%.4f", F.col("lat"), F.col("lng"))

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.shared import new_folder
+
 
 def stream(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """A Parquet file, or the files of a folder, as a stream."""
@@ -43,8 +43,7 @@ def run_once(result: DataFrame, mode: str = "append", keys: Sequence[str] = ())
     In complete mode the last batch is the result. In update mode a row with the same `keys` as one of an earlier batch replaces it.
     """
     spark, schema = result.sparkSession, result.schema
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp()
-    name = f"{shared}/s{uuid.uuid4().hex}"
+    name = new_folder(spark, "stream")
     batches: set[int] = set()
 
     def write(batch: DataFrame, n: int) -> None:

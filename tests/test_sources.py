@@ -44,7 +44,19 @@ def test_layers_json(spark, tmp_path):
     assert {r.id: r.name for r in got.collect()} == {"coffee": "Coffee", "bare": None}
     assert sorted((r.layer_id, r.pin_idx, r.lat) for r in S.layer_pins(got).collect()) == [("coffee", 0, 1.0), ("coffee", 1, 3.0)]
     S.write_layers(got, str(tmp_path / "out"))
-    assert spark.read.json(str(tmp_path / "out")).count() == 2
+    assert sorted(map(str, S.read_layers(spark, str(tmp_path / "out")).collect())) == sorted(map(str, got.collect()))
+    S.write_layers(got.coalesce(1), str(tmp_path / "one"))
+    assert S.read_layers(spark, str(tmp_path / "one")).count() == 2
+
+
+def test_regions_and_unreadable_files(spark, tmp_path):
+    (tmp_path / "regions.json").write_text(json.dumps({"rice": {"name": "Rice", "category": "Cereals", "regions": {"Delta": [1.0, 2.0, 3.0, 4.0], "Plain": [5, 6, 7, 8]}}}))
+    got = S.read_regions(spark, str(tmp_path / "regions.json")).collect()
+    assert sorted((r.layer_id, r.region, r.west, r.north) for r in got) == [("rice", "Delta", 1.0, 4.0), ("rice", "Plain", 5.0, 8.0)]
+    S.write_scores(spark.createDataFrame([("a", 1, 0.5)], "layer_id string, pixel long, score double"), str(tmp_path / "s"))
+    (tmp_path / "s" / "layer_id=a" / "bad.parquet").write_bytes(b"PAR1 cut off")
+    assert S.read_scores(spark, str(tmp_path / "s")).count() == 1
+    assert [r.file.rsplit("/", 1)[1] for r in S.unreadable_files(spark, str(tmp_path / "s")).collect()] == ["bad.parquet"]
 
 
 def test_farms_csv(spark, tmp_path):
