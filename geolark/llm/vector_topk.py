@@ -88,7 +88,8 @@ def exact_top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, query_blo
     into blocks of about `candidate_block`; one task call sees one block of each, so memory is bounded whatever
     the sizes or the number of equal vectors, and a block hands on k rows a query. A row never answers itself;
     vectors of different length do not meet; with fewer than k candidates all are returned. Scores are exact
-    within the range of a long.
+    within the range of a long. Rows that quantized() leaves out (null ids, null, empty or non-finite vectors) take no part, repeated rows count once,
+    an empty table on either side gives an empty result; only vec_id and v are looked at, so other columns may have any name.
     """
     nq, nx = (max(1, math.ceil(d.count() / n)) for d, n in ((queries, query_block), (candidates, candidate_block)))
     deal = lambda n: F.pmod(F.xxhash64("vec_id", "v"), F.lit(n)).cast("int")

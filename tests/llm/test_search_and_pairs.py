@@ -47,6 +47,18 @@ def test_top_k_blocks_agree(spark):
     assert small == sorted(want)
 
 
+def test_top_k_with_clashing_columns(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(i, [float(i % 5), 1.0]) for i in range(20)]
+    plain = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    other = plain
+    for c in ("v", "query_id", "query_key", "score", "dim", "rank", "qb", "cb", "label"):
+        other = other.withColumn(c, F.lit("clash"))
+    a, b = (sorted(map(tuple, exact_top_k(quantized(d).where("vec_id < 4"), quantized(d)).collect())) for d in (plain, other))
+    assert a == b and len(a) == 20
+
+
 def test_top_k_of_empty_table(spark):
     v = quantized(spark.createDataFrame([], "vec_id long, embedding array<float>"))
     assert exact_top_k(v, v).count() == 0

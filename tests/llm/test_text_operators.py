@@ -444,6 +444,26 @@ def test_best_fit_respects_every_capacity():
     assert len(np.unique(bins)) == -(-lengths.sum() // 2048)
 
 
+def test_best_fit_against_a_plain_version():
+    """The same loads as a search over all open sequences for the smallest weighted norm of what is left."""
+    rng = np.random.default_rng(3)
+    for capacity in ((100, 4, 3000), (64, 64, 4096), (50, 3, 2500)):
+        lengths = rng.integers(1, 50, 200)
+        weight = [p / c**2 for p, c in zip(packing.PREFERENCE, capacity, strict=True)]
+        open_: list[list[float]] = []
+        for size in sorted(lengths.tolist(), reverse=True):
+            need = (size, 1, size * size)
+            fits = [b for b in open_ if all(x >= n for x, n in zip(b, need, strict=True))]
+            if not fits:
+                open_.append(list(map(float, capacity)))
+                fits = [open_[-1]]
+            best = min(fits, key=lambda b: sum(w * (x - n) ** 2 for w, x, n in zip(weight, b, need, strict=True)))  # noqa: B023
+            best[:] = [x - n for x, n in zip(best, need, strict=True)]
+        bins, _ = packing.vector_best_fit(lengths, capacity)
+        got = sorted((capacity[0] - int(lengths[bins == b].sum()), capacity[1] - int((bins == b).sum())) for b in np.unique(bins))
+        assert got == sorted((int(b[0]), int(b[1])) for b in open_)
+
+
 def test_packing(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
