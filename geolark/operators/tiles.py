@@ -60,19 +60,20 @@ def tile_strips(tiles: DataFrame, scores: DataFrame, meta: GridMeta, size: int =
     return placed.join(score_chunks(scores, meta), ["row", "block"], "left")
 
 
-def _shown(cols: Column, at: Column) -> Column:
-    """Score of a pixel column in a strip."""
-    return F.coalesce(F.get("v", F.get(cols, at) - F.col("block") * CHUNK), F.lit(0.0))
+def _shown(col: Column) -> Column:
+    """Score of a raster column in a strip, null where the strip doesn't hold it."""
+    return F.when(F.floor(col / CHUNK) == F.col("block"), F.coalesce(F.get("v", col - F.col("block") * CHUNK), F.lit(0.0)))
 
 
 def tile_scores(tiles: DataFrame, scores: DataFrame, meta: GridMeta, size: int = TILE) -> DataFrame:
     """(z, x, y, py, px, score): tile pixels with the score of the cell their centre falls in: null outside the raster, 0 on water."""
     rows, cols = _axes(meta, size)
-    steps = F.sequence(F.lit(0), F.lit(size - 1))
-    strips = tile_strips(tiles, scores, meta, size).withColumn("rows", rows).withColumn("cols", cols)
-    pys = F.filter(steps, lambda p: F.get("rows", p) == F.col("row"))
-    pxs = F.filter(steps, lambda p: F.floor(F.get("cols", p) / CHUNK) == F.col("block"))
-    line = F.transform(pxs, lambda p: F.struct(p.alias("px"), _shown(F.col("cols"), p).alias("score")))
+    # a strip is small and becomes up to size * CHUNK rows: adaptive execution would leave few tasks for them
+    tasks = int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    strips = tile_strips(tiles, scores, meta, size).repartition(tasks, "z", "x", "y", "row")
+    # the axes are arguments of transform(), never used inside a lambda, so each is computed once a strip
+    pys = F.filter(F.transform(rows, lambda r, i: F.when(r == F.col("row"), i)), lambda p: p.isNotNull())
+    line = F.filter(F.transform(cols, lambda c, i: F.struct(i.alias("px"), _shown(c).alias("score"))), lambda x: x["score"].isNotNull())
     inside = strips.select("z", "x", "y", pys.alias("pys"), line.alias("line")).select("z", "x", "y", F.explode("pys").alias("py"), "line").select("z", "x", "y", "py", F.inline("line"))
     axes = tiles.withColumn("rows", rows).withColumn("cols", cols).where(F.exists("rows", lambda v: v.isNull()) | F.exists("cols", lambda v: v.isNull()))
     blank = axes.select("z", "x", "y", F.posexplode("rows").alias("py", "r"), "cols").select("z", "x", "y", "py", "r", F.posexplode("cols").alias("px", "c")).where("r is null or c is null")
@@ -88,11 +89,8 @@ def tile_rgba(pixels: DataFrame, palette: bool = False) -> DataFrame:
 
 def tile_tops(tiles: DataFrame, scores: DataFrame, meta: GridMeta, size: int = TILE) -> DataFrame:
     """(z, x, y, top) of all tiles: the highest score of a pixel, null outside the raster; no pixel becomes a row."""
-    rows, cols = _axes(meta, size)
-    steps = F.sequence(F.lit(0), F.lit(size - 1))
-    strips = tile_strips(tiles, scores, meta, size).withColumn("cols", cols)
-    pxs = F.filter(steps, lambda p: F.floor(F.get("cols", p) / CHUNK) == F.col("block"))
-    top = strips.select("z", "x", "y", F.array_max(F.transform(pxs, lambda p: _shown(F.col("cols"), p))).alias("top"))
+    _, cols = _axes(meta, size)
+    top = tile_strips(tiles, scores, meta, size).select("z", "x", "y", F.array_max(F.transform(cols, _shown)).alias("top"))
     return tiles.join(top.groupBy("z", "x", "y").agg(F.max("top").alias("top")), ["z", "x", "y"], "left")
 
 
