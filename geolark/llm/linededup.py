@@ -32,6 +32,8 @@ _UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30
 _BASE = 0x9E3779B97F4A7C15
 #: Bits of a line's number in a place; texts with more lines raise an error.
 PLACE_BITS = 25
+#: Rows of which a task remembers the keys, to leave out repeats before the shuffle; it starts anew beyond that, and the rest goes after the shuffle.
+SEEN = 1_000_000
 _DETAIL = "key long, hashes array<long>, words array<int>, grams array<struct<h:long,p:int,e:int>>"
 
 
@@ -181,8 +183,22 @@ def _lists(counts: np.ndarray, values: pa.Array) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), values)
 
 
+def _unseen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Without the repeats of rows of one task: of very many equal rows only one a task (and SEEN rows) is shuffled."""
+    seen: set[int] = set()
+    for b in batches:
+        new = []
+        for i, key in enumerate(b.column(0).to_pylist()):
+            if key not in seen:
+                seen.add(key)
+                new.append(i)
+        yield b if len(new) == len(b) else b.take(pa.array(new, pa.int64()))
+        if len(seen) > SEEN:
+            seen.clear()
+
+
 def _details(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
+    for whole in _unseen(batches):
         for at in range(0, len(whole), 500):
             b = whole.slice(at, 500)
             lines, first, end = Lines.of_texts([x or "" for x in b.column(1).to_pylist()])

@@ -72,3 +72,19 @@ def test_very_popular_text_is_split(spark):
     d = spark.createDataFrame(rows, DOCS).repartition(4)
     got = {r.doc_id: r.text for r in linededup.drop_repeated_lines(d).collect()}
     assert len(got) == 2500 and got[0] == rows[0][1] and all(got[i].strip() == f"Start {i} of a text. End {i}." for i in range(1, 2500))
+
+
+def test_repeats_of_a_row_go_before_the_shuffle(spark, monkeypatch):
+    import pyarrow as pa
+
+    text = "One line that is long enough to count.\nAnother line that is long enough to count."
+    batch = lambda keys: pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([f"{text} {k}" for k in keys])], names=["key", "text"])
+    keys = lambda given: [k for b in linededup._details(iter(given)) for k in b.column(0).to_pylist()]
+    assert keys([batch([7, 7, 8, 7]), batch([8, 9, 9]), batch([])]) == [7, 8, 9]
+    monkeypatch.setattr(linededup, "SEEN", 1)
+    assert keys([batch([7, 7, 8]), batch([8, 8, 9])]) == [7, 8, 8, 9]
+    monkeypatch.undo()
+
+    repeated = [(5, text, "en", "a", 1)] * 3000 + [(6, text, "en", "a", 1), (4, "Its own line, which nothing else repeats at all.", "en", "a", 1)]
+    out = linededup.deduplicated(spark.createDataFrame(repeated, DOCS)).groupBy("doc_id", "text", "_deleted").count().collect()
+    assert sorted((r.doc_id, r.text, r["count"]) for r in out) == [(4, repeated[-1][1], 1), (5, text, 3000), (6, "", 1)]
