@@ -10,6 +10,7 @@ from .htmltext import op10_html_text
 from .imagecopies import op5_image_copies
 from .langid import op7_langid
 from .linededup import op2_line_dedup
+from .merkle import OP11_SQL, op11_merkle
 from .mixing import OP8_SQL, op8_mixing
 from .packing import op9_packing
 from .pii import op3_pii
@@ -28,5 +29,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_packing": op9_packing,
     "op10_html_text": op10_html_text,
+    "op11_merkle": op11_merkle,
 }
-ORACLE_SQL: dict[str, str] = {"op1_exact_topk": OP1_SQL, "op4_secrets": OP4_SQL, "op8_mixing": OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_exact_topk": OP1_SQL, "op4_secrets": OP4_SQL, "op8_mixing": OP8_SQL, "op11_merkle": OP11_SQL}
