@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .htmltext import op10_html_text
 from .imagecopies import op5_image_copies
 from .importance import OP13_SQL, op13_importance
+from .jaccard import OP12_SQL, op12_jaccard
 from .langid import op7_langid
 from .linededup import op2_line_dedup
 from .merkle import OP11_SQL, op11_merkle
@@ -31,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packing": op9_packing,
     "op10_html_text": op10_html_text,
     "op11_merkle": op11_merkle,
+    "op12_jaccard": op12_jaccard,
     "op13_importance": op13_importance,
 }
-ORACLE_SQL: dict[str, str] = {"op1_exact_topk": OP1_SQL, "op4_secrets": OP4_SQL, "op8_mixing": OP8_SQL, "op11_merkle": OP11_SQL, "op13_importance": OP13_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_exact_topk": OP1_SQL, "op4_secrets": OP4_SQL, "op8_mixing": OP8_SQL, "op11_merkle": OP11_SQL, "op12_jaccard": OP12_SQL, "op13_importance": OP13_SQL}
