@@ -31,6 +31,8 @@ GROUPS, COARSE = 256, 32
 FAN = 16
 #: Points of a block of a tree, and hashes of the sets of a block whose pairs are verified.
 TREE_ROWS, SET_HASHES = 4096, 1 << 22
+#: Bits at most of the bitmap that says which texts are read again.
+MOST_BITS = 1 << 26
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -196,9 +198,9 @@ def _in_cells(groups: DataFrame, weight: str, most: int) -> DataFrame:
 
 
 def described(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(rid, doc_id, text_hash, n, k1, k2, point, front): a written row for each of (doc_id, text).
+    """(rid, doc_id, r1, r2, n, k1, k2, point, front): a written row for each of (doc_id, text).
 
-    k1, k2: 128 bits that name the set; point: its counts; front: its smallest hashes, of which linked sets share one.
+    r1, r2: 96 bits that name the row, k1, k2: 128 that name the set; point: its counts; front: its smallest hashes, of which linked sets share one.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,12 +216,11 @@ def described(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -
             ends = np.concatenate([[0], np.cumsum([len(f) for f in fronts])]).astype(np.int32)
             front = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*fronts, np.zeros(0, np.int64)])))
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("text_hash"), pa.array(n, pa.int64()), pa.array(k[:, 0]), pa.array(k[:, 1]), pa.array(points, pa.binary()), front],
-                names=["doc_id", "text_hash", "n", "k1", "k2", "point", "front"],
+                [*(b.column(c) for c in ("doc_id", "r1", "r2")), pa.array(n, pa.int64()), pa.array(k[:, 0]), pa.array(k[:, 1]), pa.array(points, pa.binary()), front],
+                names=["doc_id", "r1", "r2", "n", "k1", "k2", "point", "front"],
             )
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    out = rows.mapInArrow(run, "doc_id long, text_hash long, n long, k1 long, k2 long, point binary, front array<long>")
+    out = docs.select("doc_id", *_row_keys(), "text").mapInArrow(run, "doc_id long, r1 long, r2 int, n long, k1 long, k2 long, point binary, front array<long>")
     return materialize(out.withColumn("rid", F.monotonically_increasing_id()), "sets")
 
 
@@ -247,6 +248,41 @@ def close_ones(groups: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Da
     return rows.repartition("leader", "cell").sortWithinPartitions("leader", "cell").mapInArrow(run, "leader long, rid long").distinct()
 
 
+def _row_keys() -> list:
+    """96 bits that name a row of (doc_id, text)."""
+    return [F.xxhash64("doc_id", "text").alias("r1"), F.hash("text", "doc_id").alias("r2")]
+
+
+def wanted_rows(docs: DataFrame, names: DataFrame) -> DataFrame:
+    """(r1, r2, text) of the rows of `docs` (doc_id, text) that may be among `names` (r1, r2), a few others among them.
+
+    A bitmap of the wanted keys' hashes, MOST_BITS at most whatever their number, keeps the other texts out of the shuffle that finds
+    the wanted ones exactly; the fuller it is, the more texts are shuffled for nothing. Repeats of a row in a task go too.
+    """
+    bits = min(MOST_BITS, 1 << max(16, (16 * names.count()).bit_length()))
+    at = F.pmod("r1", F.lit(bits))
+    words = names.select(at.alias("at")).groupBy(F.expr("at div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits")).toArrow()
+    bitmap = np.zeros(bits // 64, np.uint64)
+    bitmap[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
+        for b in batches:
+            place = b.column("r1").to_numpy() % bits  # as pmod: not negative
+            hit = np.flatnonzero(bitmap[place >> 6] >> (place & 63).astype(np.uint64) & np.uint64(1))
+            new = []
+            for i, key in zip(hit.tolist(), zip(*(b.column(c).take(pa.array(hit)).to_pylist() for c in ("r1", "r2")), strict=True), strict=True):
+                if key not in seen:
+                    seen.add(key)
+                    new.append(i)
+            if new:
+                yield b.take(pa.array(new))
+            if len(seen) > 500_000:
+                seen.clear()
+
+    return docs.select(*_row_keys(), "text").mapInArrow(pick, "r1 long, r2 int, text string")
+
+
 def verified_links(close: DataFrame, sets: DataFrame, docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(src, dst): links between the documents of each leader, by their sets; enough to keep every class connected."""
 
@@ -266,10 +302,9 @@ def verified_links(close: DataFrame, sets: DataFrame, docs: DataFrame, shingle:
                 if len(parent) > 500_000:
                     parent.clear()  # only repeats some links
 
-    names = close.select("rid").distinct().join(sets.select("rid", F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")), "rid")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    texts = texts.join(names, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))).select("rid", "text")
-    hashes = texts.mapInArrow(again, "rid long, hashes binary").dropDuplicates(["rid"])
+    names = materialize(close.select("rid").distinct().join(sets.select("rid", "r1", "r2"), "rid"), "wanted")
+    texts = wanted_rows(docs, names).join(names, ["r1", "r2"]).select("rid", "text")
+    hashes = texts.mapInArrow(again, "rid long, hashes binary")
     sized = close.join(sets.select("rid", "n"), "rid")
     rows = _in_cells(sized, "n", SET_HASHES).select("leader", "cell", "rid").join(hashes, "rid").select("leader", "cell", "rid", "hashes")
     return rows.repartition("leader", "cell").sortWithinPartitions("leader", "cell").mapInArrow(compare, "src long, dst long")
@@ -283,7 +318,7 @@ def jaccard_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCE
     shingle are one shingle. A null id takes part but names a component only if all of it is null; repeated rows stay, and copies
     are one node; long texts are whole sets; an empty table gives an empty result; other columns take no part. Sets hold 64-bit hashes.
     """
-    docs = docs.select("doc_id", "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = described(docs, shingle, percent)
     some = sets.where("n > 0")
     classes = materialize(some.groupBy("k1", "k2").agg(F.min("rid").alias("node"), F.min("doc_id").alias("low"), F.count("*").alias("copies")), "classes")

@@ -79,7 +79,7 @@ def test_hot_copies_long_text_other_columns_and_no_rows(spark):
     long_one = " ".join(f"w{i}" for i in range(60_000))
     rows = [(i, "the same text again and again " * 3) for i in range(400)] + [(1000, long_one), (900, long_one.replace("w5 ", "other ")), (1, "alone in here with five")]
     df = spark.createDataFrame(rows, SCHEMA)
-    for c in ("rid", "n", "k1", "h", "leader", "cell", "node", "low", "component_id", "text_hash"):
+    for c in ("rid", "n", "k1", "h", "leader", "cell", "node", "low", "component_id", "r1", "r2"):
         df = df.withColumn(c, F.lit("clash"))
     got = jaccard_groups(df).collect()
     assert len(got) == 403 and {r["component_id"] for r in got if r["doc_id"] >= 900} == {900}
