@@ -282,18 +282,20 @@ def _class_rows(spark, d):
 
 @query(sql(cte.QUANT + _SAMPLE, _SUMMARY + "pairs"))
 def pair_similarity_stats(spark, d):
-    return V.summary(V.pair_similarities(_class_rows(spark, d)[0]))
+    farms = _class_rows(spark, d)[0]
+    return V.summary(V.pair_counts(farms), V.pair_moments(farms))
 
 
 @query(sql(cte.QUANT + _SAMPLE, _SUMMARY + "base"))
 def baseline_stats(spark, d):
-    return V.summary(V.baseline_similarities(*_class_rows(spark, d)))
+    both = _class_rows(spark, d)
+    return V.summary(V.baseline_counts(*both), V.baseline_moments(*both))
 
 
 @query(sql(cte.QUANT + _SAMPLE, "SELECT round(m / bm, 4) AS ratio, round((m - bm) / bs, 4) AS separation, CASE WHEN m / bm > 1.5 THEN 'GOOD' WHEN m / bm > 1.1 THEN 'MODERATE' ELSE 'WEAK' END AS verdict FROM (SELECT avg(sim) AS m FROM pairs), (SELECT avg(sim) AS bm, stddev_pop(sim) AS bs FROM base)"))
 def signal_ratio(spark, d):
     f, o = _class_rows(spark, d)
-    return V.signal(V.pair_similarities(f), V.baseline_similarities(f, o))
+    return V.signal(V.pair_moments(f), V.baseline_moments(f, o))
 
 
 _LOO = (

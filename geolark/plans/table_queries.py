@@ -9,8 +9,10 @@ from ..functions import text as X
 from ..operators import catalog as C
 from ..operators import raster as R
 from ..operators import retrieval as N
+from ..operators import vector_index as V
 from ..operators import zonal as Z
 from ..schema import EVENT
+from ..sources.shared import new_folder
 from ..streaming import events as E
 from . import cte, fixtures as fx
 from .cte import query as sql
@@ -37,6 +39,41 @@ def yield_prediction(spark, d):
     return N.predict_yield(_knn(spark, d))
 
 
+def _index(spark, d):
+    path = new_folder(spark, "index")
+    farms = fx.farms(spark, d)
+    V.build_index(farms.select("id", F.col("crop").alias("grp"), F.col("embedding").alias("v")), path, 64)
+    return path, farms.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.lit(None).cast("string").alias("grp"), F.col("embedding").alias("v"))
+
+
+_NEAREST = """f AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e, 'Crop' || label AS crop FROM embeddings),
+u AS (SELECT id, crop, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS e FROM f),
+pairs AS (SELECT q.id AS query_id, u.id, round(list_dot_product(q.e, u.e), 12) AS s FROM u q JOIN u ON q.id % 50 = 0 AND q.id <> u.id AND ({on})),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS INTEGER) AS rank FROM pairs)"""
+
+
+@query(sql(_NEAREST.format(on="true"), "SELECT query_id, rank, id, round(s, 9) AS similarity FROM ranked WHERE rank <= 5"))
+def knn_index(spark, d):
+    """The index with all lists probed: the exact neighbours."""
+    path, queries = _index(spark, d)
+    return V.search(spark, path, queries, 5, V.LISTS).select("query_id", "rank", "id", F.round("similarity", 9).alias("similarity"))
+
+
+@query(sql(_NEAREST.format(on="q.crop = u.crop"), "SELECT query_id, rank, id, round(s, 9) AS similarity FROM ranked WHERE rank <= 5"))
+def knn_index_crop(spark, d):
+    """The same within the query's crop: only that crop's blocks are met."""
+    path, queries = _index(spark, d)
+    crops = fx.farms(spark, d).where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("crop").alias("grp"))
+    return V.search(spark, path, queries.drop("grp").join(crops, "query_id"), 5, V.LISTS).select("query_id", "rank", "id", F.round("similarity", 9).alias("similarity"))
+
+
+@query()
+def knn_index_probed(spark, d):
+    """The index with PROBES lists probed: most of the exact neighbours for a part of the work."""
+    path, queries = _index(spark, d)
+    return V.search(spark, path, queries, 5, V.PROBES)
+
+
 _STABLE = """y AS (SELECT vec_id // 3 AS loc, CAST(2022 + vec_id % 3 AS INTEGER) AS year, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 l AS (SELECT loc, year, e, lag(e) OVER (PARTITION BY loc ORDER BY year) AS p, lag(year) OVER (PARTITION BY loc ORDER BY year) AS from_year FROM y),
 s AS (SELECT loc, from_year, year, list_dot_product(p, e) AS sim FROM l WHERE p IS NOT NULL)"""
