@@ -1,7 +1,7 @@
 """Documents that share most of their word shingles, found with a count-vector R-tree.
 
-A document is the set of its distinct shingles' hashes. The hashes fall into GROUPS ranges, and the numbers of hashes by range are the
-document's point; two sets can't share more than the sum of their points' smaller coordinates. Points are packed into trees whose nodes
+A document is the set of its distinct shingles' hashes. The hashes fall into GROUPS ranges or, in large sets, more, and the numbers of
+hashes by range are the document's point; two sets can't share more than the sum of their points' smaller coordinates. Points are packed into trees whose nodes
 keep the largest coordinates below them, so the same sum bounds what any point of a node can share; a search goes from 32 coarse
 coordinates to all, and only pairs that may still reach the threshold have their sets compared.
 
@@ -13,7 +13,7 @@ smallest document are one group, a group has a tree, and groups beyond TREE_ROWS
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +25,8 @@ from .common import materialize
 from .components import connected_components
 
 SHINGLE, PERCENT = 5, 80
-#: Coordinates of a point, and of the coarse ones that nodes keep.
-GROUPS, COARSE = 256, 32
+#: Coordinates of a point at least, of the coarse one that nodes keep, and the binary logarithm of the most that a large set's point has.
+GROUPS, COARSE, MOST_GROUP_BITS = 256, 32, 16
 #: Children of a node.
 FAN = 16
 #: Points of a block of a tree, and hashes of the sets of a block whose pairs are verified.
@@ -53,17 +53,24 @@ def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
 
 
 def point_of(hashes: np.ndarray) -> np.ndarray:
-    """How many of the hashes fall into each of GROUPS equal ranges."""
-    return np.bincount((hashes >> np.uint64(56)).astype(np.int64), minlength=GROUPS).astype(np.uint32)
+    """How many of the hashes fall into each of so many equal ranges that about four share one; GROUPS at least."""
+    bits = min(MOST_GROUP_BITS, max(GROUPS.bit_length() - 1, (len(hashes) // 4).bit_length()))
+    return np.bincount((hashes >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint32)
+
+
+def folded(counts: np.ndarray, width: int) -> np.ndarray:
+    """Points (the last axis) with neighbouring ranges joined until there are `width`."""
+    return counts if counts.shape[-1] == width else counts.reshape(*counts.shape[:-1], width, -1).sum(-1, dtype=np.uint32)
 
 
 def _packed_point(counts: np.ndarray) -> bytes:
     top = int(counts.max(initial=0))
-    return counts.astype("u1" if top < 1 << 8 else "<u2" if top < 1 << 16 else "<u4").tobytes()
+    size = 1 if top < 1 << 8 else 2 if top < 1 << 16 else 4
+    return bytes([size]) + counts.astype(f"<u{size}").tobytes()
 
 
 def _unpacked_point(cell: bytes) -> np.ndarray:
-    return np.frombuffer(cell, {1: "u1", 2: "<u2", 4: "<u4"}[len(cell) // GROUPS]).astype(np.uint32)
+    return np.frombuffer(cell, f"<u{cell[0]}", offset=1)
 
 
 class CountTree:
@@ -72,9 +79,18 @@ class CountTree:
     `found(i)` gives the places of all points whose overlap with point i may reach `percent` of the union.
     """
 
-    def __init__(self, n: np.ndarray, counts: np.ndarray, percent: int = PERCENT):
-        self.n, self.counts, self.percent = n.astype(np.int64), counts, percent
-        self.coarse = counts.reshape(len(n), COARSE, -1).sum(2, dtype=np.uint32)
+    def __init__(self, n: np.ndarray, counts: Sequence[np.ndarray], percent: int = PERCENT):
+        self.n, self.percent = n.astype(np.int64), percent
+        widths = np.fromiter(map(len, counts), np.int64, len(counts))
+        self.row = np.zeros(len(counts), np.int64)  # of the matrix of its width
+        self.width, self.whole = widths, {}
+        for w in np.unique(widths).tolist():
+            own = np.flatnonzero(widths == w)
+            self.row[own], self.whole[w] = np.arange(len(own)), np.stack([counts[i] for i in own.tolist()])
+        self.counts = np.zeros((len(counts), GROUPS), np.uint32)
+        for w, m in self.whole.items():
+            self.counts[widths == w] = folded(m, GROUPS)
+        self.coarse = folded(self.counts, COARSE)
         self.order = self._packed(np.column_stack([self.n, self.coarse.astype(np.int64)]))
         self.levels = []  # from the leaves up: largest coarse coordinates, smallest and largest n of each node
         top, low, high = self.coarse[self.order], self.n[self.order], self.n[self.order]
@@ -111,13 +127,23 @@ class CountTree:
         return self.checked(i, self.order[at])
 
     def checked(self, i: int, places: np.ndarray) -> np.ndarray:
-        """Those of `places` that may link to i, by coarse and then by all coordinates; not i itself."""
+        """Those of `places` that may link to i, by coarse, then GROUPS, then all coordinates that both have; not i itself."""
         for counts in (self.coarse, self.counts):
             places = places[self._may(i, np.minimum(counts[places], counts[i]).sum(1), self.n[places], self.n[places])]
+        own = int(self.width[i])
+        mine, out = self.whole[own][self.row[i]], []
+        for w in np.unique(self.width[places]).tolist():
+            part = places[self.width[places] == w]
+            if min(w, own) > GROUPS:
+                width = min(w, own)
+                shared = np.minimum(folded(self.whole[w][self.row[part]], width), folded(mine, width)).sum(1, dtype=np.int64)
+                part = part[self._may(i, shared, self.n[part], self.n[part])]
+            out.append(part)
+        places = np.concatenate(out) if out else places
         return places[places != i]
 
 
-def with_company(n: np.ndarray, counts: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+def with_company(n: np.ndarray, counts: Sequence[np.ndarray], percent: int = PERCENT) -> np.ndarray:
     """Which points have another one that they may link to."""
     tree, has = CountTree(n, counts, percent), np.zeros(len(n), bool)
     for i in range(len(n)):
@@ -140,7 +166,7 @@ def links_within(ids: np.ndarray, sets: list[np.ndarray], percent: int = PERCENT
         return x
 
     n = np.fromiter(map(len, sets), np.int64, len(sets))
-    tree = CountTree(n, np.stack([point_of(s) for s in sets]), percent)
+    tree = CountTree(n, [point_of(s) for s in sets], percent)
     names, out = ids.tolist(), []
     left = np.ones(len(n), bool)
     for first in range(len(n)):  # breadth first: what is reached is not compared again
@@ -239,7 +265,7 @@ def close_ones(groups: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in _runs(batches):
             if len(g) > 1:
-                has = with_company(g.column("n").to_numpy(), np.stack([_unpacked_point(x) for x in g.column("point").to_pylist()]), percent)
+                has = with_company(g.column("n").to_numpy(), [_unpacked_point(x) for x in g.column("point").to_pylist()], percent)
                 if has.any():
                     yield g.filter(pa.array(has)).select(["leader", "rid"])
 

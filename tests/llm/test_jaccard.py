@@ -113,3 +113,22 @@ def test_points_bound_the_overlap_and_links_connect():
             assert len(np.intersect1d(a, b)) <= np.minimum(point_of(a), point_of(b)).sum()
     links = links_within(np.arange(len(sets)), sets)
     assert len(links) == len({x for p in links for x in p}) - len({c[2] for c in plain(list(enumerate(near_copies(5, groups=4, size=15)))) if c[0] in {x for p in links for x in p}})
+
+
+def test_points_of_large_sets_have_more_coordinates():
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 63, 9000, dtype=np.uint64) * np.uint64(2)
+    sets = [np.unique(rng.choice(base, k, replace=False)) for k in (8800, 8300, 8000, 4200, 4000, 900, 500)] + [np.unique(rng.integers(0, 1 << 63, 4100, dtype=np.uint64) * np.uint64(2))]
+    points = [point_of(s) for s in sets]
+    assert len({len(p) for p in points}) > 2
+    n = np.array([len(s) for s in sets])
+    tree = CountTree(n, points)
+    for i in range(len(sets)):
+        found = set(tree.found(i).tolist())
+        for j in range(len(sets)):
+            shared = len(np.intersect1d(sets[i], sets[j]))
+            if i != j and 180 * shared >= 80 * (n[i] + n[j]):
+                assert j in found
+    assert not len(tree.found(len(sets) - 1))
+    cell = jaccard._packed_point(points[0])
+    assert (jaccard._unpacked_point(cell) == points[0]).all()
