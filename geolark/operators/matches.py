@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections import Counter
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import centre_lat, centre_lng, region_bucket, row_col
 from ..schema import MATCH_THRESHOLD, MAX_PINS, GridMeta
+from ..sources.shared import written
 
 
 def sample_step(meta: GridMeta) -> int:
@@ -31,45 +32,60 @@ def candidates(scores: DataFrame, pins: DataFrame, meta: GridMeta, threshold: fl
     return rows.join(F.broadcast(boxed), near, "left_anti")
 
 
-def top_matches(found: DataFrame, meta: GridMeta, count: int = 20, spacing_km: float = 50.0, per_pin: int = 2, per_region: int = 3, head: int = 64) -> DataFrame:
+def top_matches(found: DataFrame, meta: GridMeta, count: int = 20, spacing_km: float = 50.0, per_pin: int = 2, per_region: int = 3, head: int = 4) -> DataFrame:
     """(rank, pixel, lat, lng, score, best_pin): the greedy choice by (score descending, pixel) under spacing and diversity caps.
 
-    One pass takes the `head` best rows of every pin and region, a few thousand groups at most, and the greedy rule runs on these. That is the
-    choice among all rows unless it gets past the last row taken of a group that could still give one; then, which takes many
-    rows close together, the pass is repeated with longer heads.
+    Each pass filters the candidates by what is taken so far (the squares around it, the pins and regions that are full) and takes the
+    `head` best rows of every pin and region that are left. The greedy rule runs on these up to the end of some group's rows, which
+    is one match further at least; so there are `count` passes at most, and a pass collects `head` rows a group, however many cells lie close together.
     """
     spark = found.sparkSession
     gap = max(2, meta.cells_of_km(spacing_km))
     lat, lng = centre_lat(F.col("row"), meta), centre_lng(F.col("col"), meta)
     order = Window.partitionBy("best_pin", "region").orderBy(F.desc("score"), "pixel")
-    ranked = found.withColumn("lat", lat).withColumn("lng", lng).withColumn("region", region_bucket(lat, lng)).withColumn("nth", F.row_number().over(order))
-    while True:
-        rows = ranked.where(F.col("nth") <= head).collect()
-        taken, dry = _greedy(sorted(rows, key=lambda r: (-r.score, r.pixel)), gap, count, per_pin, per_region, head)
-        if not dry:
+    placed = found.withColumn("lat", lat).withColumn("lng", lng).select("pixel", "row", "col", "lat", "lng", "score", "best_pin", region_bucket(lat, lng).alias("region"))
+    placed = written(placed, "candidates")  # every pass reads them
+    taken: list = []
+    while len(taken) < count:
+        rows = placed.where(_still_free(taken, gap, per_pin, per_region)).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= head).collect()
+        before = len(taken)
+        done = _greedy(sorted(rows, key=lambda r: (-r.score, r.pixel)), taken, gap, count, per_pin, per_region, head)
+        if done or len(taken) == before:
             break
-        head *= 8
     schema = "rank int, pixel long, lat double, lng double, score double, best_pin int"
     chosen = spark.createDataFrame([(n + 1, t.pixel, t.lat, t.lng, t.score, t.best_pin) for n, t in enumerate(taken)], schema)
     return chosen.select("rank", "pixel", *[F.round(c, 4).alias(c) for c in ("lat", "lng", "score")], "best_pin")
 
 
-def _greedy(rows: list, gap: int, count: int, per_pin: int, per_region: int, head: int) -> tuple[list, bool]:
-    """The rows accepted in order, and whether a group ended that may have had more to give."""
-    taken: list = []
-    pins: Counter = Counter()
-    regions: Counter = Counter()
+def _full(taken: list, per_pin: int, per_region: int) -> tuple[set, set]:
+    """Pins and regions that can't take another match."""
+    pins, regions = Counter(t.best_pin for t in taken), Counter(t.region for t in taken)
+    return {p for p, n in pins.items() if n >= per_pin}, {r for r, n in regions.items() if n >= per_region}
+
+
+def _still_free(taken: list, gap: int, per_pin: int, per_region: int) -> Column:
+    """Which candidates the matches taken so far leave possible; a condition on the scan, as long as the matches are many."""
+    pins, regions = _full(taken, per_pin, per_region)
+    ok = ~F.col("best_pin").isin(*sorted(pins)) if pins else F.lit(True)
+    ok = ok & ~F.col("region").isin(*sorted(regions)) if regions else ok
+    for t in taken:
+        ok = ok & (F.abs(F.col("row") - t.row) + F.abs(F.col("col") - t.col) >= gap)
+    return ok
+
+
+def _greedy(rows: list, taken: list, gap: int, count: int, per_pin: int, per_region: int, head: int) -> bool:
+    """Append the rows that the rule accepts, in order, until a group's rows end that may have had more; whether that didn't happen."""
     for r in rows:
         if len(taken) == count:
-            break
-        if pins[r.best_pin] < per_pin and regions[r.region] < per_region:
-            if all(abs(r.row - t.row) + abs(r.col - t.col) >= gap for t in taken):
-                taken.append(r)
-                pins[r.best_pin] += 1
-                regions[r.region] += 1
-            if r.nth == head and len(taken) < count and pins[r.best_pin] < per_pin and regions[r.region] < per_region:
-                return taken, True
-    return taken, False
+            return True
+        pins, regions = _full(taken, per_pin, per_region)
+        if r.best_pin in pins or r.region in regions:
+            continue
+        if all(abs(r.row - t.row) + abs(r.col - t.col) >= gap for t in taken):
+            taken.append(r)
+        if r.nth == head:
+            return False
+    return True
 
 
 def matches_per_pin(matches: DataFrame) -> DataFrame:

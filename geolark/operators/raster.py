@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,9 +24,21 @@ def mask_water(vector: Column, landcover: Column, occurrence: Column) -> Column:
 
 
 def band_ranges(cells: DataFrame, vector: str = "e", dims: int = DIMS) -> DataFrame:
-    """(band, lo, hi, scale, offset) over the land cells: one row of minima and maxima a task, no cell is taken apart into rows."""
-    ends = [F.struct(F.lit(b).alias("band"), F.min(F.get(vector, F.lit(b))).alias("lo"), F.max(F.get(vector, F.lit(b))).alias("hi")) for b in range(dims)]
-    r = cells.where("is_land").agg(F.array(*ends).alias("b")).select(F.inline("b")).where("lo is not null")
+    """(band, lo, hi, scale, offset) over the land cells: each task gives one row of minima and maxima, no cell is taken apart into rows."""
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low, high = np.full(dims, np.inf), np.full(dims, -np.inf)
+        for b in batches:
+            if len(b):
+                m = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(len(b), -1)[:, :dims]
+                np.minimum(low, m.min(0), out=low)
+                np.maximum(high, m.max(0), out=high)
+        if np.isfinite(low).all():
+            yield pa.RecordBatch.from_arrays([pa.array([x.tolist()], pa.list_(pa.float64())) for x in (low, high)], names=["low", "high"])
+
+    each = cells.where(F.col("is_land") & (F.size(vector) == dims)).select(F.col(vector).cast("array<double>")).mapInArrow(ends, "low array<double>, high array<double>")
+    flat = each.select(F.posexplode(F.arrays_zip("low", "high")).alias("band", "x"))
+    r = flat.groupBy("band").agg(F.min("x.low").alias("lo"), F.max("x.high").alias("hi"))
     scale = F.when(F.col("hi") == F.col("lo"), F.lit(1.0)).otherwise((F.col("hi") - F.col("lo")) / Q_STEPS)
     r = r.withColumn("scale", scale)
     return r.withColumn("offset", F.when(F.col("hi") == F.col("lo"), F.col("lo")).otherwise(F.col("lo") + 127.0 * F.col("scale")))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import FLOAT_DIVISOR, MAX_LAYER_PINS, MAX_PINS, SCORE_DIVISOR
+from .quantiles import exact_quantiles
 
 
 def dot(a: Column, b: Column, zero: Column | None = None) -> Column:
@@ -96,5 +97,9 @@ def scan_layers(cells: DataFrame, layer_pins: DataFrame) -> DataFrame:
 
 def score_stats(scores: DataFrame) -> DataFrame:
     """(n, p50, p90, p99, top) of the positive products; exact percentiles, rounded to 4."""
-    found = scores.where("dot > 0").agg(F.count("*").alias("n"), F.percentile("dot", F.array(F.lit(0.5), F.lit(0.9), F.lit(0.99))).alias("p"), F.max("dot").alias("top"))
-    return found.select("n", *[F.round(F.get("p", F.lit(i)), 4).alias(name) for i, name in enumerate(("p50", "p90", "p99"))], "top")
+    names = ("p50", "p90", "p99")
+    found = exact_quantiles(scores.where("dot > 0"), "dot", [0.5, 0.9, 0.99, 1.0])
+    none = F.lit(None).cast("double")
+    empty = scores.sparkSession.range(1).select(F.lit(0).cast("long").alias("n"), *[none.alias(f"q{k}") for k in range(4)])
+    one = found.union(empty).agg(F.max("n").alias("n"), *[F.max(f"q{k}").alias(f"q{k}") for k in range(4)])
+    return one.select("n", *[F.round(f"q{i}", 4).alias(name) for i, name in enumerate(names)], F.col("q3").cast("int").alias("top"))

@@ -138,7 +138,7 @@ def _kept(others: DataFrame) -> np.ndarray:
     rows = others.select("q").limit(MAX_SAMPLE + 1).collect()
     if len(rows) > MAX_SAMPLE:
         raise ValueError("the sample is too large")
-    return np.array([r.q for r in rows], np.float64).reshape(len(rows), -1)
+    return np.array([r.q for r in rows], np.float64).reshape(len(rows), DIMS)
 
 
 def baseline_counts(farms: DataFrame, others: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.suitability import irrigation_needed, moisture_index, moisture_status, water_assessment
+from .quantiles import exact_quantiles
 
 
 def in_buffer(lat: Column, lng: Column, at_lat: float, at_lng: float, km: float) -> Column:
@@ -17,8 +18,11 @@ def in_buffer(lat: Column, lng: Column, at_lat: float, at_lng: float, km: float)
 
 
 def zonal_stats(rows: DataFrame, zone: str, value: str) -> DataFrame:
-    """(zone, mean, min, max, p90)."""
-    return rows.groupBy(F.col(zone).alias("zone")).agg(F.round(F.avg(value), 4).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"), F.round(F.percentile(value, F.lit(0.9)), 4).alias("p90"))
+    """(zone, mean, min, max, p90). Zones whose values are all null have nulls."""
+    rows = rows.select(F.col(zone).alias("zone"), F.col(value).alias("v"))
+    plain = rows.groupBy("zone").agg(F.round(F.avg("v"), 4).alias("mean"), F.min("v").alias("min"), F.max("v").alias("max"))
+    p90 = exact_quantiles(rows, "v", [0.9], "zone").select(F.col("zone").alias("_zone"), F.round("q0", 4).alias("p90"))
+    return plain.join(p90, F.col("zone").eqNullSafe(F.col("_zone")), "left").select("zone", "mean", "min", "max", "p90")
 
 
 def zonal_mean_vector(rows: DataFrame, zone: str, vector: str) -> DataFrame:

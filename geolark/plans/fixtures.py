@@ -36,9 +36,15 @@ def quantized(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scan_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The quantised cells and the pins on land, with the bands' ranges computed once for both."""
-    q = quantized(spark, sf_dir)
-    return q, lookup_pins(pins(spark, sf_dir), q, meta(spark, sf_dir))
+    """The quantised cells and the pins on land, with the bands' ranges computed once for both; only the pins' cells are quantised for the latter."""
+    c = cells(spark, sf_dir)
+    ranges = kept_ranges(band_ranges(c))
+    return quantize(c, ranges), _quantized_pins(spark, sf_dir, c, ranges)
+
+
+def _quantized_pins(spark: SparkSession, sf_dir: str, c: DataFrame, ranges: DataFrame) -> DataFrame:
+    placed = lookup_pins(pins(spark, sf_dir), c.withColumn("q", F.col("e")), meta(spark, sf_dir))
+    return quantize(placed.withColumn("is_land", F.lit(True)), ranges, "q").drop("is_land")
 
 
 def pins(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,15 +58,20 @@ def pins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def land_pins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lookup_pins(pins(spark, sf_dir), quantized(spark, sf_dir), meta(spark, sf_dir))
+    c = cells(spark, sf_dir)
+    return _quantized_pins(spark, sf_dir, c, kept_ranges(band_ranges(c)))
 
 
-def layer_pins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(layer_id, pin_idx, q): label L is a layer whose pins are its three first cells."""
+def layer_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The quantised cells, and (layer_id, pin_idx, q): label L is a layer whose pins are its three first cells."""
     from pyspark.sql import Window
 
+    c = cells(spark, sf_dir)
+    ranges = kept_ranges(band_ranges(c))
     n = F.row_number().over(Window.partitionBy("label").orderBy("pixel"))
-    return quantized(spark, sf_dir).withColumn("n", n).where("n <= 3").select(F.concat(F.lit("layer"), F.col("label").cast("string")).alias("layer_id"), (F.col("n") - 1).cast("int").alias("pin_idx"), "q")
+    first = c.where("is_land").select("pixel", "label").withColumn("n", n).where("n <= 3").select("pixel", "n")
+    few = quantize(c.join(first, "pixel"), ranges)
+    return quantize(c, ranges), few.select(F.concat(F.lit("layer"), F.col("label").cast("string")).alias("layer_id"), (F.col("n") - 1).cast("int").alias("pin_idx"), "q")
 
 
 def farms(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -141,7 +141,7 @@ ld AS (SELECT layer_id, pixel, pin_idx, CAST(list_dot_product(CAST(k.q AS DOUBLE
     )
 )
 def sim_scan_layers(spark, d):
-    return S.scan_layers(fx.quantized(spark, d), fx.layer_pins(spark, d))
+    return S.scan_layers(*fx.layer_inputs(spark, d))
 
 
 def _float_rows(spark, d):
