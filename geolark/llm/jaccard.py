@@ -8,7 +8,8 @@ coordinates to all, and only pairs that may still reach the threshold have their
 One tree over all points would have to be searched by all of them: hashed counts lie close together, and boxes far up prune nothing but
 sizes. Points therefore meet in lists first. With the hashes in ascending order, two sets that link share one of the smallest
 n - ceil(0.8 n) + 1 of either, so each such hash has a list of its documents, and no linked pair is missed. Lists with the same
-smallest document are one group, a group has a tree, and groups beyond TREE_ROWS are cut into blocks that meet pairwise.
+smallest document are one group, a group has a tree, and groups beyond TREE_ROWS are cut into blocks that meet pairwise. What the trees
+leave possible falls into classes, and the sets of a class are compared.
 """
 
 from __future__ import annotations
@@ -143,28 +144,39 @@ class CountTree:
         return places[places != i]
 
 
-def with_company(n: np.ndarray, counts: Sequence[np.ndarray], percent: int = PERCENT) -> np.ndarray:
-    """Which points have another one that they may link to."""
-    tree, has = CountTree(n, counts, percent), np.zeros(len(n), bool)
-    for i in range(len(n)):
-        if not has[i]:
-            others = tree.found(i)
-            if len(others):
-                has[i] = True
-                has[others] = True
-    return has
-
+class Forest:
+    """Classes of names that links join; names are forgotten when they become too many, which only repeats some links."""
 
-def links_within(ids: np.ndarray, sets: list[np.ndarray], percent: int = PERCENT, parent: dict[int, int] | None = None) -> list[tuple[int, int]]:
-    """Links between the sets that keep every class of linked ones connected; those that `parent`, a forest of ids, connects already are left out."""
-    parent = {} if parent is None else parent
+    def __init__(self, most: int = 500_000):
+        self.up, self.most = {}, most
 
-    def root(x: int) -> int:
-        while (up := parent.setdefault(x, x)) != x:
-            parent[x] = parent[up]
-            x = up
+    def root(self, x: int) -> int:
+        up = self.up
+        while (to := up.setdefault(x, x)) != x:
+            up[x] = up[to]
+            x = to
         return x
 
+    def join(self, x: int, y: int) -> bool:
+        """Whether x and y were apart."""
+        x, y = self.root(x), self.root(y)
+        self.up[y] = x
+        return x != y
+
+    def trim(self) -> None:
+        if len(self.up) > self.most:
+            self.up.clear()
+
+
+def possible_links(ids: np.ndarray, n: np.ndarray, counts: Sequence[np.ndarray], percent: int = PERCENT, forest: Forest | None = None) -> list[tuple[int, int]]:
+    """Pairs that the points leave possible, as many as keep all of those connected; fewer where `forest` connects them already."""
+    tree, names, forest = CountTree(n, counts, percent), ids.tolist(), forest or Forest()
+    return [(names[i], names[j]) for i in range(len(n)) for j in tree.found(i).tolist() if forest.join(names[i], names[j])]
+
+
+def links_within(ids: np.ndarray, sets: list[np.ndarray], percent: int = PERCENT, forest: Forest | None = None) -> list[tuple[int, int]]:
+    """Links between the sets that keep every class of linked ones connected; fewer where `forest` connects some already."""
+    forest = forest or Forest()
     n = np.fromiter(map(len, sets), np.int64, len(sets))
     tree = CountTree(n, [point_of(s) for s in sets], percent)
     names, out = ids.tolist(), []
@@ -178,17 +190,15 @@ def links_within(ids: np.ndarray, sets: list[np.ndarray], percent: int = PERCENT
             others = others[left[others]]
             if not len(others):
                 continue
-            mine = root(names[i])
-            known = np.array([root(names[j]) == mine for j in others.tolist()])
+            mine = forest.root(names[i])
+            known = np.array([forest.root(names[j]) == mine for j in others.tolist()])
             new = others[~known]
             if len(new):
                 joined, begin = np.concatenate([sets[j] for j in new.tolist()]), np.cumsum(n[new]) - n[new]
                 place = np.minimum(np.searchsorted(sets[i], joined), n[i] - 1)
                 shared = np.add.reduceat((sets[i][place] == joined).astype(np.int64), begin)
                 new = new[(100 + percent) * shared >= percent * (n[i] + n[new])]
-            for j in new.tolist():
-                parent[root(names[j])] = root(names[i])
-                out.append((names[i], names[j]))
+            out += [(names[i], names[j]) for j in new.tolist() if forest.join(names[i], names[j])]
             reached = np.append(others[known], new)
             left[reached] = False
             front += reached.tolist()
@@ -259,19 +269,26 @@ def groups_of(sets: DataFrame) -> DataFrame:
     return materialize(shared.join(leaders, "h").select("leader", "rid").distinct(), "groups")
 
 
-def close_ones(groups: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(leader, rid): those of `groups` whose point leaves a link possible."""
+def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    src, dst = zip(*found, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
+
+
+def candidate_links(groups: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(src, dst): within each of `groups`, links that the points leave possible; enough to keep all of those connected."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest = Forest()
         for g in _runs(batches):
             if len(g) > 1:
-                has = with_company(g.column("n").to_numpy(), [_unpacked_point(x) for x in g.column("point").to_pylist()], percent)
-                if has.any():
-                    yield g.filter(pa.array(has)).select(["leader", "rid"])
+                points = [_unpacked_point(x) for x in g.column("point").to_pylist()]
+                if found := possible_links(g.column("rid").to_numpy(), g.column("n").to_numpy(), points, percent, forest):
+                    yield _edges(found)
+                forest.trim()
 
     cells = _in_cells(groups.withColumn("_one", F.lit(1)), "_one", TREE_ROWS).select("leader", "cell", "rid")
     rows = cells.join(sets.select("rid", "n", "point"), "rid").select("leader", "cell", "rid", "n", "point")
-    return rows.repartition("leader", "cell").sortWithinPartitions("leader", "cell").mapInArrow(run, "leader long, rid long").distinct()
+    return rows.repartition("leader", "cell").sortWithinPartitions("leader", "cell").mapInArrow(run, "src long, dst long")
 
 
 def _row_keys() -> list:
@@ -309,31 +326,31 @@ def wanted_rows(docs: DataFrame, names: DataFrame) -> DataFrame:
     return docs.select(*_row_keys(), "text").mapInArrow(pick, "r1 long, r2 int, text string")
 
 
-def verified_links(close: DataFrame, sets: DataFrame, docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(src, dst): links between the documents of each leader, by their sets; enough to keep every class connected."""
+def verified_links(classes: DataFrame, sets: DataFrame, docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """(src, dst): links between the documents of each of `classes` (leader, rid), by their sets; enough to keep what links connected.
+
+    A document is in one class, so its set is made and shipped once, unless the class is cut into blocks.
+    """
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cells = [shingle_set(t.as_py(), shingle).tobytes() for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([b.column("rid"), pa.array(cells, pa.binary())], names=["rid", "hashes"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("leader", "cell", "rid")), pa.array(cells, pa.binary())], names=["leader", "cell", "rid", "hashes"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parent: dict[int, int] = {}
+        forest = Forest()
         for g in _runs(batches):
             if len(g) > 1:
-                found = links_within(g.column("rid").to_numpy(), [np.frombuffer(x.as_buffer(), np.uint64) for x in g.column("hashes")], percent, parent)
+                found = links_within(g.column("rid").to_numpy(), [np.frombuffer(x.as_buffer(), np.uint64) for x in g.column("hashes")], percent, forest)
                 if found:
-                    src, dst = zip(*found, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
-                if len(parent) > 500_000:
-                    parent.clear()  # only repeats some links
+                    yield _edges(found)
+                forest.trim()
 
-    names = materialize(close.select("rid").distinct().join(sets.select("rid", "r1", "r2"), "rid"), "wanted")
-    texts = wanted_rows(docs, names).join(names, ["r1", "r2"]).select("rid", "text")
-    hashes = texts.mapInArrow(again, "rid long, hashes binary")
-    sized = close.join(sets.select("rid", "n"), "rid")
-    rows = _in_cells(sized, "n", SET_HASHES).select("leader", "cell", "rid").join(hashes, "rid").select("leader", "cell", "rid", "hashes")
-    return rows.repartition("leader", "cell").sortWithinPartitions("leader", "cell").mapInArrow(compare, "src long, dst long")
+    names = materialize(classes.join(sets.select("rid", "n", "r1", "r2"), "rid"), "wanted")
+    placed = _in_cells(names, "n", SET_HASHES).select("leader", "cell", "rid", "r1", "r2")
+    texts = wanted_rows(docs, names).join(placed, ["r1", "r2"]).select("leader", "cell", "rid", "text")
+    hashes = texts.mapInArrow(again, "leader long, cell long, rid long, hashes binary")
+    return hashes.repartition("leader", "cell").sortWithinPartitions("leader", "cell").mapInArrow(compare, "src long, dst long")
 
 
 def jaccard_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -350,7 +367,7 @@ def jaccard_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCE
     classes = materialize(some.groupBy("k1", "k2").agg(F.min("rid").alias("node"), F.min("doc_id").alias("low"), F.count("*").alias("copies")), "classes")
     repeats = some.select("rid", "k1", "k2").join(classes.where("copies > 1"), ["k1", "k2"]).where("rid <> node").select("rid")
     nodes = some.join(materialize(repeats, "repeats"), "rid", "left_anti")  # one row a class
-    close = materialize(close_ones(groups_of(nodes), sets, percent), "close")
+    close = connected_components(candidate_links(groups_of(nodes), sets, percent)).select(F.col("component").alias("leader"), F.col("node").alias("rid"))
     found = connected_components(verified_links(close, sets, docs, shingle, percent)).withColumnRenamed("component", "root")
     named = materialize(classes.join(found, "node", "left").select("k1", "k2", "low", F.coalesce("root", "node").alias("root")), "named")
     lows = named.groupBy("root").agg(F.min("low").alias("component_id"))

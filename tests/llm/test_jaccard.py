@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from geolark.llm import jaccard
-from geolark.llm.jaccard import CountTree, jaccard_groups, links_within, point_of, shingle_set, with_company
+from geolark.llm.jaccard import CountTree, jaccard_groups, links_within, point_of, possible_links, shingle_set
 
 SCHEMA = "doc_id long, text string"
 
@@ -102,8 +102,8 @@ def test_tree_finds_what_the_bound_allows():
         shared = np.minimum(counts, counts[i]).sum(1).astype(int)
         want = {j for j in range(len(n)) if j != i and 180 * shared[j] >= 80 * (n[i] + n[j])}
         assert set(tree.found(i).tolist()) == want
-    has = with_company(n, counts)
-    assert has.tolist() == [len(tree.found(i)) > 0 for i in range(len(n))]
+    some = {x for pair in possible_links(np.arange(len(n)), n, counts) for x in pair}
+    assert some == {i for i in range(len(n)) if len(tree.found(i))}
 
 
 def test_points_bound_the_overlap_and_links_connect():
