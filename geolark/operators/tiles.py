@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 from ..functions.geo import palette_colour, ramp_colour, ramp_index, row_col, tile_bounds
 from ..schema import VISIBLE_THRESHOLD, GridMeta
@@ -115,49 +118,153 @@ def png(rgba: bytes, width: int, height: int) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 6, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
 
 
+def png_pixels(image: bytes) -> np.ndarray:
+    """(height, width, 4) of a PNG as png() writes it."""
+    width, height, depth, kind = struct.unpack(">IIBB", image[16:26])
+    if image[:8] != b"\x89PNG\r\n\x1a\n" or (depth, kind) != (8, 6):
+        raise ValueError("not an 8-bit RGBA PNG")
+    at, data = 8, b""
+    while at < len(image):
+        n, name = struct.unpack(">I4s", image[at : at + 8])
+        data += image[at + 8 : at + 8 + n] if name == b"IDAT" else b""
+        at += 12 + n
+    rows = np.frombuffer(zlib.decompress(data), np.uint8).reshape(height, 4 * width + 1)
+    if rows[:, 0].any():
+        raise ValueError("filtered rows")
+    return rows[:, 1:].reshape(height, width, 4)
+
+
 #: What is served for a tile that does not exist.
 TRANSPARENT = png(b"\0\0\0\0", 1, 1)
 
 
-def tile_png(coloured: DataFrame, size: int = TILE) -> DataFrame:
-    """(z, x, y, png): one image a tile; a tile has size * size pixels, so its group is bounded. A pixel travels as one long: place and colour."""
+def tile_png(tiles: DataFrame, scores: DataFrame, meta: GridMeta, size: int = TILE) -> DataFrame:
+    """(z, x, y, png): one image a tile, drawn from its raster strips; no pixel becomes a row.
+
+    What meets in a row is a tile's strips, at most one for each pixel row and column, and its two axes.
+    """
+    colours = [tuple(r.c) for r in tiles.sparkSession.range(256).select("id", ramp_colour(F.col("id").cast("int")).alias("c")).orderBy("id").collect()]
+    ramp = np.array(colours, np.uint8)
+    rows, cols = _axes(meta, size)
 
-    @F.pandas_udf("binary")
-    def encode(column: pd.Series) -> pd.Series:
-        def one(pixels: np.ndarray) -> bytes:
-            out = np.zeros(size * size, ">u4")
-            out[pixels >> 32] = pixels & 0xFFFFFFFF
-            return png(out.tobytes(), size, size)
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            images = []
+            for t in b.select(["rows", "cols", "strips"]).to_pylist():
+                index = np.zeros((size, size), np.int64)
+                own_rows, own_cols = (np.array([-1 if v is None else v for v in t[c]]) for c in ("rows", "cols"))
+                for strip in t["strips"] or ():
+                    if strip["v"] is not None:
+                        px = np.flatnonzero(own_cols // CHUNK == strip["block"])
+                        v = np.array([x or 0.0 for x in strip["v"]])[own_cols[px] % CHUNK]
+                        index[np.ix_(np.flatnonzero(own_rows == strip["row"]), px)] = np.clip((v * 255).astype(np.int64), 0, 255)
+                images.append(png(ramp[index].tobytes(), size, size))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in "zxy"), pa.array(images, pa.binary())], names=["z", "x", "y", "png"])
 
-        return column.map(one)
+    strips = tile_strips(tiles, scores, meta, size).groupBy("z", "x", "y").agg(F.collect_list(F.struct("row", "block", "v")).alias("strips"))
+    whole = tiles.withColumn("rows", rows).withColumn("cols", cols).join(strips, ["z", "x", "y"], "left")
+    return whole.select("z", "x", "y", "rows", "cols", "strips").mapInArrow(draw, "z int, x int, y int, png binary")
 
-    colour = sum((F.shiftleft(F.col(c).cast("long"), 24 - 8 * i) for i, c in enumerate("rgba")), F.shiftleft((F.col("py") * size + F.col("px")).cast("long"), 32))
-    return coloured.groupBy("z", "x", "y").agg(F.collect_list(colour).alias("p")).select("z", "x", "y", encode("p").alias("png"))
 
+def tile_digest(tiles: DataFrame) -> DataFrame:
+    """(z, x, y, width, height, r, g, b, a, mix) of (z, x, y, png): the images' pixels, decoded and summed; mix depends on their places."""
 
-def write_tile_tree(tiles: DataFrame, path: str, layer: str) -> DataFrame:
-    """Write (z, x, y, png) as {path}/{layer}/{z}/{x}/{y}.png from the tasks; returns (z, x, y, bytes) of the files written."""
-    root = f"{path.rstrip('/')}/{layer}"
+    @F.pandas_udf("width int, height int, r long, g long, b long, a long, mix long")
+    def read(images: pd.Series) -> pd.DataFrame:
+        def one(image: bytes) -> tuple:
+            m = png_pixels(image).astype(np.int64)
+            place = np.arange(m.shape[0] * m.shape[1]).reshape(m.shape[:2]) % 251 + 1
+            return (m.shape[1], m.shape[0], *m.sum((0, 1)).tolist(), int(((m @ np.array([1, 2, 3, 5])) * place).sum()))
 
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
+        return pd.DataFrame([one(x) for x in images], columns=["width", "height", "r", "g", "b", "a", "mix"])
 
-        system, inner = fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root.removeprefix("file:"))
-        for b in batches:
-            for z, x, y, image in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                system.create_dir(f"{inner}/{z}/{x}", recursive=True)
-                with system.open_output_stream(f"{inner}/{z}/{x}/{y}.png") as f:
+    return tiles.select("z", "x", "y", read("png").alias("d")).select("z", "x", "y", "d.*")
+
+
+def _system(path: str):
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
+
+
+@dataclass
+class Columns(WriterCommitMessage):
+    attempt: str
+    #: The (z, x) whose tiles the attempt has written.
+    found: list[tuple[int, int]]
+
+
+class TileTreeWriter(DataSourceArrowWriter):
+    """Every attempt of a task writes whole columns {z}/{x} of tiles in a folder of its own; the commit moves those of the attempts that count.
+
+    So the driver moves a folder a column and no tile, and what lost, repeated or failed attempts wrote goes with their folder.
+    """
+
+    def __init__(self, root: str):
+        self.root, self.place = root, f"{root}/_uncommitted-{uuid.uuid4().hex}"
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Columns:
+        system, inner = _system(self.place)
+        attempt, found = uuid.uuid4().hex, set()
+        for b in iterator:
+            for z, x, y, image in zip(*(b.column(c).to_pylist() for c in ("z", "x", "y", "png")), strict=True):
+                folder = f"{inner}/{attempt}/{z}/{x}"
+                if (z, x) not in found:
+                    system.create_dir(folder, recursive=True)
+                    found.add((z, x))
+                with system.open_output_stream(f"{folder}/{y}.png") as f:
                     f.write(image)
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(3)), pa.array([len(v) for v in b.column(3).to_pylist()], pa.int64())], names=["z", "x", "y", "bytes"])
+        return Columns(attempt, sorted(found))
+
+    def commit(self, messages: list[WriterCommitMessage | None]) -> None:
+        system, inner = _system(self.root)
+        _, place = _system(self.place)
+        for m in messages:
+            for z, x in m.found if m else ():
+                system.create_dir(f"{inner}/{z}", recursive=True)
+                if system.get_file_info(f"{inner}/{z}/{x}").type.name == "Directory":
+                    system.delete_dir(f"{inner}/{z}/{x}")
+                system.move(f"{place}/{m.attempt}/{z}/{x}", f"{inner}/{z}/{x}")
+        self.abort(messages)
+
+    def abort(self, messages: list[WriterCommitMessage | None]) -> None:
+        system, place = _system(self.place)
+        if system.get_file_info(place).type.name == "Directory":
+            system.delete_dir(place)
+
+
+class TileTree(DataSource):
+    """df.write.format("tile_tree") of (z, x, y, png), each column (z, x) in one task."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "tile_tree"
+
+    def writer(self, schema, overwrite: bool) -> TileTreeWriter:
+        return TileTreeWriter(self.options["path"])
+
+
+def write_tile_tree(tiles: DataFrame, path: str, layer: str) -> DataFrame:
+    """Write (z, x, y, png) as {path}/{layer}/{z}/{x}/{y}.png; returns (z, x, y, bytes) of the layer's files.
+
+    A column {z}/{x} that is written replaces an earlier one; nothing changes before all tasks have ended well.
+    """
+    spark = tiles.sparkSession
+    spark.dataSource.register(TileTree)
+    root = f"{path.rstrip('/')}/{layer}"
+    tiles.select("z", "x", "y", "png").repartition("z", "x").sortWithinPartitions("z", "x", "y").write.format("tile_tree").mode("append").option("path", root).save()
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.png").load(root)
+    return files.select(*[_named(i + 2).cast("int").alias(n) for i, n in enumerate("zxy")], F.col("length").alias("bytes"))
+
 
-    return tiles.select("z", "x", "y", "png").mapInArrow(write, "z int, x int, y int, bytes long")
+def _named(i: int) -> Column:
+    return F.regexp_extract("path", r"([^/]+)/([0-9]+)/([0-9]+)/([0-9]+)\.png$", i)
 
 
 def read_tile_tree(spark: SparkSession, path: str) -> DataFrame:
     """(layer, z, x, y, png) of a tree of tiles."""
-    at = lambda i: F.regexp_extract("path", r"([^/]+)/([0-9]+)/([0-9]+)/([0-9]+)\.png$", i)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.png").load(path)
-    return files.select(at(1).alias("layer"), *[at(i + 2).cast("int").alias(n) for i, n in enumerate("zxy")], F.col("content").alias("png"))
+    return files.select(_named(1).alias("layer"), *[_named(i + 2).cast("int").alias(n) for i, n in enumerate("zxy")], F.col("content").alias("png"))
 
 
 def served(wanted: DataFrame, tiles: DataFrame) -> DataFrame:

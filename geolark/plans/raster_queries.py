@@ -263,9 +263,19 @@ def tile_counts(spark, d):
     return T.tile_counts(_tile_tops(spark, d))
 
 
-@query()
+_PIXELS = cte.TILE_PIXELS + ", " + _RAMP + """, painted AS (SELECT z, x, y, py, px, r, g, b, a FROM (SELECT z, x, y, py, px, CAST(greatest(0, least(255, trunc(coalesce(score, 0.0) * 255))) AS INTEGER) AS ci FROM ts) JOIN ramp USING (ci)),
+digest AS (SELECT z, x, y, 256 AS width, 256 AS height, sum(r) AS r, sum(g) AS g, sum(b) AS b, sum(a) AS a, sum((r + 2 * g + 3 * b + 5 * a) * ((py * 256 + px) % 251 + 1)) AS mix FROM painted GROUP BY z, x, y)"""
+
+
+def tile_images(spark, d):
+    m = fx.meta(spark, d)
+    return T.tile_png(T.tile_list(spark, range(3), m), sim_scan(spark, d), m, SIZE)
+
+
+@query(sql(_PIXELS, "SELECT * FROM digest"))
 def tile_png(spark, d):
-    return T.tile_png(tile_rgba(spark, d), SIZE)
+    """Every tile as a PNG, decoded again: its size, the sums of its channels, and one that tells where the colours are."""
+    return T.tile_digest(tile_images(spark, d))
 
 
 _SAMPLE = """, others AS (SELECT c.pixel AS id, k.q FROM cells c JOIN quant k USING (pixel) WHERE c.label > 2 ORDER BY md5(c.pixel || ':42'), c.pixel LIMIT 5000),

@@ -15,7 +15,7 @@ from ..sources.shared import new_folder
 from . import cte
 from . import fixtures as fx
 from .cte import query as sql
-from .raster_queries import _POINTS, _points, sim_scan, sim_scan_layers, tile_png
+from .raster_queries import _PIXELS, _POINTS, _points, sim_scan, sim_scan_layers, tile_images
 from .registry import query
 
 
@@ -72,14 +72,21 @@ def farms_csv(spark, d):
     return S.read_farms(spark, path, "building").select("farm_name", "latitude")
 
 
-@query("WITH " + cte.TILES.lstrip(",\n") + "\nSELECT z, x, y, west < 180 AND east > -180 AND south < 70 AND north > -60 AS found FROM tb")
+@query(sql(_PIXELS, "SELECT tl.z, tl.x, tl.y, coalesce(width, 1) AS width, coalesce(height, 1) AS height, coalesce(r, 0) AS r, coalesce(g, 0) AS g, coalesce(b, 0) AS b, coalesce(a, 0) AS a, coalesce(mix, 0) AS mix FROM tl LEFT JOIN digest d ON d.z = tl.z AND d.x = tl.x AND d.y = tl.y"))
 def tile_tree(spark, d):
-    """Tiles written as {layer}/{z}/{x}/{y}.png, and what a request for each tile of the zooms gets: its file or the transparent one."""
+    """Tiles written as {layer}/{z}/{x}/{y}.png, and what a request for each tile of the zooms gets, decoded: its file or the transparent one."""
     path = new_folder(spark, "tiles")
-    T.write_tile_tree(tile_png(spark, d), path, "coffee").agg(F.sum("bytes")).collect()
+    T.write_tile_tree(tile_images(spark, d), path, "coffee")
     wanted = T.tile_list(spark, range(3), GridMeta(1, 1, -180.0, -90.0, 180.0, 90.0))
     found = T.read_tile_tree(spark, path).where("layer = 'coffee'").select("z", "x", "y", "png")
-    return T.served(wanted, found).select("z", "x", "y", (F.col("png") != F.lit(bytes(T.TRANSPARENT))).alias("found"))
+    return T.tile_digest(T.served(wanted, found))
+
+
+@query(sql(cte.QUANT, "SELECT c.pixel, c.row, c.col, list_sum(k.q) AS total FROM cells c JOIN quant k USING (pixel) WHERE c.row BETWEEN 1 AND 3 AND c.col >= 20"))
+def grid_window(spark, d):
+    """Land of some rows and columns of a raster file: the filters reach the file, and nothing else of it is read."""
+    cells = G.read_grid(spark, _grid_file(spark, d), 8).where("row between 1 and 3 and col >= 20 and is_land")
+    return cells.select("pixel", "row", "col", F.aggregate("q", F.lit(0).cast("long"), lambda s, x: s + x).alias("total"))
 
 
 @query(sql(cte.CANDIDATES, "SELECT pixel, score FROM cand WHERE pixel % 7 = 0"))

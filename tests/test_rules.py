@@ -153,7 +153,7 @@ def test_tile_tree(spark, tmp_path):
     scores = spark.createDataFrame([(p, (p % 97) / 97) for p in range(500) if p % 5], "pixel long, score double")
     wanted = tiles.tile_list(spark, [0, 1], M)
     coloured = tiles.tile_rgba(tiles.tile_scores(wanted, scores, M, 16))
-    images = tiles.tile_png(coloured, 16)
+    images = tiles.tile_png(wanted, scores, M, 16)
     done = tiles.write_tile_tree(images, str(tmp_path / "tree"), "coffee").collect()
     assert (tmp_path / "tree/coffee/1/1/0.png").is_file() and len(done) == wanted.count() == 5
     want: dict = {}
@@ -171,6 +171,39 @@ def test_tile_tree(spark, tmp_path):
     assert tops == flat
 
 
+def test_tile_tree_commits_whole_attempts_only(spark, tmp_path):
+    import pyarrow as pa
+    import pytest
+
+    image = lambda n: tiles.png(bytes([n, 0, 0, 255]), 1, 1)
+    batch = lambda ys, n: pa.RecordBatch.from_pylist([{"z": 1, "x": 0, "y": y, "png": image(n)} for y in ys])
+    root = tmp_path / "layer"
+
+    def cut_off():
+        yield batch([0, 1], 9)
+        raise RuntimeError("lost")
+
+    writer = tiles.TileTreeWriter(str(root))
+    with pytest.raises(RuntimeError):
+        writer.write(cut_off())
+    writer.write(iter([batch([0, 1], 8)]))  # ended, but another attempt of the task counts
+    writer.commit([writer.write(iter([batch([0], 1)])), None])
+    files = lambda: {str(p.relative_to(root)): p.read_bytes() for p in root.rglob("*") if p.is_file()}
+    assert files() == {"1/0/0.png": image(1)}
+    again = tiles.TileTreeWriter(str(root))
+    again.write(iter([batch([5], 7)]))
+    again.abort([])
+    assert files() == {"1/0/0.png": image(1)}
+    rows = spark.createDataFrame([(1, 0, 1, bytearray(image(2))), (2, 3, 1, bytearray(image(3)))], "z int, x int, y int, png binary")
+    with pytest.raises(Exception, match="no more"):
+        from pyspark.sql import functions as F
+
+        tiles.write_tile_tree(rows.withColumn("png", F.when(F.col("z") == 2, F.raise_error(F.lit("no more")).cast("binary")).otherwise(F.col("png"))), str(tmp_path), "layer")
+    assert files() == {"1/0/0.png": image(1)}
+    assert tiles.write_tile_tree(rows, str(tmp_path), "layer").count() == 2
+    assert files() == {"1/0/1.png": image(2), "2/3/1.png": image(3)}
+
+
 def test_png_is_readable():
     import struct
     import zlib

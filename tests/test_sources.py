@@ -30,6 +30,92 @@ def test_grid_file(spark, tmp_path):
         G.read_header(str(bad))
 
 
+class Counted:
+    """A file that counts the bytes read."""
+
+    def __init__(self, path, tally):
+        self.f, self.tally = open(path, "rb"), tally
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        self.f.close()
+
+    def seek(self, at):
+        self.f.seek(at)
+
+    def read(self, n):
+        raw = self.f.read(n)
+        self.tally.append(len(raw))
+        return raw
+
+
+def test_grid_filters_reach_the_file(spark, tmp_path, monkeypatch):
+    meta = GridMeta(70, 40)
+    path = str(tmp_path / "grid.bin")
+    cells = S.synthetic_cells(spark, meta)
+    G.write_grid_file(cells, path, G.Header(meta, (1.0,) * 64, (0.0,) * 64), 8)
+    whole = G.read_grid(spark, path, 16)
+    where = "row >= 7 and row < 21 and col > 10 and col <= 30 and is_land and pixel <> 800"
+    got = G.read_grid(spark, path, 16).where(where)
+    key = lambda r: (r.pixel, r.row, r.col, r.is_land, tuple(r.q))
+    assert sorted(map(key, got.collect())) == sorted(key(r) for r in whole.collect() if 7 <= r.row < 21 and 10 < r.col <= 30 and r.is_land and r.pixel != 800)
+    assert G.read_grid(spark, path).where("pixel between 100 and 299").count() == 200 and G.read_grid(spark, path).where("row > 99").count() == 0
+    assert G.read_grid(spark, path, columns=["pixel", "is_land"]).columns == ["pixel", "is_land"]
+
+    def bytes_of(filters, columns=("pixel", "row", "col", "is_land", "q")):
+        tally = []
+        reader = G.GridReader(path, 16, list(columns))
+        left = list(reader.pushFilters(filters))
+        monkeypatch.setattr(G, "_open", lambda p: Counted(p, tally))
+        rows = sum(len(b) for part in reader.partitions() for b in reader.read(part))
+        monkeypatch.undo()
+        return sum(tally), rows, left
+
+    everything = bytes_of([])
+    assert everything[0] >= 70 * 40 * 64 and everything[1] == 2800
+    some = bytes_of([G.GreaterThanOrEqual(("row",), 7), G.LessThan(("row",), 21), G.GreaterThan(("col",), 10), G.LessThanOrEqual(("col",), 30)])
+    assert some[1] == 14 * 20 and some[0] < everything[0] / 8 and not some[2]
+    monkeypatch.setattr(G, "GAP", 1)
+    land = bytes_of([G.EqualTo(("is_land",), True), G.IsNotNull(("is_land",))])
+    n = cells.where("is_land").count()
+    assert land[1] == n and land[0] < n * 64 + 40 * 10 and not land[2]
+    assert bytes_of([], ["pixel", "is_land"])[0] < 40 * 10
+    other = [G.EqualTo(("is_land",), False), G.IsNotNull(("nowhere",))]
+    assert bytes_of(other)[2] == other
+
+
+def test_grid_writer_replaces_a_file_only_at_the_end(spark, tmp_path, monkeypatch):
+    meta = GridMeta(9, 16)
+    header = G.Header(meta, (1.0,) * 64, (0.0,) * 64)
+    path = str(tmp_path / "grid.bin")
+    cells = S.synthetic_cells(spark, meta)
+    G.write_grid_file(cells, path, header, 8)
+    before = (tmp_path / "grid.bin").read_bytes()
+    with pytest.raises(Exception, match="no more"):
+        G.write_grid_file(cells.withColumn("pixel", F.when(F.col("pixel") == 100, F.raise_error(F.lit("no more")).cast("long")).otherwise(F.col("pixel"))), path, header, 8)
+    assert (tmp_path / "grid.bin").read_bytes() == before and [p.name for p in tmp_path.iterdir()] == ["grid.bin"]
+
+    # where a file can't be written in the middle: an attempt that is lost leaves nothing in the result
+    monkeypatch.setattr(G.fs, "LocalFileSystem", type("Other", (G.fs.LocalFileSystem,), {}))
+    monkeypatch.setattr(G, "_system", lambda p: (G.fs.FileSystem.from_uri("file:///")[0], p))
+    writer = G.GridWriter(str(tmp_path / "parts.bin"), header, 8)
+    assert not writer.in_place
+    table = cells.select(F.floor(F.col("pixel") / 72).cast("int").alias("part"), "pixel", "is_land", "q").orderBy("pixel").toArrow()
+
+    def cut_off():
+        yield table.to_batches()[0]
+        raise RuntimeError("lost")
+
+    with pytest.raises(RuntimeError):
+        writer.write(cut_off())
+    message = writer.write(iter(table.to_batches()))
+    list(writer._join(iter([]), dict(message.parts)))
+    writer.abort([])
+    assert (tmp_path / "parts.bin").read_bytes() == before and sorted(p.name for p in tmp_path.iterdir()) == ["grid.bin", "parts.bin"]
+
+
 def test_synthetic_cells_repeat(spark):
     meta = GridMeta(40, 25)
     a, b = (S.synthetic_cells(spark, meta).agg(F.sum(F.xxhash64("pixel", "is_land", "q").cast("decimal(38,0)"))).first()[0] for _ in range(2))
