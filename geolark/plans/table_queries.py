@@ -14,6 +14,7 @@ from ..operators import zonal as Z
 from ..schema import EVENT
 from ..sources.shared import new_folder
 from ..streaming import events as E
+from ..streaming import lifecycle as L
 from . import cte, fixtures as fx
 from .cte import query as sql
 from .registry import query
@@ -395,6 +396,23 @@ def daily_cap(spark, d):
     return Z.daily_cap(fx.table(spark, d, "events"), "ts", "event_id", 20).select("event_id", "n")
 
 
+@query("SELECT CAST(ts AS DATE) AS day, event_id, row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, event_id) AS n FROM events QUALIFY n <= 20")
+def daily_cap_stream(spark, d):
+    """The events let through each day, counted by a stream whose count starts anew at midnight."""
+    return E.run_once(L.capped(E.stream(spark, f"{d}/events.parquet", EVENT), 20))
+
+
+@query("""WITH e AS (SELECT user_id || '-' || CAST(CAST(ts AS DATE) AS VARCHAR) AS query_id, event_id, epoch_us(ts) // 1000 AS ms, CASE event_type WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' END AS answer, max(epoch_us(ts) // 1000) OVER () - 3600000 AS now FROM events),
+s AS (SELECT query_id, min(ms) AS since, min(now) AS now FROM e GROUP BY query_id),
+a AS (SELECT s.query_id, s.since, s.now, arg_min(e.answer, (e.ms, e.event_id)) AS answer, min(e.ms) AS t FROM s LEFT JOIN e ON e.query_id = s.query_id AND e.answer IS NOT NULL AND e.ms <= s.since + 21600000 GROUP BY s.query_id, s.since, s.now)
+SELECT query_id, since AS since_ms, CASE WHEN answer IS NOT NULL THEN answer WHEN since + 21600000 <= now THEN 'timed out' ELSE 'pending' END AS status, CASE WHEN answer IS NOT NULL THEN t WHEN since + 21600000 <= now THEN since + 21600000 ELSE since END AS at_ms FROM a""")
+def query_life_cycle_stream(spark, d):
+    """Each user's day as a query: pending from its first event, then completed, failed or, after six hours, timed out."""
+    status = F.when(F.col("event_type") == "purchase", L.COMPLETED).when(F.col("event_type") == "error", L.FAILED)
+    rows = E.stream(spark, f"{d}/events.parquet", EVENT).select(F.concat_ws("-", F.col("user_id").cast("string"), F.to_date("ts").cast("string")).alias("query_id"), "event_id", "ts", status.alias("status"))
+    return E.run_once(L.life_cycle(rows), "update", ["query_id"])
+
+
 _COUNTS = "SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2"
 
 
