@@ -9,6 +9,7 @@ from ..operators import matches as M
 from ..operators import raster as R
 from ..operators import tiles as T
 from ..schema import GridMeta
+from ..sources import geotiff as X
 from ..sources import grid_file as G
 from ..sources import tables as S
 from ..sources.shared import new_folder
@@ -95,6 +96,17 @@ def sampled_candidates(spark, d):
     return M.candidates(sim_scan(spark, d), fx.pins(spark, d), fx.meta(spark, d), fx.THRESHOLD, step=7).select("pixel", "score")
 
 
+@query(sql(cte.CELLS, "SELECT pixel, round(70.0 - (row + 0.5) * ch, 6) AS lat, round(-180.0 + (col + 0.5) * cw, 6) AS lng, e[1] AS first, e[64] AS last, round(list_sum(e), 6) AS total FROM cells, grid WHERE is_land"))
+def geotiff_cells(spark, d):
+    """The land cells as a mosaic of GeoTIFF files, read back and placed by their coordinates."""
+    m = fx.meta(spark, d)
+    path = new_folder(spark, "geotiff")
+    X.write_geotiffs(fx.cells(spark, d).where("is_land"), path, m, 64, "e", 8)
+    back = X.read_geotiff(spark, path).where("v is not null")
+    total = F.aggregate("v", F.lit(0.0), lambda s, x: s + x)
+    return back.select(X.pixel_of(F.col("lat"), F.col("lng"), m).alias("pixel"), F.round("lat", 6).alias("lat"), F.round("lng", 6).alias("lng"), F.get("v", F.lit(0)).alias("first"), F.get("v", F.lit(63)).alias("last"), F.round(total, 6).alias("total"))
+
+
 _BOXES = "SELECT n_name AS region, n_nationkey * 12.0 - 170.0 AS west, n_nationkey * 4.0 - 55.0 AS south, n_nationkey * 12.0 - 140.0 AS east, n_nationkey * 4.0 - 25.0 AS north FROM nation"
 
 
