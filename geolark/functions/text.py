@@ -61,13 +61,17 @@ def _variant(x: Column) -> Column:
     return F.element_at(F.split(F.lit("8 9 a b"), " "), F.conv(F.substring(x, 17, 1), 16, 10).cast("int") % 4 + 1)
 
 
-def distinct_pins(pins: list[tuple[float, float]], near: float = 0.01, most: int = MAX_PINS) -> list[tuple[float, float]]:
-    """A request's pins in order, without those within `near` degrees in both directions of an accepted one; `most` at most."""
-    kept: list[tuple[float, float]] = []
-    for lat, lng in pins:
-        if len(kept) < most and not any(abs(a - lat) < near and abs(b - lng) < near for a, b in kept):
-            kept.append((lat, lng))
-    return kept
+def distinct_pins(pins: Column, near: float = 0.01, most: int = MAX_PINS) -> Column:
+    """A request's pins (an array of structs with lat and lng) in order, without those within `near` degrees in both directions of an accepted one; `most` at most."""
+
+    def close(p: Column, q: Column) -> Column:
+        return (F.abs(p["lat"] - q["lat"]) < near) & (F.abs(p["lng"] - q["lng"]) < near)
+
+    # the accepted ones' places, not the pins, are carried along: their type is known without the column's
+    order = F.transform(pins, lambda p, i: F.struct(i.alias("i"), p["lat"].cast("double").alias("lat"), p["lng"].cast("double").alias("lng")))
+    none = F.array().cast("array<struct<i:int,lat:double,lng:double>>")
+    kept = F.aggregate(order, none, lambda acc, p: F.when((F.size(acc) < most) & ~F.exists(acc, lambda q: close(p, q)), F.concat(acc, F.array(p))).otherwise(acc))
+    return F.transform(kept, lambda x: F.get(pins, x["i"]))
 
 
 def score_band(score: Column) -> Column:

@@ -27,18 +27,19 @@ def band_ranges(cells: DataFrame, vector: str = "e", dims: int = DIMS) -> DataFr
     """(band, lo, hi, scale, offset) over the land cells: each task gives one row of minima and maxima, no cell is taken apart into rows."""
 
     def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        low, high = np.full(dims, np.inf), np.full(dims, -np.inf)
+        low, high = np.full(dims, np.nan), np.full(dims, np.nan)
         for b in batches:
-            if len(b):
-                m = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(len(b), -1)[:, :dims]
-                np.minimum(low, m.min(0), out=low)
-                np.maximum(high, m.max(0), out=high)
-        if np.isfinite(low).all():
-            yield pa.RecordBatch.from_arrays([pa.array([x.tolist()], pa.list_(pa.float64())) for x in (low, high)], names=["low", "high"])
-
-    each = cells.where(F.col("is_land") & (F.size(vector) == dims)).select(F.col(vector).cast("array<double>")).mapInArrow(ends, "low array<double>, high array<double>")
+            lengths = np.diff(b.column(0).offsets.to_numpy())
+            for n in np.unique(lengths).tolist():  # one, as a rule
+                m = b.column(0).filter(pa.array(lengths == n)).flatten().to_numpy(zero_copy_only=False).reshape(-1, n)[:, :dims]
+                k = m.shape[1]
+                low[:k], high[:k] = np.fmin(low[:k], np.fmin.reduce(m)), np.fmax(high[:k], np.fmax.reduce(m))
+        yield pa.RecordBatch.from_arrays([pa.array([x.tolist()], pa.list_(pa.float64())) for x in (low, high)], names=["low", "high"])
+
+    each = cells.where(F.col("is_land") & (F.size(vector) > 0)).select(F.col(vector).cast("array<double>")).mapInArrow(ends, "low array<double>, high array<double>")
     flat = each.select(F.posexplode(F.arrays_zip("low", "high")).alias("band", "x"))
-    r = flat.groupBy("band").agg(F.min("x.low").alias("lo"), F.max("x.high").alias("hi"))
+    known = flat.where(~F.isnan("x.low"))
+    r = known.groupBy("band").agg(F.min("x.low").alias("lo"), F.max("x.high").alias("hi"))
     scale = F.when(F.col("hi") == F.col("lo"), F.lit(1.0)).otherwise((F.col("hi") - F.col("lo")) / Q_STEPS)
     r = r.withColumn("scale", scale)
     return r.withColumn("offset", F.when(F.col("hi") == F.col("lo"), F.col("lo")).otherwise(F.col("lo") + 127.0 * F.col("scale")))

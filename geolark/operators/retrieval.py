@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.suitability import match_confidence, match_quality, overall_stability, pair_stability
+from ..sources.shared import written
 from .similarity import dot
+from .validation import sample
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -69,16 +75,52 @@ def zone_labels(shares: DataFrame, labels: list[str]) -> DataFrame:
     return shares.withColumn("rank", rank).withColumn("label", F.coalesce(F.get(given, F.col("rank") - 1), F.concat(F.lit("zone_"), F.col("rank").cast("string"))))
 
 
-def kmeans_zones(rows: DataFrame, k: int = 4, train: int = 1000, seed: int = 42, key: str = "pixel", vector: str = "e") -> DataFrame:
-    """Rows with `zone`: a model of at most `train` sampled rows, applied to all."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    from .validation import sample
-
-    vectors = rows.withColumn("features", array_to_vector(F.col(vector).cast("array<double>")))
-    model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="zone").fit(sample(vectors, train, seed, key))
-    return model.transform(vectors).drop("features")
+def zone_centres(rows: DataFrame, k: int = 4, train: int = 1000, rounds: int = 10, seed: int = 42, key: str = "pixel", vector: str = "q") -> np.ndarray:
+    """k centres by Lloyd's rule on the `train` sampled rows of whole-number vectors; the first k of the sample are where it starts.
+
+    A round sums the vectors of every zone in its tasks; what reaches the driver is k rows a task. The sums are exact, so every run has the same centres. A
+    zone that loses all rows keeps its centre.
+    """
+    chosen = written(sample(rows.where(F.col(vector).isNotNull()), train, seed, key).select(F.col(key).alias("key"), F.col(vector).cast("array<long>").alias("v")), "train")
+    first = chosen.orderBy(F.md5(F.concat_ws(":", F.col("key").cast("string"), F.lit(str(seed))).cast("binary")), "key").limit(k).collect()
+    centres = np.array([r.v for r in first], np.float64).reshape(len(first), -1)
+    for _ in range(rounds if len(first) else 0):
+
+        def sums(batches: Iterator[pa.RecordBatch], centres: np.ndarray = centres) -> Iterator[pa.RecordBatch]:
+            total, n = np.zeros(centres.shape, np.int64), np.zeros(len(centres), np.int64)
+            for b in batches:
+                if len(b):
+                    m = b.column(0).flatten().to_numpy().reshape(len(b), -1)
+                    zone = nearest_centre(m, centres)
+                    np.add.at(total, zone, m)
+                    n += np.bincount(zone, minlength=len(centres))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(n), dtype=np.int32)), pa.array(n), pa.array(total.tolist(), pa.list_(pa.int64()))], names=["zone", "n", "total"])
+
+        n, total = np.zeros(len(centres)), np.zeros(centres.shape)
+        for r in chosen.select("v").mapInArrow(sums, "zone int, n long, total array<long>").collect():
+            n[r.zone] += r.n
+            total[r.zone] += r.total
+        centres = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], centres)
+    return centres
+
+
+def nearest_centre(m: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The first of the nearest centres of every row."""
+    return np.stack([((m - c) ** 2).sum(1) for c in centres]).argmin(0)
+
+
+def kmeans_zones(rows: DataFrame, k: int = 4, train: int = 1000, rounds: int = 10, seed: int = 42, key: str = "pixel", vector: str = "q") -> DataFrame:
+    """(key, zone): the nearest of zone_centres() of all rows that have a vector."""
+    centres = zone_centres(rows, k, train, rounds, seed, key, vector)
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if len(b) and len(centres):
+                m = b.column(1).flatten().to_numpy().reshape(len(b), -1)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nearest_centre(m, centres).astype(np.int32))], names=[key, "zone"])
+
+    keyed = rows.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias(key), F.col(vector).cast("array<long>").alias(vector))
+    return keyed.mapInArrow(assign, f"{key} long, zone int")
 
 
 def cloud_fraction(rows: DataFrame, group: str, code: str = "scl") -> DataFrame:

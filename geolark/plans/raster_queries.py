@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.geo import centre_lat, centre_lng, from_mercator, mercator_bounds, palette_colour, ramp_colour, region_bucket, row_col, tile_bounds
+from ..functions.text import distinct_pins as near_pins
 from ..functions.text import pins_problem
 from ..operators import matches as M
 from ..operators import raster as R
@@ -108,6 +109,19 @@ def pin_validate(spark, d):
     return p.select("id", F.size("pins").cast("long").alias("n"), pins_problem(F.col("pins")).alias("problem"))
 
 
+@query(
+    f"WITH RECURSIVE pts AS (SELECT id // 30 AS req, id, round(lat / 40, 2) AS lat, round(lng / 80, 2) AS lng FROM ({_POINTS})), o AS (SELECT *, row_number() OVER (PARTITION BY req ORDER BY id) AS i FROM pts),"
+    " walk AS (SELECT DISTINCT req, CAST(0 AS BIGINT) AS i, CAST([] AS STRUCT(id BIGINT, lat DOUBLE, lng DOUBLE)[]) AS acc FROM o UNION ALL"
+    " SELECT w.req, o.i, CASE WHEN len(w.acc) < 8 AND len(list_filter(w.acc, lambda a: abs(a.lat - o.lat) < 0.5 AND abs(a.lng - o.lng) < 0.5)) = 0 THEN list_append(w.acc, {'id': o.id, 'lat': o.lat, 'lng': o.lng}) ELSE w.acc END FROM walk w JOIN o ON o.req = w.req AND o.i = w.i + 1)"
+    " SELECT req, unnest(acc).id AS id FROM (SELECT req, arg_max(acc, i) AS acc FROM walk GROUP BY req)"
+)
+def distinct_pins(spark, d):
+    """The pins of each request without those close to an earlier one."""
+    p = _points(spark, d).select(F.expr("id div 30").alias("req"), "id", F.round(F.col("lat") / 40, 2).alias("lat"), F.round(F.col("lng") / 80, 2).alias("lng"))
+    requests = p.groupBy("req").agg(F.array_sort(F.collect_list(F.struct("id", "lat", "lng"))).alias("pins"))
+    return requests.select("req", F.inline(near_pins(F.col("pins"), 0.5, 8))).select("req", "id")
+
+
 _SCAN = sql(cte.SCORES, "SELECT pixel, dot, best_pin, score FROM scores")
 
 

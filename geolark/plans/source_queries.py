@@ -8,6 +8,7 @@ from ..operators import catalog as C
 from ..operators import matches as M
 from ..operators import raster as R
 from ..operators import tiles as T
+from ..operators import zorder as Q
 from ..schema import GridMeta
 from ..sources import geotiff as X
 from ..sources import grid_file as G
@@ -112,12 +113,47 @@ _BOXES = "SELECT n_name AS region, n_nationkey * 12.0 - 170.0 AS west, n_nationk
 
 @query(sql(cte.CELLS + f", boxes AS ({_BOXES})", "SELECT b.region, c.pixel FROM boxes b, cells c, grid WHERE 70.0 - (c.row + 0.5) * ch BETWEEN b.south AND b.north AND -180.0 + (c.col + 0.5) * cw BETWEEN b.west AND b.east"))
 def region_cells(spark, d):
-    """The cells of every named box of a layer."""
+    """The cells of every named box of a layer, the boxes read from a JSON map of layers."""
     k = F.col("n_nationkey")
-    boxes = fx.table(spark, d, "nation").select(F.col("n_name").alias("region"), (k * 12.0 - 170.0).alias("west"), (k * 4.0 - 55.0).alias("south"), (k * 12.0 - 140.0).alias("east"), (k * 4.0 - 25.0).alias("north"))
+    box = F.array(k * 12.0 - 170.0, k * 4.0 - 55.0, k * 12.0 - 140.0, k * 4.0 - 25.0)
+    layer = F.struct(F.lit("Nations").alias("name"), F.create_map("n_name", box).alias("regions"))
+    path = new_folder(spark, "regions")
+    fx.table(spark, d, "nation").select(F.to_json(F.create_map(F.lit("nations"), layer))).coalesce(1).write.option("lineSep", "\n").text(path)
+    boxes = S.read_regions(spark, path).select("region", "west", "south", "east", "north")
     return R.box_cells(boxes, fx.meta(spark, d)).join(fx.cells(spark, d).select("pixel"), "pixel").select("region", "pixel")
 
 
+def _zordered(spark, d) -> str:
+    path = new_folder(spark, "zorder")
+    Q.write_zordered(fx.cells(spark, d).select("pixel", "row", "col", "label"), path)
+    return path
+
+
+@query(sql(cte.CELLS, "SELECT pixel, label FROM cells WHERE row BETWEEN 2 AND 7 AND col BETWEEN 11 AND 37"))
+def zorder_box(spark, d):
+    """A box of the raster in Z-order: a few ranges of codes, which the scan's row groups are chosen by."""
+    return Q.read_box(spark, _zordered(spark, d), 2, 7, 11, 37).select("pixel", "label")
+
+
+@query(sql(cte.CELLS, "SELECT pixel FROM cells, grid WHERE 2 * 6371.0088 * asin(sqrt(pow(sin(radians(70.0 - (row + 0.5) * ch - 10.0) / 2), 2) + cos(radians(70.0 - (row + 0.5) * ch)) * cos(radians(10.0)) * pow(sin(radians(-180.0 + (col + 0.5) * cw - 20.0) / 2), 2))) <= 2500"))
+def zorder_buffer(spark, d):
+    """The cells within 2500 km of a point, out of the ranges of codes of the box around them."""
+    from ..functions.geo import centre_lat, centre_lng
+    from ..operators.zonal import in_buffer
+
+    m = fx.meta(spark, d)
+    near = Q.read_buffer(spark, _zordered(spark, d), m, 10.0, 20.0, 2500.0)
+    return near.where(in_buffer(centre_lat(F.col("row"), m), centre_lng(F.col("col"), m), 10.0, 20.0, 2500.0)).select("pixel")
+
+
+@query("SELECT vec_id AS id, embedding[1] AS first, embedding[64] AS last FROM embeddings WHERE embedding IS NOT NULL")
+def farm_vectors_npy(spark, d):
+    """The farms' vectors as NumPy files, and read back."""
+    path = new_folder(spark, "npy")
+    S.write_npy(fx.farms(spark, d), path, "embedding")
+    return S.read_npy(spark, path).select("id", F.get("v", F.lit(0)).alias("first"), F.get("v", F.lit(63)).alias("last"))
+
+
 @query(
     sql(
         cte.CELLS + f", pts AS ({_POINTS})",

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import suitability as J
 from ..functions import text as X
+from ..operators import buckets as K
 from ..operators import catalog as C
 from ..operators import raster as R
 from ..operators import retrieval as N
@@ -127,9 +128,20 @@ def cloud_fraction(spark, d):
     return N.cloud_fraction(e, "user_id")
 
 
-@query()
+def _lloyd(rounds: int) -> str:
+    """The rounds one after another: the zone of every sampled row, then each zone's mean."""
+    steps = [", c0 AS (SELECT z, q AS c FROM (SELECT q, row_number() OVER (ORDER BY md5(pixel || ':42'), pixel) - 1 AS z FROM train) WHERE z < 4)"]
+    nearest = "arg_min(z, (list_sum(list_transform(list_zip(q, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), z))"
+    for i in range(rounds):
+        steps.append(f", z{i} AS (SELECT pixel, any_value(q) AS q, {nearest} AS z FROM train, c{i} GROUP BY pixel)")
+        steps.append(f", m{i} AS (SELECT z, list(m ORDER BY b) AS c FROM (SELECT z, b, CAST(sum(x) AS DOUBLE) / count(*) AS m FROM (SELECT z, unnest(range(0, 64)) AS b, unnest(q) AS x FROM z{i}) GROUP BY z, b) GROUP BY z)")
+        steps.append(f", c{i + 1} AS (SELECT c.z, coalesce(m.c, CAST(c.c AS DOUBLE[])) AS c FROM c{i} c LEFT JOIN m{i} m ON m.z = c.z)")
+    return ", train AS (SELECT pixel, q FROM quant ORDER BY md5(pixel || ':42'), pixel LIMIT 1000)" + "".join(steps) + f", zones AS (SELECT pixel, CAST({nearest} AS INTEGER) AS zone FROM quant, c{rounds} GROUP BY pixel)"
+
+
+@query(sql(cte.QUANT + _lloyd(5), "SELECT pixel, zone FROM zones"))
 def kmeans_zones(spark, d):
-    return N.kmeans_zones(fx.cells(spark, d).where("is_land")).select("pixel", "zone")
+    return N.kmeans_zones(fx.quantized(spark, d), rounds=5)
 
 
 @query("SELECT label AS zone, round(avg(v), 4) AS mean, min(v) AS min, max(v) AS max, round(quantile_cont(v, 0.9), 4) AS p90 FROM (SELECT label, CAST(vec_id % 97 AS DOUBLE) AS v FROM embeddings) GROUP BY label")
@@ -331,6 +343,19 @@ def map_upsert(spark, d):
 _REFS = "b AS (SELECT n_nationkey + 20 AS k, 'r' || n_nationkey AS v, CASE WHEN n_nationkey % 3 > 0 THEN n_regionkey END AS w FROM nation)"
 
 
+@query("WITH now AS (SELECT s_suppkey AS id, s_name AS title, s_suppkey % 3 = 0 AS is_featured FROM supplier), new AS (SELECT s_suppkey + CASE WHEN s_suppkey % 4 = 0 THEN 0 ELSE 1000000 END AS id, 'new ' || s_name AS title FROM supplier WHERE s_suppkey % 4 = 0 OR s_suppkey % 4 = 1)"
+       " SELECT id, title, is_featured FROM now WHERE id NOT IN (SELECT id FROM new) UNION ALL SELECT new.id, new.title, coalesce(now.is_featured, true) FROM new LEFT JOIN now ON now.id = new.id")
+def bucket_upsert(spark, d):
+    """The upsert on a table in buckets: only the touched ones are read and written."""
+    s = fx.table(spark, d, "supplier")
+    path = new_folder(spark, "maps")
+    K.create(s.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("title"), (F.col("s_suppkey") % 3 == 0).alias("is_featured")), path, ["id"], 16)
+    moved = F.col("s_suppkey") + F.when(F.col("s_suppkey") % 4 == 0, 0).otherwise(1_000_000)
+    new = s.where("s_suppkey % 4 < 2").select(moved.alias("id"), F.concat(F.lit("new "), F.col("s_name")).alias("title"), F.lit(True).alias("is_featured"))
+    K.merge(spark, path, new, lambda now, more: C.upsert(now, more, "id"))
+    return K.read(spark, path)
+
+
 @query(f"WITH {_REFS} SELECT k, v, w FROM b UNION ALL SELECT n_nationkey, n_name, n_regionkey FROM nation WHERE n_nationkey NOT IN (SELECT k FROM b)")
 def merge_layer_refs(spark, d):
     n = fx.table(spark, d, "nation")
@@ -432,9 +457,10 @@ def rate_windows_stream(spark, d):
     return E.run_once(E.windowed_counts(E.stream(spark, f"{d}/events.parquet", EVENT), "1 day", "400 days"), "update", ["window_start", "user_id"])
 
 
-@query("SELECT user_id, count(*) FILTER (WHERE event_type = 'view') AS views, CAST(0 AS BIGINT) AS stars FROM events GROUP BY user_id")
+@query("SELECT user_id, count(*) FILTER (WHERE event_type = 'view') AS views, count(*) FILTER (WHERE event_type = 'click') AS stars FROM events GROUP BY user_id")
 def map_counters(spark, d):
-    return C.counters(fx.table(spark, d, "events"), "user_id")
+    starred = F.when(F.col("event_type") == "click", "star").otherwise(F.col("event_type"))
+    return C.counters(fx.table(spark, d, "events").withColumn("event_type", starred), "user_id")
 
 
 @query("SELECT user_id AS id, arg_max(event_type, (ts, event_id)) AS status, max(ts) AS ts FROM events GROUP BY user_id")

@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+import io
+import uuid
+from collections.abc import Iterator
+from urllib.parse import unquote
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import DIMS, FARMS_CSV, LAYERS_JSON, GridMeta
+from .grid_file import _system
 
+# The field names of the replies.
 WEATHER = "daily struct<temperature_2m_mean:array<double>,temperature_2m_min:array<double>,temperature_2m_max:array<double>,precipitation_sum:array<double>,relative_humidity_2m_mean:array<double>,sunshine_duration:array<double>>, hourly struct<cloud_cover:array<double>>"
 SOIL = "properties struct<layers:array<struct<name:string,depths:array<struct<values:struct<mean:double>>>>>>"
 
@@ -38,7 +47,7 @@ def write_layers(layers: DataFrame, path: str) -> None:
 
 def read_regions(spark: SparkSession, path: str) -> DataFrame:
     """(layer_id, name, category, region, west, south, east, north): the boxes of a JSON map of layers with named regions."""
-    text = spark.read.text(path, wholetext=True)
+    text = spark.read.text(path, wholetext=True).select(F.explode(F.split("value", "\n(?=\\{)")).alias("value"))
     schema = "map<string, struct<name: string, category: string, regions: map<string, array<double>>>>"
     layers = text.select(F.explode(F.from_json("value", schema)).alias("layer_id", "l"))
     boxes = layers.select("layer_id", "l.name", "l.category", F.explode("l.regions").alias("region", "b"))
@@ -66,10 +75,64 @@ def read_scores(spark: SparkSession, path: str, layer: str | None = None, schema
 
 
 def unreadable_files(spark: SparkSession, path: str) -> DataFrame:
-    """(file) of the Parquet files under a path that lack the format's mark at either end."""
+    """(file) of the Parquet files under a path that lack the format's mark at either end. Tasks read eight bytes of each, whatever its size."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bad = []
+            for file in b.column(0).to_pylist():
+                system, inner = _system(unquote(file) if file.startswith("file:") else file)
+                with system.open_input_file(inner) as f:
+                    if f.size() < 12 or f.read_at(4, 0) != b"PAR1" or f.read_at(4, f.size() - 4) != b"PAR1":
+                        bad.append(file)
+            yield pa.RecordBatch.from_arrays([pa.array(bad, pa.string())], names=["file"])
+
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path)
-    mark = F.lit(b"PAR1")
-    return files.where((F.substring("content", 1, 4) != mark) | (F.substring("content", -4, 4) != mark)).select(F.col("path").alias("file"))
+    return files.select("path").mapInArrow(check, "file string")
+
+
+def write_npy(rows: DataFrame, path: str, vector: str, key: str = "id", dims: int = DIMS) -> None:
+    """Vectors as NumPy files for other tools: a folder with vectors-<n>.npy (float32, a row a vector) and ids-<n>.npy for every task that has rows."""
+    where, name = _system(path), uuid.uuid4().hex
+    where[0].create_dir(f"{where[1]}/{name}", recursive=True)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, inner = _system(path)
+        attempt, n = uuid.uuid4().hex, 0
+        for b in batches:
+            if not len(b):
+                continue
+            m = b.column(1).flatten().to_numpy(zero_copy_only=False).astype("<f4").reshape(len(b), dims)
+            for kind, values in (("ids", b.column(0).to_numpy()), ("vectors", m)):
+                with system.open_output_stream(f"{inner}/{name}/{kind}-{attempt}-{n}.npy") as f:
+                    np.save(f, values)
+            n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([attempt]), pa.array([n])], names=["attempt", "n"])
+
+    known = rows.where(F.size(vector) == dims).select(F.col(key).cast("long"), F.col(vector).cast("array<float>"))
+    done = known.mapInArrow(write, "attempt string, n long").collect()  # a row a task
+    at = 0
+    for r in done:  # the files of attempts that count; what others left goes with the folder
+        for i in range(r.n):
+            for kind in ("ids", "vectors"):
+                where[0].move(f"{where[1]}/{name}/{kind}-{r.attempt}-{i}.npy", f"{where[1]}/{kind}-{at}.npy")
+            at += 1
+    where[0].delete_dir(f"{where[1]}/{name}")
+
+
+def read_npy(spark: SparkSession, path: str) -> DataFrame:
+    """(id, v) of a folder of NumPy files as write_npy() writes them."""
+
+    def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for file in b.column(0).to_pylist():
+                system, inner = _system(unquote(file) if file.startswith("file:") else file)
+                ids, m = (np.load(io.BytesIO(system.open_input_stream(inner.replace("/vectors-", f"/{kind}-")).read())) for kind in ("ids", "vectors"))
+                vectors = pa.ListArray.from_arrays(pa.array(np.arange(0, m.size + 1, m.shape[1]), pa.int32()), pa.array(m.ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array(ids), vectors], names=["id", "v"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "vectors-*.npy").load(path)
+    return files.select("path").mapInArrow(load, "id long, v array<float>")
 
 
 def weather_days(replies: DataFrame, place: str = "place", body: str = "body") -> DataFrame:

@@ -14,7 +14,7 @@ def plan(spark, name):
     return QUERIES[name](spark, DIR)._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize(("name", "columns"), [("event_counts", {"user_id", "event_type"}), ("zonal_stats", {"vec_id", "label"}), ("stability", {"vec_id", "embedding"}), ("layer_list", {"label"}), ("aspect_direction", {"o_orderkey"})])
+@pytest.mark.parametrize(("name", "columns"), [("event_counts", {"user_id", "event_type"}), ("zonal_stats", {"vec_id", "label", "g", "n", "i", "side", "lo"}), ("stability", {"vec_id", "embedding"}), ("layer_list", {"label"}), ("aspect_direction", {"o_orderkey"})])
 def test_scans_read_the_columns_they_need(spark, name, columns):
     read = re.findall(r"ReadSchema: struct<([^>]*(?:<[^>]*>)?[^>]*)>", plan(spark, name))
     assert read and all({c.split(":")[0] for c in re.split(r",(?=\w+:)", r)} <= columns for r in read)

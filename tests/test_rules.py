@@ -266,9 +266,13 @@ def test_stable_uuid(spark):
     assert values(spark, X.stable_uuid(F.col("a")), names, "a string") == [str(uuid.uuid5(uuid.NAMESPACE_DNS, n)) for n in names]
 
 
-def test_distinct_pins():
-    assert X.distinct_pins([(0.0, 0.0), (0.009, 0.009), (0.011, 0.0), (0.005, 0.02)]) == [(0.0, 0.0), (0.011, 0.0), (0.005, 0.02)]
-    assert len(X.distinct_pins([(float(i), 0.0) for i in range(60)])) == 50
+def test_distinct_pins(spark):
+    def kept(pins):
+        df = spark.createDataFrame([([{"lat": a, "lng": b} for a, b in pins],)], "pins array<struct<lat:double,lng:double>>")
+        return [(p.lat, p.lng) for p in df.select(X.distinct_pins(df["pins"]).alias("p")).first().p]
+
+    assert kept([(0.0, 0.0), (0.009, 0.009), (0.011, 0.0), (0.005, 0.02)]) == [(0.0, 0.0), (0.011, 0.0), (0.005, 0.02)]
+    assert len(kept([(float(i), 0.0) for i in range(60)])) == 50 and kept([]) == []
 
 
 def test_score_bands(spark):
