@@ -39,10 +39,10 @@ def scan_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     """The quantised cells and the pins on land, with the bands' ranges computed once for both; only the pins' cells are quantised for the latter."""
     c = cells(spark, sf_dir)
     ranges = kept_ranges(band_ranges(c))
-    return quantize(c, ranges), _quantized_pins(spark, sf_dir, c, ranges)
+    return quantize(c, ranges), quantized_pins(spark, sf_dir, c, ranges)
 
 
-def _quantized_pins(spark: SparkSession, sf_dir: str, c: DataFrame, ranges: DataFrame) -> DataFrame:
+def quantized_pins(spark: SparkSession, sf_dir: str, c: DataFrame, ranges: DataFrame) -> DataFrame:
     placed = lookup_pins(pins(spark, sf_dir), c.withColumn("q", F.col("e")), meta(spark, sf_dir))
     return quantize(placed.withColumn("is_land", F.lit(True)), ranges, "q").drop("is_land")
 
@@ -59,7 +59,7 @@ def pins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def land_pins(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = cells(spark, sf_dir)
-    return _quantized_pins(spark, sf_dir, c, kept_ranges(band_ranges(c)))
+    return quantized_pins(spark, sf_dir, c, kept_ranges(band_ranges(c)))
 
 
 def layer_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

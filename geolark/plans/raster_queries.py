@@ -159,11 +159,9 @@ def sim_scan_layers(spark, d):
 
 
 def _float_rows(spark, d):
-    from ..operators.raster import band_ranges
-
     c = fx.cells(spark, d)
-    pins = R.dequantize(fx.land_pins(spark, d), band_ranges(c), "v")
-    return c.withColumn("v", F.col("e")), pins
+    ranges = R.kept_ranges(R.band_ranges(c))
+    return c.withColumn("v", F.col("e")), R.dequantize(fx.quantized_pins(spark, d, c, ranges), ranges, "v")
 
 
 @query(sql(cte.PINS + ", pv AS (SELECT p.pin_idx, list(q.q * q.scale + q.off ORDER BY q.band) AS v FROM landpins p JOIN qflat q USING (pixel) GROUP BY p.pin_idx)", "SELECT pixel, round(max(list_dot_product(e, v)), 6) AS dot, round(greatest(0.0, least(1.0, max(list_dot_product(e, v)) / 0.9)), 6) AS score FROM cells, pv GROUP BY pixel"))
