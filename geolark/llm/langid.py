@@ -255,6 +255,21 @@ def training_sample(docs: DataFrame, lang_col: str = "lang") -> dict[str, str]:
     return {k: v for k, v in out.items() if v}
 
 
+def predictions(texts: list[str | None], parser: CrossParser) -> tuple[list[str], np.ndarray]:
+    """The language and the score of every text."""
+    plain = [normalise(t) if t else "" for t in texts]
+    langs, scores = ["und"] * len(plain), np.zeros(len(plain))
+    if parser.langs:
+        n = parser.phrases(plain)
+        order = np.argsort(n, axis=1, kind="stable")
+        for i, t in enumerate(plain):
+            if t:
+                best = order[i, 0]
+                langs[i] = parser.langs[best]
+                scores[i] = 1 - n[i, best] / n[i, order[i, 1]] if len(parser.langs) > 1 else 1.0
+    return langs, scores
+
+
 def identify(docs: DataFrame, sample: dict[str, str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, lang_pred, score): the language whose sample parses the text into the fewest phrases.
 
@@ -266,20 +281,10 @@ def identify(docs: DataFrame, sample: dict[str, str], id_col: str = "doc_id", te
     shared = docs.sparkSession.sparkContext.broadcast(CrossParser(sample))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parser = shared.value
         for whole in batches:
             for at in range(0, len(whole), 1000):
                 b = whole.slice(at, 1000)
-                texts = [normalise(t) if t else "" for t in b.column(2).to_pylist()]
-                langs, scores = ["und"] * len(texts), np.zeros(len(texts))
-                if parser.langs:
-                    n = parser.phrases(texts)
-                    order = np.argsort(n, axis=1, kind="stable")
-                    for i, t in enumerate(texts):
-                        if t:
-                            best = order[i, 0]
-                            langs[i] = parser.langs[best]
-                            scores[i] = 1 - n[i, best] / n[i, order[i, 1]] if len(parser.langs) > 1 else 1.0
+                langs, scores = predictions(b.column(2).to_pylist(), shared.value)
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
     i = F.col(f"`{id_col}`").cast("long")
@@ -296,10 +301,23 @@ def identify_documents(docs: DataFrame) -> DataFrame:
 
 
 def drop_unidentified(docs: DataFrame) -> DataFrame:
-    """The documents in which a language is found; columns as given. Texts that are null or have no letter go."""
-    found = identify_documents(docs).where("lang_pred <> 'und'").select(F.col("doc_id").alias("_found")).distinct()
-    rows = packed(docs.where(F.regexp_like(F.coalesce("text", F.lit("")), F.lit(r"\p{L}"))), _id=F.col("doc_id"))
-    return rows.join(found, F.col("_id").eqNullSafe(F.col("_found")), "left_semi").select("_row.*")
+    """The documents in which a language is found, with the language found as `lang`; other columns as given.
+
+    Texts that are null or have no letter go. Each row is judged on its own, whatever its id, and passes through the tasks
+    that judge it: nothing is shuffled.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(CrossParser(training_sample(docs.where(~held_out(F.col("doc_id"))))))
+    place, schema = docs.columns.index("lang"), docs.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, len(whole), 1000):
+                b = whole.slice(at, 1000)
+                langs, _ = predictions(b.column("text").to_pylist(), shared.value)
+                columns = [pa.array(langs, pa.string()) if i == place else b.column(i) for i in range(b.num_columns)]
+                yield pa.RecordBatch.from_arrays(columns, names=b.schema.names).filter(pa.array([x != "und" for x in langs]))
+
+    return docs.mapInArrow(run, schema)
 
 
 def op7_langid(spark, sf_dir: str) -> DataFrame:

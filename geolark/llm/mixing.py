@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import DOCUMENT_COLUMNS, materialize, packed, running_totals
@@ -83,9 +83,9 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     columns = [F.col(f"`{c}`") for c in DOCUMENT_COLUMNS]
     keys = {"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")), "_h1": F.xxhash64(*columns), "_h2": F.hash(*columns)}
     taken = mixed(docs, **keys).groupBy(*keys).agg(F.sum("copies").cast("int").alias("_copies")).where("_copies > 0")
-    rows = packed(docs.select(*columns), **keys).join(taken, [*keys])
-    first = F.row_number().over(Window.partitionBy(*keys).orderBy("_copies"))  # of equal rows one stands for all
-    again = rows.withColumn("_first", first).where("_first = 1").select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_nth"))
+    # of equal rows one stands for all, and each task hands on one, so that very many don't meet
+    rows = packed(docs.select(*columns), **keys).dropDuplicates([*keys]).join(taken, [*keys])
+    again = rows.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_nth"))
     return again.select(*[F.col("_row").getField(c).alias(c) for c in DOCUMENT_COLUMNS])
 
 

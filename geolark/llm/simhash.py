@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, packed
@@ -205,11 +205,11 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     keys = {"_text": F.xxhash64("text"), "_hash": F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])}
     fp = materialize(fingerprints(docs, **keys), "fp")
     lowest = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_hash", "_text"))
-    keep = _members(fp, lowest).groupBy("component").agg(F.min("low").alias("_keep")).select("_keep")
-    rows = packed(docs, _id=F.col("doc_id").cast("long"), **keys)
-    same = F.col("_id").eqNullSafe(F.col("_keep.doc_id")) & (F.col("_text") == F.col("_keep._text")) & (F.col("_hash") == F.col("_keep._hash"))
-    first = Window.partitionBy("_id", "_text", "_hash").orderBy("_hash")
-    return rows.join(keep, same, "left_semi").withColumn("_nth", F.row_number().over(first)).where("_nth = 1").select("_row.*")
+    known = F.coalesce(F.col("_keep.doc_id"), F.lit(0).cast("long")).alias("_id")
+    keep = _members(fp, lowest).groupBy("component").agg(F.min("low").alias("_keep")).select(known, "_keep._text", "_keep._hash")
+    rows = packed(docs, _id=F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")), **keys)
+    # of equal rows each task hands on one, so that very many don't meet
+    return rows.dropDuplicates(["_id", *keys]).join(keep, ["_id", *keys], "left_semi").select("_row.*")
 
 
 def op6_simhash(spark, sf_dir: str) -> DataFrame:
