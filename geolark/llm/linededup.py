@@ -1,12 +1,14 @@
 """Line dedup by winnowing over line hashes.
 
-A text is cut into lines: at newlines and, as long lines hold many sentences, also after sentence ends and
-before capital letters. A gram is the shortest run of lines from a given line on with GRAM_WORDS words; in every
+A text is cut into lines: at newlines and, as long lines hold many sentences, also after sentence ends,
+before capital letters and, in long stretches without these, at spaces chosen by their neighbours. A gram is the shortest run of lines from a given line on with GRAM_WORDS words; in every
 shortest run with RUN_WORDS words the gram with the smallest hash is selected, so any run of RUN_WORDS words that two
 texts share (on line borders) has a selected gram in common. Occurrences of a selected gram join the earliest one, each
 match is extended both ways while the lines agree, and runs that occurred earlier are deleted. As the earliest text
 with a popular gram may share no more than the gram, its occurrences also join the earliest one of each whole run that selected it.
 
+Grams, whole lines and texts are known by 96 bits of two independent hashes, a line beside an anchor by 64.
+
 What stands between two newlines is a window of its own: a whole line of LINE_CHARS characters, and a whole text shorter than
 RUN_WORDS words, is selected as it is and deleted wherever it occurred earlier.
 """
@@ -14,6 +16,7 @@ RUN_WORDS words, is selected as it is and deleted wherever it occurred earlier.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -30,11 +33,15 @@ GRAM_WORDS, RUN_WORDS = 20, 40
 LINE_CHARS = 24
 _UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x9FFF), (0x20000, 0x2FFFF))
 _BASE = 0x9E3779B97F4A7C15
+#: Words without a border on either side of a space from which it may be one, and one of how many such spaces is.
+CUT_WORDS, CUT_EVERY = 12, 6
+# The ideographic full stop, exclamation and question marks.
+IDEOGRAPHIC_STOPS = (0x3002, 0xFF01, 0xFF1F)
 #: Bits of a line's number in a place; texts with more lines raise an error.
 PLACE_BITS = 25
 #: Rows of which a task remembers the keys, to leave out repeats before the shuffle; it starts anew beyond that, and the rest goes after the shuffle.
 SEEN = 1_000_000
-_DETAIL = "key long, hashes array<long>, words array<int>, grams array<struct<h:long,p:int,e:int>>"
+_DETAIL = "key long, hashes array<long>, words array<int>, grams array<struct<h:long,h2:int,p:int,e:int>>"
 
 
 def line_spans(text: str) -> list[tuple[int, int]]:
@@ -50,12 +57,28 @@ def _points(text: str) -> np.ndarray:
 
 
 def _cuts(points: np.ndarray) -> np.ndarray:
-    """Where lines end: at white-space characters that are newlines, follow a sentence end or precede a capital letter."""
+    """Where lines end: at white-space characters that are newlines, follow a sentence end or precede a capital letter, and at ideographic sentence ends.
+
+    Where none of these lies within CUT_WORDS words on either side, also at spaces that the characters beside them choose, so that
+    long stretches without borders have some, the same ones in every text.
+    """
     space = np.flatnonzero((points == 32) | (points == 9) | (points == 10))
     before, after = points[np.maximum(space - 1, 0)], points[np.minimum(space + 1, len(points) - 1)]
     stop = (space > 0) & ((before == ord(".")) | (before == ord("!")) | (before == ord("?")))
     capital = (after >= ord("A")) & (after <= ord("Z")) | (after >= 0xC0) & (after <= 0xDE) & (after != 0xD7)
-    return space[stop | capital & (space + 1 < len(points)) | (points[space] == 10)]
+    border = stop | capital & (space + 1 < len(points)) | (points[space] == 10)
+    upto = np.concatenate([[0], np.cumsum(border)])
+    place = np.arange(len(space))
+    far = (place >= CUT_WORDS) & (place + CUT_WORDS < len(space)) & (upto[np.minimum(place + CUT_WORDS + 1, len(space))] == upto[np.maximum(place - CUT_WORDS, 0)])
+    far = np.flatnonzero(far)
+    beside = np.zeros(len(far), np.uint64)
+    for gap in (-4, -3, -2, -1, 1, 2, 3, 4):
+        beside = (beside + points[space[far] + gap].astype(np.uint64)) * np.uint64(_BASE)
+    border[far[(beside >> np.uint64(40)) % np.uint64(CUT_EVERY) == 0]] = True
+    cuts = space[border]
+    if points.max(initial=0) >= IDEOGRAPHIC_STOPS[0]:
+        cuts = np.sort(np.append(cuts, np.flatnonzero(np.isin(points, IDEOGRAPHIC_STOPS))))
+    return cuts
 
 
 def _starts(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -97,8 +120,8 @@ class Lines:
         self.prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.hashes * power[:n], dtype=np.uint64)])
 
     @classmethod
-    def of_texts(cls, texts: list[str]) -> tuple[Lines, np.ndarray, np.ndarray]:
-        """The lines, and from and to which line each stretch goes that counts on its own: a long enough line between newlines, or a short text."""
+    def of_texts(cls, texts: list[str]) -> tuple[Lines, Lines, np.ndarray, np.ndarray]:
+        """The lines, the same with independent hashes, and from and to which line each stretch goes that counts on its own: a long enough line between newlines, or a short text."""
         joined = "\n".join(texts)
         points = _points(joined)
         ends = np.append(_cuts(points), len(points))  # where the separator after each line stands
@@ -108,7 +131,9 @@ class Lines:
         try:
             hashes = np.fromiter(map(digest, lines), np.uint64, len(lines))
         except UnicodeEncodeError:  # lone surrogates
-            hashes = np.fromiter((digest(x.encode("utf-8", "surrogatepass")) for x in lines), np.uint64, len(lines))
+            lines = [x.encode("utf-8", "surrogatepass") for x in lines]
+            hashes = np.fromiter(map(digest, lines), np.uint64, len(lines))
+        again = np.fromiter(map(digest, lines, repeat(1)), np.uint64, len(lines))
         spaces, unspaced = np.flatnonzero(points == 32), np.flatnonzero(_wide(points))
         inside = lambda places, a, b: np.searchsorted(places, b) - np.searchsorted(places, a)
         words = np.where(ends > starts, inside(spaces, starts, ends) + 1 + inside(unspaced, starts, ends) // 2, 0)
@@ -129,7 +154,7 @@ class Lines:
         first, last = np.searchsorted(ends, a - 1) + (a > 0), np.searchsorted(ends, b) + 1
         amount = out.total[begin[1:]] - out.total[begin[:-1]]
         short = (amount > 0) & (amount < RUN_WORDS) & long_enough(text_ends - np.diff(text_ends, prepend=-1) + 1, text_ends)
-        return out, *_distinct(np.append(first[whole], begin[:-1][short]), np.append(last[whole], begin[1:][short]))
+        return out, cls(again, words, begin), *_distinct(np.append(first[whole], begin[:-1][short]), np.append(last[whole], begin[1:][short]))
 
     def hash_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Hash (signed) of the lines from each a up to each b."""
@@ -201,18 +226,18 @@ def _details(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in _unseen(batches):
         for at in range(0, len(whole), 500):
             b = whole.slice(at, 500)
-            lines, first, end = Lines.of_texts([x or "" for x in b.column(1).to_pylist()])
+            lines, other, first, end = Lines.of_texts([x or "" for x in b.column(1).to_pylist()])
             size = np.diff(lines.begin)
             if size.max(initial=0) >> PLACE_BITS:
                 raise ValueError(f"a text of more than {1 << PLACE_BITS} lines")
             place = np.unique(lines.winnow()[2])
-            at_gram = lines.hash_of(place, np.searchsorted(lines.total, lines.total[place] + GRAM_WORDS))
-            h, p, e = np.append(at_gram, lines.hash_of(first, end)), np.append(place, first), np.append(np.zeros(len(place), np.int64), end)
+            p, till = np.append(place, first), np.append(np.searchsorted(lines.total, lines.total[place] + GRAM_WORDS), end)
+            h, h2, e = lines.hash_of(p, till), other.hash_of(p, till) >> 32, np.append(np.zeros(len(place), np.int64), end)
             owner = np.searchsorted(lines.begin, p, "right") - 1
             order = np.argsort(owner, kind="stable")
-            h, p, e, owner = h[order], p[order], e[order], owner[order]
+            h, h2, p, e, owner = h[order], h2[order], p[order], e[order], owner[order]
             p, e = p - lines.begin[owner], np.where(e > 0, e - lines.begin[owner], 0)
-            gram = pa.StructArray.from_arrays([pa.array(h, pa.int64()), pa.array(p.astype(np.int32)), pa.array(e.astype(np.int32))], ["h", "p", "e"])
+            gram = pa.StructArray.from_arrays([pa.array(h, pa.int64()), pa.array(h2.astype(np.int32)), pa.array(p.astype(np.int32)), pa.array(e.astype(np.int32))], ["h", "h2", "p", "e"])
             columns = [_lists(size, pa.array(lines.hashes.view(np.int64))), _lists(size, pa.array(lines.words.astype(np.int32))), _lists(np.bincount(owner, minlength=len(b)), gram)]
             yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=["key", "hashes", "words", "grams"])
 
@@ -239,13 +264,13 @@ def _run_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(owner)), pa.array(h, pa.int64()), pa.array((p - lines.begin[owner]).astype(np.int32))], names=["no", "h", "p"])
 
 
-def _later(places: DataFrame, name: str) -> DataFrame:
-    """(`places` and n, first): what stands at several places, without the earliest one; n places in all, the earliest is `first`.
+def _later(places: DataFrame, name: str, keys: tuple[str, ...] = ("h",)) -> DataFrame:
+    """(`places` and n, first): what stands at several places, as the hashes in `keys` say, without the earliest one; n places in all, the earliest is `first`.
 
     The table of earliest places is written, so that the join has plain shuffles on both sides and the rows of a popular hash can be split.
     """
-    found = places.groupBy("h").agg(F.count("*").alias("n"), F.min("place").alias("first")).where("n > 1")
-    return places.join(materialize(found, name), "h").drop("h")
+    found = places.groupBy(*keys).agg(F.count("*").alias("n"), F.min("place").alias("first")).where("n > 1")
+    return places.join(materialize(found, name), [*keys]).drop(*keys)
 
 
 def _text(place: str) -> F.Column:
@@ -310,8 +335,8 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     nth = F.row_number().over(Window.partitionBy("key").orderBy("key"))
     known = detail.join(order.select("key", "no").join(copies, "key", "left_anti"), "key").withColumn("nth", nth).where("nth = 1")
     known = materialize(known.select("no", "hashes", "words", "grams"), "known")
-    place = known.select("no", F.explode("grams").alias("g")).select("g.h", _place("no", "g.p").alias("place"), "g.e")
-    found = materialize(_later(place, "first"), "found")
+    place = known.select("no", F.explode("grams").alias("g")).select("g.h", "g.h2", _place("no", "g.p").alias("place"), "g.e")
+    found = materialize(_later(place, "first", ("h", "h2")), "found")
     grams = found.where("e = 0")
     # of two places of a gram the earlier one is the partner of any run around it; of more, it may be another one for each run
     popular = grams.where("n > 2").groupBy(_text("place").alias("no")).agg(F.collect_set(_line("place")).alias("lines"))

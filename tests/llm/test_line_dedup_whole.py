@@ -88,3 +88,52 @@ def test_repeats_of_a_row_go_before_the_shuffle(spark, monkeypatch):
     repeated = [(5, text, "en", "a", 1)] * 3000 + [(6, text, "en", "a", 1), (4, "Its own line, which nothing else repeats at all.", "en", "a", 1)]
     out = linededup.deduplicated(spark.createDataFrame(repeated, DOCS)).groupBy("doc_id", "text", "_deleted").count().collect()
     assert sorted((r.doc_id, r.text, r["count"]) for r in out) == [(4, repeated[-1][1], 1), (5, text, 3000), (6, "", 1)]
+
+
+def deleted(spark, texts):
+    frame = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], DOCS)
+    return {r.doc_id: r.text for r in linededup.deduplicated(frame).collect()}
+
+
+def test_passages_without_sentence_ends(spark):
+    """Passages of lower-case words, pasted into texts that have no borders either, lose most of their repeats; the texts around them stay."""
+    rng = np.random.default_rng(13)
+    words = lambda n: " ".join(f"w{rng.integers(10**7)}" for _ in range(n))
+    gone = total = 0
+    for _ in range(8):
+        passage, around = words(90), [words(int(rng.integers(15, 60))) for _ in range(6)]
+        texts = [f"{a} {passage} {b}" for a, b in zip(around[:3], around[3:], strict=True)]
+        got = deleted(spark, texts)
+        assert got[0] == texts[0]
+        for i in (1, 2):
+            left = set(got[i].split())
+            assert set(around[i].split()) | set(around[i + 3].split()) <= left
+            gone += len(set(passage.split()) - left)
+            total += 90
+    print(f"of the words of repeated passages {gone / total:.2f} are deleted")
+    assert gone >= 0.5 * total
+
+
+def test_ideographic_sentences(spark):
+    rng = np.random.default_rng(14)
+    sentence = lambda n: "".join(chr(int(x)) for x in rng.integers(0x4E00, 0x9000, n)) + "。"
+    passage = sentence(144)
+    texts = [sentence(60) + passage + sentence(50), sentence(70) + passage + sentence(40)]
+    got = deleted(spark, texts)
+    assert got[0] == texts[0] and got[1] == texts[1].replace(passage, "")
+
+
+def test_borders_depend_on_what_is_near():
+    """The borders inside a stretch are the same wherever it stands, but for CUT_WORDS words at its ends."""
+    rng = np.random.default_rng(15)
+    words = lambda n: " ".join(f"w{rng.integers(10**7)}" for _ in range(n))
+    stretch = words(200)
+    inner = len(" ".join(stretch.split()[: linededup.CUT_WORDS + 1])), len(" ".join(stretch.split()[: -linededup.CUT_WORDS - 1]))
+    seen = set()
+    for before in ("", "A b. ", words(40) + " ", "x\n"):
+        text = before + stretch + rng.choice(["", " End.", " " + words(30)])
+        cuts = {int(c) - len(before) for c in linededup._cuts(linededup._points(text))}
+        seen.add(tuple(sorted(c for c in cuts if inner[0] <= c <= inner[1])))
+    assert len(seen) == 1 and len(next(iter(seen))) > 10
+    joined = linededup.Lines.of_texts([stretch, stretch])[0]
+    assert joined.begin[1] == len(linededup.line_spans(stretch)) and (joined.hashes[: joined.begin[1]] == joined.hashes[joined.begin[1] :]).all()

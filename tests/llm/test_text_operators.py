@@ -297,14 +297,14 @@ def test_selected_grams_are_shared_by_any_long_shared_run():
 
 def test_lines_of_texts():
     texts = ["", "One two. Three four\nfive  six \n\nA line of more than twenty-four characters\tEnd", "漢字仮名交文章文 漢字", "\n", "short"]
-    lines, first, end = linededup.Lines.of_texts(texts)
+    lines, _, first, end = linededup.Lines.of_texts(texts)
     per = [[t[a:b] for a, b in linededup.line_spans(t)] for t in texts]
     assert np.diff(lines.begin).tolist() == [len(x) for x in per]
     flat = [x for p in per for x in p]
     assert [linededup.xxhash.xxh64_intdigest(x) for x in flat] == lines.hashes.tolist()
     assert lines.words.tolist() == [(x.count(" ") + 1 + sum(0x3400 <= ord(c) <= 0x9FFF for c in x) // 2) if x else 0 for x in flat]
     assert {tuple(flat[a:b]) for a, b in zip(first, end, strict=True)} == {tuple(per[1]), ("A line of more than twenty-four characters", "End"), tuple(per[2])}
-    one, a, b = linededup.Lines.of_texts([texts[2]])
+    one, _, a, b = linededup.Lines.of_texts([texts[2]])
     assert (a.tolist(), b.tolist()) == ([0], [1])
 
 
