@@ -334,7 +334,7 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # of repeated rows one is looked at; the join has put them side by side
     nth = F.row_number().over(Window.partitionBy("key").orderBy("key"))
     known = detail.join(order.select("key", "no").join(copies, "key", "left_anti"), "key").withColumn("nth", nth).where("nth = 1")
-    known = materialize(known.select("no", "hashes", "words", "grams"), "known")
+    known = materialize(known.select("no", "hashes", "words", "grams"), "known", replaces=detail)
     place = known.select("no", F.explode("grams").alias("g")).select("g.h", "g.h2", _place("no", "g.p").alias("place"), "g.e")
     found = materialize(_later(place, "first", ("h", "h2")), "found")
     grams = found.where("e = 0")
