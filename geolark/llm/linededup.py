@@ -34,7 +34,7 @@ LINE_CHARS = 24
 _UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x9FFF), (0x20000, 0x2FFFF))
 _BASE = 0x9E3779B97F4A7C15
 #: Words without a border on either side of a space from which it may be one, and one of how many such spaces is.
-CUT_WORDS, CUT_EVERY = 12, 6
+CUT_WORDS, CUT_EVERY = 16, 8
 # The ideographic full stop, exclamation and question marks.
 IDEOGRAPHIC_STOPS = (0x3002, 0xFF01, 0xFF1F)
 #: Bits of a line's number in a place; texts with more lines raise an error.
