@@ -21,8 +21,13 @@ KINDS = ("email", "ip", "card", "phone")
 #: Probability from which a loose candidate is taken.
 ACCEPT = 0.9
 CONTEXT = 32
-#: What is believed of the labelers - format, gazetteer, context, shape - before any count: yes to right candidates, yes to wrong ones.
+#: What is believed of the labelers - format, gazetteer, context, shape - before any count: yes to right candidates, yes to wrong ones; and for how many
+#: votes that stands, whatever the number of candidates.
 BELIEFS = ((0.95, 0.1), (0.9, 0.5), (0.9, 0.1), (0.9, 0.5))
+BELIEF_VOTES = 20.0
+#: The labeler that looks around the span; the others look at the span itself and agree by habit. Weight of each of their votes where it votes
+#: too, so that they don't outvote it, and where it abstains.
+AROUND, SHARES = 2, (0.3, 1.0)
 #: Buckets of a kind's features, what a feature is smoothed with, and how much features count that are not independent.
 BUCKETS, SMOOTH, TEMPER = 4096, 2.0, 0.6
 
@@ -101,12 +106,22 @@ def _candidates(text: Column, kind: str, strict: bool) -> Column:
     return F.when(F.contains(text, F.lit(need)), found).otherwise(F.array().cast(_CANDIDATES)) if need else found
 
 
+def plausible(kind: Column, match: Column) -> Column:
+    """Whether a loose match is well formed beyond its pattern: a domain and a name of two letters, an area and exchange that are given out, a card's length for its
+    network, an address whose groups are not all alike."""
+    digits = F.regexp_replace(match, "[^0-9]", "")
+    number = F.regexp_like(digits, F.lit(r"^[2-9](?!11)[0-9]{2}[2-9](?!11)[0-9]{6}$")) & ~F.regexp_like(digits, F.lit(r"(\d)\1{6}"))
+    card = F.when(F.substring(digits, 1, 2).isin("34", "37"), F.length(digits) == 15).otherwise(F.length(digits) == 16)
+    mail = F.regexp_like(match, F.lit(r"^[A-Za-z0-9._%+-]{2,}.*[^A-Za-z0-9][A-Za-z]{2,}$"))
+    return F.when(kind == "phone", number).when(kind == "card", card).when(kind == "email", mail).otherwise(~F.regexp_like(F.lower(match), F.lit(r"^([0-9a-f]{1,4})(:\1){7}$")))
+
+
 def votes(rows: DataFrame) -> DataFrame:
     """Candidates (a row each) with `key` and `votes`, one letter a labeler - format, gazetteer, context, shape: y for, n against, - abstains."""
     digits = F.length(F.regexp_replace("match", "[^0-9]", ""))
     known = gazetteer(rows.sparkSession).withColumn("known", F.lit("y"))
     keyed = rows.withColumn("key", gazetteer_key(F.col("kind"), F.col("match"))).join(F.broadcast(known), ["kind", "key"], "left")  # a table of fixed size
-    form = F.when(~F.col("strict"), "-").when(F.col("base"), "y").otherwise("n")
+    form = F.when(F.when(F.col("strict"), F.col("base")).otherwise(plausible(F.col("kind"), F.col("match"))), "y").otherwise("n")
     cue = F.lit("-")
     for kind, regex in CUES.items():
         cue = F.when((F.col("kind") == kind) & F.regexp_like("before", F.lit(regex)), "y").otherwise(cue)
@@ -117,15 +132,16 @@ def votes(rows: DataFrame) -> DataFrame:
     return keyed.withColumn("votes", F.concat(form, F.coalesce("known", F.lit("n")), cue, shape)).drop("known")
 
 
-def reliabilities(patterns: dict[tuple[int, ...], int], beliefs: tuple[tuple[float, float], ...] | None = None, rounds: int = 50) -> dict[tuple[int, ...], float]:
+def reliabilities(patterns: dict[tuple[int, ...], int], beliefs: tuple[tuple[float, float], ...] | None = None, rounds: int = 50, around: int | None = None) -> dict[tuple[int, ...], float]:
     """Posterior of each vote pattern of one kind by expectation-maximisation; abstentions say nothing.
 
-    beliefs: for every labeler how often it says yes to what is personal data and to what is not. They start the estimate and hold it with twice the
-    weight of the data, as labelers that agree by habit would outvote the others otherwise. Without beliefs all are alike and weigh three votes.
+    beliefs: for every labeler how often it says yes to what is personal data and to what is not. They start the estimate and count as BELIEF_VOTES
+    votes, so that any larger number of candidates outweighs them. Without beliefs all are alike and weigh three votes. around: the
+    labeler beside which the others count with SHARES; by default all count in full.
     """
     n = len(next(iter(patterns), ()))
     total = sum(patterns.values())
-    held = max(3.0, 2.0 * total) if beliefs else 3.0
+    held = BELIEF_VOTES if beliefs else 3.0
     start = beliefs or ((2 / 3, 1 / 3),) * n
     hit, false, prior = [h for h, _ in start], [f for _, f in start], 0.5
     post: dict[tuple[int, ...], float] = {}
@@ -134,7 +150,8 @@ def reliabilities(patterns: dict[tuple[int, ...], int], beliefs: tuple[tuple[flo
             odds = math.log(prior / (1 - prior))
             for j, x in enumerate(v):
                 if x >= 0:
-                    odds += math.log(hit[j] / false[j]) if x else math.log((1 - hit[j]) / (1 - false[j]))
+                    share = 1.0 if around is None or j == around else SHARES[v[around] < 0]
+                    odds += share * (math.log(hit[j] / false[j]) if x else math.log((1 - hit[j]) / (1 - false[j])))
             post[v] = 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))
         prior = (sum(c * post[v] for v, c in patterns.items()) + held / 2) / (total + held)
         for j, (h, f) in enumerate(start):
@@ -164,7 +181,7 @@ def posteriors(cands: DataFrame) -> DataFrame:
     rows = []
     for kind in KINDS:
         patterns = {tuple(-1 if x == "-" else int(x == "y") for x in r["votes"]): (r["n"], r["votes"]) for r in counts if r["kind"] == kind}
-        post = reliabilities({v: n for v, (n, _) in patterns.items()}, BELIEFS)
+        post = reliabilities({v: n for v, (n, _) in patterns.items()}, BELIEFS, around=AROUND)
         rows += [f"('{kind}', '{patterns[v][1]}', {p!r}D)" for v, p in post.items()]
     return cands.sparkSession.sql("SELECT * FROM VALUES " + ", ".join(rows or ["('', '', 0D)"]) + " AS t(kind, votes, post)")
 
