@@ -17,7 +17,7 @@ from geolark.llm.simhash import keep_one_of_each
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a language is found; texts that are null or have no letter go."""
+    """Documents in which a language is found, with that language as `lang`; texts that are null or have no letter go. Each row is judged on its own."""
     return drop_unidentified(docs.select(*DOCUMENT_COLUMNS))
 
 
@@ -32,12 +32,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of the sources: a document stands as often as it is taken."""
+    """The mix of the sources: a row stands as often as it is taken. Null texts and texts without words are taken no time; equal rows as often as all of them are; an empty table stays empty."""
     return mix_documents(docs.select(*DOCUMENT_COLUMNS))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces of all documents in sequences."""
+    """Token pieces of all documents in sequences. A null text is an empty one, repeated rows are packed each, an empty table gives no pieces."""
     return packed_sequences(docs)
 
 
