@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..schema import MAX_PINS
 
+# What counts as a pair of coordinates and as a slug.
 COORDINATES = r"^\s*(-?\d+\.?\d*)[,\s]+(-?\d+\.?\d*)\s*$"
 SLUG = r"^[a-zA-Z0-9_-]+$"
 

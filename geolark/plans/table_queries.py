@@ -296,11 +296,16 @@ def biophysical(spark, d):
     return j.select("id", "v.score", "v.level", F.array_join("v.concerns", "; ").alias("concerns"))
 
 
-@query(sql(_PLACES + ", " + _STEP, f"SELECT id, CAST(land AS DOUBLE) AS score, {_SUIT.format(s='land')} AS level, CAST(greatest(1, (risk IN ('HIGH', 'SEVERE'))::INT + (balance < -200)::INT + (moist IN ('DRY', 'SATURATED'))::INT + (level IN ('HIGH', 'SEVERE'))::INT + (rain < 800)::INT + (tmax > 35)::INT + (soilph < 5.0 OR soilph > 7.5)::INT + (drain = 'Poor')::INT) AS INTEGER) AS n_concerns FROM al"))
+_CONCERNS = """list_filter([CASE WHEN risk IN ('HIGH', 'SEVERE') THEN 'Waterlogging risk: ' || risk END, CASE WHEN balance < -200 THEN 'Water deficit: ' || CAST(round_even(balance, 0) AS BIGINT) || 'mm' END,
+CASE WHEN moist IN ('DRY', 'SATURATED') THEN 'Soil moisture: ' || moist END, CASE WHEN level IN ('HIGH', 'SEVERE') THEN 'Heat stress: ' || level END, CASE WHEN rain < 800 THEN 'Low rainfall: ' || CAST(round_even(rain, 0) AS BIGINT) || 'mm/year' END,
+CASE WHEN tmax > 35 THEN 'High temps: ' || CAST(round_even(tmax, 0) AS BIGINT) || '°C max' END, CASE WHEN soilph < 5.0 OR soilph > 7.5 THEN 'Soil pH: ' || soilph END, CASE WHEN drain = 'Poor' THEN 'Poor drainage' END], lambda x: x IS NOT NULL)"""
+
+
+@query(sql(_PLACES + ", " + _STEP, f"SELECT id, CAST(land AS DOUBLE) AS score, {_SUIT.format(s='land')} AS level, CASE WHEN len({_CONCERNS}) = 0 THEN 'No significant concerns' ELSE array_to_string({_CONCERNS}, '; ') END AS concerns FROM al"))
 def suitability(spark, d):
     c = F.col
     v = J.land_suitability(c("risk"), c("balance"), c("moist"), c("heat"), c("rain"), c("tmax"), c("soil.ph"), c("soil.drainage"))
-    return _judged(spark, d).withColumn("v", v).select("id", "v.score", "v.level", F.size("v.concerns").alias("n_concerns"))
+    return _judged(spark, d).withColumn("v", v).select("id", "v.score", "v.level", F.array_join("v.concerns", "; ").alias("concerns"))
 
 
 @query(
