@@ -426,10 +426,10 @@ def daily_cap(spark, d):
     return Z.daily_cap(fx.table(spark, d, "events"), "ts", "event_id", 20).select("event_id", "n")
 
 
-@query("SELECT CAST(ts AS DATE) AS day, event_id, row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, event_id) AS n FROM events QUALIFY n <= 20")
+@query("SELECT event_id, row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, event_id) AS n FROM events QUALIFY n <= 20")
 def daily_cap_stream(spark, d):
     """The events let through each day, counted by a stream whose count starts anew at midnight."""
-    return E.run_once(L.capped(E.stream(spark, f"{d}/events.parquet", EVENT), 20))
+    return E.run_once(L.capped(E.stream(spark, f"{d}/events.parquet", EVENT), 20)).select("event_id", "n")
 
 
 @query("""WITH e AS (SELECT user_id || '-' || CAST(CAST(ts AS DATE) AS VARCHAR) AS query_id, event_id, epoch_us(ts) // 1000 AS ms, CASE event_type WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' END AS answer, max(epoch_us(ts) // 1000) OVER () - 3600000 AS now FROM events),
