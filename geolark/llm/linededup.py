@@ -360,9 +360,9 @@ def row_key(id_col: str, text_col: str) -> F.Column:
     return F.xxhash64(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("null")), F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
 
 
-def cut_runs(text: str, runs: list[tuple[int, int]]) -> tuple[str, int]:
-    """`text` without the lines of `runs` (sorted) and the separators after them, and the number of lines deleted."""
-    starts, _ = _starts(text)
+def cut_runs(text: str, runs: list[tuple[int, int]], starts: np.ndarray | None = None) -> tuple[str, int]:
+    """`text` without the lines of `runs` (sorted) and the separators after them, and the number of lines deleted. starts: as _starts() gives them."""
+    starts = _starts(text)[0] if starts is None else starts
     n = len(starts) - 1
     out, at, gone, last = [], 0, 0, False
     for a, b in runs:
@@ -375,6 +375,21 @@ def cut_runs(text: str, runs: list[tuple[int, int]]) -> tuple[str, int]:
     return (kept.rstrip(" \t\n") if last else kept), gone
 
 
+def cut_texts(texts: list[str], runs: list[list[tuple[int, int]]]) -> list[tuple[str, int]]:
+    """cut_runs() of many texts, whose lines are found together."""
+    points = _points("\n".join(texts))
+    ends = np.append(_cuts(points), len(points))
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    text_ends = np.cumsum(sizes + 1) - 1
+    begin = np.concatenate([[0], np.searchsorted(ends, text_ends) + 1]).tolist()
+    out = []
+    for i, (text, own) in enumerate(zip(texts, runs, strict=True)):
+        at = text_ends[i] - sizes[i]
+        out.append(cut_runs(text, own, np.append(starts[begin[i] : begin[i + 1]] - at, sizes[i] + 1)))
+    return out
+
+
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` with `text_col` cut, and `_deleted`: the number of lines deleted from it.
 
@@ -392,7 +407,12 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     @F.pandas_udf("text string, n int")
     def cut(text: pd.Series, runs: pd.Series) -> pd.DataFrame:
-        out = [(None, 0) if r is None or t is None else cut_runs(t, r.reshape(-1, 2).tolist()) for t, r in zip(text, runs, strict=True)]
+        out: list[tuple[str | None, int]] = [(None, 0)] * len(text)
+        some = [i for i, (t, r) in enumerate(zip(text, runs, strict=True)) if r is not None and t is not None]
+        for k in range(0, len(some), 500):
+            part = some[k : k + 500]
+            for i, x in zip(part, cut_texts([text.iat[i] for i in part], [runs.iat[i].reshape(-1, 2).tolist() for i in part]), strict=True):
+                out[i] = x
         return pd.DataFrame(out, columns=["text", "n"])
 
     text = F.col("_row").getField(text_col)

@@ -137,3 +137,11 @@ def test_borders_depend_on_what_is_near():
     assert len(seen) == 1 and len(next(iter(seen))) > 10
     joined = linededup.Lines.of_texts([stretch, stretch])[0]
     assert joined.begin[1] == len(linededup.line_spans(stretch)) and (joined.hashes[: joined.begin[1]] == joined.hashes[joined.begin[1] :]).all()
+
+
+def test_texts_are_cut_together_as_alone():
+    rng = np.random.default_rng(16)
+    pieces = ["W a b. ", "x\n", "", "plain words " * 20, "漢字。", " ", "End", "\n"]
+    texts = ["".join(rng.choice(pieces, int(rng.integers(0, 9)))) for _ in range(200)]
+    runs = [sorted((int(a), int(a + rng.integers(1, 4))) for a in rng.integers(0, 6, int(rng.integers(0, 4)))) for _ in texts]
+    assert linededup.cut_texts(texts, runs) == [linededup.cut_runs(t, r) for t, r in zip(texts, runs, strict=True)]
