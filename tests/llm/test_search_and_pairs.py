@@ -16,7 +16,7 @@ from geolark.llm.vector_topk import exact_top_k, quantized
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_equals_sql(spark, name):
     c = duckdb.connect()
-    for t in ("embeddings", "documents"):
+    for t in ("embeddings", "documents", "benchmark"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.001/{t}.parquet'")
     found = QUERIES[name](spark, "/root/testdata/sf0.001")
     result = c.execute(ORACLE_SQL[name])
