@@ -14,6 +14,8 @@ from .common import materialize, running_totals
 
 #: Nodes of a run, which become one parent.
 FAN = 3
+#: Levels whose paths are made in one plan.
+CUT = 4
 LEAF_COLUMNS = ("doc_id", "source", "lang", "n_chars", "text")
 _STEP = "array<struct<before:string,after:string>>"
 
@@ -78,14 +80,15 @@ def paths(levels: list[DataFrame], above: DataFrame) -> DataFrame:
     """
     more = [c for c in above.columns if c not in ("g", "path")]
     down = None
-    for level in reversed(levels):
+    for k, level in enumerate(reversed(levels)):
         tops = level.where("n = 1").select("g", "pos", "d").join(above, "g").select("g", "pos", "d", "path", *more)
         if down is not None:
             step = F.array(F.struct("before", "after"))
             parents = down.select("g", F.col("pos").alias("up"), F.col("path").alias("_path"), *more)
             inner = level.where("n > 1").select("g", "up", "pos", "d", "before", "after").join(parents, ["g", "up"])
             tops = inner.select("g", "pos", "d", F.concat(step, "_path").alias("path"), *more).union(tops)
-        down = tops
+        # the plan is cut now and then, but not where many rows have long paths already
+        down = materialize(tops, "paths") if k % CUT == CUT - 1 and k + 2 < len(levels) else tops
     return down
 
 
