@@ -45,12 +45,12 @@ def _index(spark, d):
     path = new_folder(spark, "index")
     farms = fx.farms(spark, d)
     V.build_index(farms.select("id", F.col("crop").alias("grp"), F.col("embedding").alias("v")), path, 64)
-    return path, farms.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.lit(None).cast("string").alias("grp"), F.col("embedding").alias("v"))
+    return path, farms.where("id % 100 = 0").select(F.col("id").alias("query_id"), F.lit(None).cast("string").alias("grp"), F.col("embedding").alias("v"))
 
 
 _NEAREST = """f AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e, 'Crop' || label AS crop FROM embeddings),
 u AS (SELECT id, crop, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS e FROM f),
-pairs AS (SELECT q.id AS query_id, u.id, round(list_dot_product(q.e, u.e), 12) AS s FROM u q JOIN u ON q.id % 50 = 0 AND q.id <> u.id AND ({on})),
+pairs AS (SELECT q.id AS query_id, u.id, round(list_dot_product(q.e, u.e), 12) AS s FROM u q JOIN u ON q.id % 100 = 0 AND q.id <> u.id AND ({on})),
 ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS INTEGER) AS rank FROM pairs)"""
 
 
@@ -65,7 +65,7 @@ def knn_index(spark, d):
 def knn_index_crop(spark, d):
     """The same within the query's crop: only that crop's blocks are met."""
     path, queries = _index(spark, d)
-    crops = fx.farms(spark, d).where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("crop").alias("grp"))
+    crops = fx.farms(spark, d).where("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("crop").alias("grp"))
     return V.search(spark, path, queries.drop("grp").join(crops, "query_id"), 5, V.LISTS).select("query_id", "rank", "id", F.round("similarity", 9).alias("similarity"))
 
 
