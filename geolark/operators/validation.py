@@ -123,8 +123,10 @@ def pair_counts(farms: DataFrame) -> DataFrame:
         found = np.zeros(2 * LARGEST + 1, np.int64)
         for b in batches:
             for x, y, ids, m, other_ids, other_m in zip(*(b.column(c) for c in ("block", "other", "ids", "m", "other_ids", "other_m")), strict=True):
-                s = _unpacked(m, len(ids)) @ _unpacked(other_m, len(other_ids)).T
-                s = s[np.triu_indices(len(s), 1)] if x.as_py() == y.as_py() else s.ravel()
+                own, same = _unpacked(m, len(ids)), x.as_py() == y.as_py()
+                # a block meets itself, not its other copy: that one may have been packed in another order, and then the triangle is not each pair once
+                s = own @ (own if same else _unpacked(other_m, len(other_ids))).T
+                s = s[np.triu_indices(len(s), 1)] if same else s.ravel()
                 values, n = np.unique(s.astype(np.int64), return_counts=True)
                 found[values + LARGEST] += n
         yield _counts(found)

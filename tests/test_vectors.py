@@ -95,3 +95,21 @@ def test_pair_statistics_of_too_few(spark):
         assert tuple(validation.summary(validation.pair_counts(f), validation.pair_moments(f)).first()) == (0, None, None, None, None, None)
         assert validation.leave_one_out(f, none).count() == 0
     assert tuple(validation.baseline_moments(one, none).first()) == (0, None, None)
+
+
+def test_pairs_of_a_block_that_is_packed_twice_in_different_orders(spark, monkeypatch):
+    """Shuffled rows arrive in any order, so the two sides of a join may hold a block's farms in different ones."""
+    m = np.random.default_rng(3).integers(-127, 128, (30, 4))
+    monkeypatch.setattr(validation, "BLOCK", 8)
+    farms = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "id long, q array<int>")
+    meet = validation.block_pairs
+
+    def turned(packed, count, ordered):
+        turn = F.udf(lambda cell, n: np.frombuffer(cell, "<i2").reshape(n, -1)[::-1].tobytes(), "binary")
+        pairs = meet(packed, count, ordered)
+        return pairs.withColumn("other_m", turn("other_m", F.size("other_ids"))).withColumn("other_ids", F.reverse("other_ids"))
+
+    monkeypatch.setattr(validation, "block_pairs", turned)
+    products = np.sort((m @ m.T)[np.triu_indices(30, 1)])
+    values, n = np.unique(products, return_counts=True)
+    assert sorted(map(tuple, validation.pair_counts(farms).collect())) == list(zip(values.tolist(), n.tolist(), strict=True))
