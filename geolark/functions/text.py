@@ -16,12 +16,24 @@ def _some(value: Column) -> Column:
     return F.nullif(value, F.lit(""))
 
 
+def two_decimals(x: Column) -> Column:
+    """x to two decimals as C's printf gives it: the double's exact value is rounded, ties to even, where format_string rounds its shortest decimal half up."""
+    size, one = F.abs(x), 1 << 60
+    whole = F.floor(size)
+    part = ((size - whole) * float(one)).cast("long").cast("decimal(19,0)") * 100  # exact: below 1/256, where bits are lost, nothing is near a tie
+    rest = part % one
+    cents = ((part - rest) / one).cast("long")
+    up = (rest > one // 2) | ((rest == one // 2) & (cents % 2 == 1))
+    exact = F.signum(x) * ((whole * 100 + cents + up.cast("long")) / 100.0)  # keeps the sign of what becomes zero
+    return F.when(x.isNotNull(), F.format_string("%.2f", F.when(size < 1e13, exact).otherwise(x)))
+
+
 def place_name(local: list[Column], region: list[Column], country: Column, display: Column, lat: Column, lng: Column) -> Column:
     """The first non-empty local name and the country, else region and country, country, two parts of the display name, or the coordinates."""
     first_local, first_region, land = F.coalesce(*map(_some, local)), F.coalesce(*map(_some, region)), _some(country)
     parts = F.split(display, ",", 3)
     two = F.when(F.size(parts) >= 2, F.concat(F.trim(F.get(parts, F.lit(0))), F.lit(","), F.trim(F.get(parts, F.lit(1))))).otherwise(display)
-    return F.coalesce(F.concat(first_local, F.lit(", "), land), F.concat(first_region, F.lit(", "), land), land, F.when(_some(display).isNotNull(), two), F.format_string("%.2f, %.2f", lat, lng))
+    return F.coalesce(F.concat(first_local, F.lit(", "), land), F.concat(first_region, F.lit(", "), land), land, F.when(_some(display).isNotNull(), two), F.concat(two_decimals(lat), F.lit(", "), two_decimals(lng)))
 
 
 def coordinates(q: Column) -> Column:

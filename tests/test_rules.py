@@ -277,3 +277,15 @@ def test_distinct_pins(spark):
 
 def test_score_bands(spark):
     assert values(spark, X.score_band(F.col("x")), [0.81, 0.8, 0.66, 0.65], "x double") == ["strong", "good", "good", "fair"]
+
+
+def test_two_decimals_are_those_of_the_exact_value(spark):
+    import random
+
+    rng = random.Random(5)
+    known = [0.125, 0.375, -0.125, 1.005, 24.325, 72.345, 0.005, 0.015, 0.994999, 0.995, 0.999, -0.001, -0.0, 0.0, 1e12 + 0.125, 99999.995, 1e-300, 4e15, None]
+    xs = known + [rng.randint(-10**7, 10**7) / 1000 for _ in range(3000)] + [rng.uniform(-200, 200) for _ in range(500)] + [rng.randint(0, 1000) / 10000 for _ in range(500)]
+    got = values(spark, X.two_decimals(F.col("x")), xs, "x double")
+    assert got == [None if x is None else "%.2f" % x for x in xs]
+    point = X.place_name([F.lit("")], [F.lit("")], F.lit(""), F.lit(""), F.col("x"), F.lit(0.25))
+    assert values(spark, point, [24.325, -0.125, None], "x double") == ["24.32, 0.25", "-0.12, 0.25", None]
