@@ -17,6 +17,11 @@ def in_buffer(lat: Column, lng: Column, at_lat: float, at_lng: float, km: float)
     return box & (2 * 6371.0088 * F.asin(F.sqrt(h)) <= km)
 
 
+def one_decimal(x: Column) -> Column:
+    """x to one decimal as C and SQL engines do it: the double ten times as large is rounded half up, where round() looks at x's shortest decimal."""
+    return F.round(x * 10) / 10
+
+
 def zonal_stats(rows: DataFrame, zone: str, value: str) -> DataFrame:
     """(zone, mean, min, max, p90). Zones whose values are all null have nulls."""
     rows = rows.select(F.col(zone).alias("zone"), F.col(value).alias("v"))
@@ -63,7 +68,7 @@ def moisture(series: DataFrame, zone: str, cell: str, vv: str, ts: str) -> DataF
 
 def weather_summary(days: DataFrame, place: str) -> DataFrame:
     """One row a place from daily values; nulls are skipped, and a measure without values takes its default."""
-    r = lambda c, default: F.coalesce(F.round(c, 1), F.lit(default))
+    r = lambda c, default: F.coalesce(one_decimal(c), F.lit(default))
     return days.groupBy(place).agg(
         r(F.avg("temp_mean"), 20.0).alias("temp_mean"),
         r(F.min("temp_min"), 15.0).alias("temp_min"),

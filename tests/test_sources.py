@@ -206,3 +206,24 @@ def test_stream_append_needs_the_watermark(spark, tmp_path):
     got = E.run_once(E.over_limit(E.stream(spark, path, EVENT), 0, "1 day", "1 day"), "append")
     rows = E.windowed_counts(spark.read.schema(EVENT).parquet(path), "1 day")
     assert set(map(tuple, got.collect())) <= set(map(tuple, rows.collect()))
+
+
+def test_weather_is_rounded_like_sql(spark):
+    import duckdb
+
+    from geolark.operators.zonal import weather_summary
+
+    means = [60.949999999999996, 60.94999999999999, 0.25, -0.25, 0.35, 1.05, -3.85, 8.45, None]
+    days = spark.createDataFrame([(str(i), x, x, x, x, x, None, x) for i, x in enumerate(means)], "place string, temp_mean double, temp_min double, temp_max double, rain double, humidity double, sunshine double, cloud double")
+    got = {r.place: r for r in weather_summary(days, "place").collect()}
+    for i, x in enumerate(means):
+        want = None if x is None else duckdb.execute("SELECT round(CAST(? AS DOUBLE), 1)", [x]).fetchone()[0]
+        r = got[str(i)]
+        assert (r.temp_mean, r.temp_min, r.temp_max, r.rain, r.humidity, r.cloud) == ((20.0, 15.0, 30.0, 1000.0, 70.0, 50.0) if x is None else (want,) * 6)
+
+
+def test_weather_of_events_without_a_type(spark, tmp_path):
+    from geolark.plans.table_queries import weather_summary
+
+    spark.createDataFrame([(1, None, 7.0), (1, "error", 9.0)], "user_id long, event_type string, value double").write.parquet(str(tmp_path / "events.parquet"))
+    assert weather_summary(spark, str(tmp_path)).first().temp_mean == 7.0
