@@ -54,7 +54,12 @@ def pins_problem(pins: Column) -> Column:
 
 def map_text(title: Column, description: Column, author: Column) -> Column:
     """struct(ok, author): title of 1..255 characters, description up to 2000; authors default to anonymous and end after 100."""
-    ok = F.length(F.coalesce(title, F.lit(""))).between(1, 255) & (F.length(F.coalesce(description, F.lit(""))) <= 2000)
+    return sized_text(title, F.length(F.coalesce(description, F.lit(""))), author)
+
+
+def sized_text(title: Column, described: Column, author: Column) -> Column:
+    """map_text() of a description that has `described` characters, for those whose length is known without the text."""
+    ok = F.length(F.coalesce(title, F.lit(""))).between(1, 255) & (described <= 2000)
     return F.struct(ok.alias("ok"), F.substring(F.coalesce(_some(author), F.lit("anonymous")), 1, 100).alias("author"))
 
 

@@ -74,3 +74,13 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_maps_are_checked_without_making_their_descriptions(spark, tmp_path):
+    """Keys whose descriptions would not fit any memory."""
+    keys = [-1, 0, 1000, 1001, 1 << 29, (1 << 30) - 1]
+    spark.createDataFrame([(k, "c") for k in keys], "c_custkey long, c_name string").coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    got = {r.id: r.ok for r in QUERIES["map_validate"](spark, str(tmp_path)).collect()}
+    assert got == {k: k <= 1000 for k in keys}
+    plan = QUERIES["map_validate"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "repeat(x" not in plan
