@@ -6,8 +6,10 @@ keep the largest coordinates below them, so the same sum bounds what any point o
 coordinates to all, and only pairs that may still reach the threshold have their sets compared.
 
 One tree over all points would have to be searched by all of them: hashed counts lie close together, and boxes far up prune nothing but
-sizes. Points therefore meet in lists first. With the hashes in ascending order, two sets that link share one of the smallest
-n - ceil(0.8 n) + 1 of either, so each such hash has a list of its documents, and no linked pair is missed. Lists with the same
+sizes. Points therefore meet in lists first. With the hashes in one order for all, two sets that link share one of the first
+n - ceil(0.8 n) + 1 of either, so each such hash has a list of its documents, and no linked pair is missed. The order ascends, but for
+hashes that a sample finds in very many documents (lines that sites repeat), which come last: their lists, which would grow with the
+table and be searched by its square, are then only of documents that hold little else. Any order is exact; the sample only picks one. Lists with the same
 smallest document are one group, a group has a tree, and groups beyond TREE_ROWS are cut into blocks that meet pairwise. What the trees
 leave possible falls into classes, and the sets of a class are compared.
 """
@@ -32,6 +34,8 @@ GROUPS, COARSE, MOST_GROUP_BITS = 256, 32, 16
 FAN = 16
 #: Points of a block of a tree, and hashes of the sets of a block whose pairs are verified.
 TREE_ROWS, SET_HASHES = 4096, 1 << 22
+#: Documents of the sample that common shingles are learnt from, documents that make a shingle common, and those of the sample at least.
+SAMPLE, COMMON, LEAST = 10_000, 512, 8
 #: Bits at most of the bitmap that says which texts are read again.
 MOST_BITS = 1 << 26
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -233,11 +237,38 @@ def _in_cells(groups: DataFrame, weight: str, most: int) -> DataFrame:
     return groups.join(large, "leader", "left").withColumn("cell", F.explode(cells)).drop("_blocks")
 
 
+def front_of(hashes: np.ndarray, common: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """The first n - ceil(percent n / 100) + 1 of a set's hashes, ascending but with those in `common` (ascending) last; none of an empty set."""
+    n = len(hashes)
+    if n and len(common):
+        late = common[np.minimum(np.searchsorted(common, hashes), len(common) - 1)] == hashes
+        hashes = np.concatenate([hashes[~late], hashes[late]])
+    return hashes[: n - (percent * n + 99) // 100 + 1] if n else hashes
+
+
+def common_shingles(docs: DataFrame, shingle: int = SHINGLE) -> np.ndarray:
+    """Hashes, ascending, of the shingles that COMMON documents or more are likely to hold, by about SAMPLE of them; what it misses or adds costs time, no link."""
+    rows = docs.count()
+    every = max(1, rows // SAMPLE)
+    if rows < COMMON:
+        return np.zeros(0, np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_set(t.as_py(), shingle) for t in b.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64))], names=["h"])
+
+    drawn = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("text").mapInArrow(run, "h long")
+    found = drawn.groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") >= max(LEAST, COMMON // every)).select("h").toArrow()  # 8 bytes a hash, at most one for LEAST of the sample's
+    return np.sort(found.column("h").to_numpy().view(np.uint64))
+
+
 def described(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(rid, doc_id, r1, r2, n, k1, k2, point, front): a written row for each of (doc_id, text).
 
-    r1, r2: 96 bits that name the row, k1, k2: 128 that name the set; point: its counts; front: its smallest hashes, of which linked sets share one.
+    r1, r2: 96 bits that name the row, k1, k2: 128 that name the set; point: its counts; front: its first hashes, of which linked sets share one.
     """
+    common = common_shingles(docs, shingle)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -247,7 +278,7 @@ def described(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -
                 n.append(len(s))
                 keys.append(xxhash.xxh3_128_digest(s.tobytes()))
                 points.append(_packed_point(point_of(s)))
-                fronts.append(s[: len(s) - (percent * len(s) + 99) // 100 + 1].view(np.int64) if len(s) else s.view(np.int64))
+                fronts.append(front_of(s, common, percent).view(np.int64))
             k = np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2)
             ends = np.concatenate([[0], np.cumsum([len(f) for f in fronts])]).astype(np.int32)
             front = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*fronts, np.zeros(0, np.int64)])))

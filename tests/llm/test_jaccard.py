@@ -132,3 +132,26 @@ def test_points_of_large_sets_have_more_coordinates():
     assert not len(tree.found(len(sets) - 1))
     cell = jaccard._packed_point(points[0])
     assert (jaccard._unpacked_point(cell) == points[0]).all()
+
+
+def test_common_shingles_come_last_and_lose_no_link(spark, monkeypatch):
+    """Documents that share a line must not all meet in its lists, which grow with the table; links stay those of all pairs."""
+    monkeypatch.setattr(jaccard, "COMMON", 30)
+    rng = random.Random(9)
+    line = " ".join(f"menu{i}" for i in range(14))
+    texts = [line + "\n" + " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(60)) for _ in range(60)]
+    texts += [t + " more" for t in texts[:9]] + [line] * 3 + [line + " more"] * 2 + [line + " " + line] + near_copies(4, groups=3, size=4)
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    found = set(jaccard.common_shingles(docs).tolist())
+    assert set(shingle_set(line).tolist()) <= found and len(found) < 30
+    assert sorted(map(tuple, jaccard_groups(docs).collect()), key=repr) == plain(rows)
+    sizes = [r["count"] for r in jaccard.groups_of(jaccard.described(docs).where("n > 0")).groupBy("leader").count().collect()]
+    assert max(sizes) < 20
+
+
+def test_fronts_follow_one_order():
+    s = np.array([1, 3, 5, 7, 9, 11, 13, 15, 17, 19], np.uint64)
+    assert jaccard.front_of(s, np.zeros(0, np.uint64)).tolist() == [1, 3, 5]
+    assert jaccard.front_of(s, np.array([0, 3, 5, 20], np.uint64)).tolist() == [1, 7, 9]
+    assert jaccard.front_of(s, s).tolist() == [1, 3, 5] and jaccard.front_of(s[:0], s).tolist() == []
